@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, reply_trees
+from . import kneser_ney, line_dedup, reply_trees
 from .token_counts import token_counts
 
 
@@ -20,6 +20,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.score(docs, model).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -92,5 +99,5 @@ FROM clean c LEFT JOIN boiler b ON c.host = b.host AND c.line = b.line
 GROUP BY page_id, c.host
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
 ORACLES = {"op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
