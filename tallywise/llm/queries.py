@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kneser_ney, line_dedup, reply_trees
+from . import kneser_ney, line_dedup, packing, reply_trees
+from .shared import materialise
 from .token_counts import token_counts
 
 
@@ -99,5 +100,11 @@ FROM clean c LEFT JOIN boiler b ON c.host = b.host AND c.line = b.line
 GROUP BY page_id, c.host
 """
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    pieces = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(pieces, ["doc_id", "piece"])
+
+
+QUERIES = {"op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
 ORACLES = {"op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
