@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kneser_ney, line_dedup, packing, reply_trees
+from .jaccard_join import jaccard_classes
 from .shared import materialise
 from .token_counts import token_counts
 
@@ -21,6 +22,33 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), both_sides AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM both_sides JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT node, b FROM reach JOIN links ON links.a = seen
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(seen)::BIGINT AS component_id
+FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
@@ -106,5 +134,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "piece"])
 
 
-QUERIES = {"op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
-ORACLES = {"op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
