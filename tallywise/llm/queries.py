@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, kneser_ney, language_id, line_dedup, packing, quality, reply_trees
+from . import cover_tree, decontaminate, kneser_ney, language_id, line_dedup, packing, quality, reply_trees
 from .jaccard_join import jaccard_classes
 from .shared import materialise
 from .token_counts import token_counts
@@ -22,6 +22,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.linked(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION SELECT node, b FROM reach JOIN links ON links.a = seen
+), own AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
+FROM embeddings JOIN own ON node = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -170,5 +193,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "piece"])
 
 
-QUERIES = {"op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
-ORACLES = {"op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
