@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 MAX_RATIO, MIN_PAGES = 0.1, 5
 #: Boilerplate lines up to which they are broadcast; more are joined by shuffling.
 BROADCAST_LINES = 200_000
@@ -16,7 +18,7 @@ BROADCAST_LINES = 200_000
 
 def html_lines(html: Column) -> Column:
     """Visible lines of a page: scripts, styles and comments go, block tags end lines, other tags vanish."""
-    seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
+    seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", " ")
     cut = F.split(seen, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|title|head|body|html|nav|article|section|header|footer|br|main|aside|blockquote|pre)(?:\s[^>]*)?/?>|\n")
     return F.transform(cut, lambda x: entities(F.regexp_replace(x, "<[^>]*>", "")))
 
@@ -28,7 +30,7 @@ def entities(c: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[ \t\r\f]+|[ \t\r\f]+$", "")
+    return F.btrim(line, F.lit(" \t\r\f"))
 
 
 def _key(line: Column) -> Column:
@@ -54,7 +56,7 @@ def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float =
     Per host there are at most mean-lines-a-page / max_ratio such lines, so they are gathered per host; their table is
     broadcast only up to a checked size and otherwise joined by host.
     """
-    found = boilerplate(pages, host, lines, max_ratio, min_pages)
+    found = materialise(boilerplate(pages, host, lines, max_ratio, min_pages), "boilerplate")
     small = found.select(F.sum(F.size("boiler"))).first()[0] or 0
     found = found.select(F.col("host").alias("__host"), F.col("boiler").alias("__boiler"))
     found = F.broadcast(found) if small <= BROADCAST_LINES else found

@@ -127,7 +127,7 @@ FROM clean GROUP BY conv_id
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://([^/?#]*)", 1)).alias("host"), line_dedup.html_lines(F.col("html")).alias("lines"))
+    pages = materialise(table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://([^/?#]*)", 1)).alias("host"), line_dedup.html_lines(F.col("html")).alias("lines")), "page-lines")
     out = line_dedup.drop_boilerplate(pages, "host", "lines")
     text = F.array_join(F.filter(F.transform("lines", line_dedup._trimmed), lambda x: x != ""), "\n")
     return out.select("page_id", "host", "n_lines", "n_dropped", text.alias("text"))
@@ -136,7 +136,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/?#]*)', 1)) AS host,
-    regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'),
+    regexp_split_to_array(regexp_replace(coalesce(html, ''), '(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)', ' ', 'g'),
       '(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|title|head|body|html|nav|article|section|header|footer|br|main|aside|blockquote|pre)(?:\s[^>]*)?/?>|\n') AS parts
   FROM pages
 ), lines AS (
