@@ -146,3 +146,18 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, voters: Voters, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least 0.5; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(voters)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, counts in terms(batch.column(at)):
+                good = sent.value.vote(counts) >= 0.5
+                if good.any():
+                    yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
