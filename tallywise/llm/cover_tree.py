@@ -11,6 +11,7 @@ connected to), so a group of copies never becomes a list of pairs.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -203,10 +204,10 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         middle = _unit(middle) if np.linalg.norm(middle) > 1e-6 else _unit(x[:1])
         radius = float(_apart(_unit(x) @ middle[0]).max())
         k = number[w, table["cell"][0].as_py(), table["sub"][0].as_py()]
-        return pa.table({"block": [k], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "middle": [middle[0].tobytes()], "radius": [radius]})
+        return pa.table({"block": [k], "tree": [pickle.dumps(Tree(ids, x))], "middle": [middle[0].tobytes()], "radius": [radius]})
 
     sub = F.pmod(F.xxhash64("id"), F.col("subs"))
-    trees = dealt.join(per_cell, ["width", "cell"]).withColumn("sub", sub).groupBy("width", "cell", "sub").applyInArrow(build, "block long, ids binary, vectors binary, middle binary, radius double")
+    trees = dealt.join(per_cell, ["width", "cell"]).withColumn("sub", sub).groupBy("width", "cell", "sub").applyInArrow(build, "block long, tree binary, middle binary, radius double")
     trees = materialise(trees, "blocks")
     balls = {r.block: (np.frombuffer(r.middle, np.float32), r.radius) for r in trees.select("block", "middle", "radius").collect()} if len(blocks) <= BALLS else {}
     reach = math.sqrt(2 - 2 * cosine)
@@ -222,11 +223,11 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                         continue
                     if balls and float(_apart(balls[k][0] @ balls[other][0])) - balls[k][1] - balls[other][1] > reach + SLACK:
                         continue
-                    yield pa.RecordBatch.from_pylist([{"lo": min(k, other), "hi": max(k, other), "block": k, "width": width_of[k], "ids": row["ids"], "vectors": row["vectors"]}], schema=_pair_schema)
+                    yield pa.RecordBatch.from_pylist([{"lo": min(k, other), "hi": max(k, other), "block": k, "tree": row["tree"]}], schema=_pair_schema)
 
     def traverse(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        grown = [Tree(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["width"])) for r in rows]
+        grown = [pickle.loads(r["tree"]) for r in rows]
         same = len(grown) == 1
         one, two = grown[0], grown[-1]
         links, pairs = dual(one, two, cosine, same)
@@ -238,7 +239,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         found = n > 0
         return pa.table({"id": ids[found], "links": n[found], "to": ids[root][found]})
 
-    pairs = trees.select("block", "ids", "vectors").mapInArrow(partners, "lo long, hi long, block long, width int, ids binary, vectors binary")
+    pairs = trees.select("block", "tree").mapInArrow(partners, "lo long, hi long, block long, tree binary")
     found = materialise(pairs.groupBy("lo", "hi").applyInArrow(traverse, "id long, links long, to long"), "links")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
@@ -247,4 +248,4 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-_pair_schema = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("block", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+_pair_schema = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("block", pa.int64()), ("tree", pa.binary())])
