@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.periods import cumulative_type, period_part, type_from_days
 from ..functions.text import for_match, for_numbers, number_tokens
 from ..functions.units import digits_of, to_value
+from ..sources.store import materialise
 
 MIN_PIECE, MAX_PIECES, FUZZY = 4, 3, 0.90
 # Fields a complete filing states, by template.
@@ -133,10 +134,11 @@ def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     on = pages.select("doc_id", F.col("page").alias("try_page"), "match_text")
     near = tried_pages(rest).join(on, ["doc_id", "try_page"]).withColumn("ratio", quote_ratio("q", "match_text")).where(F.col("ratio") >= FUZZY)
     near = near.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"), F.min_by("ratio", "pos").alias("ratio"))
-    found = exact.withColumn("ratio", F.lit(1.0)).unionByName(near)
+    near = materialise(near, "near-quotes")
     lost = rest.join(near.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
     far = lost.join(on, "doc_id").where(F.abs(F.col("try_page") - F.col("page")) > 1).where(quote_ratio("q", "match_text") >= FUZZY)
     far = far.groupBy("doc_id", "seq").agg(F.slice(F.array_sort(F.collect_set("try_page")), 1, 3).alias("other_pages"))
+    found = exact.withColumn("ratio", F.lit(1.0)).unionByName(near)
     out = claims.join(found, ["doc_id", "seq"], "left").join(far, ["doc_id", "seq"], "left")
     return out.withColumn("c1", F.col("ratio").isNotNull()).withColumn("quote_ratio", F.col("ratio")).withColumn("page_off", F.coalesce(F.col("page_used") != F.col("page"), F.lit(False))).drop("ratio")
 
@@ -235,7 +237,8 @@ def status(checked: DataFrame) -> DataFrame:
 def verify(claims: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
     """The whole chain on claims that weren't dropped (VER1-VER21)."""
     kept = dedup(normalise_periods(claims)).where("dropped IS NULL").drop("dropped")
-    checked = categorise(check_units(check_numbers(check_quotes(kept, pages), pages)))
+    quoted = materialise(check_quotes(kept, pages), "quoted")
+    checked = categorise(check_units(check_numbers(quoted, pages)))
     return status(check_references(checked, facts))
 
 

@@ -1 +1,222 @@
-"""Queries."""
+"""Queries of the page, template, resolution and reference operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import catalog as cat
+from ..operators import pages as pg
+from .registry import query
+from .views import load, read, view
+
+view("doc_lines", "SELECT doc_id, source, text FROM documents")
+
+
+def _lines(spark, sf):
+    d = read(spark, sf, "SELECT doc_id, source, text FROM documents")
+    return d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("part"), F.posexplode(F.split("text", "\n")).alias("at", "text")).withColumn("part_page", F.col("at") + 1).drop("at")
+
+
+O_PAGES = "(SELECT source AS doc_id, doc_id AS part, generate_subscripts(string_split(text, chr(10)), 1) AS part_page, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+@query("src1_parts_to_pages", f"SELECT doc_id, part::BIGINT AS part, part_page::INT AS part_page, row_number() OVER (PARTITION BY doc_id ORDER BY part, part_page)::BIGINT AS page, length(text)::INT AS n FROM {O_PAGES}")
+def src1(spark, sf):
+    return pg.parts_to_pages(_lines(spark, sf)).select("doc_id", "part", "part_page", "page", F.length("text").alias("n"))
+
+
+@query("src2_html_text", r"""WITH t1 AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|head[^>]*>.*?</head>|!--.*?-->)', ' ', 'g') AS t FROM pages),
+t2 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)</t[dh]>', ' ', 'g'), '(?i)<br[^>]*>|</?(?:p|div|tr|table|li|ul|ol|h[1-6]|article|section|nav)(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM t1),
+t3 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t2)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\(\s+', '(', 'g'), '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM t3""")
+def src2(spark, sf):
+    return read(spark, sf, "SELECT page_id, html FROM pages").select("page_id", pg.html_text(F.col("html")).alias("text"))
+
+
+@query("src3_chunks")
+def src3(spark, sf):
+    return read(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", F.posexplode(pg.chunks(F.col("text"))).alias("page", "text"))
+
+
+@query("src4_readability", f"SELECT doc_id, NOT bool_or(trim(text) <> '') AS empty, coalesce(avg(CASE WHEN part_page <= 20 THEN CASE WHEN length(text) > 200 THEN 1 ELSE 0 END END) <= 0.5, NULL) AS scanned FROM {O_PAGES} GROUP BY doc_id")
+def src4(spark, sf):
+    return pg.readability(_lines(spark, sf).withColumnRenamed("part_page", "page"))
+
+
+@query("fn20_unit_phrases", """SELECT doc_id, page, coalesce(list_aggregate(list_slice(list_distinct(regexp_extract_all(lower(text), 'in (?:thousands|millions|billions)')), 1, 3), 'string_agg', ','), '') AS phrases FROM o_pages""")
+def fn20(spark, sf):
+    from .claims_queries import pages
+
+    return pages(spark, sf).select("doc_id", "page", F.array_join(pg.unit_phrases(F.col("text")), ",").alias("phrases"))
+
+
+O_SCORES = """SELECT page_id AS doc_id, 1 AS page, g AS "group", (least(3, len(regexp_extract_all(t, p))) + 10 * len(regexp_extract_all(h, p))) * (0.3 + ln(1 + len(regexp_extract_all(html, '[0-9]{1,3}(?:,[0-9]{3})+')))) AS score
+ FROM (SELECT page_id, html, lower(regexp_replace(html, '\\s+', '', 'g')) AS t, lower(regexp_replace(array_to_string(list_slice(string_split(html, chr(10)), 1, 3), ''), '\\s+', '', 'g')) AS h FROM pages)
+ CROSS JOIN (VALUES ('income', 'incomestatement'), ('highlights', 'keyfinancial'), ('cashflow', 'cashflowstatement'), ('eps', 'basic'), ('bank', 'preprovision'), ('mdna', 'segment')) v(g, p)"""
+
+
+def _match_pages(spark, sf):
+    from .claims_queries import pages
+
+    return pages(spark, sf)
+
+
+@query("loc1_page_scores", """SELECT doc_id, page, g AS "group", round((least(3, len(regexp_extract_all(t, p))) + 10 * len(regexp_extract_all(t, p))) * 0.3, 6) AS score FROM (SELECT doc_id, page, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM o_pages WHERE page <> 2)
+  CROSS JOIN (VALUES ('income', 'incomestatement|statementsofoperations'), ('highlights', 'financialhighlights|keyfinancial'), ('cashflow', 'statementsofcashflows|cashflowstatement|netcash'), ('eps', 'basic'), ('bank', 'preprovision'), ('mdna', 'segment')) v(g, p)""")
+def loc1(spark, sf):
+    return pg.page_scores(_match_pages(spark, sf).where("page <> 2")).select("doc_id", "page", "group", F.round("score", 6).alias("score"))
+
+
+@query("loc2_loc3_picked_pages", """SELECT doc_id, 3 AS page FROM filings UNION ALL SELECT DISTINCT doc_id, 2 FROM figures WHERE field = 'eps_basic'""")
+def loc3(spark, sf):
+    p = _match_pages(spark, sf)
+    return pg.with_neighbours(pg.picks(pg.page_scores(p)), p).select("doc_id", "page")
+
+
+@query("loc4_loc5_context")
+def loc5(spark, sf):
+    p = _match_pages(spark, sf)
+    chosen = pg.with_neighbours(pg.picks(pg.page_scores(p)), p)
+    return pg.context(pg.packed(chosen, p, 300), p)
+
+
+@query("tpl1_tpl2_tpl3_template", """SELECT c_custkey, CASE WHEN code IN ('bank', 'insurance') THEN code ELSE coalesce(struct, code, 'general') END AS template, coalesce(code <> struct, false) AS conflict FROM (SELECT c_custkey,
+  CASE c_custkey % 5 WHEN 0 THEN 'bank' WHEN 1 THEN 'insurance' WHEN 2 THEN 'general' WHEN 3 THEN NULL ELSE 'insurance' END AS code, CASE c_nationkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'insurance' WHEN 2 THEN 'general' END AS struct FROM customer)""")
+def tpl(spark, sf):
+    c = read(spark, sf, "SELECT c_custkey, c_nationkey FROM customer")
+    k, n = F.col("c_custkey") % 5, F.col("c_nationkey") % 4
+    code = pg.template_by_code(F.when(k == 4, "CSRC").otherwise("SIC"), F.when(k == 0, "6021").when(k == 1, "6411").when(k == 2, "3571"), F.when(k == 4, "保险业").otherwise(""))
+    text = F.when(n == 0, "netinterestincome").when(n == 1, "netpremiumsearned").when(n == 2, "netinterestincome costofrevenue").otherwise("")
+    t = pg.choose_template(code, pg.template_by_structure(text))
+    return c.select("c_custkey", t["template"].alias("template"), t["conflict"].alias("conflict"))
+
+
+@query("smp4_shortest_document", "SELECT doc_id FROM (SELECT doc_id, sum(length(text)) AS n FROM o_pages GROUP BY doc_id) ORDER BY n, doc_id LIMIT 1")
+def smp4(spark, sf):
+    return _match_pages(spark, sf).groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).orderBy("n", "doc_id").limit(1).select("doc_id")
+
+
+view("listing", "SELECT o_orderkey AS accn, o_custkey AS entity, year(o_orderdate) AS fy, quarter(o_orderdate) AS fp, CAST(o_orderdate AS DATE) AS filed, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS report_date, o_orderkey % 4 = 0 AS annual_form FROM orders")
+view("wanted", "SELECT c_custkey * 10 + t AS request, c_custkey AS entity, 1996 + t AS fy, CAST(1 + c_custkey % 4 AS INT) AS fp, make_date(1996 + t, 6, 30) AS period_end, c_custkey % 2 = 0 AS annual, c_custkey % 3 AS part FROM customer CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS t FROM region WHERE r_regionkey < 3) r")
+O3 = "(SELECT request, arg_min(accn, (filed, accn)) AS accn FROM wanted JOIN listing USING (entity, fy, fp) GROUP BY request)"
+O4 = "(SELECT request, arg_min(accn, (filed, accn)) AS accn FROM wanted w JOIN listing l ON w.entity = l.entity AND abs(report_date - period_end) <= 10 AND annual = annual_form GROUP BY request)"
+
+
+@query("res1_entity_ids", "SELECT lower(c_name) AS ticker, CASE WHEN c_custkey % 2 = 0 THEN lpad(c_custkey::VARCHAR, 10, '0') END AS entity_id FROM customer")
+def res1(spark, sf):
+    c = read(spark, sf, "SELECT c_custkey, c_name FROM customer")
+    return cat.entity_id(c.select(F.lower("c_name").alias("ticker")), c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("entity"))).select("ticker", "entity_id")
+
+
+@query("res2_accession_meta", "SELECT l_orderkey AS accn, arg_min(l_partkey, l_linenumber) AS fy, arg_min(l_suppkey, l_linenumber) AS fp, arg_min(l_returnflag, l_linenumber) AS form FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey")
+def res2(spark, sf):
+    f = read(spark, sf, "SELECT l_orderkey AS accn, l_partkey AS fy, l_suppkey AS fp, l_returnflag AS form, l_linenumber AS ord FROM lineitem")
+    return cat.first_meta(f, ["A", "N"])
+
+
+@query("res3_res4_res5_resolution", f"SELECT w.request, coalesce(a.accn, b.accn) AS accn, CASE WHEN a.accn IS NOT NULL THEN 0 WHEN b.accn IS NOT NULL THEN 1 END AS source FROM wanted w LEFT JOIN {O3} a ON a.request = w.request LEFT JOIN {O4} b ON b.request = w.request")
+def res3(spark, sf):
+    w, l = load(spark, sf, "wanted"), load(spark, sf, "listing")
+    return cat.first_source(w, cat.by_period(w, l), cat.by_date(w, l.drop("fy", "fp")))
+
+
+@query("res6_titles", "SELECT request, arg_max(accn, (filed, accn)) AS accn FROM wanted w JOIN listing l ON l.entity = w.entity AND l.fy = w.fy AND accn % 5 <> 0 GROUP BY request")
+def res6(spark, sf):
+    a = load(spark, sf, "listing").withColumn("title", F.concat(F.lit("Report "), F.col("fy").cast("string"), F.when(F.col("accn") % 5 == 0, " (English)").otherwise(" 20191")))
+    return cat.by_title(load(spark, sf, "wanted").withColumnRenamed("fy", "year"), a.drop("fy"))
+
+
+O7 = """(WITH r AS (SELECT request, accn, filed, accn % 3 AS part FROM wanted w JOIN listing l ON l.entity = w.entity AND accn % 2 = 0 AND filed > period_end AND filed - period_end <= 150)
+ SELECT * FROM r UNION ALL SELECT request, accn, filed, accn % 3 FROM wanted w JOIN listing l ON l.entity = w.entity AND accn % 2 = 1 AND filed > period_end AND filed - period_end <= 200 WHERE request NOT IN (SELECT request FROM r))"""
+
+
+def _window(spark, sf):
+    l = load(spark, sf, "listing").withColumn("part", F.col("accn") % 3)
+    return cat.in_window(load(spark, sf, "wanted").drop("part"), l.where("accn % 2 = 0"), l.where("accn % 2 = 1"))
+
+
+@query("res7_date_windows", f"SELECT request, accn, filed, part FROM {O7} t")
+def res7(spark, sf):
+    return _window(spark, sf)
+
+
+@query("res8_first_day_parts", f"SELECT request, accn, row_number() OVER (PARTITION BY request ORDER BY part, accn)::INT AS part_no FROM (SELECT *, min(filed) OVER (PARTITION BY request) AS day FROM {O7} t) WHERE filed = day")
+def res8(spark, sf):
+    return cat.first_day_parts(_window(spark, sf))
+
+
+@query("res9_smp3_previous_periods", """SELECT request, arg_min(candidate, priority) AS previous FROM wanted w JOIN (VALUES (0, 0, 1995), (0, 1, 1996), (1, 0, 1997), (1, 1, 1996), (2, 0, 1998), (2, 1, 1999)) c(part, priority, candidate) ON c.part = w.part
+  JOIN (SELECT DISTINCT entity, fy FROM listing) l ON l.entity = w.entity AND l.fy = candidate GROUP BY request""")
+def res9(spark, sf):
+    c = spark.createDataFrame([(0, 0, 1995), (0, 1, 1996), (1, 0, 1997), (1, 1, 1996), (2, 0, 1998), (2, 1, 1999)], "part long, priority int, candidate int")
+    return cat.previous(load(spark, sf, "wanted"), c, load(spark, sf, "listing").select("entity", F.col("fy").alias("period")).distinct())
+
+
+@query("src5_nested_feed", "SELECT l_orderkey, l_returnflag AS tag, l_linestatus AS unit, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) - 1)::INT AS ord, l_quantity AS val FROM lineitem")
+def src5(spark, sf):
+    l = read(spark, sf, "SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, l_partkey, l_quantity FROM lineitem")
+    rows = l.groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").alias("val")))), lambda x: F.struct(x["val"].alias("val"))).alias("rows"))
+    units = rows.groupBy("l_orderkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("l_linestatus", "rows"))).alias("units"))
+    feed = units.groupBy("l_orderkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "units")))).alias("feed"))
+    parsed = feed.select("l_orderkey", cat.flat_feed(F.col("feed"), "map<string, map<string, array<struct<val: double>>>>").alias("feed"))
+    return cat.flatten(parsed, "feed").select("l_orderkey", "tag", "unit", "ord", F.col("fact.val").alias("val"))
+
+
+@query("src6_ref4_wide_statement", "SELECT c_custkey, 'revenue' AS field, c_acctbal AS value FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, 'cost_of_revenue', c_nationkey::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'gross_profit', c_acctbal - c_nationkey FROM customer WHERE c_acctbal > 0")
+def src6(spark, sf):
+    w = read(spark, sf, "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS INCOME, CAST(c_nationkey AS DOUBLE) AS COST FROM customer")
+    return cat.unpivoted(w.withColumn("GROSS", F.col("INCOME") - F.col("COST")), ["c_custkey"], {"INCOME": "revenue", "COST": "cost_of_revenue", "GROSS": "gross_profit"}).select("c_custkey", "field", "value")
+
+
+@query("src7_ref6_last_items", "SELECT doc_id, item, arg_max(amount, (k, ord)) AS amount FROM (SELECT l_orderkey AS doc_id, l_shipdate IS NULL AS x, l_linenumber AS ord, l_returnflag AS item, l_extendedprice AS amount, l_linenumber % 2 AS k FROM lineitem WHERE l_quantity > 5) GROUP BY doc_id, item")
+def src7(spark, sf):
+    l = read(spark, sf, "SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_returnflag AS item, CASE WHEN l_quantity > 5 THEN l_extendedprice END AS amount FROM lineitem")
+    return cat.last_items(l.where("ord % 2 = 0"), l.where("ord % 2 = 1"))
+
+
+@query("ref1_ref2_tagged_facts", """SELECT doc_id, field, tag, ord, period_type, value FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id, field) AS best FROM (SELECT f.doc_id, t.field, t.priority, f.tag, f.ord, f.period_type, f.value FROM
+  (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_extendedprice AS value, CASE l_partkey % 5 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'SalesRevenueNet' WHEN 2 THEN 'NetIncomeLoss' WHEN 3 THEN 'RevenuesNetOfInterestExpense' ELSE 'Other' END AS tag, CASE WHEN l_suppkey % 3 = 0 THEN 'FY' ELSE 'Q' END AS period_type, l_orderkey % 4 = 0 AS annual,
+    CASE l_orderkey % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'bank' ELSE 'insurance' END AS template FROM lineitem) f
+  JOIN (VALUES ('general', 'revenue', 1, 'Revenues'), ('general', 'revenue', 2, 'SalesRevenueNet'), ('bank', 'revenue', 0, 'RevenuesNetOfInterestExpense'), ('bank', 'revenue', 1, 'Revenues'), ('insurance', 'revenue', 0, 'Revenues'), ('', 'net_income_parent', 0, 'NetIncomeLoss')) t(t, field, priority, tag)
+  ON t.tag = f.tag AND (t.t = '' OR t.t = f.template) WHERE annual OR period_type <> 'FY')) WHERE priority = best""")
+def ref1(spark, sf):
+    f = read(spark, sf, """SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_extendedprice AS value, CASE l_partkey % 5 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'SalesRevenueNet' WHEN 2 THEN 'NetIncomeLoss' WHEN 3 THEN 'RevenuesNetOfInterestExpense' ELSE 'Other' END AS tag,
+      CASE WHEN l_suppkey % 3 = 0 THEN 'FY' ELSE 'Q' END AS period_type FROM lineitem""")
+    d = read(spark, sf, "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'bank' ELSE 'insurance' END AS template, o_orderkey % 4 = 0 AS annual FROM orders")
+    return cat.tagged(f, d)
+
+
+@query("ref3_parent_income", "SELECT l.l_orderkey AS doc_id, l.l_returnflag AS unit, l.l_linenumber AS start, round(l.l_extendedprice - l.l_quantity, 2) AS value FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey WHERE o_orderkey % 3 <> 0 AND l_suppkey % 2 = 0")
+def ref3(spark, sf):
+    l = read(spark, sf, "SELECT l_orderkey AS doc_id, l_returnflag AS unit, l_linenumber AS start, l_extendedprice AS value, l_quantity, l_suppkey FROM lineitem")
+    other = l.where("l_suppkey % 2 = 0").select("doc_id", "unit", "start", F.col("l_quantity").alias("value"))
+    primary = read(spark, sf, "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 3 = 0")
+    return cat.parent_income(l.select("doc_id", "unit", "start", "value"), other, primary).withColumn("value", F.round("value", 2))
+
+
+@query("ref7_exchange_symbols", "SELECT c_custkey, CASE WHEN c_custkey::VARCHAR[1] IN ('0', '3') THEN 'SZ' WHEN c_custkey::VARCHAR[1] IN ('4', '8') THEN 'BJ' ELSE 'SH' END || c_custkey::VARCHAR AS symbol FROM customer".replace("c_custkey::VARCHAR[1]", "left(c_custkey::VARCHAR, 1)"))
+def ref7(spark, sf):
+    return read(spark, sf, "SELECT c_custkey FROM customer").select("c_custkey", cat.exchange_symbol(F.col("c_custkey").cast("string")).alias("symbol"))
+
+
+@query("ref8_prior_by_start", "SELECT a.doc_id, 'revenue' AS field, max(b.period_end) AS period_end, arg_max(b.rev_cum, b.period_end)::BIGINT AS value FROM filings a JOIN filings b ON a.nk = b.nk AND a.year_start = b.year_start AND b.period_end < a.period_end GROUP BY a.doc_id")
+def ref8(spark, sf):
+    d = load(spark, sf, "filings").withColumnRenamed("year_start", "start").withColumnRenamed("nk", "entity")
+    facts = d.select("entity", F.lit("revenue").alias("field"), "start", "period_end", F.col("rev_cum").cast("long").alias("value"))
+    return cat.prior_by_start(facts, d.select("doc_id", "entity", "start", "period_end"))
+
+
+@query("ref9_prior_quarter", "SELECT a.doc_id, b.period_end AS prior_end, b.rev AS value FROM filings a JOIN filings b ON a.nk = b.nk AND b.period_end = last_day(a.period_end - INTERVAL 3 MONTH) WHERE a.q > 1")
+def ref9(spark, sf):
+    d = load(spark, sf, "filings").withColumnRenamed("nk", "entity")
+    return cat.prior_quarter(d.select("entity", "period_end", F.col("rev").alias("value")), d.select("doc_id", "entity", "period_end"))
+
+
+@query("ref5_ref10_market_facts", "SELECT doc_id, CASE WHEN market = 'a' AND q IN (3, 4) THEN 2 WHEN market = 'us' AND nk % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN market = 'us' AND nk % 5 = 0 THEN 'no facts' END AS error FROM filings")
+def ref10(spark, sf):
+    d = load(spark, sf, "filings")
+    us = d.where("market = 'us' AND nk % 5 <> 0").select("doc_id", F.lit("FY").alias("period_type"))
+    a = d.where("market = 'a'").select("doc_id", F.lit("FY").alias("period_type")).unionByName(d.where("market = 'a' AND q IN (3, 4)").select("doc_id", F.lit("Q").alias("period_type")))
+    facts = us.unionByName(a).unionByName(d.where("market = 'hk'").select("doc_id", F.lit("FY").alias("period_type")))
+    n = facts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return d.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), "no facts").alias("error"))
