@@ -102,6 +102,6 @@ def period_label(period: Column, end: Column) -> Column:
 
 def change_words(delta: Column, unit: str = "%") -> Column:
     """FN23 (English): direction in words and an unsigned magnitude, flat if it rounds to 0."""
-    size = F.format_number(F.abs(delta), "0.0")
+    size = F.format_number(F.abs(delta), 1)
     words = F.concat(F.when(delta > 0, "up ").otherwise("down "), size, F.lit("%" if unit == "%" else " percentage points"))
     return F.when(size == "0.0", "flat").otherwise(words)

@@ -108,9 +108,9 @@ def res1(spark, sf):
     return cat.entity_id(c.select(F.lower("c_name").alias("ticker")), c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("ticker"), F.col("c_custkey").alias("entity"))).select("ticker", "entity_id")
 
 
-@query("res2_accession_meta", "SELECT l_orderkey AS accn, arg_min(l_partkey, l_linenumber) AS fy, arg_min(l_suppkey, l_linenumber) AS fp, arg_min(l_returnflag, l_linenumber) AS form FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey")
+@query("res2_accession_meta", "SELECT l_orderkey AS accn, arg_min(l_partkey, l_extendedprice) AS fy, arg_min(l_suppkey, l_extendedprice) AS fp, arg_min(l_returnflag, l_extendedprice) AS form FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY l_orderkey")
 def res2(spark, sf):
-    f = read(spark, sf, "SELECT l_orderkey AS accn, l_partkey AS fy, l_suppkey AS fp, l_returnflag AS form, l_linenumber AS ord FROM lineitem")
+    f = read(spark, sf, "SELECT l_orderkey AS accn, l_partkey AS fy, l_suppkey AS fp, l_returnflag AS form, l_extendedprice AS ord FROM lineitem")
     return cat.first_meta(f, ["A", "N"])
 
 
@@ -168,10 +168,10 @@ def src6(spark, sf):
     return cat.unpivoted(w.withColumn("GROSS", F.col("INCOME") - F.col("COST")), ["c_custkey"], {"INCOME": "revenue", "COST": "cost_of_revenue", "GROSS": "gross_profit"}).select("c_custkey", "field", "value")
 
 
-@query("src7_ref6_last_items", "SELECT doc_id, item, arg_max(amount, (k, ord)) AS amount FROM (SELECT l_orderkey AS doc_id, l_shipdate IS NULL AS x, l_linenumber AS ord, l_returnflag AS item, l_extendedprice AS amount, l_linenumber % 2 AS k FROM lineitem WHERE l_quantity > 5) GROUP BY doc_id, item")
+@query("src7_ref6_last_items", "SELECT doc_id, item, arg_max(amount, (k, ord)) AS amount FROM (SELECT l_orderkey AS doc_id, l_extendedprice AS ord, l_returnflag AS item, l_extendedprice AS amount, l_linenumber % 2 AS k FROM lineitem WHERE l_quantity > 5) GROUP BY doc_id, item")
 def src7(spark, sf):
-    l = read(spark, sf, "SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_returnflag AS item, CASE WHEN l_quantity > 5 THEN l_extendedprice END AS amount FROM lineitem")
-    return cat.last_items(l.where("ord % 2 = 0"), l.where("ord % 2 = 1"))
+    l = read(spark, sf, "SELECT l_orderkey AS doc_id, l_extendedprice AS ord, l_linenumber AS k, l_returnflag AS item, CASE WHEN l_quantity > 5 THEN l_extendedprice END AS amount FROM lineitem")
+    return cat.last_items(l.where("k % 2 = 0"), l.where("k % 2 = 1"))
 
 
 @query("ref1_ref2_tagged_facts", """SELECT doc_id, field, tag, ord, period_type, value FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id, field) AS best FROM (SELECT f.doc_id, t.field, t.priority, f.tag, f.ord, f.period_type, f.value FROM
@@ -186,7 +186,7 @@ def ref1(spark, sf):
     return cat.tagged(f, d)
 
 
-@query("ref3_parent_income", "SELECT l.l_orderkey AS doc_id, l.l_returnflag AS unit, l.l_linenumber AS start, round(l.l_extendedprice - l.l_quantity, 2) AS value FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey WHERE o_orderkey % 3 <> 0 AND l_suppkey % 2 = 0")
+@query("ref3_parent_income", "SELECT l.l_orderkey AS doc_id, l.l_returnflag AS unit, l.l_linenumber AS start, round(l.l_extendedprice - m.l_quantity, 2) AS value FROM lineitem l JOIN lineitem m ON m.l_orderkey = l.l_orderkey AND m.l_returnflag = l.l_returnflag AND m.l_linenumber = l.l_linenumber WHERE l.l_orderkey % 3 <> 0 AND m.l_suppkey % 2 = 0")
 def ref3(spark, sf):
     l = read(spark, sf, "SELECT l_orderkey AS doc_id, l_returnflag AS unit, l_linenumber AS start, l_extendedprice AS value, l_quantity, l_suppkey FROM lineitem")
     other = l.where("l_suppkey % 2 = 0").select("doc_id", "unit", "start", F.col("l_quantity").alias("value"))

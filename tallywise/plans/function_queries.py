@@ -1 +1,70 @@
-"""Queries."""
+"""Queries of the scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import periods as per
+from ..functions import text as tx
+from ..functions import units as un
+from .registry import query
+from .views import load, read
+
+
+@query("fn1_fn2_match_text", r"SELECT doc_id, sha256(lower(regexp_replace(text, '\s+', '', 'g'))) AS h FROM documents")
+def fn2(spark, sf):
+    return read(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", F.sha2(F.lower(F.regexp_replace("text", r"\s+", "")), 256).alias("h"))
+
+
+@query("fn3_fn17_number_tokens", "SELECT o_orderkey, floor(o_totalprice)::BIGINT::VARCHAR || ',' || o_custkey::VARCHAR AS numbers FROM orders")
+def fn17(spark, sf):
+    o = read(spark, sf, "SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders")
+    text = F.concat(F.lit("Total "), F.format_number("v", 0), F.lit(" for "), F.col("o_custkey").cast("string"), F.lit(" on 2026.06.30"))
+    return o.select("o_orderkey", F.array_join(tx.number_tokens(tx.for_numbers(text)), ",").alias("numbers"))
+
+
+@query("fn18_number_sets", "SELECT o_orderkey, o_custkey::VARCHAR || ',2026.06' AS numbers FROM orders")
+def fn18(spark, sf):
+    o = read(spark, sf, "SELECT o_orderkey, o_custkey FROM orders")
+    return o.select("o_orderkey", F.array_join(tx.number_set(F.concat(F.col("o_custkey").cast("string"), F.lit(" on 2026.06 and "), F.col("o_custkey").cast("string"))), ",").alias("numbers"))
+
+
+@query("fn4_fn5_fn6_fn16_raw_numbers", """SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18, 2)::VARCHAR AS digits, round(CASE WHEN l_linenumber % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END, 2) AS value, 2 AS decimals FROM lineitem""")
+def fn5(spark, sf):
+    l = read(spark, sf, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+    raw = tx.signed(F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("("), F.format_number("l_extendedprice", 2), F.lit(")"))).otherwise(F.format_number("l_extendedprice", 2)), F.col("l_linenumber") % 4 == 2)
+    return l.select("l_orderkey", "l_linenumber", un.digits_of(raw).alias("digits"), F.round(un.parse_raw(raw).cast("double"), 2).alias("value"), un.decimals_of(raw).alias("decimals"))
+
+
+@query("fn7_fn8_fn9_fn10_fn21_units", """SELECT p_partkey, m::DOUBLE AS mult, k AS kind, c AS currency, lab AS label FROM part JOIN (VALUES (0, 1000000, 'amount', 'USD', 'USD millions'), (1, 1000, 'amount', 'CNY', 'RMB thousands'), (2, 1, 'ratio', NULL, NULL), (3, 1, 'per_share', 'HKD', 'HKD per share'), (4, NULL, NULL, NULL, NULL), (5, 100000000, 'amount', 'CNY', 'RMB hundred-millions')) v(k6, m, k, c, lab) ON p_partkey % 6 = k6""")
+def fn7(spark, sf):
+    p = read(spark, sf, "SELECT p_partkey FROM part").withColumn("k6", F.col("p_partkey") % 6)
+    words = spark.createDataFrame([(0, "US$ in millions, except per share data"), (1, "RMB thousands"), (2, "percentage point"), (3, "HK$ per share"), (4, "furlongs"), (5, "人民币亿元")], "k6 long, raw_unit string")
+    d = p.join(F.broadcast(words), "k6").withColumn("raw_value", F.lit("1.5")).withColumn("raw_currency", F.lit("")).withColumn("market", F.lit("us"))
+    v = un.to_value(d)
+    return v.select("p_partkey", "mult", "kind", "currency", un.unit_label(F.col("currency"), F.col("mult"), F.col("kind") == "per_share").alias("label"))
+
+
+@query("fn11_fn12_fn13_fn14_periods", """SELECT o_orderkey, y, part, CASE part WHEN 'FY' THEN make_date(y, 3, 31) WHEN 'Q3' THEN make_date(y - 1, 12, 31) WHEN 'H1' THEN make_date(y - 1, 9, 30) ELSE make_date(y - 1, 6, 30) END AS period_end,
+  CASE part WHEN 'FY' THEN 'FY' WHEN 'Q3' THEN 'YTD' WHEN 'H1' THEN 'H' ELSE 'Q' END AS cumulative, CASE WHEN d <= 100 THEN 'Q' WHEN d BETWEEN 170 AND 190 THEN 'H' WHEN d BETWEEN 350 AND 371 THEN 'FY' ELSE 'YTD' END AS by_days
+  FROM (SELECT o_orderkey, year(o_orderdate) AS y, CASE o_orderkey % 4 WHEN 0 THEN 'FY' WHEN 1 THEN 'Q3' WHEN 2 THEN 'H1' ELSE 'Q1' END AS part, o_custkey % 400 AS d FROM orders)""")
+def fn12(spark, sf):
+    o = read(spark, sf, "SELECT o_orderkey, o_custkey % 400 AS d, CAST(year(o_orderdate) AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN 'FY' WHEN 1 THEN 'Q3' WHEN 2 THEN 'H1' ELSE 'Q1' END AS p FROM orders")
+    p = F.col("p")
+    return o.select("o_orderkey", per.period_year(p).alias("y"), per.period_part(p).alias("part"), per.period_end(p, F.lit("03-31")).alias("period_end"), per.cumulative_type(per.period_part(p)).alias("cumulative"), per.type_from_days(F.col("d")).alias("by_days"))
+
+
+@query("fn15_aliases", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'revenue' WHEN 1 THEN 'eps_basic' WHEN 2 THEN 'cost_of_revenue' END AS field, CASE p_partkey % 3 WHEN 0 THEN 'YTD' WHEN 1 THEN 'FY' END AS period FROM part""")
+def fn15(spark, sf):
+    p = read(spark, sf, "SELECT p_partkey FROM part")
+    name = F.element_at(F.array(*map(F.lit, ["Total Revenue (restated)", "EPS", "cost of sales", "goodwill"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    span = F.element_at(F.array(*map(F.lit, ["the nine months ended", "", "sometime"])), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return p.select("p_partkey", per.field_of(name).alias("field"), per.period_of(span, F.lit("FY")).alias("period"))
+
+
+@query("fn22_fn23_labels", """SELECT doc_id, CASE WHEN q = 4 THEN 'FY' || y ELSE CASE q WHEN 1 THEN 'Q1' WHEN 2 THEN 'H1' ELSE 'Q3' END || ' ' || y END AS label, false AS fiscal, CASE WHEN nk % 3 = 0 THEN 'flat' WHEN nk % 3 = 1 THEN 'up ' || q || '.5%' ELSE 'down ' || q || '.5%' END AS words FROM filings""")
+def fn22(spark, sf):
+    d = load(spark, sf, "filings")
+    lab = per.period_label(F.col("period"), F.col("period_end"))
+    delta = F.when(F.col("nk") % 3 == 0, 0.01).when(F.col("nk") % 3 == 1, F.col("q") + 0.5).otherwise(-F.col("q") - 0.5)
+    return d.select("doc_id", lab["label"].alias("label"), lab["fiscal"].alias("fiscal"), per.change_words(delta).alias("words"))

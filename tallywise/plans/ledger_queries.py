@@ -1 +1,59 @@
-"""Queries."""
+"""Queries of the spend operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ledger as led
+from ..streaming import ledger as stream
+from .registry import query
+from .views import load, read, view
+
+view("ledger_events", "SELECT CAST(user_id % 50 AS BIGINT) AS ledger, CAST(event_id AS BIGINT) - CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS id, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 3 = 1 THEN 'settle' ELSE 'reserve' END AS kind, CAST(event_id % 97 AS DOUBLE) AS usd FROM events")
+
+
+@query("bud1_call_costs", """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE round((10 * h + 90 * m + 50 * o) / 1e6, 12) END AS usd FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.25 WHEN pk THEN 0.06 ELSE 0.03 END AS h, CASE WHEN event_id % 3 = 0 THEN 10 WHEN pk THEN 3 ELSE 1.5 END AS m, CASE WHEN event_id % 3 = 0 THEN 50 WHEN pk THEN 12 ELSE 6 END AS o
+  FROM (SELECT event_id, isodow(ts) <= 5 AND (hour(ts) BETWEEN 1 AND 3 OR hour(ts) BETWEEN 6 AND 9) AS pk FROM events))""")
+def bud1(spark, sf):
+    prices = spark.createDataFrame([("flat-one", "flat", 0.25, 10.0, 50.0), ("timed", "peak", 0.06, 3.0, 12.0), ("timed", "offpeak", 0.03, 1.5, 6.0)], "model string, tariff string, hit double, miss double, out double")
+    calls = read(spark, sf, "SELECT event_id, ts AS at, CASE event_id % 3 WHEN 0 THEN 'flat-one' WHEN 1 THEN 'timed' ELSE 'unknown' END AS model FROM events").withColumns({"input": F.lit(100), "cached": F.lit(10), "output": F.lit(50)})
+    return led.call_costs(calls, prices).select("event_id", F.round("usd", 12).alias("usd"))
+
+
+@query("bud2_worst_case", "SELECT doc_id, round((length(text) * 0.8 * 3 + 16000 * 12) / 1e6, 12) AS usd FROM documents")
+def bud2(spark, sf):
+    return read(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", F.round(led.worst_case(F.length("text"), F.lit(16000), F.lit(3.0), F.lit(12.0)), 12).alias("usd"))
+
+
+@query("bud3_bud5_bud6_balance", """SELECT ledger, round(sum(spent), 6) AS spent, round(sum(reserved), 6) AS reserved, round(1000 - sum(spent) - sum(reserved), 6) AS "left" FROM (SELECT ledger, id, sum(CASE WHEN kind = 'settle' THEN usd ELSE 0 END) AS spent, CASE WHEN arg_max(kind, seq) = 'reserve' THEN arg_max(usd, seq) ELSE 0 END AS reserved FROM ledger_events GROUP BY ledger, id) GROUP BY ledger""")
+def bud3(spark, sf):
+    return led.balance(load(spark, sf, "ledger_events"), 1000.0).select("ledger", *[F.round(c, 6).alias(c) for c in ("spent", "reserved", "left")])
+
+
+@query("bud4_admission")
+def bud4(spark, sf):
+    return led.admitted(load(spark, sf, "ledger_events").where("kind = 'reserve'").select("ledger", "seq", "usd"), 500.0)
+
+
+@query("bud7_usage", "SELECT user_id, sum(event_id)::BIGINT AS tokens, count(*)::BIGINT AS calls FROM events GROUP BY user_id")
+def bud7(spark, sf):
+    return read(spark, sf, "SELECT user_id, event_id FROM events").groupBy("user_id").agg(F.sum("event_id").alias("tokens"), F.count("*").alias("calls"))
+
+
+@query("req1_req2_pending", "SELECT conv_id, turn, sha256(role || chr(31) || text) AS key, turn % 2 = 0 AS served FROM conversations")
+def req1(spark, sf):
+    c = read(spark, sf, "SELECT conv_id, turn, role, text FROM conversations").withColumn("key", led.request_key(F.col("role"), F.col("text"))).withColumn("own", F.concat_ws(":", "conv_id", "turn"))
+    replies = c.where("turn % 2 = 0").select(F.col("own").alias("key"), F.col("text").alias("data"))
+    out = led.pending(c.select(F.col("own").alias("key"), "conv_id", "turn", F.col("key").alias("digest")), replies)
+    return out.select("conv_id", "turn", F.col("digest").alias("key"), "served")
+
+
+@query("req3_same_requests", "SELECT true AS same")
+def req3(spark, sf):
+    c = read(spark, sf, "SELECT DISTINCT conv_id AS key FROM conversations")
+    return led.same_requests(c, c.repartition(3))
+
+
+@query("str1_str3_ledger_stream", "SELECT ledger, round(sum(CASE WHEN kind = 'settle' THEN usd ELSE 0 END), 6) AS spent, round(sum(CASE WHEN kind = 'settle' THEN -usd ELSE usd END), 6) AS reserved FROM ledger_events GROUP BY ledger")
+def str1(spark, sf):
+    return stream.balances(load(spark, sf, "ledger_events")).select("ledger", F.round("spent", 6).alias("spent"), F.round("reserved", 6).alias("reserved"))
