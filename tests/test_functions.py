@@ -6,9 +6,9 @@ from tallywise.functions import periods, text, units
 from tallywise.operators import ledger, verify
 
 
-def one(spark, c, **values):
+def one(spark, column, **values):
     df = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
-    return df.select(c.alias("x")).first().x
+    return df.select(column.alias("x")).first().x
 
 
 def test_raw_numbers(spark):
