@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,7 +98,9 @@ def in_pieces(q: str, t: str) -> bool:
 
 
 def likeness(q: str, t: str) -> float:
-    """VER6: best ratio of q with a window of t of its length: a coarse walk by upper bounds, refined around the best."""
+    """VER6: best ratio of q with a window of t of its length: a coarse walk by upper bounds, refined around the best.
+
+    0 where no window can reach FUZZY."""
     if not q or not t:
         return 0.0
     if q in t:
@@ -107,14 +110,22 @@ def likeness(q: str, t: str) -> float:
         matcher.set_seqs(q, t)
         return matcher.ratio()
     matcher.set_seq1(q)
+    step, last = max(1, n // 8), len(t) - n
+    # the multiset bound of every coarse window at once; a window between two shares all but a step with one of them
+    chars = sorted(set(q))
+    seen = np.frombuffer(t.encode("utf-32-le"), np.uint32)[:, None] == np.array([ord(c) for c in chars], np.uint32)
+    upto = np.concatenate((np.zeros((1, len(chars)), np.int64), np.cumsum(seen, 0)))
+    at = np.arange(0, last + 1, step)
+    bound = np.minimum(upto[at + n] - upto[at], [q.count(c) for c in chars]).sum(1) / n
+    if bound.max() + step / n < FUZZY:
+        return 0.0
+    middle = int(at[bound.argmax()])
 
-    def at(i: int, f: str) -> float:
+    def ratio(i: int) -> float:
         matcher.set_seq2(t[i : i + n])
-        return getattr(matcher, f)()
+        return matcher.ratio()
 
-    step, last = max(1, n // 8), len(t) - n
-    middle = max(range(0, last + 1, step), key=lambda i: (at(i, "quick_ratio"), -i))
-    return max(at(i, "ratio") for i in range(max(0, middle - step), min(last, middle + step) + 1))
+    return max(map(ratio, range(max(0, middle - step), min(last, middle + step) + 1)))
 
 
 @F.pandas_udf(T.DoubleType())

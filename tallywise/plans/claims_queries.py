@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import consistency as con
 from ..operators import verify as ver
+from ..sources.store import materialise
 from .registry import query
 from .views import load, read, view
 
@@ -15,7 +16,7 @@ view("page_rows", "SELECT doc_id, page, array_join(array_agg(line), '  ') AS tex
 
 def pages(spark, sf):
     own = load(spark, sf, "lines").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return ver.prepared_pages(own.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")))
+    return materialise(ver.prepared_pages(own.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))), "pages")
 
 
 def verified(spark, sf):

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.store import materialise
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {}
@@ -109,4 +111,5 @@ def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read(spark, sf_dir, f"SELECT * FROM {name}")
+    """A derived table, written once: queries use it several times."""
+    return materialise(read(spark, sf_dir, f"SELECT * FROM {name}"), name)
