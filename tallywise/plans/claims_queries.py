@@ -118,15 +118,17 @@ def ver17(spark, sf):
     return ver.check_references(ver.check_units(kept), load(spark, sf, "facts")).select("doc_id", "seq", "state", F.round("ref_value", 2).alias("ref_value"), "ref_category")
 
 
-@query("slice_found_where_claimed", """SELECT c.doc_id IS NOT NULL AS quote_found, count(*)::BIGINT AS n FROM (SELECT b.item_id, d.doc_id AS asked FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40) x
-  LEFT JOIN (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g')))) c
-  ON c.item_id = x.item_id AND c.doc_id = x.asked GROUP BY ALL""")
+@query("slice_found_where_claimed", """SELECT contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g'))) AS quote_found, count(*)::BIGINT AS n
+  FROM benchmark b CROSS JOIN documents d GROUP BY 1""")
 def slice_(spark, sf):
-    docs = read(spark, sf, "SELECT doc_id, text FROM documents").withColumn("k", F.col("doc_id") % 40)
-    quotes = F.broadcast(read(spark, sf, "SELECT item_id, text AS quote FROM benchmark").withColumn("k", F.col("item_id") % 40))
+    """How many (quote, document) pairs match: the stated set of quotes, as one row, against all documents."""
     plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    both = docs.withColumn("t", plain("text")).join(quotes.withColumn("q", plain("quote")), "k")
-    return both.groupBy(F.contains("t", "q").alias("quote_found")).agg(F.count("*").alias("n"))
+    quotes = read(spark, sf, "SELECT text FROM benchmark").groupBy(F.lit(1).alias("k")).agg(F.collect_list(plain("text")).alias("quotes"))
+    docs = read(spark, sf, "SELECT text FROM documents").select(F.lit(1).alias("k"), plain("text").alias("t"))
+    found = F.transform("quotes", lambda q: F.col("t").contains(q))
+    size = read(spark, sf, "SELECT sum(length(text)) AS n FROM benchmark").first().n or 0
+    pairs = docs.join(F.broadcast(quotes) if size <= 8_000_000 else quotes, "k").select(F.explode(found).alias("quote_found"))
+    return pairs.groupBy("quote_found").agg(F.count("*").alias("n"))
 
 
 @query("ver14_derived_components", """SELECT doc_id, 1 AS seq, sum(CASE WHEN fno = 3 THEN -1 ELSE 1 END * v)::DOUBLE AS value, (count(*) * 0.5)::DOUBLE AS tolerance, CASE WHEN count(DISTINCT fno % 2) = 1 THEN min(fno % 2)::VARCHAR END AS currency,
