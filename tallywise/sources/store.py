@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 _own: dict[str, str] = {}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (where unset, a temporary folder) and reads it: for results used repeatedly."""
-    spark = df.sparkSession
+def new_path(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, or where that is unset, under a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallywise-"))
-    path = f"{root.rstrip('/')}/tallywise/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tallywise/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df under spark.checkpoint.dir (where unset, a temporary folder) and reads it: for results used repeatedly."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
