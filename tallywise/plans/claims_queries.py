@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import consistency as con
 from ..operators import verify as ver
-from ..sources.store import materialise
+from ..sources.store import materialise, new_path
+from ..streaming.answers import verify_arriving
 from .registry import query
 from .views import load, read, view
 
@@ -261,3 +262,14 @@ def con6(spark, sf):
 
 
 _ = Window
+
+
+@query("str2_verified_stream")
+def str2(spark, sf):
+    """The claims, laid down by document as files that a stream takes two at a time."""
+    claims = load(spark, sf, "claims")
+    came, out, state = (new_path(spark, name) for name in ("came", "stream", "progress"))
+    claims.repartition(4, "doc_id").write.parquet(came)
+    stream = spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", 2).parquet(came)
+    verify_arriving(stream, pages(spark, sf), load(spark, sf, "facts"), out, state).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "seq", "field", "period_type", "c1", "c2", "c3", "state", "status", "category")
