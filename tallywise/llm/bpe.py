@@ -7,6 +7,9 @@ stretches between them. Distinct stretches are encoded with the merges of a ``to
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,21 +55,32 @@ def stretch_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The added tokens of a ``tokenizers`` file, which it finds inside texts, and their ids."""
+    found = _file(path).get("added_tokens") or []
+    odd = [t["content"] for t in found if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] and not t["special"]]
+    if odd:
+        raise ValueError(f"{path}: added tokens that take in neighbouring text or match normalised text: {odd}")
+    return {t["content"].encode(): t["id"] for t in found}
+
+
 def engine(path: str):
     """text -> ids of a byte-level BPE file of the ``tokenizers`` library, whose ids are its merge ranks.
 
     The file's vocabulary runs in tiktoken, which merges the uncached stretches in less than half the time; the ids
     are those of ``tokenizers`` without special tokens.
     """
-    import json
-
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+    vocabulary, added = _file(path)["model"]["vocab"], added_tokens(path)
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(map(byte_of.__getitem__, token)): k for token, k in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
+    ranks = {bytes(map(byte_of.__getitem__, token)): k for token, k in vocabulary.items() if token.encode() not in added and all(c in byte_of for c in token)}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
@@ -77,10 +91,16 @@ def _alone(t: bytes) -> bool:
 
 
 class Encoder:
-    """Ids of each row of a text column, as uint32 arrays; keeps a bounded number of distinct stretches."""
+    """Ids of each row of a text column, as uint32 arrays; keeps a bounded number of distinct stretches.
 
-    def __init__(self, path: str):
+    With ``added``, the file's added tokens inside texts get their own ids, as ``tokenizers`` does by itself; without,
+    they are text like any other (its ``encode_special_tokens``).
+    """
+
+    def __init__(self, path: str, added: bool = False):
         self.ids = engine(path)
+        self.added = added_tokens(path) if added else {}
+        self.mark = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self.line = self.ids("\n")[0]
         self.forget()
 
@@ -100,7 +120,7 @@ class Encoder:
         """Adds stretches (keys ascend). Those that are visible up to their ends and hold no line break go to the
         tokenizer joined by line breaks, which always stand alone there; the others go one by one."""
         size, parts = np.zeros(len(texts), np.int64), []
-        odd = [k for k, t in enumerate(texts) if not _alone(t)]
+        odd = [k for k, t in enumerate(texts) if not _alone(t) or t in self.added]
         apart = set(odd)
         plain = [k for k in range(len(texts)) if k not in apart]
         for a in range(0, len(plain), 20_000):
@@ -111,7 +131,8 @@ class Encoder:
             size[own] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
             parts.append(np.delete(ids, cut))
         for k in odd:
-            ids = np.array(self.ids(texts[k].decode()), np.uint32)
+            own = self.added.get(texts[k])
+            ids = np.array(self.ids(texts[k].decode()) if own is None else [own], np.uint32)
             size[k] = len(ids)
             parts.append(ids)
         flat = np.concatenate(parts)
@@ -127,12 +148,24 @@ class Encoder:
         place = np.searchsorted(self.keys, keys)
         self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, slots)
 
+    def marks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First byte and end of each added token (the leftmost, and of those the longest) within a row."""
+        blob = data.tobytes() if self.added else b""
+        if not any(t in blob for t in self.added):
+            return np.zeros((0, 2), np.int64)
+        spans = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.mark.finditer(blob, a, b)]
+        return np.array(spans, np.int64).reshape(-1, 2)
+
     def encode(self, column: pa.Array):
         """Yields (row, ids)."""
         for lo, hi, data, offsets in pieces(column, 2 << 20):
             if len(self.keys) > CACHED_STRETCHES:
                 self.forget()
-            start = stretch_starts(data, offsets)
+            marks = self.marks(data, offsets)
+            # an added token is one stretch, and the texts beside it are encoded like texts of their own
+            start = stretch_starts(data, np.unique(np.concatenate((offsets, marks.ravel()))) if len(marks) else offsets)
+            for a, b in marks.tolist():
+                start[a + 1 : b] = False
             hashes, at = run_hashes(data, np.ones(len(data), bool), start)
             keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             slot = self.find(keys)

@@ -19,15 +19,15 @@ from .bpe import Encoder
 from .shared import materialise, partitions
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: id, piece (int, from 0), start, length (long), ids (binary: little-endian unsigned 32-bit).
 
-    A document's ids are those of its whole text (null: empty), then end_id. Those over ``capacity`` are cut into
+    A document's ids are those of its whole text (null: empty), then end_id; ``added`` as in ``Encoder``. Those over ``capacity`` are cut into
     pieces of that many, of which the first takes the remainder. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path, added)
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows, places, starts, lengths, blobs, held = [], [], [], [], [], 0

@@ -30,6 +30,27 @@ def test_stretches_give_the_tokenizers_ids():
         assert got[i].tolist() == want, repr(texts[i])
 
 
+def test_added_tokens_get_their_ids_as_in_tokenizers():
+    r = random.Random(5)
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark}", f"x\n{mark}\n\n y", f"it{mark}'s", f" {mark}  é", "<|endoftext", "|>", f"<|{mark}|>", "<|endof", "text|> a", *ODD]
+    texts += ["".join(r.choice(["a", "é", "'", "s", " ", "\n", "1", "<", "|>", "漢", mark]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    plain = Tokenizer.from_file(PATH)
+    got = dict(Encoder(PATH, added=True).encode(pa.array(texts, pa.string())))
+    for i, t in enumerate(texts):
+        assert got[i].tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_query_keeps_added_tokens(spark, tmp_path):
+    from tallywise.llm import queries
+
+    text = "a <|endoftext|> b"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.op10_best_fit_packing(spark, str(tmp_path)).collect()[0]
+    ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 2]
+    assert 50256 in ids and row.length == len(ids) and row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_fullest_is_the_best_subset():
     r = random.Random(4)
     for _ in range(200):
