@@ -16,10 +16,14 @@ MAX_RATIO, MIN_PAGES = 0.1, 5
 BROADCAST_LINES = 200_000
 
 
+def markup(html: Column) -> Column:
+    """A page without its scripts, styles and comments; null is empty."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", " ")
+
+
 def html_lines(html: Column) -> Column:
     """Visible lines of a page: scripts, styles and comments go, block tags end lines, other tags vanish."""
-    seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)", " ")
-    cut = F.split(seen, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|title|head|body|html|nav|article|section|header|footer|br|main|aside|blockquote|pre)(?:\s[^>]*)?/?>|\n")
+    cut = F.split(markup(html), r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|title|head|body|html|nav|article|section|header|footer|br|main|aside|blockquote|pre)(?:\s[^>]*)?/?>|\n")
     return F.transform(cut, lambda x: entities(F.regexp_replace(x, "<[^>]*>", "")))
 
 

@@ -64,6 +64,12 @@ def test_contained_items_against_brute_force(spark):
     assert decontaminate.contained_items(d, i.limit(0)).count() == 0 and decontaminate.contained_items(d.limit(0), i).count() == 0
 
 
+def test_declared_language_far_into_a_page(spark):
+    late = {1: "<!-- " + "licence " * 1000 + '--><html class="x" lang="de"><p>hallo', 2: "<script>" + "x = '<html lang=xx>';\n" * 400 + '</script>\n<HTML LANG=fr-CA>', 3: " " * 300_000 + "<html lang='ES'>", 4: "<p>" + "no tag " * 2000, 5: "<html lang=en>"}
+    df = spark.createDataFrame([(k, "http://a.com/", h) for k, h in late.items()], "page_id long, url string, html string")
+    assert {r.page_id: r["__declared"] for r in language_id.evidence(df).collect()} == {1: "de", 2: "fr", 3: "es", 4: "", 5: "en"}
+
+
 def test_quality_and_language_on_odd_rows(spark):
     docs = spark.createDataFrame([(k, f"plain words here number {k}" if k % 2 else "ALL CAPS!! NOISE!! HERE!!", "en", "s") for k in range(40)] + [(90, None, None, None), (91, "", "en", None), (92, "x" * 200_000, "en", "s")], "doc_id long, text string, lang string, score string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(0, 0), (90, None)], "doc_id long, quality int")
