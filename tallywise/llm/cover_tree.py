@@ -1,8 +1,8 @@
 """All pairs of vectors over a cosine threshold, by dual traversal of cover trees.
 
 Vectors are dealt to blocks near the same pivot. Each block becomes a tree of nested levels: the radius halves from
-level to level, a node keeps its centre as its first child, and every node knows the true distance of its farthest
-vector. Pairs of blocks whose covering balls are too far apart are never formed. In the others, pairs of nodes are
+level to level, a node keeps its centre as its first child, and every node knows a distance that none of its
+vectors exceeds. Pairs of blocks whose covering balls are too far apart are never formed. In the others, pairs of nodes are
 pruned when even their nearest vectors could not link, taken whole when all of theirs must, and otherwise opened;
 vectors are compared in double precision. A task gives one row per vector it linked (links, and one vector it is
 connected to), so a group of copies never becomes a list of pairs.
@@ -28,13 +28,22 @@ PIVOTS, BALLS = 1024, 20_000
 SLACK = 1e-4
 
 
+def _error(width: int) -> float:
+    """Bounds the rounding error of the single-precision dot product of two unit vectors (each rounded itself)."""
+    return (width + 8) * 2.0**-24
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _apart(cos: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * cos, 0))
+def _apart(cos: np.ndarray, error: float) -> np.ndarray:
+    """The largest distance of unit vectors whose cosine is ``cos`` give or take ``error``; the least for a negative one.
+
+    Near copies need this: an error of 1e-7 in their cosine is one of 4e-4 in their distance.
+    """
+    return np.sqrt(np.maximum(2 - 2 * cos.astype(np.float64) + 2 * error, 0))
 
 
 class Tree:
@@ -60,10 +69,10 @@ class Tree:
         self.ids, self.vectors, self.unit = ids[order], vectors[order], unit[order]
         cos = cos[np.ix_(order, order)]
         starts.append(np.arange(len(ids)))
-        self.starts, self.radii = starts, []
+        self.starts, self.radii, error = starts, [], _error(vectors.shape[1])
         for s in starts:
             owner = np.repeat(s, np.diff(np.append(s, len(ids))))
-            self.radii.append(np.maximum.reduceat(_apart(cos[owner, np.arange(len(ids))]), s))
+            self.radii.append(np.maximum.reduceat(_apart(cos[owner, np.arange(len(ids))], error), s))
         self.radii[-1][:] = 0
 
     def ends(self, level: int) -> np.ndarray:
@@ -80,7 +89,7 @@ def _opened(tree: Tree, level: int, node: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def dual(one: Tree, two: Tree, cosine: float, same: bool):
     """Links of each vector of both trees and connections (pairs of places: one's, then two's after one's)."""
-    reach = math.sqrt(2 - 2 * cosine)
+    reach, error = math.sqrt(2 - 2 * cosine), _error(one.vectors.shape[1])
     links = [np.zeros(len(one.ids), np.int64), np.zeros(len(two.ids), np.int64)]
     ties: list[np.ndarray] = []
 
@@ -99,7 +108,7 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
             sa, sb = one.starts[level][a], two.starts[level][b]
             cos = np.einsum("ij,ij->i", one.unit[sa], two.unit[sb])
             if level == deepest:
-                close = cos >= cosine - SLACK
+                close = cos >= cosine - SLACK - error
                 a, b = a[close], b[close]
                 exact = np.einsum("ij,ij->i", one.vectors[a].astype(np.float64), two.vectors[b].astype(np.float64)) / (norms[0][a] * norms[1][b])
                 hit = (exact >= cosine) & ((a != b) if same else True)
@@ -108,8 +117,8 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
                 np.add.at(links[1], b, 1)
                 connect(a, b)
                 return
-            d, r = _apart(cos), one.radii[level][a] + two.radii[level][b]
-            whole = d + r <= reach - SLACK
+            r = one.radii[level][a] + two.radii[level][b]
+            whole = _apart(cos, error) + r <= reach - SLACK
             for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
                 xs, ys = np.arange(one.starts[level][x], one.ends(level)[x]), np.arange(two.starts[level][y], two.ends(level)[y])
                 links[0][xs] += len(ys)
@@ -119,7 +128,7 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
                     links[1][ys] -= 1
                 connect(xs, np.full(len(xs), ys[0]))
                 connect(np.full(len(ys), xs[0]), ys)
-            open_ = ~whole & (d - r <= reach + SLACK)
+            open_ = ~whole & (_apart(cos, -error) - r <= reach + SLACK)
             a, b = a[open_], b[open_]
             ca, na = _opened(one, level, a)
             cb, nb = _opened(two, level, b)
@@ -136,7 +145,7 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
         rows = np.arange(k, min(k + 512, len(one.starts[1])))
         cos = one.unit[one.starts[1][rows]] @ two.unit[ends_b].T
         bound = np.minimum(reach + SLACK + one.radii[1][rows][:, None] + two.radii[1][None, :], 2)
-        i, j = np.nonzero(cos >= 1 - bound * bound / 2 - 1e-6)
+        i, j = np.nonzero(cos >= 1 - bound * bound / 2 - error)
         descend(1, rows[i], j)
     pairs = np.concatenate(ties) if ties else np.zeros((0, 2), np.int64)
     return links, pairs
@@ -202,7 +211,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         ids, x = ids[order], x[order]
         middle = _unit(x).mean(0, keepdims=True)
         middle = _unit(middle) if np.linalg.norm(middle) > 1e-6 else _unit(x[:1])
-        radius = float(_apart(_unit(x) @ middle[0]).max())
+        radius = float(_apart(_unit(x) @ middle[0], _error(w)).max())
         k = number[w, table["cell"][0].as_py(), table["sub"][0].as_py()]
         return pa.table({"block": [k], "tree": [pickle.dumps(Tree(ids, x))], "middle": [middle[0].tobytes()], "radius": [radius]})
 
@@ -221,7 +230,7 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                         continue
                     if balls and (k not in balls or other not in balls):
                         continue
-                    if balls and float(_apart(balls[k][0] @ balls[other][0])) - balls[k][1] - balls[other][1] > reach + SLACK:
+                    if balls and float(_apart(balls[k][0] @ balls[other][0], -_error(width_of[k]))) - balls[k][1] - balls[other][1] > reach + SLACK:
                         continue
                     yield pa.RecordBatch.from_pylist([{"lo": min(k, other), "hi": max(k, other), "block": k, "tree": row["tree"]}], schema=_pair_schema)
 

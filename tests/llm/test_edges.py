@@ -26,6 +26,25 @@ def test_vectors_against_brute_force(spark):
     assert cover_tree.linked(df.limit(0)).count() == 0
 
 
+def test_links_of_near_copies_at_the_threshold():
+    r, rows = np.random.default_rng(7), []
+    unit = lambda x: x / np.linalg.norm(x)
+    reach = np.sqrt(2 - 2 * 0.95)
+    for _ in range(600):
+        centre, way = unit(r.normal(size=64)), unit(r.normal(size=64))
+        way = unit(way - (way @ centre) * centre)
+        angle = lambda d: 2 * np.arcsin(d / 2)
+        turned = lambda a, c=centre, w=way: np.cos(a) * c + np.sin(a) * w
+        gap, off = r.uniform(1e-4, 1e-3), angle(reach) - r.uniform(1e-6, 2e-5)
+        # a copy on one side of the centre and a third vector that links only with the copy, or only with the centre
+        rows += [centre, turned(gap), turned(off + gap)] if r.random() < 0.5 else [centre, turned(-gap), turned(off)]
+    x = np.array(rows)
+    tree = cover_tree.Tree(np.arange(len(x)), x)
+    links, _ = cover_tree.dual(tree, tree, 0.95, True)
+    want = (((x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))) >= 0.95).sum(1) - 1
+    assert (links[0] == want[tree.ids]).all()
+
+
 def test_reply_trees(spark):
     nodes = spark.createDataFrame(
         [("t", 1, None, 0.0, "user", "q <x> \\l"), ("t", 2, 1, 1.0, "assistant", None), ("t", 3, 1, 5.0, "assistant", "b"), ("t", 4, 3, 0.0, "user\nx", "</turn>\n"), ("u", 1, None, None, None, ""), ("v", 9, 8, 1.0, "assistant", "orphan")],
