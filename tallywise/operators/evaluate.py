@@ -42,20 +42,21 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bootstrap(rows: DataFrame, cluster: str, n: int, times: int = 1000) -> DataFrame:
-    """EVA11: (lo, hi) of the strict share over ``times`` resamples of whole clusters; n: how many clusters there are.
+def bootstrap(rows: DataFrame, cluster: str, times: int = 1000) -> DataFrame:
+    """EVA11: (lo, hi) of the strict share over ``times`` resamples of whole clusters, as many as there are.
 
     Clusters are numbered by name; draw k of resample r is a linear congruential function of (r, k), so the result is
     reproducible. Only sums per cluster take part.
     """
     spark = rows.sparkSession
     own = rows.groupBy(cluster).agg(F.count_if("strict").alias("good"), F.count("*").alias("all"))
+    n = own.count()
     own = own.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("at"), "good", "all")
-    draws = spark.range(times).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-    at = F.pmod((F.col("r") * 7919 + F.col("k") * 104729 + 12345) % 1000003 * 48271 % 2147483647, F.lit(n))
+    draws = spark.range(times).crossJoin(spark.range(n).withColumnRenamed("id", "k")).withColumnRenamed("id", "r")
+    at = F.pmod((F.col("r") * 7919 + F.col("k") * 104729 + 12345) % 1000003 * 48271 % 2147483647, F.lit(max(n, 1)))
     shares = draws.select("r", at.alias("at")).join(own, "at").groupBy("r").agg((F.sum("good") / F.sum("all")).alias("share"))
     sorted_ = F.array_sort(F.collect_list("share"))
-    return shares.agg(F.element_at(sorted_, int(0.025 * times) + 1).alias("lo"), F.element_at(sorted_, int(0.975 * times)).alias("hi"))
+    return shares.agg(F.try_element_at(sorted_, F.lit(int(0.025 * times) + 1)).alias("lo"), F.try_element_at(sorted_, F.lit(int(0.975 * times))).alias("hi"))
 
 
 def upper_median(values: Column) -> Column:

@@ -73,7 +73,7 @@ def eva8(spark, sf):
   SELECT r, (((r * 7919 + k * 104729 + 12345) % 1000003) * 48271 % 2147483647) % 20 AS pos FROM range(1000) a(r), range(20) b(k)), shares AS (SELECT r, sum(good) / sum(n) AS share FROM draws JOIN own USING (pos) GROUP BY r)
 SELECT round(list_sort(list(share))[26], 9) AS lo, round(list_sort(list(share))[975], 9) AS hi FROM shares""")
 def eva11(spark, sf):
-    return ev.bootstrap(load(spark, sf, "scored"), "cell", 20).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+    return ev.bootstrap(load(spark, sf, "scored"), "cell").select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 @query("eva12_costs", "SELECT event_type, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, list_sort(list(value))[(count(*) // 2)::BIGINT + 1] AS median, max(value) AS most FROM events GROUP BY event_type")
