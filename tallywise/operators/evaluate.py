@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 
 def rendered(value: Column, scales: list[float], decimals: list[int]) -> Column:
     """FN19 and EVA1: array of struct(text, half_unit): the value printed at each scale and number of decimals, without
@@ -59,10 +61,20 @@ def bootstrap(rows: DataFrame, cluster: str, times: int = 1000) -> DataFrame:
     return shares.agg(F.try_element_at(sorted_, F.lit(int(0.025 * times) + 1)).alias("lo"), F.try_element_at(sorted_, F.lit(int(0.975 * times))).alias("hi"))
 
 
-def upper_median(values: Column) -> Column:
-    """EVA12: element n // 2 of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+def upper_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """EVA12: (by, median): element n // 2 of each group's sorted values that aren't null.
+
+    Counts of distinct values are dealt by ranges; running sums over ranges tell the one that holds the element, and
+    only its values are ordered, so no group is gathered in an array or a task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    counts = materialise(counts.repartitionByRange("by", "value").withColumn("part", F.spark_partition_id()), "value-counts")
+    sums, whole = counts.groupBy("by", "part").agg(F.sum("n").alias("own")), Window.partitionBy("by")
+    sums = sums.withColumn("before", F.sum("own").over(whole.orderBy("part")) - F.col("own")).withColumn("rank", F.floor(F.sum("own").over(whole) / 2))
+    hit = sums.where("before <= rank AND rank < before + own").select(F.col("by").alias("by2"), F.col("part").alias("part2"), "before", "rank")
+    near = counts.join(F.broadcast(hit), F.col("by").eqNullSafe(F.col("by2")) & (F.col("part") == F.col("part2")))
+    upto = F.sum("n").over(Window.partitionBy("by").orderBy("value")) + F.col("before")
+    return near.withColumn("upto", upto).where("upto > rank").groupBy(F.col("by").alias(by)).agg(F.min("value").alias("median"))
 
 
 def stability(rows: DataFrame, runs: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +40,26 @@ def balance(events: DataFrame, cap: float) -> DataFrame:
 
 
 def admitted(requests: DataFrame, cap: float) -> DataFrame:
-    """BUD4: (ledger, seq, ok) of reservations in order; one that doesn't fit is refused and doesn't count."""
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<seq:bigint,ok:boolean>>").alias("out"))
+    """BUD4: (ledger, seq, ok) of reservations in order; one that doesn't fit is refused and doesn't count.
 
-    def step(a, e):
-        ok = a["used"] + e["usd"] <= cap
-        return F.struct(F.when(ok, a["used"] + e["usd"]).otherwise(a["used"]).alias("used"), F.concat(a["out"], F.array(F.struct(e["seq"].alias("seq"), ok.alias("ok")))).alias("out"))
+    Each ledger's rows pass through one task in order; only the amount used so far is held.
+    """
 
-    folded = requests.groupBy("ledger").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "usd"))), start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("ledger", F.explode("out").alias("o")).select("ledger", "o.seq", "o.ok")
+    def run(batches):
+        ledger, used, begun = None, 0.0, False
+        for batch in batches:
+            ok = []
+            for own, usd in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or own != ledger:
+                    ledger, used, begun = own, 0.0, True
+                ok.append(None if usd is None else used + usd <= cap)
+                if ok[-1]:
+                    used += usd
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["ledger", "seq", "ok"])
+
+    own = requests.select("ledger", F.col("seq").cast("long").alias("seq"), F.col("usd").cast("double").alias("usd"))
+    kind = own.schema["ledger"].dataType.simpleString()
+    return own.repartition("ledger").sortWithinPartitions("ledger", "seq", "usd").mapInArrow(run, f"ledger {kind}, seq long, ok boolean")
 
 
 def request_key(*parts: Column) -> Column:
