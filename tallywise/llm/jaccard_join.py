@@ -4,12 +4,14 @@ Sets are grouped in size bands. In a band's scheme the hashed universe is cut in
 that reach the threshold differ in at most H shingles, so, when each segment i is given v_i of 1 (must be equal) or 2
 (may differ by one, through one-deletion neighbourhoods) and the v_i add up to more than H, some segment agrees. How
 many segments get which v is chosen for each band by cost, from how many sets there are. A set's segments without
-shingles can't be looked up; a set left with too little after that also lists its rarest shingles (a prefix), which
-finds all pairs of two such sets. Sets that agree somewhere are verified exactly on their shingles.
-
-Only components are wanted, so a large group isn't compared pair by pair: members are first verified against one
-centre, then only pairs of different components go on, in blocks, pruned by parity bitmaps whose differences can't
-exceed the sets' own.
+shingles can't be looked up, and common shingles are left out of segments; a set that this leaves with too few also has
+its segments of all shingles indexed, and where even those are too few, segments of one shingle each. A pair is missed
+by a level only where both of its sets are short there, and then both are on the next one.
+
+Sets that agree somewhere are candidates. Parity bitmaps, whose differences can't exceed the sets' own, leave those that
+could be linked, and only a spanning forest of these is ever written: its components are clusters within which all
+links lie. A cluster's shingles meet once (in blocks and pairs of blocks, if it is large), where intersections are
+counted exactly and each set gives at most one row.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .shared import materialise, partitions
 from .textkit import mix, shingles
 
 FLUSH = 1_000_000
-BLOCK = 512
+#: Sets of a run that are compared by their bitmaps at once, and sets and shingles of a cluster that are verified at once.
+BLOCK, SETS, VOLUME = 1024, 512, 1_000_000
 #: Runs up to this size give their pairs with a count of shared keys; larger ones are compared in blocks.
 SMALL = 24
 #: Ids of candidate documents up to which they are broadcast (8 bytes each); more are joined by shuffling.
@@ -90,9 +93,9 @@ def allocate(low: int, high: int, sets: int, percent: int) -> Scheme:
     return best[1]
 
 
-def _keys(u: np.ndarray, n: int, k: int, scheme: Scheme, percent: int) -> tuple[np.ndarray, int]:
-    """Index keys in scheme k of a set of n shingles, of which u (sorted hashes) aren't common, and how many of them a
-    partner shares at least (under 1: partners can be missed)."""
+def _keys(u: np.ndarray, n: int, k: int, scheme: Scheme, percent: int, level: int) -> tuple[np.ndarray, int]:
+    """Index keys in scheme k of a set of n shingles, of which u (sorted hashes) are cut into segments, and how many of
+    them a partner shares at least (under 1: partners can be missed)."""
     if not len(u):
         return np.zeros(0, np.uint64), 0
     segment = ((u >> np.uint64(32)) * np.uint64(scheme.segments) >> np.uint64(32)).astype(np.int64)
@@ -100,12 +103,14 @@ def _keys(u: np.ndarray, n: int, k: int, scheme: Scheme, percent: int) -> tuple[
     head = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     size = np.diff(np.append(head, len(u)))
     own = segment[head]
-    value = np.where((own < scheme.twos) & (size > 1), 2, 1)
+    value = np.where((own < scheme.twos) & (size > 1) & (level == 0), 2, 1)
     need = differ(n, scheme.high if n > scheme.high else n * 100 // percent, percent) + 1
     spare = int(value.sum()) - need + 1
     total = np.add.reduceat(token, head)
-    tag = mix(own.astype(np.uint64) ^ np.uint64(k << 40))
+    tag = mix(own.astype(np.uint64) ^ np.uint64((2 * k + level) << 40))
     keys = [mix(total ^ tag)]
+    if level:
+        return keys[0], spare
     fewer = np.repeat(value == 2, size)
     if fewer.any():
         keys.append(mix((np.repeat(total, size)[fewer] - token[fewer]) ^ np.repeat(tag, size)[fewer]))
@@ -117,6 +122,7 @@ class Keys:
 
     def __init__(self, schemes: list[Scheme], percent: int, common: np.ndarray):
         self.schemes, self.percent, self.common = schemes, percent, common
+        self.hot: np.ndarray | None = None
         self.lows = np.array([s.low for s in schemes])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(common & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -127,17 +133,29 @@ class Keys:
         if known.any():
             at = np.searchsorted(self.common, u[known])
             known[known] = self.common[np.minimum(at, len(self.common) - 1)] == u[known]
-        rare = u[~known]
-        out, shared = [], []
-        for at in (k, k - 1):
-            if at >= 0 and len(u) <= self.schemes[at].top:
-                keys, least = _keys(rare, len(u), at, self.schemes[at], self.percent)
-                out.append(keys)
-                shared.append(least)
-        if min(shared) < 1:  # a prefix in an order that puts common shingles last
-            prefix = len(u) - -(-len(u) * self.percent // 100) + 1
-            out.append(mix(np.concatenate((rare, u[known]))[:prefix] ^ _C1))
-        return np.concatenate(out), max(1, shared[0])
+        out, least, n = [], 1, len(u)
+        for level, own in enumerate((u[~known], u)):
+            shared = []
+            for at in (k, k - 1):
+                if at >= 0 and n <= self.schemes[at].top:
+                    keys, many = _keys(own, n, at, self.schemes[at], self.percent, level)
+                    out.append(self.subset(keys, len(keys) - many + 1) if level and many > 1 else keys)
+                    shared.append(many)
+            if not level:
+                least = max(1, shared[0])
+            if min(shared) >= 1:
+                return np.concatenate(out), least
+        out.append(self.subset(mix(u ^ _C1), differ(n, n * 100 // self.percent, self.percent) + 1))
+        return np.concatenate(out), least
+
+    def subset(self, keys: np.ndarray, need: int) -> np.ndarray:
+        """The first keys in one order for all sets, in which hot ones come last: of two sets' keys before the first one
+        they share, each stands for a difference of theirs, so as many as the differences and one more are enough."""
+        return keys if self.hot is None else keys[np.lexsort((keys, self.hot_of(keys)))][:need]
+
+    def hot_of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hot, keys)
+        return self.hot[np.minimum(at, len(self.hot) - 1)] == keys if len(self.hot) else np.zeros(len(keys), bool)
 
 
 def _index(made: Keys, bits: int, words: int):
@@ -148,7 +166,9 @@ def _index(made: Keys, bits: int, words: int):
         def flush():
             k, i = np.concatenate(keys), np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
             part = top_bits(k, bits)
-            order = np.argsort(part.astype(np.int16) if bits < 16 else part, kind="stable")
+            hot = made.hot_of(k)
+            part[hot] = (1 << bits) + (mix(i[hot].astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            order = np.argsort(part.astype(np.int16) if bits < 15 else part, kind="stable")
             keys.clear()
             ids.clear()
             # a key's low 32 bits do within its part: what they confuse is verified later
@@ -178,12 +198,13 @@ def _index(made: Keys, bits: int, words: int):
     return run
 
 
-def _common(texts: DataFrame, words: int, n: int) -> np.ndarray:
-    """Sorted hashes of shingles in over COMMON of a hashed sample of documents (at most the sample's shingles x its share)."""
+def _common(texts: DataFrame, words: int, n: int, keys_of=np.unique) -> np.ndarray:
+    """Sorted hashes of shingles (or other keys) in over COMMON of a hashed sample of documents (at most the sample's
+    keys x its share)."""
 
     def run(batches):
         for batch in batches:
-            held = [np.unique(s) for _, s in shingles(batch.column(1), words) if len(s)]
+            held = [np.unique(keys_of(s)) for _, s in shingles(batch.column(1), words) if len(s)]
             keys, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], ["s", "n"])
 
@@ -222,11 +243,21 @@ def _mark(u: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(u ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in (_C1, _C2))
 
 
-def _agreeing(table: pa.Table) -> pa.Table:
+def _agreeing(bits: int):
     """Ids that share keys: of runs of up to SMALL ids, pairs (x, y) with how many keys they share (z); of larger runs,
-    members (run x, its smallest id y, id z), once for runs of the same ids."""
-    part = table["p"][0].as_py()
-    keys, ids = gathered(table, "c0", np.uint32), _ids(table)
+    members (run x, id y), once for runs of the same ids. Parts from 2 ** bits on hold some ids of hot keys, by id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["p"][0].as_py()
+        keys, ids = gathered(table, "c0", np.uint32), _ids(table)
+        if part < 1 << bits:
+            return _runs(part, keys, ids)
+        return pa.table({"kind": np.ones(len(keys), np.int64), "x": -1 - keys.astype(np.int64), "y": ids, "z": np.ones(len(keys), np.int64)})
+
+    return run
+
+
+def _runs(part: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     same = keys[1:] == keys[:-1]
@@ -248,7 +279,7 @@ def _agreeing(table: pa.Table) -> pa.Table:
         new = np.ones(len(head), bool)
         new[order[1:]] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (size[order][1:] != size[order][:-1])
         keep = np.repeat(new & (size > SMALL), size)
-        out.append((np.ones(keep.sum(), np.int64), (np.int64(part) << np.int64(32)) + keys.astype(np.int64)[keep], np.repeat(ids[head], size)[keep], ids[keep]))
+        out.append((np.ones(keep.sum(), np.int64), (np.int64(part) << np.int64(32)) + keys.astype(np.int64)[keep], ids[keep], np.ones(keep.sum(), np.int64)))
         few = np.repeat((size > 1) & (size <= SMALL), size)
         keys, ids = keys[few], ids[few]
         pairs = []
@@ -266,9 +297,9 @@ def _agreeing(table: pa.Table) -> pa.Table:
     return pa.table({"kind": kind, "x": x, "y": y, "z": z})
 
 
-def _bitmap(u: np.ndarray) -> bytes:
-    """Parities of the shingles' counts in 64 or more bits, about one or two a shingle."""
-    n = 1 << max(6, (len(u) - 1).bit_length())
+def _bitmap(u: np.ndarray, finer: int = 0) -> bytes:
+    """Parities of the shingles' counts in 64 or more bits, about one or two a shingle, or more by a power of two."""
+    n = 1 << max(6, (len(u) - 1).bit_length() + finer)
     bits = np.bincount((mix(u ^ _C2) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -289,41 +320,114 @@ def _near(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.n
     return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
 
 
-def _closest(percent: int, best: bool):
-    """Pairs of sets of a run in different components that could be linked; with ``best``, for each set only its closest.
+def _slices(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """First and end rows of runs of equal rows."""
+    if not len(columns[0]):
+        return []
+    cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns[0])], strict=True))
+
+
+def _could(blobs: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets could be linked by their bitmaps: those that pass folded ones are compared in full."""
+    width = min(len(b) for b in blobs) // 8
+    full = _matrix(blobs, width)
+    some = min(width, 16)
+    maps = np.bitwise_xor.reduce(full.reshape(len(full), width // some, some), 1)
+    ok = np.zeros((len(n), len(n)), bool)
+    step = max(1, 4_000_000 // (some * len(n)))
+    for a in range(0, len(n), step):
+        apart = np.bitwise_count(maps[a : a + step, None] ^ maps[None]).sum(2, dtype=np.int64)
+        ok[a : a + step] = _near(apart, n[a : a + step, None], n[None], percent)
+    if some < width:
+        one, two = np.nonzero(np.triu(ok, 1))
+        step = max(1, 4_000_000 // width)
+        for a in range(0, len(one), step):
+            x, y = one[a : a + step], two[a : a + step]
+            ok[x, y] = ok[y, x] = _near(np.bitwise_count(full[x] ^ full[y]).sum(1, dtype=np.int64), n[x], n[y], percent)
+    return ok
+
+
+def _forest(percent: int):
+    """Of the pairs of sets of a run that could be linked, as few as join the same clusters.
 
     A group holds many runs' blocks, each of at most two blocks' sets; sets of two blocks are compared across.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("run", "i", "j", "rep", "n", "comp", "block")}
+        cols = {c: table[c].to_numpy() for c in ("run", "i", "j", "rep", "n", "cluster", "block")}
         order = np.lexsort((cols["j"], cols["i"], cols["run"]))
         cols = {c: x[order] for c, x in cols.items()}
         blobs = [table["bitmap"][k].as_py() for k in order.tolist()]
-        head = np.ones(len(order), bool)
-        head[1:] = (cols["run"][1:] != cols["run"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])
-        group = np.cumsum(head) - 1
-        width = np.minimum.reduceat(np.array([len(b) // 8 for b in blobs]), np.flatnonzero(head))[group]
-        found = []
-        for w in np.unique(width).tolist():
-            rows = np.flatnonzero(width == w)
-            maps = _matrix([blobs[k] for k in rows.tolist()], w)
-            g, rep, n, comp, block, within = group[rows], cols["rep"][rows], cols["n"][rows], cols["comp"][rows], cols["block"][rows], cols["i"][rows] == cols["j"][rows]
-            for d in range(1, len(rows)):
-                together = g[:-d] == g[d:]
-                if not together.any():
-                    break
-                a = np.flatnonzero(together & (comp[:-d] != comp[d:]) & (within[:-d] | (block[:-d] != block[d:])))
-                apart = np.bitwise_count(maps[a] ^ maps[a + d]).sum(1).astype(np.int64)
-                ok = _near(apart, n[a], n[a + d], percent)
-                a, apart = a[ok], apart[ok]
-                found.append(np.column_stack((rep[a], rep[a + d], comp[a + d], apart)))
-        pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        if best and len(pairs):
-            pairs = pairs[np.lexsort((pairs[:, 3], pairs[:, 0]))]
-            pairs = pairs[np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0]))]
-        pairs = np.unique(np.sort(pairs[:, :2], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}) if len(pairs) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in _slices(cols["run"], cols["i"], cols["j"]):
+            rep, cluster, block = (cols[c][lo:hi] for c in ("rep", "cluster", "block"))
+            if (cluster == cluster[0]).all():
+                continue
+            ok = _could(blobs[lo:hi], cols["n"][lo:hi], percent)
+            if cols["i"][lo] != cols["j"][lo]:
+                ok &= block[:, None] != block[None]
+            cluster = cluster.copy()
+            ok &= cluster[:, None] != cluster[None]
+            for a in np.flatnonzero(ok.any(1)).tolist():
+                others = np.flatnonzero(ok[a] & (cluster != cluster[a]))
+                if len(others):
+                    names, first = np.unique(cluster[others], return_index=True)
+                    found.append(np.column_stack((np.full(len(first), rep[a]), rep[others[first]])))
+                    cluster[np.isin(cluster, names)] = cluster[a]
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    column = np.cumsum(np.concatenate(([False], tokens[1:] != tokens[:-1])))
+    several = np.bincount(column)[column] > 1
+    row, column = row[several], column[several]
+    column = np.cumsum(np.concatenate(([False], column[1:] != column[:-1]))) if len(column) else column
+    out = np.zeros((len(sets), len(sets)))
+    step = max(64, 2_000_000 // len(sets))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, (first, first + step))
+        part = np.zeros((len(sets), min(step, int(column[-1]) + 1 - first)), np.float32)
+        part[row[lo:hi], column[lo:hi] - first] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def _linked(percent: int):
+    """(a, b) for sets a of clusters' blocks that are connected with another set b by links; at most a row for each set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: table[c].to_numpy() for c in ("cluster", "i", "j", "id", "comp", "block")}
+        order = np.lexsort((cols["id"], cols["j"], cols["i"], cols["cluster"]))
+        cols = {c: x[order] for c, x in cols.items()}
+        items = table["items"]
+        found = [np.zeros((0, 2), np.int64)]
+        for lo, hi in _slices(cols["cluster"], cols["i"], cols["j"]):
+            ids, comp, block = (cols[c][lo:hi] for c in ("id", "comp", "block"))
+            if (comp == comp[0]).all():
+                continue
+            both = _shared([np.frombuffer(items[k].as_buffer(), np.int64) for k in order[lo:hi].tolist()])
+            n = both.diagonal()
+            ok = (100 * both >= percent * (n[:, None] + n[None] - both)) & (comp[:, None] != comp[None])
+            if cols["i"][lo] != cols["j"][lo]:
+                ok &= block[:, None] != block[None]
+            label, old = np.arange(len(ids)), None
+            while old is None or (label != old).any():
+                old = label
+                label = np.minimum(label, np.where(ok, label[None], len(ids)).min(1))
+                label = label[label]
+            moved = label != np.arange(len(ids))
+            found.append(np.column_stack((ids[moved], ids[label[moved]])))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -377,15 +481,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = bits_for(max(2 * partitions(spark), most / 500_000))
     common = _common(texts, words, sum(n for n, _ in counts.values()))
     made = Keys(schemes, percent, common)
+    made.hot = _common(texts, words, sum(n for n, _ in counts.values()), lambda s: made.of(np.unique(s))[0])
     entries = texts.mapInArrow(_index(made, bits, words), "p long, c0 binary, first long, steps binary, wide binary")
-    found = materialise(entries.groupBy("p").applyInArrow(_agreeing, "kind long, x long, y long, z long"), "runs")
-    runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("centre"), F.col("z").alias("id"))
+    found = materialise(entries.groupBy("p").applyInArrow(_agreeing(bits), "kind long, x long, y long, z long"), "runs")
+    runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("id"))
     few = found.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("z"))
 
     rep = whole.groupBy("id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
-    seen = found.where("kind = 0").select(F.col("x").alias("id")).unionByName(found.select(F.when(F.col("kind") == 0, F.col("y")).otherwise(F.col("z")).alias("id"))).distinct()
+    seen = found.where("kind = 0").select(F.col("x").alias("id")).unionByName(found.select(F.col("y").alias("id"))).distinct()
     rep = materialise(rep.join(seen, "id", "left_semi"), "run-representatives")
-    own = materialise(runs.select("run", "id").join(rep, "id").select("run", "rep", "n").distinct(), "members")
+    own = materialise(runs.join(rep, "id").select("run", "rep", "n").distinct(), "members")
     # copies indexed in several tasks share their keys; one of them is enough, so the largest count stands for a pair
     few = few.join(rep.select(F.col("id").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na")), "x").join(rep.select(F.col("id").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb")), "y")
     few = few.where("a <> b").where(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
@@ -393,85 +498,101 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = few.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("smaller")).agg(F.max("z").alias("z"))
     few = materialise(few, "sharing")
     ids = materialise(own.select(F.col("rep").alias("id")).unionByName(few.select(F.col("a").alias("id"))).unionByName(few.select(F.col("b").alias("id"))).distinct(), "candidates")
-    asked = ids.count()
 
     def bitmaps(batches):
         for batch in batches:
-            at, n, maps, least = [], [], [], []
+            at, n, maps, fine, least = [], [], [], [], []
             for row, x in shingles(batch.column(1), words):
                 u = np.unique(x)
                 at.append(row)
                 n.append(len(u))
                 maps.append(_bitmap(u))
+                fine.append(_bitmap(u, 2))
                 least.append(made.of(u)[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array(least, pa.int64())], ["id", "n", "bitmap", "least"])
-
-    chosen = texts.join(F.broadcast(ids) if asked <= BROADCAST_IDS else ids, "id", "left_semi")
-    maps = materialise(chosen.mapInArrow(bitmaps, "id long, n long, bitmap binary, least long"), "bitmaps")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *map(pa.array, (np.array(n, np.int64), maps, fine, np.array(least, np.int64)))], ["id", "n", "coarse", "fine", "least"])
 
-    centre = runs.groupBy("id").agg(F.min("centre").alias("centre"))
-    star = centre.join(rep.select("id", F.col("rep").alias("a")), "id").join(rep.select(F.col("id").alias("centre"), F.col("rep").alias("b")), "centre")
-    star = materialise(star.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    maps = materialise(_chosen(texts, ids, ids.count()).mapInArrow(bitmaps, "id long, n long, coarse binary, fine binary, least long"), "bitmaps")
     enough = few.join(maps.select(F.col("id").alias("smaller"), "least"), "smaller").where("z >= least").select("a", "b")
-    star = star.unionByName(enough)
-    star = star.join(maps.select(F.col("id").alias("a"), "n", F.col("bitmap").alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y")), "b")
-    star = star.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(percent), "a long, b long")
-    links = _verified(star, texts, words, percent)[1]
-    ends = None
-    best = True
-    comp = components(links)
-    while True:  # closest pairs as long as they link anything, then all that are left
-        named = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        named = materialise(named, "named")
-        mixed = materialise(named.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("run", "size"), "mixed")
-        if ends is not None:  # a pair that is left now had its first set in a pair of the round before
-            mixed = mixed.join(named.join(ends.withColumnRenamed("id", "rep"), "rep", "left_semi").select("run").distinct(), "run", "left_semi")
-        if mixed.isEmpty():
-            break
-        open_ = named.join(mixed, "run").join(maps.select(F.col("id").alias("rep"), "bitmap"), "rep")
-        blocks = F.ceil(F.col("size") / BLOCK)
-        open_ = open_.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
-        open_ = open_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-        groups = max(partitions(spark), mixed.select(F.sum("size")).first()[0] // 4000)
-        pairs = open_.groupBy(F.pmod(F.xxhash64("run", "i", "j"), F.lit(groups)).alias("group")).applyInArrow(_closest(percent, best), "a long, b long")
-        ends, new = _verified(pairs, texts, words, percent)
-        some = not new.isEmpty()
-        if some:
-            comp = extended(comp, new)
-        if not best:
-            break
-        best = some
+    enough = enough.join(maps.select(F.col("id").alias("a"), "n", F.col("coarse").alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("coarse").alias("y")), "b")
+    clusters = components(enough.select("a", "b", "n", "m", "x", "y").mapInArrow(_possible(percent), "a long, b long"))
+
+    for across in (False, True):
+        named = materialise(own.join(clusters.select(F.col("id").alias("rep"), "component"), "rep", "left").select("run", "rep", "n", F.coalesce("component", "rep").alias("cluster")), "named")
+        mixed = named.groupBy("run").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        mixed = materialise((mixed.where(F.col("size") > BLOCK) if across else mixed).select("run", F.ceil(F.col("size") / BLOCK).alias("blocks"), "size"), "mixed")
+        rows = mixed.select(F.sum(F.col("size") * F.col("blocks") if across else F.col("size"))).first()[0]
+        if rows:
+            open_ = named.join(mixed, "run").join(maps.select(F.col("id").alias("rep"), F.col("fine").alias("bitmap")), "rep")
+            pairs = _dealt(_blocks(open_, "rep", across), "run", max(partitions(spark), rows // 4000)).applyInArrow(_forest(percent), "a long, b long")
+            clusters = extended(clusters, materialise(pairs.distinct(), "forest"))
+
+    comp = _components_within(clusters, rep, texts, words, percent)
     out = whole.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The ids of the pairs, and those (a, b) whose shingles reach the threshold."""
+def _chosen(texts: DataFrame, rows: DataFrame, count: int) -> DataFrame:
+    """The texts of the rows' ids, with the rows' other columns."""
+    return texts.join(F.broadcast(rows) if count <= BROADCAST_IDS else rows, "id")
+
+
+def _blocks(rows: DataFrame, key: str, across: bool) -> DataFrame:
+    """Deals rows to one of their ``blocks``: (i, j) is (block, block), or, ``across``, each pair of different blocks."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    if not across:
+        return rows.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> other")
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+
+def _dealt(rows: DataFrame, key: str, groups: int):
+    return rows.groupBy(F.pmod(F.xxhash64(key, "i", "j"), F.lit(groups)).alias("group"))
+
+
+def _components_within(clusters: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components (id, component) of the exact links, all of which are inside clusters (id, component).
+
+    ``sizes``: rep, n. A cluster's sets meet in blocks first; pairs of blocks only follow where a cluster has several
+    and isn't one component yet.
+    """
+    spark = texts.sparkSession
+    own = clusters.withColumnRenamed("component", "cluster").join(sizes.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")), "id")
+    own = materialise(own, "clustered")
+    size = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") / VOLUME)).alias("blocks"), F.sum("n").alias("total"))
 
     def arrays(batches):
         for batch in batches:
             at, sets, held = [], [], 0
             for row, x in shingles(batch.column(1), words):
                 at.append(row)
-                sets.append(np.unique(x).astype(np.int64))
+                sets.append(np.unique(x).tobytes())
                 held += len(x)
                 if held > FLUSH:
-                    yield _cells(batch, at, sets)
+                    yield cells(batch, at, sets)
                     at, sets, held = [], [], 0
-            yield _cells(batch, at, sets)
-
-    pairs = materialise(pairs.where("a <> b").distinct(), "pairs")
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
-    chosen = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    shingled = materialise(chosen.mapInArrow(arrays, "id long, items array<long>"), "shingles")
-    one = shingled.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    two = shingled.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    return ids, materialise(found.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "links")
-
-
-def _cells(batch: pa.RecordBatch, at: list, sets: list) -> pa.RecordBatch:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-    items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), items], ["id", "items"])
+            yield cells(batch, at, sets)
+
+    def cells(batch, at, sets):
+        own = batch.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([own.column(0), *own.columns[2:], pa.array(sets, pa.binary())], ["id", "cluster", "blocks", "comp", "items"])
+
+    comp = None
+    for across in (False, True):
+        rows = own.join(size, "cluster")
+        if across and comp is None:
+            break
+        if across:
+            rows = rows.where("blocks > 1").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+            open_ = rows.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster")
+            rows = rows.join(open_, "cluster", "left_semi")
+        else:
+            rows = rows.withColumn("comp", F.col("id"))
+        rows = materialise(rows.select("id", "cluster", "blocks", "comp", "n"), "to-verify")
+        count, volume = rows.select(F.count("*"), F.sum(F.col("n") * F.when(F.lit(across), F.col("blocks")).otherwise(1))).first()
+        if not count:
+            continue
+        shingled = _chosen(texts, rows.drop("n"), 8 * count).select("id", "text", "cluster", "blocks", "comp").mapInArrow(arrays, "id long, cluster long, blocks long, comp long, items binary")
+        links = _dealt(_blocks(shingled, "id", across), "cluster", max(partitions(spark), volume // VOLUME)).applyInArrow(_linked(percent), "a long, b long")
+        links = materialise(links, "links")
+        comp = components(links) if comp is None else extended(comp, links)
+    return comp if comp is not None else clusters
