@@ -1,12 +1,14 @@
 """Size-partitioned MinHash containment search of short test items in long documents.
 
-Items are partitioned by the size of their shingle set, and each partition looks at documents through windows of its
-own size, so that a short item inside a long document is compared with a set of about its own size. Signatures are
-one-permutation MinHashes with several bins a shingle. An item is a candidate for a document if a bin of a window has
-the item's minimum; candidates are verified by exact containment of their shingles in the whole document. In the
-partitions of up to SINGLE shingles a window is one shingle, whose MinHash is itself, so nothing can be missed there;
-above, an item that is contained is missed with a chance under 1e-9. Windows without any shingle of a signature have
-no such bin, so their signatures aren't computed.
+Items are partitioned by the size of their shingle set (powers of two). A partition's items and documents' windows of
+twice its size, half a window apart, have one-permutation MinHash signatures: shingles are dealt to bins, and a bin's
+value is its least shingle. A short item inside a long document is so compared with a set of about its own size. Bands
+have one bin each: an item is a candidate for a document if a bin of one of its windows has the item's value. Only
+these candidates are verified, by exact containment of the item's shingles in the whole document.
+
+A window of a contained item has a Jaccard similarity of over 0.17 with it (three quarters of more than half the
+partition's size, in twice that size); with BINS bins all of them differ with a chance under 1e-5. Window bins are
+computed where they hold a value of some item, which is the only way they can agree with it.
 """
 
 from __future__ import annotations
@@ -21,68 +23,70 @@ from pyspark.sql import functions as F
 from .shared import materialise
 from .textkit import mix, shingles
 
-SINGLE = 15
-BINS_PER_SHINGLE = 8
+#: Bins of the signatures of partitions up to a size (few shingles need finer bins, since few have to agree).
+BINS = ((8, 1024), (32, 256), (1 << 62, 128))
 #: Item shingles broadcast at once (about 30 bytes each); more items take further passes over the documents.
 BROADCAST_SHINGLES = 1_000_000
 FILTER_BITS = 21
 
 
+def _bins(s: np.ndarray, size: int) -> np.ndarray:
+    """The bin of each shingle in the signatures of a partition."""
+    return mix(s + np.uint64(0x5EED)) % np.uint64(next(bins for most, bins in BINS if size <= most))
+
+
 class Signatures:
-    """Shingles of items by hash, each with its item, and whether it is the minimum of its bin."""
+    """Items' shingles, and the values of their signatures: sorted, each with its item."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]]):
         self.ids = np.array([i for i, _ in items], np.int64)
-        self.size = np.array([len(u) for _, u in items], np.int64)
-        self.band = np.array([1 if n <= SINGLE else 1 << int(n - 1).bit_length() for n in self.size], np.int64)
-        keys, owner, least = [], [], []
-        for k, (_, u) in enumerate(items):
-            bins = _bins(u, self.band[k])
+        self.items = [u for _, u in items]
+        self.partition = np.array([1 << int(len(u) - 1).bit_length() for u in self.items], np.int64)
+        values, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, u in enumerate(self.items):
+            bins = _bins(u, self.partition[k])
             order = np.lexsort((u, bins))
-            first = np.concatenate(([True], bins[order][1:] != bins[order][:-1]))
-            flags = np.zeros(len(u), bool)
-            flags[order[first]] = True
-            keys.append(u)
-            owner.append(np.full(len(u), k))
-            least.append(flags)
-        keys, owner, least = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (owner, np.int64), (least, bool)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.least = keys[order], owner[order], least[order]
+            values.append(u[order][np.concatenate(([True], bins[order][1:] != bins[order][:-1]))])
+            owner.append(np.full(len(values[-1]), k))
+        values, owner = np.concatenate(values), np.concatenate(owner)
+        order = np.lexsort((self.partition[owner], values)) if len(owner) else []
+        self.values, self.owner = values[order], owner[order]
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        self.maybe[(values & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
 
-    def contained(self, s: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
-        """(item id, its shingles, those in the document), for a document's shingles in text order."""
+    def candidates(self, s: np.ndarray) -> np.ndarray:
+        """Items of which a signature value is that of a window of the document, whose shingles s are in text order."""
         near = np.flatnonzero(self.maybe[(s & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, s[near], "left"), np.searchsorted(self.keys, s[near], "right")
-        hits: dict[int, set[int]] = {}
-        places: dict[int, list[int]] = {}
-        for at, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for e in range(a, b):
-                k = int(self.owner[e])
-                hits.setdefault(k, set()).add(e)
-                if self.least[e]:
-                    places.setdefault(k, []).append(at)
-        for k, where in places.items():
-            if any(self._matches(s, at, int(self.band[k])) for at in where) and 100 * len(hits[k]) >= percent * self.size[k]:
-                yield int(self.ids[k]), int(self.size[k]), len(hits[k])
+        lo, hi = np.searchsorted(self.values, s[near], "left"), np.searchsorted(self.values, s[near], "right")
+        near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
+        # each place in turn with the items of its value, those of one partition side by side
+        item = self.owner[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum())] if len(lo) else lo
+        at = np.repeat(near, hi - lo)
+        size = self.partition[item]
+        head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (size[1:] != size[:-1])))) if len(at) else at
+        agrees = np.array([self._agrees(s, a, b) for a, b in zip(at[head].tolist(), size[head].tolist(), strict=True)], bool)
+        return np.unique(item[np.repeat(agrees, np.diff(np.append(head, len(at))))])
 
     @staticmethod
-    def _matches(s: np.ndarray, at: int, band: int) -> bool:
-        """Whether the shingle at this place is its bin's minimum in a window that holds it."""
-        if band == 1:
-            return True
-        for first in (at // band, at // band - 1):
-            if first >= 0:
-                window = s[first * band : (first + 2) * band]
-                own = window[_bins(window, band) == _bins(s[at : at + 1], band)]
-                if own.min() == s[at]:
-                    return True
+    def _agrees(s: np.ndarray, at: int, size: int) -> bool:
+        """Whether the shingle at this place is its bin's value in a window of the partition that holds it."""
+        own = _bins(s[at : at + 1], size)
+        for first in (at // size - 1, at // size):
+            window = s[max(0, first * size) : (first + 2) * size]
+            if window[_bins(window, size) == own].min() == s[at]:
+                return True
         return False
 
-
-def _bins(s: np.ndarray, band: int) -> np.ndarray:
-    return mix(s + np.uint64(0x5EED)) % np.uint64(BINS_PER_SHINGLE * max(2, 2 * int(band)))
+    def contained(self, s: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+        """(item id, its shingles, those in the document) of the candidates that are contained."""
+        found = self.candidates(s)
+        if len(found):
+            whole = np.unique(s)
+            for k in found.tolist():
+                u = self.items[k]
+                shared = int((whole[np.minimum(np.searchsorted(whole, u), len(whole) - 1)] == u).sum())
+                if 100 * shared >= percent * len(u):
+                    yield int(self.ids[k]), len(u), shared
 
 
 def item_sets(items: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
