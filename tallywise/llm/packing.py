@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .bpe import Encoder
 from .shared import materialise, partitions
 
+#: Counts of lengths by hashed part that are broadcast (24 bytes each).
+BROADCAST_COUNTS = 1_000_000
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """One row per piece: id, piece (int, from 0), start, length (long), ids (binary: little-endian unsigned 32-bit).
@@ -110,6 +113,7 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = 1024) -> DataFrame:
     key: columns that tell pieces apart; equal keys are different pieces but get their places in any order. Only the
     histogram of lengths (at most ``capacity`` rows) and its bins reach the driver. Lengths are 1 to ``capacity``.
     Ranks within a length are counted in as many hashed parts as there are partitions, so a common length isn't one task.
+    Other columns may have any names but those of the two new columns and such that begin with two underscores.
     """
     spark = pieces.sparkSession
     parts = max(64, partitions(spark))
@@ -124,11 +128,13 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = 1024) -> DataFrame:
             taken[length] += times * copies
             offset += times * length
         sequence += copies
-    places = spark.createDataFrame(slots, "length long, lo long, hi long, first long, times long, at long")
-    before = counts.select("length", "__part", (F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")).alias("before"))
+    places = spark.createDataFrame(slots, "__length long, __lo long, __hi long, __first long, __times long, __at long")
+    before = counts.select("length", "__part", (F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("length", "__part").orderBy(*key)) - 1
-    ranked = dealt.withColumn("__rank", rank).join(F.broadcast(before), ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi"))).drop(places["length"])
-    own = F.col("__rank") - F.col("lo")
-    times = F.col("times")
-    return placed.select(*[placed[c] for c in pieces.columns], (F.col("first") + F.floor(own / times)).cast("long").alias("sequence_id"), (F.col("at") + own % times * F.col("length")).cast("long").alias("offset"))
+    # beyond the size of a broadcast both sides are already dealt by length and part
+    ranked = dealt.withColumn("__rank", rank).join(F.broadcast(before) if counts.count() <= BROADCAST_COUNTS else before.hint("shuffle_hash"), ["length", "__part"])
+    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
+    placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
+    own = F.col("__rank") - F.col("__lo")
+    sequence_id, offset = F.col("__first") + F.floor(own / F.col("__times")), F.col("__at") + own % F.col("__times") * F.col("length")
+    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], sequence_id.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
