@@ -2,7 +2,8 @@
 
 Files in the shared folder, in shards by the top bits of a hash:
 - words: sorted 64-bit hashes and counts; a word's number is its rank among all hashes;
-- pairs: sorted 64-bit pairs of word numbers and counts; a frequent first word's pairs are dealt to all shards;
+- pairs: sorted 64-bit pairs of word numbers and counts (those over 32 bits apart, in 64); a frequent first word's pairs
+  are dealt to all shards;
 - contexts, by ranges of word numbers: followers' total, followers seen once, twice, more often, and distinct
   predecessors.
 
@@ -30,6 +31,8 @@ END = mix(np.array([0xE4D], np.uint64))[0]
 FLUSH = 3_000_000
 #: A first word seen this often has its pairs spread over all shards, so no shard is hot.
 FREQUENT = 4096
+#: Counts of pairs have 32 bits; from here on they stand, in 64 bits, in a shard's short list of large ones.
+LARGE = 2**32 - 1
 
 
 def local(path: str) -> str:
@@ -134,6 +137,9 @@ class Model:
             hit = np.flatnonzero(at < len(keys))
             hit = hit[keys[at[hit]] == pairs[a:b][hit]]
             out[order[a + hit]] = self.array(f"paircounts-{p}", np.uint32)[at[hit]]
+            if len(large := self.array(f"largepairs-{p}", np.uint64)):
+                hit = hit[out[order[a + hit]] == LARGE]
+                out[order[a + hit]] = self.array(f"largecounts-{p}", np.int64)[np.searchsorted(large, pairs[a:b][hit])]
         return out
 
     def contexts(self, number: np.ndarray) -> np.ndarray:
@@ -190,7 +196,7 @@ def _pair_blobs(model: Model):
             held.clear()
             part = model.parts(pairs)
             order = np.argsort(part, kind="stable")
-            return dealt(part[order], pairs[order], np.minimum(counts, 2**32 - 1).astype(np.uint32)[order])
+            return dealt(part[order], pairs[order], counts.astype(np.uint32)[order])
 
         for batch in batches:
             for _, _, data, at in pieces(batch.column(0), 4 << 20):
@@ -245,7 +251,10 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         p = table["p"][0].as_py()
         pairs, counts = summed(gathered(table, "c0", np.uint64), gathered(table, "c1", np.uint32).astype(np.int64))
         _store(folder, f"pairs-{p}", pairs)
-        _store(folder, f"paircounts-{p}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        _store(folder, f"paircounts-{p}", np.minimum(counts, LARGE).astype(np.uint32))
+        if (large := counts >= LARGE).any():
+            _store(folder, f"largepairs-{p}", pairs[large])
+            _store(folder, f"largecounts-{p}", counts[large])
         before, own = (pairs >> np.uint64(32)).astype(np.int64), np.sort((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
         one = np.ones(len(pairs), np.int64)
         v, total, *kinds = summed(before, counts, *[(counts == 1) * one, (counts == 2) * one, (counts > 2) * one])
