@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: A line is boilerplate above this share of its host's pages; a line of one page only never is.
+MAX_RATIO, MIN_PAGES = 0.3, 2
 #: Boilerplate lines up to which they are broadcast; more are joined by shuffling.
 BROADCAST_LINES = 200_000
 

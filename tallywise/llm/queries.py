@@ -150,7 +150,7 @@ WITH cut AS (
   SELECT host, count(*) AS pages FROM cut GROUP BY host
 ), boiler AS (
   SELECT host, line FROM clean JOIN totals USING (host) WHERE line <> ''
-  GROUP BY host, line, pages HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) > 0.1 * pages
+  GROUP BY host, line, pages HAVING count(DISTINCT page_id) >= 2 AND count(DISTINCT page_id) > 0.3 * pages
 )
 SELECT page_id, c.host, count(*)::BIGINT AS n_lines, count(b.line)::BIGINT AS n_dropped,
   coalesce(string_agg(CASE WHEN b.line IS NULL AND c.line <> '' THEN c.line END, chr(10) ORDER BY pos), '') AS text
