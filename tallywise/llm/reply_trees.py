@@ -2,7 +2,7 @@
 
 ``reply_paths`` enumerates root-to-leaf paths by self-joins that double the distance they jump: levels of jump
 tables up, then the ancestors of every leaf down, so a tree of depth d takes about 2 log2(d) joins and no more rows
-than the paths have. ``format_paths`` renders each chosen path; ``read_back`` parses what it wrote.
+than the paths have; nodes that never reach a root are found by it and left out. ``format_paths`` renders each chosen path; ``read_back`` parses what it wrote.
 """
 
 from __future__ import annotations
@@ -35,23 +35,43 @@ def chain(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def _key(conv_id: Column) -> Column:
+    """A conversation's name as text; null is one of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
+
+
+def distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One row (c, node, parent, score, role, text) a node; of several, the least in this order of columns, nulls first."""
+    given = {"parent": F.lit(None).cast("long"), "score": F.lit(0.0), "role": F.lit(""), "text": F.lit("")}
+    row = F.struct(*[(F.col(c) if c in nodes.columns else absent).alias(c) for c, absent in given.items()])
+    one = nodes.select(_key(F.col("conv_id")).alias("c"), "node", row.alias("row")).groupBy("c", "node").agg(F.min("row").alias("row"))
+    return one.select("c", "node", "row.parent", F.coalesce("row.score", F.lit(0.0)).alias("score"), F.coalesce("row.role", F.lit("")).alias("role"), F.coalesce("row.text", F.lit("")).alias("text"))
+
+
 def reply_paths(nodes: DataFrame, top: int | None = None) -> DataFrame:
-    """(conv_id, leaf, rank, pos, node): the nodes of each root-to-leaf path, pos 0 at the root.
+    """(c, leaf, rank, pos, node): the nodes of each root-to-leaf path, pos 0 at the root; c names the conversation.
 
-    nodes: conv_id, node, parent (null at roots), score (null: 0). Paths of a conversation are ranked by the sum of
-    their scores, highest first, ties by the smaller leaf; with ``top``, only that many are kept. A node whose parent
-    is missing is a root. Cycles have no leaf and give no path. An empty table gives no rows.
+    nodes: conv_id, node, parent (null at roots), score (null: 0), and role and text for ``distinct_nodes``. Paths of a
+    conversation are ranked by the sum of their scores, highest first, ties by the smaller leaf; with ``top``, only
+    that many are kept. A node whose parent is missing is a root. Of repeated nodes one counts. Nodes on or below a
+    cycle don't reach a root and give no path. An empty table gives no rows.
     """
-    own = materialise(nodes.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["c", "node"]), "nodes")
+    own = materialise(distinct_nodes(nodes).select("c", "node", "parent", "score"), "nodes")
     there = own.select("c", F.col("node").alias("up"))
     jump = materialise(own.select("c", "node", F.col("parent").alias("up")).join(there, ["c", "up"]).select("c", "node", "up"), "jump0")
-    levels = [jump]
-    while True:
+    levels, left = [jump], jump.count()
+    while left:
         last = levels[-1]
         onward = materialise(last.join(last.select("c", F.col("node").alias("up"), F.col("up").alias("upper")), ["c", "up"]).select("c", "node", F.col("upper").alias("up")), f"jump{len(levels)}")
-        if onward.isEmpty() or len(levels) > 40:
+        # a node this deep has an ancestor of exactly this depth, which jumps no further: only nodes without a root all jump
+        left, before = onward.count(), left
+        if left == before:
+            lost = onward.select("c", "node")
+            own, levels = materialise(own.join(lost, ["c", "node"], "left_anti"), "rooted"), [x.join(lost, ["c", "node"], "left_anti") for x in levels[:-1]] or [jump.limit(0)]
+            jump = levels[0]
             break
-        levels.append(onward)
+        if left:
+            levels.append(onward)
     leaves = own.join(jump.select("c", F.col("up").alias("node")).distinct(), ["c", "node"], "left_anti").select("c", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     for k in range(len(levels) - 1, -1, -1):
         leaves = leaves.unionByName(leaves.join(levels[k], ["c", "node"]).select("c", "leaf", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above")))
@@ -69,7 +89,8 @@ def format_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     Each turn is OPEN, its role, a new line, its text, CLOSE; null roles and texts are empty. Spans cover the texts of
     the role "assistant".
     """
-    content = nodes.select(F.col("conv_id").cast(nodes.schema["conv_id"].dataType), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = nodes.schema["conv_id"].dataType
+    content = distinct_nodes(nodes).select(F.when(F.col("c") != "", F.substring("c", 2, 2**31 - 1)).cast(kind).alias("conv_id"), "c", "node", "role", "text")
     turns = paths.join(content, ["c", "node"]).select(
         "conv_id", "leaf", "rank", "pos", "role",
         F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
