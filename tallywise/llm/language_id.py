@@ -2,7 +2,7 @@
 
 Text likelihoods come from byte trigrams counted over labelled documents. Each page's declared markup language and
 address suffix are further evidence, and its host gives a prior that is smoothed towards its suffix, and that towards
-all pages; these tables are grouped aggregates of a first guess from text alone.
+all pages; these tables are grouped aggregates of a first guess from text alone, of which a page leaves out its own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .textkit import LOWER, pieces
 BUCKETS, SLICE = 1 << 14, 256
 #: Weight of one trigram's evidence (neighbouring trigrams overlap), and pseudo-counts of the next wider group.
 TEMPER, STRENGTH = 0.3, 20.0
-#: Hosts whose priors are broadcast; more are joined by shuffling.
+#: Hosts (suffixes, declarations) whose tables are broadcast; more are joined by shuffling.
 BROADCAST_HOSTS = 50_000
 
 
@@ -127,13 +127,17 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url: s
     by_suffix = guess.groupBy("suffix").agg(*hit).select("suffix", array.alias("n_suffix"))
     by_host = guess.groupBy("host").agg(*hit).select("host", array.alias("n_host"))
     by_declared = guess.groupBy("declared").agg(*hit).select("declared", array.alias("n_declared"))
-    hosts = guess.select("host").distinct().count()
+    sizes = guess.agg(*[F.countDistinct(c).alias(c) for c in ("host", "suffix", "declared")]).first()
+    sent_out = lambda table, c: F.broadcast(table) if sizes[c] <= BROADCAST_HOSTS else table
     zeros = F.array(*[F.lit(0.0)] * len(names))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     share = lambda n, wider: F.zip_with(n, wider, lambda x, p: (x + STRENGTH * p) / (total(n) + STRENGTH))
-    joined = seen.join(F.broadcast(everywhere)).join(F.broadcast(by_suffix) if hosts <= BROADCAST_HOSTS else by_suffix, "suffix", "left")
-    joined = joined.join(F.broadcast(by_host) if hosts <= BROADCAST_HOSTS else by_host, "host", "left").join(F.broadcast(by_declared) if hosts <= BROADCAST_HOSTS else by_declared, "declared", "left")
-    filled = joined.select(id_col, "host", "declared", "text_ll", *[F.transform(F.coalesce(c, zeros), lambda x: F.coalesce(x, F.lit(0.0))).alias(c) for c in ("n_all", "n_suffix", "n_host", "n_declared")])
+    joined = seen.join(F.broadcast(everywhere)).join(sent_out(by_suffix, "suffix"), "suffix", "left")
+    joined = joined.join(sent_out(by_host, "host"), "host", "left").join(sent_out(by_declared, "declared"), "declared", "left")
+    # a page's own guess isn't evidence for it a second time
+    own = F.when(F.array_max("text_ll") < 0, best(F.col("text_ll"))).otherwise(0)
+    others = lambda c: F.transform(F.coalesce(c, zeros), lambda x, j: F.coalesce(x, F.lit(0.0)) - F.when(j + 1 == own, 1.0).otherwise(0.0))
+    filled = joined.select(id_col, "host", "declared", "text_ll", *[others(c).alias(c) for c in ("n_all", "n_suffix", "n_host", "n_declared")])
     flat = F.transform("n_all", lambda x: (x + 1) / (total(F.col("n_all")) + len(names)))
     filled = filled.withColumn("p_suffix", share(F.col("n_suffix"), flat)).withColumn("p_host", share(F.col("n_host"), F.col("p_suffix")))
     # P(declared | language) up to a factor: how often the declaration comes with the language, over the language's share
