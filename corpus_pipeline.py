@@ -45,9 +45,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequence and place in it."""
+    """Pieces of at most 1024 tokens with their ids (little-endian unsigned 32-bit), their sequence and place in it."""
     pieces = packing.token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), added=True)
-    pieces = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    pieces = materialise(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
     return packing.pack(pieces, ["doc_id", "piece"])
 
 
