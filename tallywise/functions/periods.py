@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import nfkc
+
+# Months from the year's end, and the type of what is summed up to it.
 BACK = {"FY": 0, "Q3": -3, "H1": -6, "Q2": -6, "Q1": -9}
 CUMULATIVE = {"Q1": "Q", "H1": "H", "Q2": "H", "Q3": "YTD", "FY": "FY"}
 # Aliases of periods.
@@ -70,13 +73,13 @@ def type_from_days(days: Column) -> Column:
 
 def field_of(name: Column) -> Column:
     """FN15: canonical field of an alias; a bracketed suffix doesn't count."""
-    t = F.trim(F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[（(].*?[)）]", ""))
+    t = F.trim(F.regexp_replace(F.lower(F.trim(nfkc(name))), r"[（(].*?[)）]", ""))
     return F.element_at(_map([(a, f) for f, names in FIELD_ALIASES.items() for a in dict.fromkeys([*names, f])]), t)
 
 
 def period_of(text: Column, default: Column) -> Column:
     """FN15: an alias, else the longest alias of over two characters that the text contains."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    t = F.lower(F.trim(nfkc(text)))
     aliases = [(a, p) for p, names in PERIOD_ALIASES.items() for a in names]
     out = F.when(t == "", default).when(t.isin([a for a, _ in aliases]), F.element_at(_map(aliases), t))
     for a, p in sorted(aliases, key=lambda x: -len(x[0])):

@@ -35,14 +35,15 @@ def dashes(c: Column) -> Column:
 
 
 def for_match(c: Column) -> Column:
-    """FN2, on folded text: simplified characters, unified punctuation, no white space, lower case."""
+    """FN2: folded, simplified characters, unified punctuation, no white space, lower case."""
+    c = nfkc(c)
     c = F.translate(F.translate(dashes(c), *PUNCTUATION), *TRADITIONAL)
     return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
 
 
 def for_numbers(c: Column) -> Column:
-    """FN3, on folded text: thousands separators go, white space stays."""
-    return F.regexp_replace(dashes(c), r"(?<=\d),(?=\d{3}(?!\d))", "")
+    """FN3: folded, thousands separators go, white space stays."""
+    return F.regexp_replace(dashes(nfkc(c)), r"(?<=\d),(?=\d{3}(?!\d))", "")
 
 
 def number_tokens(c: Column) -> Column:
@@ -60,8 +61,14 @@ def signed(raw: Column, negative: Column) -> Column:
     return F.when(F.coalesce(negative, F.lit(False)) & ~raw.rlike(r"^\s*[-(−]"), F.concat(F.lit("-"), raw)).otherwise(raw)
 
 
+def json_block(c: Column) -> Column:
+    """The first fenced block of a reply that begins like JSON, else the reply itself."""
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json|JSON)?\s*\n(.*?)\n\s*```"), F.lit(1))
+    return F.coalesce(F.try_element_at(F.filter(F.transform(blocks, strip), lambda x: x.rlike(r"^[\[{]")), F.lit(1)), strip(F.coalesce(c, F.lit(""))))
+
+
 def reply_kind(c: Column) -> Column:
     """FN24: json, table or empty."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    fenced = F.regexp_extract(t, r"(?s)```[a-z]*\s*([\[{].*?)```", 1)
-    return F.when(t == "", "empty").when((fenced != "") | t.rlike(r"^[\[{]"), "json").otherwise("table")
+    t = F.coalesce(c, F.lit(""))
+    return F.when(~t.rlike(r"\S"), "empty").when(t.rlike(r"^\s*(?:[\[{]|```)") | json_block(c).rlike(r"^[\[{]"), "json").otherwise("table")

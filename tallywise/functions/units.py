@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import nfkc
+
 # Patterns in the order in which they are tried.
 SCALES = [
     (r"十亿|billions?|\bbn\b", 9),
@@ -32,13 +34,13 @@ CURRENCIES = [
 
 def digits_of(raw: Column) -> Column:
     """FN4: the bare number as it stands in a document; null if there is none."""
-    found = F.regexp_extract(F.regexp_replace(raw, "[, ]", ""), r"\d+(?:\.\d+)?", 0)
+    found = F.regexp_extract(F.regexp_replace(nfkc(raw), "[, ]", ""), r"\d+(?:\.\d+)?", 0)
     return F.nullif(found, F.lit(""))
 
 
 def parse_raw(raw: Column) -> Column:
     """FN5: decimal(24,8); brackets around, or a leading dash, make it negative."""
-    negative = F.trim(raw).rlike(r"^\(.*\)$|^[-−–—]")
+    negative = F.trim(nfkc(raw)).rlike(r"^\(.*\)$|^[-−–—]")
     value = digits_of(raw).try_cast("decimal(24,8)")
     return F.when(negative, -value).otherwise(value)
 
@@ -49,7 +51,7 @@ def decimals_of(raw: Column) -> Column:
 
 
 def _clean(unit: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(unit, F.lit(""))))
+    return F.lower(F.trim(nfkc(unit)))
 
 
 def unit_multiplier(unit: Column) -> Column:

@@ -34,13 +34,24 @@ def score(key: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """EVA8 and EVA9 per group: counts, accuracy, silent errors, workload, flag recall and false-alarm share."""
+    """EVA8 and EVA9 per group: counts, accuracy, silent errors (answered, wrong, not flagged), workload, flag recall and
+    false-alarm share; where rows have approx, fabricated or flagged_no_c4, also approx accuracy, fabrication rate
+    among the answered, and recall without reference checks."""
     n = F.count("*")
     flagged, wrong = F.count_if(F.col("flagged")), F.count_if(~F.col("strict"))
     caught = F.count_if(F.col("flagged") & ~F.col("strict"))
+    given = F.col("answered") if "answered" in rows.columns else F.lit(True)
+    silent = F.count_if(~F.col("strict") & ~F.col("flagged") & given)
+    more = []
+    if "approx" in rows.columns:
+        more.append((F.count_if("approx") / n).alias("approx_accuracy"))
+    if "fabricated" in rows.columns:
+        more.append(F.try_divide(F.count_if(F.col("fabricated") & given), F.count_if(given)).alias("fabrication_rate"))
+    if "flagged_no_c4" in rows.columns:
+        more.append(F.try_divide(F.count_if(F.col("flagged_no_c4") & ~F.col("strict")), wrong).alias("flag_recall_no_c4"))
     return rows.groupBy(*by).agg(
-        n.alias("n"), (F.count_if("strict") / n).alias("strict_accuracy"), F.count_if(~F.col("strict") & ~F.col("flagged")).alias("silent"), (flagged / n).alias("workload"),
-        F.try_divide(caught, wrong).alias("flag_recall"), F.try_divide(flagged - caught, flagged).alias("false_alarms"),
+        n.alias("n"), (F.count_if("strict") / n).alias("strict_accuracy"), silent.alias("silent"), (flagged / n).alias("workload"),
+        F.try_divide(caught, wrong).alias("flag_recall"), F.try_divide(flagged - caught, flagged).alias("false_alarms"), *more,
     )
 
 

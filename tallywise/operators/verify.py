@@ -63,13 +63,18 @@ def dedup(claims: DataFrame) -> DataFrame:
     return out.withColumn("dropped", F.when(~F.col("inside"), "period").when(nth > 1, "duplicate")).drop("inside")
 
 
-def prepared_pages(pages: DataFrame) -> DataFrame:
-    """match_text, number_text and the strict numbers of each page; materialise at ingest."""
-    return pages.withColumn("match_text", for_match(F.col("text"))).withColumn("number_text", for_numbers(F.col("text"))).withColumn("numbers", number_tokens(for_numbers(F.col("text"))))
+# Currency signs, which don't count in quotes and on pages.
+SIGNS = r"(?:us|hk|nt|a|c|s)?\$|[¥￥€£]"
+
 
+def match_form(c: Column) -> Column:
+    """The form in which quotes and pages are compared: FN2 without currency signs."""
+    return F.regexp_replace(for_match(c), SIGNS, "")
 
-def _quote(c: Column) -> Column:
-    return for_match(F.regexp_replace(F.coalesce(c, F.lit("")), r"[$€£¥￥]|(?i)hk\$|us\$", ""))
+
+def prepared_pages(pages: DataFrame) -> DataFrame:
+    """match_text, number_text and the strict numbers of each page; materialise at ingest."""
+    return pages.withColumn("match_text", match_form(F.col("text"))).withColumn("number_text", for_numbers(F.col("text"))).withColumn("numbers", number_tokens(for_numbers(F.col("text"))))
 
 
 def tried_pages(claims: DataFrame) -> DataFrame:
@@ -79,7 +84,7 @@ def tried_pages(claims: DataFrame) -> DataFrame:
 
 def exact_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """VER4 and VER7: (doc_id, seq, page_used) of the first tried page that holds the quote verbatim."""
-    tried = tried_pages(claims.select("doc_id", "seq", "page", _quote(F.col("quote")).alias("q")).where("q <> ''"))
+    tried = tried_pages(claims.select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''"))
     on = pages.select("doc_id", F.col("page").alias("try_page"), "match_text")
     hit = tried.join(on, ["doc_id", "try_page"]).where(F.contains("match_text", "q"))
     return hit.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"))
@@ -112,11 +117,11 @@ def likeness(q: str, t: str) -> float:
     matcher.set_seq1(q)
     step, last = max(1, n // 8), len(t) - n
     # the multiset bound of every coarse window at once; a window between two shares all but a step with one of them
-    chars = sorted(set(q))
-    seen = np.frombuffer(t.encode("utf-32-le"), np.uint32)[:, None] == np.array([ord(c) for c in chars], np.uint32)
-    upto = np.concatenate((np.zeros((1, len(chars)), np.int64), np.cumsum(seen, 0)))
     at = np.arange(0, last + 1, step)
-    bound = np.minimum(upto[at + n] - upto[at], [q.count(c) for c in chars]).sum(1) / n
+    codes, bound = np.frombuffer(t.encode("utf-32-le"), np.uint32), np.zeros(len(at))
+    for c in set(q):
+        places = np.flatnonzero(codes == ord(c))
+        bound += np.minimum(np.searchsorted(places, at + n) - np.searchsorted(places, at), q.count(c)) / n
     if bound.max() + step / n < FUZZY:
         return 0.0
     middle = int(at[bound.argmax()])
@@ -135,20 +140,20 @@ def quote_ratio(q: pd.Series, t: pd.Series) -> pd.Series:
 
 
 def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
-    """C1 (VER4-VER8): adds c1, page_used, quote_ratio, page_off and other_pages (at most three).
+    """C1 (VER4-VER8): adds c1, page_used, quote_ratio, page_off and other_pages.
 
     Exact matches are found by a join alone; only quotes without one go on to pieces and likeness on the tried pages,
     and only those that still fail are compared with the document's other pages.
     """
     exact = exact_quotes(claims, pages)
-    rest = claims.join(exact.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "page", _quote(F.col("quote")).alias("q")).where("q <> ''")
+    rest = claims.join(exact.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''")
     on = pages.select("doc_id", F.col("page").alias("try_page"), "match_text")
     near = tried_pages(rest).join(on, ["doc_id", "try_page"]).withColumn("ratio", quote_ratio("q", "match_text")).where(F.col("ratio") >= FUZZY)
     near = near.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"), F.min_by("ratio", "pos").alias("ratio"))
     near = materialise(near, "near-quotes")
     lost = rest.join(near.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
     far = lost.join(on, "doc_id").where(F.abs(F.col("try_page") - F.col("page")) > 1).where(quote_ratio("q", "match_text") >= FUZZY)
-    far = far.groupBy("doc_id", "seq").agg(F.slice(F.array_sort(F.collect_set("try_page")), 1, 3).alias("other_pages"))
+    far = far.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("try_page")).alias("other_pages"))
     found = exact.withColumn("ratio", F.lit(1.0)).unionByName(near)
     out = claims.join(found, ["doc_id", "seq"], "left").join(far, ["doc_id", "seq"], "left")
     return out.withColumn("c1", F.col("ratio").isNotNull()).withColumn("quote_ratio", F.col("ratio")).withColumn("page_off", F.coalesce(F.col("page_used") != F.col("page"), F.lit(False))).drop("ratio")
@@ -160,7 +165,7 @@ def number_index(pages: DataFrame) -> DataFrame:
 
 
 def check_numbers(claims: DataFrame, pages: DataFrame) -> DataFrame:
-    """C2 (VER9-VER11): adds c2, split (found only without white space) and number_pages (other pages, at most three).
+    """C2 (VER9-VER11): adds c2, split (found only without white space) and number_pages (other pages).
 
     The page is the one C1 used, else the claimed one (columns page_used, page).
     """
@@ -169,7 +174,7 @@ def check_numbers(claims: DataFrame, pages: DataFrame) -> DataFrame:
     here = index.select("doc_id", F.col("page").alias("at"), F.col("number").alias("digits"), F.lit(True).alias("here"))
     out = asked.join(here, ["doc_id", "at", "digits"], "left")
     away = asked.select("doc_id", "seq", "at", "digits").join(index.withColumnRenamed("number", "digits"), ["doc_id", "digits"]).where("page <> at")
-    away = away.groupBy("doc_id", "seq").agg(F.slice(F.array_sort(F.collect_set("page")), 1, 3).alias("number_pages"))
+    away = away.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("page")).alias("number_pages"))
     failed = out.where("here IS NULL AND digits IS NOT NULL").select("doc_id", "seq", "at", "digits")
     squashed = pages.select("doc_id", F.col("page").alias("at"), number_tokens(F.regexp_replace("number_text", r"(?U)\s+", "")).alias("tokens"))
     split = failed.join(squashed, ["doc_id", "at"]).where(F.array_contains("tokens", F.col("digits"))).select("doc_id", "seq", F.lit(True).alias("split"))
@@ -193,14 +198,16 @@ def check_units(claims: DataFrame, cents_fail: bool = True) -> DataFrame:
 
 
 def categorise(checked: DataFrame) -> DataFrame:
-    """VER13: category of what failed, by precedence."""
-    failed2 = ~F.col("c2")
+    """VER13: category of what failed. A number found nowhere (or none at all) outdoes the rest; else the first check
+    that failed names it: units, then a quote elsewhere, then a split number or one elsewhere, then the quote."""
+    failed2 = ~F.col("c2") & (F.coalesce("raw_value", F.lit("")) != "")
     category = (
-        F.when(failed2 & ~F.col("split") & F.col("number_pages").isNull() & F.col("digits").isNotNull(), "FABRICATED")
+        F.when(failed2 & ~F.col("split") & F.col("number_pages").isNull(), "FABRICATED")
         .when(~F.col("c3"), "UNIT")
+        .when(~F.col("c1") & F.col("other_pages").isNotNull(), "WRONG_PAGE")
         .when(failed2 & F.col("split"), "PARSE_ARTEFACT")
-        .when((~F.col("c1") & F.col("other_pages").isNotNull()) | (failed2 & F.col("number_pages").isNotNull()), "WRONG_PAGE")
-        .when(~F.col("c1") & F.col("c2"), "PARAPHRASED")
+        .when(failed2, "WRONG_PAGE")
+        .when(~F.col("c1"), "PARAPHRASED")
     )
     return checked.withColumn("category", category)
 

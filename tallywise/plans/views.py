@@ -104,7 +104,7 @@ def with_views(sql: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Runs portable SQL over the tables of a folder."""
-    text = with_views(sql)
+    text = with_views(sql).replace("{", "{{").replace("}", "}}")
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)}
     text = re.sub(rf"((?:FROM|JOIN)\s+)({'|'.join(given) or '-'})\b", lambda m: f"{m[1]}{{{m[2]}}}", text)
     return spark.sql(text, **given)
