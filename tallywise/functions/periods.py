@@ -103,8 +103,11 @@ def period_label(period: Column, end: Column) -> Column:
     return F.struct(label.alias("label"), (fiscal & part.isNotNull()).alias("fiscal"))
 
 
-def change_words(delta: Column, unit: str = "%") -> Column:
-    """FN23 (English): direction in words and an unsigned magnitude, flat if it rounds to 0."""
-    size = F.format_number(F.abs(delta), 1)
+def change_words(delta: Column, unit: str = "%", lang: str = "en") -> Column:
+    """FN23: direction in words and an unsigned magnitude, flat if it rounds to 0."""
+    size = F.replace(F.format_number(F.abs(delta), 1), F.lit(","))
+    if lang == "zh":
+        up, down = ("增长 ", "下降 ") if unit == "%" else ("增加 ", "减少 ")
+        return F.when(size == "0.0", "持平").otherwise(F.concat(F.when(delta > 0, up).otherwise(down), size, F.lit("%" if unit == "%" else " 个百分点")))
     words = F.concat(F.when(delta > 0, "up ").otherwise("down "), size, F.lit("%" if unit == "%" else " percentage points"))
     return F.when(size == "0.0", "flat").otherwise(words)

@@ -141,3 +141,50 @@ def prior_quarter(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """REF9: the entity's row three months back, none for documents that end in a first quarter; rows: entity, period_end, value."""
     back = docs.where(F.month("period_end") > 3).withColumn("prior_end", F.last_day(F.add_months("period_end", -3)))
     return back.join(rows.withColumnRenamed("period_end", "prior_end"), ["entity", "prior_end"]).select("doc_id", "prior_end", "value")
+
+
+# Statement columns by field, those of one template only, and those of the quarterly sheet.
+STATEMENT = {"OPERATE_INCOME": "revenue", "PARENT_NETPROFIT": "net_income_parent", "BASIC_EPS": "eps_basic", "NETCASH_OPERATE": "operating_cash_flow"}
+OF_TEMPLATE = {"OPERATE_COST": ("general", "cost_of_revenue"), "INTEREST_NI": ("bank", "net_interest_income")}
+QUARTERLY = {"OPERATE_INCOME": "revenue", "PARENT_NETPROFIT": "net_income_parent"}
+
+
+def statement_facts(wide: DataFrame, docs: DataFrame) -> DataFrame:
+    """REF4: facts (doc_id, field, period_type, value, source_field) of wide statements (doc_id and the columns of
+    STATEMENT and OF_TEMPLATE); gross profit is revenue less cost, for the general template with both. docs: doc_id,
+    template, cumulative_type."""
+    own = wide.join(docs.select("doc_id", "template", "cumulative_type"), "doc_id")
+    for column, (template, _) in OF_TEMPLATE.items():
+        own = own.withColumn(column, F.when(F.col("template") == template, F.col(column)))
+    own = own.withColumn("OPERATE_COST", F.when(F.col("OPERATE_INCOME").isNotNull(), F.col("OPERATE_COST"))).withColumn("OPERATE_INCOME-OPERATE_COST", F.col("OPERATE_INCOME") - F.col("OPERATE_COST"))
+    fields = STATEMENT | {c: f for c, (_, f) in OF_TEMPLATE.items()} | {"OPERATE_INCOME-OPERATE_COST": "gross_profit"}
+    return unpivoted(own.select("doc_id", "cumulative_type", *[F.col(f"`{c}`") for c in fields]), ["doc_id", "cumulative_type"], fields).select("doc_id", "field", F.col("cumulative_type").alias("period_type"), "value", "source_field")
+
+
+def quarter_facts(quarterly: DataFrame, docs: DataFrame) -> DataFrame:
+    """REF5: single-quarter facts of documents whose statements run over more than a quarter, half-year reports aside.
+    quarterly: doc_id and the columns of QUARTERLY; docs: doc_id, period, cumulative_type."""
+    asked = docs.where((F.col("cumulative_type") != "Q") & ~F.col("period").endswith("H1")).select("doc_id")
+    rows = unpivoted(quarterly.join(asked, "doc_id").select("doc_id", *QUARTERLY), ["doc_id"], QUARTERLY)
+    return rows.select("doc_id", "field", F.lit("Q").alias("period_type"), "value", F.concat(F.lit("quarterly "), "source_field").alias("source_field"))
+
+
+def market_facts(docs: DataFrame, branches: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """REF10: one table of each document's facts from its market's branch (doc_id, field, period_type, value), and the
+    documents without any, with the reason; they don't stop the others."""
+    facts = None
+    for market, rows in branches.items():
+        own = rows.select("doc_id", "field", "period_type", "value").join(docs.where(F.col("market") == market).select("doc_id"), "doc_id", "left_semi")
+        facts = own if facts is None else facts.unionByName(own)
+    without = docs.join(facts.select("doc_id").distinct(), "doc_id", "left_anti")
+    return facts, without.select("doc_id", F.when(F.col("market").isin(list(branches)), "no facts").otherwise("unknown market").alias("error"))
+
+
+def holdout(sample: DataFrame, candidates: DataFrame, catalog: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SMP3: the previous period of every sampled entity (request, entity, part), split into usable ones (with their
+    number of pages) and unavailable ones with the reason. pages: entity, period, pages."""
+    found = sample.join(previous(sample, candidates, catalog), "request", "left")
+    both = found.join(pages.withColumnRenamed("period", "previous"), ["entity", "previous"], "left")
+    usable = both.where("previous IS NOT NULL AND pages > 0").select("request", "entity", "previous", "pages")
+    lost = both.where("previous IS NULL OR coalesce(pages, 0) <= 0").select("request", "entity", F.when(F.col("previous").isNull(), "no previous period").otherwise("no pages").alias("error"))
+    return usable, lost

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 
 def as_of(asked: DataFrame, rates: DataFrame) -> DataFrame:
     """CMP1: asked (id, ccy, date) with the last rate published on or before the date, and its date.
@@ -44,3 +46,15 @@ def year_on_year(now: DataFrame, before: DataFrame) -> DataFrame:
     note = F.when(F.col("status") == "BAD", "current_flagged").when(F.col("prior").isNull(), "missing").when(F.col("prior") <= 0, "prior_not_positive")
     out = both.withColumn("note", note)
     return out.select("doc_id", F.when(F.col("note").isNull(), F.col("value") / F.col("prior") - 1).alias("pct"), "note")
+
+
+def converted(cells: DataFrame, listing: DataFrame, rates: DataFrame) -> DataFrame:
+    """CMP4: cells (doc_id, seq, field, value, currency) with the listing currency, rate, rate_date, value_listing, and
+    missing_rate where a value can't be converted. listing: doc_id, listing_currency, period_end; rates as in ``as_of``.
+    Rates are looked up once for each pair of currencies and day."""
+    own = cells.join(listing, "doc_id")
+    asked = own.where("currency IS NOT NULL").select(F.col("currency").alias("src"), F.col("listing_currency").alias("dst"), F.col("period_end").alias("date")).distinct().withColumn("id", F.monotonically_increasing_id())
+    asked = materialise(asked, "rates-asked")
+    found = asked.join(cross_rate(asked, rates), "id").drop("id")
+    out = own.join(found.select(F.col("src").alias("currency"), F.col("dst").alias("listing_currency"), F.col("date").alias("period_end"), "rate", "rate_date"), ["currency", "listing_currency", "period_end"], "left")
+    return out.withColumn("value_listing", F.col("value") * F.col("rate")).withColumn("missing_rate", F.col("value").isNotNull() & F.col("rate").isNull())

@@ -49,12 +49,13 @@ def rules(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def disclosed_numbers(pages: DataFrame) -> DataFrame:
-    """(doc_id, field, number): numbers of 100 or more on lines labelled with a total."""
+    """(doc_id, field, number): the first six numbers of 100 or more of each line labelled with a total."""
     lines = pages.select("doc_id", F.explode(F.split(for_numbers(F.col("text")), "\n")).alias("line"))
     label = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), f) for f, p in DISCLOSED.items()]))
-    found = lines.select("doc_id", "line", F.explode(label).alias("field")).select("doc_id", "field", F.explode(F.regexp_extract_all("line", F.lit(r"\(?-?\d+(?:\.\d+)?\)?"), F.lit(0))).alias("raw"))
-    number = F.regexp_replace("raw", r"[()\-]", "").cast("double")
-    return found.select("doc_id", "field", F.when(F.col("raw").rlike(r"^[(\-]"), -number).otherwise(number).alias("number")).where(F.abs("number") >= 100)
+    size = lambda x: F.regexp_replace(x, r"[()\-]", "").cast("double")
+    numbers = F.transform(F.regexp_extract_all("line", F.lit(r"\(?-?\d+(?:\.\d+)?\)?"), F.lit(0)), lambda x: F.when(x.rlike(r"^[(\-]"), -size(x)).otherwise(size(x)))
+    first = F.slice(F.filter(numbers, lambda x: F.abs(x) >= 100), 1, 6)
+    return lines.select("doc_id", "line", F.explode(label).alias("field")).select("doc_id", "field", F.explode(first).alias("number"))
 
 
 def disclosed_totals(items: DataFrame, pages: DataFrame) -> DataFrame:

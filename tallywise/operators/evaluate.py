@@ -133,3 +133,38 @@ def foreign_lines(docs: DataFrame, pattern: str) -> DataFrame:
     """AUD1: (doc_id, n): lines of each document in the other script."""
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def revised(log: DataFrame, changes: DataFrame, reason: str, at: str) -> DataFrame:
+    """GOV2: the revision log (at, reason, changed) with one more row that lists the changed paths; none if nothing did."""
+    new = changes.agg(F.array_sort(F.collect_list("path")).alias("changed")).where(F.size("changed") > 0)
+    return log.select("at", "reason", "changed").unionByName(new.select(F.lit(at).alias("at"), F.lit(reason).alias("reason"), "changed"))
+
+
+def unanswered(asked: DataFrame, done: DataFrame) -> DataFrame:
+    """EVA14: asked items (doc_id, field, period_type) that have no row in ``done`` yet; distinct."""
+    key = ["doc_id", "field", "period_type"]
+    return asked.select(*key).distinct().join(done.select(*key), key, "left_anti")
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """EVA22: rows that aren't strictly right, as report, cell, field, ptype, truth, pred, and state (status and category)."""
+    state = F.coalesce(F.nullif(F.concat_ws(" ", "status", "category"), F.lit("")), F.lit("-"))
+    return rows.where("NOT strict").select("report", "cell", "field", "ptype", "truth", "pred", state.alias("state"))
+
+
+def run_summary(items: DataFrame, calls: DataFrame) -> DataFrame:
+    """EVA28: ok, found, bad, input, cached, output, usd per document, and in total (doc_id null)."""
+    marks, sums = {"ok": "OK", "found": "FOUND", "bad": "BAD"}, ("input", "cached", "output", "usd")
+    none = lambda c: F.lit(0).cast("double" if c == "usd" else "long").alias(c)
+    one = items.select("doc_id", *[(F.col("status") == s).cast("long").alias(c) for c, s in marks.items()], *map(none, sums))
+    two = calls.select("doc_id", *map(none, marks), *[F.coalesce(F.col(c).cast("double" if c == "usd" else "long"), none(c)).alias(c) for c in sums])
+    return one.unionByName(two).rollup("doc_id").agg(*[F.sum(c).alias(c) for c in (*marks, *sums)])
+
+
+def coverage(docs: DataFrame) -> DataFrame:
+    """EVA29: market, dimension (template, currency, result), part and how many of the market's documents: documents by
+    template and currency, and those with a loss."""
+    loss = F.when(F.col("net_income") < 0, "loss").when(F.col("net_income").isNotNull(), "profit").otherwise("unknown")
+    parts = F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("part")) for d, c in (("template", F.col("template")), ("currency", F.coalesce("currency", F.lit("unknown"))), ("result", loss))])
+    return docs.select("market", F.explode(parts).alias("g")).groupBy("market", "g.dimension", "g.part").agg(F.count("*").alias("n"))

@@ -39,6 +39,19 @@ def balance(events: DataFrame, cap: float) -> DataFrame:
     return out.withColumn("left", F.lit(cap) - F.col("spent") - F.col("reserved"))
 
 
+def settled(events: DataFrame) -> DataFrame:
+    """BUD6: (ledger, id, usd, estimated) of every call: what it settled for, or, for one that ended without reporting a
+    cost (its settlement has no usd), the reserved worst case, marked as estimated. Calls that still run aren't listed."""
+    own = events.groupBy("ledger", "id").agg(
+        F.max_by("usd", F.when(F.col("kind") == "reserve", F.col("seq"))).alias("worst"), F.count_if(F.col("kind") == "settle").alias("ends"), F.max_by("usd", F.when((F.col("kind") == "settle") & F.col("usd").isNotNull(), F.col("seq"))).alias("actual"))
+    return own.where("ends > 0").select("ledger", "id", F.coalesce("actual", "worst").alias("usd"), F.col("actual").isNull().alias("estimated"))
+
+
+def usage(calls: DataFrame, by: str) -> DataFrame:
+    """BUD7: calls, and sums of input, cached and output tokens, of each extraction."""
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input", "cached", "output")])
+
+
 def admitted(requests: DataFrame, cap: float) -> DataFrame:
     """BUD4: (ledger, seq, ok) of reservations in order; one that doesn't fit is refused and doesn't count.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.periods import change_words
+
 # Numbers as they are written, and wording that a point may not hold.
 WRITTEN_NUMBER = r"\d[\d,]*(?:\.\d+)?"
 BANNED = (
@@ -52,6 +54,85 @@ def status_summary(items: DataFrame) -> DataFrame:
     return core.withColumn("bad", F.transform("bad", lambda x: x["field"]))
 
 
+CARDS = ["revenue", "net_income_parent", "gross_margin", "eps_basic"]
+# Names of periods and ratios in narration, and sentences on what a status means.
+PERIOD_WORDS = {"zh": {"Q": "单季", "H": "上半年累计", "YTD": "前三季度累计", "FY": "全年"}, "en": {"Q": "quarter", "H": "six months", "YTD": "nine months", "FY": "full year"}}
+RATIO_NAMES = {"zh": {"gross_margin": "毛利率", "net_margin": "归母净利率"}, "en": {"gross_margin": "Gross margin", "net_margin": "Net margin (attributable)"}}
+FOUND_REASONS = {
+    "hk": ("港股没有可靠的结构化数据：出处和单位已核验，没有外部数字可比。", "HK has no reliable structured data: source and unit checked, no external figure to compare."),
+    "": ("出处和单位已核验，没有取到可比的结构化数据。", "Source and unit checked; no structured figure available to compare."),
+}
+BAD_REASONS = {
+    "FABRICATED": ("数字 %s 在全文任何一页都找不到。", "The number %s does not appear anywhere in the filing."),
+    "WRONG_PAGE": ("数字在原文里，但不在给出的那一页。", "The number is in the filing, but not on the page given."),
+    "PARAPHRASED": ("数字在那一页上，但引用句不是逐字原文。", "The number is on the page, but the quote is not verbatim."),
+    "UNIT": ("单位或币种无法解析。", "The unit or currency could not be parsed."),
+    "PARSE_ARTEFACT": ("数字在 PDF 抽出的文字里被拆开了。", "The number is split across lines in the PDF text."),
+    "MISSING": ("按报告期应有这一项，但没有取到（已补问一次）。", "Expected for this period, but not extracted (asked once more)."),
+    "NO_SOURCE": ("没有给页码或原文引用，无法核对出处。", "No page or quote was given, so the source cannot be checked."),
+    "": ("未通过核验。", "Failed a check."),
+}
+
+
+def cards(items: DataFrame, ratios: DataFrame, docs: DataFrame) -> DataFrame:
+    """INS6: (doc_id, place, key, period_type, raw, value) of the key figures of each document, in order.
+
+    The period type is Q where the document's part is a quarter's and it has core items of a quarter, else the
+    cumulative one. items: doc_id, seq, field, period_type, raw, aux; ratios: doc_id, key, period_type, now; docs:
+    doc_id, part, cumulative_type. The first item by seq counts.
+    """
+    core = items.where("NOT aux")
+    quarterly = core.where("period_type = 'Q'").select("doc_id", F.lit(True).alias("has")).distinct()
+    chosen = docs.join(quarterly, "doc_id", "left").select("doc_id", F.when(F.col("part").isin("Q1", "Q2", "Q3") & F.coalesce("has", F.lit(False)), "Q").otherwise(F.col("cumulative_type")).alias("period_type"))
+    first = core.where(F.col("field").isin(CARDS)).groupBy("doc_id", F.col("field").alias("key"), "period_type").agg(F.min_by("raw", "seq").alias("raw")).withColumn("value", F.lit(None).cast("double"))
+    margin = ratios.where("key = 'gross_margin'").select("doc_id", "key", "period_type", F.lit(None).cast("string").alias("raw"), F.col("now").alias("value"))
+    return first.unionByName(margin).join(chosen, ["doc_id", "period_type"]).select("doc_id", F.array_position(F.array(*map(F.lit, CARDS)), F.col("key")).cast("int").alias("place"), "key", "period_type", "raw", "value")
+
+
+def narration_facts(items: DataFrame, ratios: DataFrame, lang: str) -> DataFrame:
+    """INS7: facts that may be told: (doc_id, metric, period, value, prior_value, change, pages, computed) of core items
+    that aren't BAD and of ratios, in one language.
+
+    items: doc_id, name_zh, name_en, period_type, raw, value, unit_zh, unit_en, page, status, aux, prev_raw, prev_page,
+    pct; ratios: doc_id, key, period_type, now, prev, change_pp, pages.
+    """
+    words = lambda table, c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
+    unit = F.coalesce(f"unit_{lang}", F.lit(""))
+    amount = lambda c: F.trim(F.concat_ws(" ", c, unit))
+    percent = lambda c: F.concat(F.replace(F.format_number(c * 100, 1), F.lit(",")), F.lit("%"))
+    told = items.where("NOT aux AND status <> 'BAD' AND (raw IS NOT NULL OR value IS NOT NULL)").select(
+        "doc_id", F.col(f"name_{lang}").alias("metric"), words(PERIOD_WORDS[lang], F.col("period_type")).alias("period"), amount(F.coalesce("raw", F.format_number("value", 1))).alias("value"),
+        F.when(F.col("prev_raw").isNotNull(), amount(F.col("prev_raw"))).alias("prior_value"), F.when(F.col("pct").isNotNull(), change_words(F.col("pct") * 100, "%", lang)).alias("change"),
+        F.array_compact(F.array("page", F.when(F.col("prev_raw").isNotNull(), F.col("prev_page")))).alias("pages"), F.lit(False).alias("computed"),
+    )
+    own = ratios.select(
+        "doc_id", words(RATIO_NAMES[lang], F.col("key")).alias("metric"), words(PERIOD_WORDS[lang], F.col("period_type")).alias("period"), percent(F.col("now")).alias("value"), F.when(F.col("prev").isNotNull(), percent(F.col("prev"))).alias("prior_value"),
+        F.when(F.col("prev").isNotNull(), change_words(F.col("change_pp"), "pp", lang)).alias("change"), "pages", F.lit(True).alias("computed"),
+    )
+    return told.unionByName(own)
+
+
+def with_reasons(items: DataFrame) -> DataFrame:
+    """INS12: items (market, status, category, raw_value, and, where a reference differs, state, value, ref_value,
+    ref_source) with reason_zh and reason_en; empty for OK. A failed rule (column rule) goes first."""
+    have = lambda c, kind: F.col(c) if c in items.columns else F.lit(None).cast(kind)
+    rule, state, source = have("rule", "string"), have("state", "string"), F.coalesce(have("ref_source", "string"), F.lit("reference"))
+    number = lambda c: F.format_number(have(c, "double"), 2)
+    out = items
+    for k, lang in enumerate(("zh", "en")):
+        found = F.when(F.col("market") == "hk", FOUND_REASONS["hk"][k]).otherwise(FOUND_REASONS[""][k])
+        fixed = F.lit(BAD_REASONS[""][k])
+        for name, said in BAD_REASONS.items():
+            if name:
+                fixed = F.when(F.col("category") == name, F.format_string(said[k].replace("%s", "%1$s"), F.coalesce("raw_value", F.lit("")))).otherwise(fixed)
+        differs = (state == "mismatch") & (F.coalesce("category", F.lit("")).isin("", "DEFINITION", "PERIOD", "UNIT"))
+        apart = F.concat(F.lit("与 "), source, F.lit(" 不一致：原文 "), number("value"), F.lit("，"), source, F.lit(" "), number("ref_value"), F.when(F.col("category") == "PERIOD", "（等于另一期间的值）").otherwise(""), F.lit("。")) if lang == "zh" else F.concat(F.lit("Differs from "), source, F.lit(": filing "), number("value"), F.lit(" vs "), source, F.lit(" "), number("ref_value"), F.when(F.col("category") == "PERIOD", " (matches another period)").otherwise(""), F.lit("."))
+        broken = F.concat(F.lit("合理性检查：" if lang == "zh" else "Fails a consistency check: "), rule)
+        bad = F.when(rule.isNotNull(), broken).when(F.coalesce(differs, F.lit(False)), apart).otherwise(fixed)
+        out = out.withColumn(f"reason_{lang}", F.when(F.col("status") == "FOUND", found).when(F.col("status") == "BAD", bad).otherwise(""))
+    return out
+
+
 def display_order(items: DataFrame, fields: list[str]) -> DataFrame:
     """INS11: items with ``place`` in their document: BAD, FOUND, OK; core before aux; order of fields; quarters first."""
     rank = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), c), F.lit(0)), F.lit(len(names) + 1))

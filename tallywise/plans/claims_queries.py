@@ -37,7 +37,7 @@ view("o_numbers", "SELECT DISTINCT doc_id, page, unnest(regexp_extract_all(text,
 view("o_units", """SELECT *, replace(replace(raw_value, '(', ''), ')', '') AS digits,
   CASE WHEN field = 'eps_basic' THEN CASE WHEN raw_unit <> 'widgets' THEN 1 END WHEN raw_unit LIKE 'in millions%' THEN 1000000 WHEN raw_unit LIKE 'in thousands%' THEN 1000 END AS mult,
   CASE WHEN raw_currency = 'USD' THEN 'USD' WHEN raw_currency = 'RMB' THEN 'CNY' WHEN raw_currency = 'HK$' THEN 'HKD' END AS cur FROM o_kept""")
-view("o_values", """SELECT *, (CASE WHEN raw_value LIKE '(%' THEN -1 ELSE 1 END) * digits::DECIMAL(24, 8)::DOUBLE * mult AS value,
+view("o_values", """SELECT *, ((CASE WHEN raw_value LIKE '(%' THEN -1 ELSE 1 END) * digits::DECIMAL(24, 8))::DOUBLE * mult AS value,
   5 * power(10, -(CASE WHEN contains(digits, '.') THEN length(digits) - strpos(digits, '.') ELSE 0 END + 1)) * mult AS tolerance, mult IS NOT NULL AND cur IS NOT NULL AS c3 FROM o_units""")
 
 

@@ -152,7 +152,7 @@ def res9(spark, sf):
     return cat.previous(load(spark, sf, "wanted"), c, load(spark, sf, "listing").select("entity", F.col("fy").alias("period")).distinct())
 
 
-@query("src5_nested_feed", "SELECT l_orderkey, l_returnflag AS tag, l_linestatus AS unit, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) - 1)::INT AS ord, l_quantity AS val FROM lineitem")
+@query("src5_nested_feed", "SELECT l_orderkey, l_returnflag AS tag, l_linestatus AS unit, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey, l_quantity) - 1)::INT AS ord, l_quantity AS val FROM lineitem")
 def src5(spark, sf):
     l = read(spark, sf, "SELECT l_orderkey, l_returnflag, l_linestatus, l_linenumber, l_partkey, l_quantity FROM lineitem")
     rows = l.groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").alias("val")))), lambda x: F.struct(x["val"].alias("val"))).alias("rows"))

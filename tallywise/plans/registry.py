@@ -28,4 +28,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["slice_found_where_claimed"](spark, sf_dir)
 
 
-from . import answer_queries, claims_queries, evaluation_queries, filing_queries, function_queries, ledger_queries, report_queries  # noqa: E402, F401
+from . import answer_queries, claims_queries, evaluation_queries, filing_queries, function_queries, ledger_queries, report_queries, results_queries  # noqa: E402, F401

@@ -25,3 +25,21 @@ def read_csv(spark, path: str, schema) -> DataFrame:
 def review_rows(rows: DataFrame) -> DataFrame:
     """SNK4: rows with the stable id market:code:period:field:period_type in front."""
     return rows.select(F.concat_ws(":", "market", "code", "period", "field", "period_type").alias("id"), "*")
+
+
+ITEM_COLUMNS = "status field metric_zh metric_en period_type period_end raw_value unit value currency page quote category reason_zh reason_en auxiliary prior_year_raw prior_year_page".split()
+COMPARE_COLUMNS = "company code market field raw_value unit value currency status listing_currency fx_rate fx_date fx_type fx_source value_listing".split()
+
+
+def item_rows(items: DataFrame) -> DataFrame:
+    """SNK2: the columns of the item export; what the items lack is empty. The year-on-year change (pct) is written in
+    percent with two decimals."""
+    have = lambda c: (F.col(c) if c in items.columns else F.lit(None)).cast("string").alias(c)
+    return items.select(*map(have, ITEM_COLUMNS), F.replace(F.format_number(F.col("pct") * 100, 2), F.lit(",")).alias("yoy_pct_code"))
+
+
+def compare_rows(cells: DataFrame, fx_type: str, fx_source: str) -> DataFrame:
+    """SNK3: the columns of the cross-company export, from ``converted`` cells; rate columns are empty without a rate."""
+    own = cells.withColumn("fx_rate", F.col("rate")).withColumn("fx_date", F.col("rate_date"))
+    own = own.withColumn("fx_type", F.when(F.col("rate").isNotNull(), fx_type)).withColumn("fx_source", F.when(F.col("rate").isNotNull(), fx_source))
+    return own.select(*[F.col(c).cast("string").alias(c) for c in COMPARE_COLUMNS])
