@@ -30,7 +30,7 @@ def score(key: DataFrame, preds: DataFrame) -> DataFrame:
     """EVA6: truth rows (doc_id, field, period_type, truth, tol) with answered, strict and approx (within 1 %)."""
     both = key.join(preds, ["doc_id", "field", "period_type"], "left")
     gap = F.abs(F.col("value") - F.col("truth"))
-    return both.withColumn("answered", F.col("value").isNotNull()).withColumn("strict", F.coalesce(gap <= F.col("tol") + 1e-9, F.lit(False))).withColumn("approx", F.coalesce(gap <= 0.01 * F.abs("truth"), F.lit(False)))
+    return both.withColumn("answered", F.col("value").isNotNull()).withColumn("strict", F.coalesce(gap <= F.col("tol") + 1e-9 * F.abs("truth"), F.lit(False))).withColumn("approx", F.coalesce(gap <= 0.01 * F.abs("truth"), F.lit(False)))
 
 
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import change_words
+from ..functions.text import for_numbers, number_tokens
+from ..functions.units import digits_of
 
 # Numbers as they are written, and wording that a point may not hold.
 WRITTEN_NUMBER = r"\d[\d,]*(?:\.\d+)?"
@@ -238,9 +240,10 @@ def listing_rows(listings: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def snippets(asked: DataFrame, lines: DataFrame, around: int = 3) -> DataFrame:
-    """EVA25: (doc_id, seq, page, hit, lines) for each (doc_id, seq, raw, hint) that is found: the hint page's first hit,
-    else the first by page and line, with the lines around it. lines: doc_id, page, line_no, line."""
-    found = asked.join(lines, "doc_id").where(F.contains("line", "raw"))
+    """EVA25: (doc_id, seq, page, hit, lines) for each (doc_id, seq, raw, hint) whose number stands on a line as a whole:
+    the hint page's first hit, else the first by page and line, with the lines around it. lines: doc_id, page, line_no, line."""
+    numbers = lines.select("doc_id", "page", "line_no", F.explode(F.array_distinct(number_tokens(for_numbers(F.col("line"))))).alias("number"))
+    found = asked.withColumn("number", digits_of(F.col("raw"))).join(numbers, ["doc_id", "number"])
     order = F.struct(~F.coalesce(F.col("page") == F.col("hint"), F.lit(False)), "page", "line_no")
     best = found.groupBy("doc_id", "seq").agg(F.min_by(F.struct(F.col("page").alias("page"), F.col("line_no").alias("hit")), order).alias("at")).select("doc_id", "seq", "at.*")
     near = best.join(lines, ["doc_id", "page"]).where(F.abs(F.col("line_no") - F.col("hit")) <= around)

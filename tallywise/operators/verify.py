@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,11 @@ from ..functions.text import for_match, for_numbers, number_tokens
 from ..functions.units import digits_of, to_value
 from ..sources.store import materialise
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 MIN_PIECE, MAX_PIECES, FUZZY = 4, 3, 0.90
 # Fields a complete filing states, by template.
 REQUIRED = {
@@ -164,6 +170,46 @@ def number_index(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.explode(F.array_distinct("numbers")).alias("number"))
 
 
+#: Characters of quotes that are sent out at once; more take further passes over the documents.
+QUOTE_BLOCK = 8_000_000
+
+
+def passages_found(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(quote_found, n): how many pairs of a document and a quote (both: text, in match form) have the quote in the
+    document. The stated quotes go out in blocks, as one automaton each, through which every document passes once;
+    only counts come back, and misses are what is left of all pairs."""
+    spark = docs.sparkSession
+    sized = quotes.where("text IS NOT NULL")
+    total, n = sized.select(F.sum(F.length("text")), F.count("*")).first()
+    blocks, out = -(-(total or 0) // QUOTE_BLOCK) or 1, None
+    for k in range(blocks):
+        own = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
+        sent = spark.sparkContext.broadcast({r.text: r.n for r in own.groupBy("text").agg(F.count("*").alias("n")).collect()})
+
+        def run(batches, sent=sent):
+            times = sent.value
+            everywhere, words = times.get("", 0), {q: c for q, c in times.items() if q}
+            machine = None
+            if ahocorasick is not None and words:
+                machine = ahocorasick.Automaton()
+                for q in words:
+                    machine.add_word(q, q)
+                machine.make_automaton()
+            for batch in batches:
+                hits = 0
+                for t in batch.column(0).to_pylist():
+                    t = t or ""
+                    found = {q for _, q in machine.iter(t)} if machine is not None else [q for q in words if q in t]
+                    hits += everywhere + sum(words[q] for q in found)
+                yield pa.RecordBatch.from_arrays([pa.array([hits], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["hits", "docs"])
+
+        part = docs.select("text").mapInArrow(run, "hits long, docs long")
+        out = part if out is None else out.unionByName(part.withColumn("docs", F.lit(0).cast("long")))
+    sums = out.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"))
+    both = sums.select(F.explode(F.array(F.struct(F.lit(True).alias("quote_found"), F.col("hits").alias("n")), F.struct(F.lit(False).alias("quote_found"), (F.col("docs") * F.lit(n) - F.col("hits")).alias("n")))).alias("x"))
+    return both.select("x.*").where("n > 0")
+
+
 def check_numbers(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """C2 (VER9-VER11): adds c2, split (found only without white space) and number_pages (other pages).
 

@@ -58,7 +58,12 @@ def ver4(spark, sf):
     return ver.exact_quotes(ver.dedup(ver.normalise_periods(load(spark, sf, "claims"))).where("dropped IS NULL"), pages(spark, sf))
 
 
-@query("ver5_ver6_ver8_quote_check")
+view("o_all_quotes", """SELECT c.doc_id, c.seq, c.page, arg_min(m.page, CASE WHEN m.page = c.page THEN 0 WHEN m.page = c.page - 1 THEN 1 ELSE 2 END) FILTER (abs(m.page - c.page) <= 1) AS page_used, string_agg(m.page::VARCHAR, ',' ORDER BY m.page) FILTER (abs(m.page - c.page) > 1) AS far
+  FROM claims c JOIN o_match m ON m.doc_id = c.doc_id AND quote <> '' AND contains(m.t, lower(regexp_replace(quote, '\\s+', '', 'g'))) GROUP BY c.doc_id, c.seq, c.page""")
+
+
+#: No quote of these claims is in pieces or nearly right; such cases are in the printed quotes below and in the tests.
+@query("ver5_ver6_ver8_quote_check", """SELECT c.doc_id, c.seq, q.page_used IS NOT NULL AS c1, q.page_used, CASE WHEN q.page_used IS NOT NULL THEN 1.0 END AS quote_ratio, coalesce(q.page_used <> c.page, false) AS page_off, CASE WHEN q.page_used IS NULL THEN q.far END AS other_pages FROM claims c LEFT JOIN o_all_quotes q ON q.doc_id = c.doc_id AND q.seq = c.seq""")
 def ver5(spark, sf):
     return ver.check_quotes(load(spark, sf, "claims"), pages(spark, sf)).select("doc_id", "seq", "c1", "page_used", F.round("quote_ratio", 6).alias("quote_ratio"), "page_off", F.array_join(F.col("other_pages").cast("array<string>"), ",").alias("other_pages"))
 
@@ -75,10 +80,10 @@ def ver9(spark, sf):
     return ver.check_numbers(asked, p).select("doc_id", "seq", "c2", F.coalesce(F.array_join(F.col("number_pages").cast("array<string>"), ","), F.lit("")).alias("number_pages"))
 
 
-@query("ver10_split_numbers", """SELECT doc_id, line_no AS seq, NOT regexp_matches(line, '(^|[^0-9.])' || v || '($|[^0-9.])') AS split FROM (
-  SELECT f.doc_id, fno AS line_no, fno % 2 AS odd, v::VARCHAR AS v, CASE WHEN fno % 2 = 1 THEN 'Row ' || left(v::VARCHAR, 1) || ' ' || substr(v::VARCHAR, 2) ELSE 'Row ' || v::VARCHAR END AS line FROM figures f WHERE v > 99)""")
+@query("ver10_split_numbers", """SELECT doc_id, line_no AS seq, NOT regexp_matches(line, '(^|[^0-9.])' || v || '($|[^0-9.])') AND contains(replace(line, ' ', ''), v) AS split FROM (
+  SELECT f.doc_id, fno AS line_no, fno % 2 AS odd, v::VARCHAR AS v, CASE WHEN fno % 2 = 1 THEN 'Row ' || left(v::VARCHAR, 1) || ' ' || substr(v::VARCHAR, 2) ELSE 'Row ' || v::VARCHAR END AS line FROM figures f)""")
 def ver10(spark, sf):
-    own = load(spark, sf, "figures").where("v > 99").withColumn("s", F.col("v").cast("string"))
+    own = load(spark, sf, "figures").withColumn("s", F.col("v").cast("string"))
     line = F.concat(F.lit("Row "), F.when(F.col("fno") % 2 == 1, F.concat(F.substring("s", 1, 1), F.lit(" "), F.substring("s", 2, 99))).otherwise(F.col("s")))
     p = ver.prepared_pages(own.select("doc_id", F.col("fno").alias("page"), line.alias("text")))
     c = own.select("doc_id", F.col("fno").alias("seq"), F.col("fno").alias("page"), F.lit(None).cast("int").alias("page_used"), F.col("s").alias("raw_value"))
@@ -91,11 +96,6 @@ def ver12(spark, sf):
     return ver.check_units(kept).select("doc_id", "seq", F.round("value", 2).alias("value"), "mult", F.round("tolerance", 6).alias("tolerance"), "currency", "c3")
 
 
-@query("ver13_ver21_verified")
-def ver21(spark, sf):
-    return verified(spark, sf).select("doc_id", "seq", "field", "period_type", "c1", "c2", "c3", "state", "status", "category", "page_used", F.round("value", 2).alias("value"), F.round("ref_value", 2).alias("ref_value"))
-
-
 view("o_pairs", """SELECT v.doc_id, v.seq, v.value, v.tolerance, f.value AS r, f.ord, f.period_type = v.period_type AS mine FROM o_values v JOIN facts f ON f.doc_id = v.doc_id AND f.field = v.field
   WHERE c3 AND abs(f.period_end - try_cast(v.period_end AS DATE)) <= 7 AND (f.currency IS NULL OR f.currency = v.cur)""")
 view("o_refs", "SELECT doc_id, seq, arg_min(r, ord) FILTER (mine) AS ref_value, bool_or(NOT mine AND abs(value - r) <= tolerance + 1e-9 * abs(r)) AS other_type FROM o_pairs GROUP BY doc_id, seq")
@@ -109,27 +109,54 @@ def ver16(spark, sf):
     return ver.eps_probe(ver.check_units(kept), load(spark, sf, "facts"))
 
 
-@query("ver17_ver18_ver19_reference_check", """SELECT doc_id, seq, state, round(ref_value, 2) AS ref_value, CASE WHEN state <> 'mismatch' THEN NULL WHEN other_type THEN 'PERIOD'
+view("o_states", """SELECT doc_id, seq, state, ref_value, CASE WHEN state <> 'mismatch' THEN NULL WHEN other_type THEN 'PERIOD'
   WHEN ref_value <> 0 AND len(list_filter([3, 4, 6, 8, -3, -4, -6, -8], lambda k: abs(value * power(10, k) - ref_value) <= abs(ref_value) * 1e-6 + tolerance * power(10, k) + 1e-9 * abs(ref_value))) > 0 THEN 'UNIT' ELSE 'DEFINITION' END AS ref_category
   FROM (SELECT v.doc_id, v.seq, v.value, v.tolerance, r.ref_value, r.other_type, CASE WHEN NOT c3 OR r.ref_value IS NULL THEN 'none' WHEN coalesce(p.unusable, false) THEN 'invalid'
     WHEN abs(v.value - r.ref_value) <= v.tolerance + 1e-9 * abs(r.ref_value) THEN 'match' ELSE 'mismatch' END AS state
   FROM o_values v LEFT JOIN o_refs r ON r.doc_id = v.doc_id AND r.seq = v.seq LEFT JOIN o_probe p ON p.doc_id = v.doc_id)""")
+
+
+@query("ver17_ver18_ver19_reference_check", "SELECT doc_id, seq, state, round(ref_value, 2) AS ref_value, ref_category FROM o_states")
 def ver17(spark, sf):
     kept = ver.dedup(ver.normalise_periods(load(spark, sf, "claims"))).where("dropped IS NULL")
     return ver.check_references(ver.check_units(kept), load(spark, sf, "facts")).select("doc_id", "seq", "state", F.round("ref_value", 2).alias("ref_value"), "ref_category")
 
 
+view("o_checked", """SELECT v.*, q.page_used, q.page_used IS NOT NULL AS c1, q.far, coalesce(q.page_used, v.page) AS at_page, EXISTS (SELECT 1 FROM o_numbers n WHERE n.doc_id = v.doc_id AND n.page = coalesce(q.page_used, v.page) AND n.number = v.digits) AS c2,
+  EXISTS (SELECT 1 FROM o_numbers n WHERE n.doc_id = v.doc_id AND n.page <> coalesce(q.page_used, v.page) AND n.number = v.digits) AS away FROM o_values v LEFT JOIN o_all_quotes q ON q.doc_id = v.doc_id AND q.seq = v.seq""")
+view("o_verified", """SELECT c.*, s.state, s.ref_value, s.ref_category, CASE WHEN NOT c2 AND NOT away THEN 'FABRICATED' WHEN NOT c3 THEN 'UNIT' WHEN NOT c1 AND far IS NOT NULL THEN 'WRONG_PAGE' WHEN NOT c2 THEN 'WRONG_PAGE' WHEN NOT c1 THEN 'PARAPHRASED' END AS own FROM o_checked c JOIN o_states s ON s.doc_id = c.doc_id AND s.seq = c.seq""")
+
+
+#: No number of these claims is split by white space; the tests have such ones.
+@query("ver13_ver21_verified", """SELECT doc_id, seq, field, period_type, c1, c2, c3, state, CASE WHEN NOT (c1 AND c2 AND c3) OR state = 'mismatch' THEN 'BAD' WHEN state = 'match' THEN 'OK' ELSE 'FOUND' END AS status, coalesce(own, ref_category) AS category, page_used, round(value, 2) AS value, round(ref_value, 2) AS ref_value FROM o_verified""")
+def ver21(spark, sf):
+    return verified(spark, sf).select("doc_id", "seq", "field", "period_type", "c1", "c2", "c3", "state", "status", "category", "page_used", F.round("value", 2).alias("value"), F.round("ref_value", 2).alias("ref_value"))
+
+
 @query("slice_found_where_claimed", """SELECT contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(b.text, '\\s+', '', 'g'))) AS quote_found, count(*)::BIGINT AS n
   FROM benchmark b CROSS JOIN documents d GROUP BY 1""")
 def slice_(spark, sf):
-    """How many (quote, document) pairs match: the stated set of quotes, as one row, against all documents."""
-    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    quotes = read(spark, sf, "SELECT text FROM benchmark").groupBy(F.lit(1).alias("k")).agg(F.collect_list(plain("text")).alias("quotes"))
-    docs = read(spark, sf, "SELECT text FROM documents").select(F.lit(1).alias("k"), plain("text").alias("t"))
-    found = F.transform("quotes", lambda q: F.col("t").contains(q))
-    size = read(spark, sf, "SELECT sum(length(text)) AS n FROM benchmark").first().n or 0
-    pairs = docs.join(F.broadcast(quotes) if size <= 8_000_000 else quotes, "k").select(F.explode(found).alias("quote_found"))
-    return pairs.groupBy("quote_found").agg(F.count("*").alias("n"))
+    """How many (quote, document) pairs match: the stated set of quotes, in blocks, against all documents."""
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""))
+    return ver.passages_found(read(spark, sf, "SELECT text FROM documents").select(plain("text").alias("text")), read(spark, sf, "SELECT text FROM benchmark").select(plain("text").alias("text")))
+
+
+view("printed_quotes", """SELECT o_orderkey AS doc_id, CAST(o_custkey AS STRING) AS n, CAST(o_orderkey % 5 AS INT) AS kind, CASE o_orderkey % 5 WHEN 0 THEN 'Revenue $ ' || CAST(o_custkey AS STRING) || ' of Ｔotal' WHEN 1 THEN 'Revenue' || chr(10) || 'notes' || chr(10) || CAST(o_custkey AS STRING) || ' in all' WHEN 2 THEN 'Ｒｅｖｅｎｕｅ  US$' || CAST(o_custkey AS STRING) ELSE 'Cover' END AS one,
+  CASE o_orderkey % 5 WHEN 3 THEN 'Revenue － £' || CAST(o_custkey AS STRING) ELSE 'Nothing' END AS five FROM orders""")
+view("o_printed_pages", r"""SELECT doc_id, page, regexp_replace(lower(regexp_replace(translate(text, 'ＴＲｅｖｎｕ－', 'TRevnu-'), '\s+', '', 'g')), '(us|hk|nt|a|c|s)?\$|[¥￥€£]', '', 'g') AS t, n, kind FROM (SELECT doc_id, 1 AS page, one AS text, n, kind FROM printed_quotes UNION ALL SELECT doc_id, 5, five, n, kind FROM printed_quotes)""")
+
+
+@query("ver4_ver8_printed_quotes", """SELECT p.doc_id, contains(t, q) OR kind = 1 AND contains(t, 'revenue') AND contains(t, n || 'inall') AS c1, CASE WHEN contains(t, q) THEN 1.0 WHEN kind = 1 AND contains(t, 'revenue') AND contains(t, n || 'inall') THEN 0.99 END AS quote_ratio, CASE WHEN EXISTS (SELECT 1 FROM o_printed_pages f WHERE f.doc_id = p.doc_id AND f.page = 5 AND contains(f.t, q)) THEN '5' END AS other_pages
+  FROM (SELECT *, CASE kind WHEN 1 THEN 'revenue' || n || 'inall' WHEN 3 THEN 'revenue-' || n WHEN 4 THEN 'qqqq' || n || 'zzzz' ELSE 'revenue' || n END AS q FROM o_printed_pages WHERE page = 1) p""")
+def ver4_printed(spark, sf):
+    """Signs, full-width letters, quotes in pieces and on far pages."""
+    p = load(spark, sf, "printed_quotes")
+    pages_ = p.select("doc_id", F.lit(1).alias("page"), F.col("one").alias("text")).unionByName(p.select("doc_id", F.lit(5).alias("page"), F.col("five").alias("text")))
+    k = F.col("kind")
+    quote = F.when(k == 1, F.concat(F.lit("Revenue "), "n", F.lit(" in all"))).when(k == 2, F.concat(F.lit("Revenue ￥"), "n")).when(k == 3, F.concat(F.lit("Revenue - "), "n")).when(k == 4, F.concat(F.lit("qqqq"), "n", F.lit("zzzz"))).otherwise(F.concat(F.lit("Revenue $"), "n"))
+    claims = p.select("doc_id", F.lit(1).alias("seq"), F.lit(1).alias("page"), quote.alias("quote"))
+    prepared = materialise(ver.prepared_pages(pages_), "printed-pages")
+    return ver.check_quotes(claims, prepared).select("doc_id", "c1", F.round("quote_ratio", 6).alias("quote_ratio"), F.array_join(F.col("other_pages").cast("array<string>"), ",").alias("other_pages"))
 
 
 @query("ver14_derived_components", """SELECT doc_id, 1 AS seq, sum(CASE WHEN fno = 3 THEN -1 ELSE 1 END * v)::DOUBLE AS value, (count(*) * 0.5)::DOUBLE AS tolerance, CASE WHEN count(DISTINCT fno % 2) = 1 THEN min(fno % 2)::VARCHAR END AS currency,
@@ -177,7 +204,7 @@ def ver23(spark, sf):
     return ver.missing_rows(_asked(spark, sf), kept, load(spark, sf, "facts"))
 
 
-@query("ver20_parent_reclassification", """SELECT doc_id, CASE WHEN (nk + q) % 3 = 0 THEN 'DEFINITION' ELSE 'UNIT' END AS category FROM filings""")
+@query("ver20_parent_reclassification", """SELECT doc_id, CASE WHEN abs(common - ref) <= 0.5 + 1e-9 * abs(ref) THEN 'DEFINITION' ELSE 'UNIT' END AS category FROM (SELECT doc_id, rev::DOUBLE AS ref, rev * CASE WHEN (nk + q) % 3 = 0 THEN 1.0 ELSE 3.0 END AS common FROM filings)""")
 def ver20(spark, sf):
     d = load(spark, sf, "filings")
     parent = d.select("doc_id", F.lit("Q").alias("period_type"), F.lit(1).alias("seq"), F.lit("net_income_parent").alias("field"), F.lit("mismatch").alias("state"), (F.col("rev") * 2.0).alias("value"), F.col("rev").cast("double").alias("ref_value"), F.lit(0.5).alias("tolerance"), F.lit("UNIT").alias("category"))
@@ -185,7 +212,7 @@ def ver20(spark, sf):
     return ver.reclassify_parent(parent.unionByName(common)).where("field = 'net_income_parent'").select("doc_id", "category")
 
 
-@query("ver24_industry_metrics", """SELECT f.doc_id, 'industry:orders' AS field, CASE WHEN nk % 3 = 0 THEN 'BAD' ELSE 'FOUND' END AS status FROM filings f""")
+@query("ver24_industry_metrics", """SELECT doc_id, 'industry:orders' AS field, CASE WHEN list_contains(regexp_extract_all(text, '[0-9]+'), raw) THEN 'FOUND' ELSE 'BAD' END AS status FROM (SELECT doc_id, 'Orders handled: ' || n || ' accounts' AS text, (CASE WHEN nk % 3 = 0 THEN n + 1 ELSE n END)::VARCHAR AS raw FROM filings)""")
 def ver24(spark, sf):
     d = load(spark, sf, "filings")
     text = F.concat(F.lit("Orders handled: "), F.col("n").cast("string"), F.lit(" accounts"))
@@ -202,11 +229,11 @@ def ver26(spark, sf):
     return ver.predictions(rows).select("conv_id", "turn", "outcome", "value")
 
 
-@query("ver28_recomputed", """SELECT doc_id, 1 AS seq, rev::DOUBLE AS value, (rev + CASE WHEN nk % 4 = 0 THEN 5 ELSE 0 END)::DOUBLE AS recomputed, CASE WHEN nk % 4 = 0 THEN 'BAD' ELSE 'OK' END AS status FROM filings""")
+@query("ver28_recomputed", """SELECT *, CASE WHEN abs(value - recomputed) > 0.5 + 0.5 + 1e-9 * abs(value) THEN 'BAD' ELSE 'OK' END AS status FROM (SELECT doc_id, 1 AS seq, rev::DOUBLE AS value, (rev + nk % 4 * 0.5)::DOUBLE AS recomputed FROM filings)""")
 def ver28(spark, sf):
     d = load(spark, sf, "filings")
     own = d.select("doc_id", F.lit(1).alias("seq"), F.col("rev").cast("double").alias("value"), F.lit(0.5).alias("tolerance"), F.lit("OK").alias("status"))
-    parts = d.select("doc_id", F.lit(1).alias("seq"), (F.col("rev") + F.when(F.col("nk") % 4 == 0, 5).otherwise(0)).cast("double").alias("value"), F.lit(0.5).alias("tolerance"))
+    parts = d.select("doc_id", F.lit(1).alias("seq"), (F.col("rev") + F.col("nk") % 4 * 0.5).cast("double").alias("value"), F.lit(0.5).alias("tolerance"))
     return ver.recomputed(own, parts).select("doc_id", "seq", "value", "recomputed", "status")
 
 
@@ -244,20 +271,23 @@ def con1(spark, sf):
     return con.listed(flags, names).select("doc_id", *names, F.array_join("failed", ",").alias("failed"))
 
 
-@query("con4_disclosed_totals", """SELECT doc_id, 2 AS seq, NOT (nk + q) % 4 = 0 AS con4 FROM filings WHERE rev > 1000""")
+@query("con4_disclosed_totals", """SELECT doc_id, 2 AS seq, len(list_filter(numbers, lambda x: abs(x - value) <= 0.005 * abs(value) OR abs(x * 1e3 - value) <= 0.005 * abs(value) OR abs(x * 1e4 - value) <= 0.005 * abs(value) OR abs(x * 1e6 - value) <= 0.005 * abs(value) OR abs(x * 1e8 - value) <= 0.005 * abs(value) OR abs(x * 1e9 - value) <= 0.005 * abs(value))) > 0 AS con4
+  FROM (SELECT doc_id, rev * CASE WHEN (nk + q) % 4 = 0 THEN 1.02 ELSE 1.001 END * 1000 AS value, list_slice(list_filter([1::DOUBLE * rev, n, 600, 700, 800, 900, 1000, 1100, 1200], lambda x: abs(x) >= 100), 1, 6) AS first, CASE WHEN nk % 2 = 0 THEN list_slice(list_filter([600, 700, 800, 900, n, 1000, 1::DOUBLE * rev], lambda x: abs(x) >= 100), 1, 6) ELSE first END AS numbers FROM filings) WHERE len(numbers) > 0""")
 def con4(spark, sf):
-    d = load(spark, sf, "filings").where("rev > 1000")
-    p = d.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("Revenue 1\nGross profit (12) "), F.format_number("rev", 0)).alias("text"))
+    d = load(spark, sf, "filings")
+    rev, n = F.format_number("rev", 0), F.format_number("n", 0)
+    line = F.when(F.col("nk") % 2 == 0, F.concat(F.lit("Gross profit (12) 600 700 800 900 "), n, F.lit(" 1,000 "), rev)).otherwise(F.concat(F.lit("Gross profit (12) "), rev, F.lit(" "), n, F.lit(" 600 700 800 900 1,000 1,100 1,200")))
+    p = d.select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("Revenue 1\n"), line).alias("text"))
     items = d.select("doc_id", F.lit(2).alias("seq"), F.lit("gross_profit").alias("field"), (F.col("rev") * F.when((F.col("nk") + F.col("q")) % 4 == 0, 1.02).otherwise(1.001) * 1000).alias("value"), F.lit("derived").alias("derivation"), F.lit("OK").alias("status"))
     return con.disclosed_totals(items, p)
 
 
-@query("con6_quarter_sums", """SELECT doc_id, 'revenue' AS field, NOT nk % 5 = 0 AS con6 FROM filings WHERE q > 1 AND rev > 100""")
+@query("con6_quarter_sums", """SELECT doc_id, 'revenue' AS field, abs(rev + prior - rev_cum) <= 0.5 + 0.5 + 0.002 * abs(rev_cum) AS con6 FROM (SELECT doc_id, rev, rev_cum, (rev_cum - rev) * CASE WHEN nk % 5 = 0 THEN 1.01 WHEN nk % 5 = 1 THEN 1.001 ELSE 1 END AS prior FROM filings WHERE q > 1)""")
 def con6(spark, sf):
-    d = load(spark, sf, "filings").where("q > 1 AND rev > 100")
+    d = load(spark, sf, "filings").where("q > 1")
     row = lambda seq, kind, value: d.select("doc_id", F.lit(seq).alias("seq"), F.lit("revenue").alias("field"), F.lit(kind).alias("period_type"), value.cast("double").alias("value"), F.lit(0.5).alias("tolerance"))
     items = row(1, "Q", F.col("rev")).unionByName(row(2, "FY", F.col("rev_cum")))
-    prior = d.select("doc_id", F.lit("revenue").alias("field"), F.col("year_start").alias("period_end"), ((F.col("rev_cum") - F.col("rev")) * F.when(F.col("nk") % 5 == 0, 1.5).otherwise(1.0) + F.when(F.col("nk") % 5 == 0, F.col("rev_cum")).otherwise(0)).alias("value"))
+    prior = d.select("doc_id", F.lit("revenue").alias("field"), F.col("year_start").alias("period_end"), ((F.col("rev_cum") - F.col("rev")) * F.when(F.col("nk") % 5 == 0, 1.01).when(F.col("nk") % 5 == 1, 1.001).otherwise(1.0)).alias("value"))
     return con.quarter_sums(items, prior)
 
 

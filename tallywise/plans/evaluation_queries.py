@@ -53,14 +53,13 @@ def eva3(spark, sf):
     return ev.predictions(f)
 
 
-@query("eva2_eva6_scores", """SELECT doc_id, field, period_type, v % 7 <> 0 AS answered, coalesce(v % 7 <> 0 AND v % 5 <> 0, false) AS strict, coalesce(v % 7 <> 0 AND (v % 5 <> 0 OR v >= 300), false) AS approx FROM figures WHERE v > 0""")
+@query("eva2_eva6_scores", """SELECT f.doc_id, f.field, f.period_type, f.fno, value IS NOT NULL AS answered, coalesce(abs(value - truth) <= 0.5 + 1e-9 * abs(truth), false) AS strict, coalesce(abs(value - truth) <= 0.01 * abs(truth), false) AS approx FROM (SELECT *, v::DOUBLE AS truth, CASE WHEN v % 7 <> 0 THEN v + v % 5 * 0.25 END AS value FROM figures) f""")
 def eva6(spark, sf):
-    f = load(spark, sf, "figures").where("v > 0")
-    key = f.select("doc_id", "field", "period_type", "fno", F.col("v").cast("double").alias("truth"), F.lit(0.5).alias("tol"))
-    preds = f.where("v % 7 <> 0").select("doc_id", "field", "period_type", "fno", (F.col("v") + F.when(F.col("v") % 5 == 0, 3).otherwise(0)).cast("double").alias("value"))
-    k = F.concat_ws(":", "period_type", "fno")
-    out = ev.score(key.withColumn("period_type", k).drop("fno"), preds.withColumn("period_type", k).drop("fno"))
-    return out.select("doc_id", "field", F.split("period_type", ":")[0].alias("period_type"), "answered", "strict", "approx")
+    f = load(spark, sf, "figures").withColumn("k", F.concat_ws(":", "period_type", "fno"))
+    key = f.select("doc_id", "field", F.col("k").alias("period_type"), "fno", F.col("v").cast("double").alias("truth"), F.lit(0.5).alias("tol"))
+    preds = f.where("v % 7 <> 0").select("doc_id", "field", F.col("k").alias("period_type"), (F.col("v") + F.col("v") % 5 * 0.25).cast("double").alias("value"))
+    out = ev.score(key, preds)
+    return out.select("doc_id", "field", F.split("period_type", ":")[0].alias("period_type"), "fno", "answered", "strict", "approx")
 
 
 @query("eva8_eva9_eva10_summary", """SELECT cell, count(*)::BIGINT AS n, count_if(strict) / count(*) AS strict_accuracy, count_if(NOT strict AND NOT flagged)::BIGINT AS silent, count_if(flagged) / count(*) AS workload, count_if(flagged AND NOT strict) / nullif(count_if(NOT strict), 0) AS flag_recall,

@@ -61,13 +61,17 @@ def _match_pages(spark, sf):
     return pages(spark, sf)
 
 
-@query("loc1_page_scores", """SELECT doc_id, page, g AS "group", round((least(3, len(regexp_extract_all(t, p))) + 10 * len(regexp_extract_all(t, p))) * 0.3, 6) AS score FROM (SELECT doc_id, page, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM o_pages WHERE page <> 2)
+view("o_page_scores", """SELECT doc_id, page, g AS "group", (least(3, len(regexp_extract_all(t, p))) + 10 * len(regexp_extract_all(h, p))) * (0.3 + ln(1 + len(regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})+')))) AS score FROM (SELECT doc_id, page, text, lower(regexp_replace(text, '\\s+', '', 'g')) AS t, lower(regexp_replace(array_to_string(list_slice(string_split(text, chr(10)), 1, 3), ''), '\\s+', '', 'g')) AS h FROM o_pages)
   CROSS JOIN (VALUES ('income', 'incomestatement|statementsofoperations'), ('highlights', 'financialhighlights|keyfinancial'), ('cashflow', 'statementsofcashflows|cashflowstatement|netcash'), ('eps', 'basic'), ('bank', 'preprovision'), ('mdna', 'segment')) v(g, p)""")
+
+
+@query("loc1_page_scores", 'SELECT doc_id, page, "group", round(score, 6) AS score FROM o_page_scores')
 def loc1(spark, sf):
-    return pg.page_scores(_match_pages(spark, sf).where("page <> 2")).select("doc_id", "page", "group", F.round("score", 6).alias("score"))
+    return pg.page_scores(_match_pages(spark, sf)).select("doc_id", "page", "group", F.round("score", 6).alias("score"))
 
 
-@query("loc2_loc3_picked_pages", """SELECT doc_id, 3 AS page FROM filings UNION ALL SELECT DISTINCT doc_id, 2 FROM figures WHERE field = 'eps_basic'""")
+@query("loc2_loc3_picked_pages", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, "group" ORDER BY score DESC, page) AS rank FROM o_page_scores WHERE score > 0), k AS (SELECT doc_id, "group", page FROM p WHERE rank <= CASE "group" WHEN 'income' THEN 3 WHEN 'highlights' THEN 3 WHEN 'mdna' THEN 4 ELSE 2 END)
+  SELECT DISTINCT doc_id, page FROM (SELECT doc_id, page FROM k UNION ALL SELECT doc_id, page + 1 FROM k WHERE "group" IN ('income', 'cashflow')) SEMI JOIN o_pages USING (doc_id, page)""")
 def loc3(spark, sf):
     p = _match_pages(spark, sf)
     return pg.with_neighbours(pg.picks(pg.page_scores(p)), p).select("doc_id", "page")

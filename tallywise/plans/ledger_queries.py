@@ -48,10 +48,10 @@ def req1(spark, sf):
     return out.select("conv_id", "turn", F.col("digest").alias("key"), "served")
 
 
-@query("req3_same_requests", "SELECT true AS same")
+@query("req3_same_requests", "SELECT NOT EXISTS (SELECT 1 FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents)) AND NOT EXISTS (SELECT 1 FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)) AS same")
 def req3(spark, sf):
     c = read(spark, sf, "SELECT DISTINCT conv_id AS key FROM conversations")
-    return led.same_requests(c, c.repartition(3))
+    return led.same_requests(c, read(spark, sf, "SELECT DISTINCT doc_id AS key FROM documents"))
 
 
 @query("str1_str3_ledger_stream", "SELECT ledger, round(sum(CASE WHEN kind = 'settle' THEN usd ELSE 0 END), 6) AS spent, round(sum(CASE WHEN kind = 'settle' THEN -usd ELSE usd END), 6) AS reserved FROM ledger_events GROUP BY ledger")

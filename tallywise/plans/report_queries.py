@@ -12,12 +12,12 @@ from .registry import query
 from .views import load, read, view
 
 
-@query("fn24_reply_kinds", r"""SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(?s)```[a-z]*\s*([\[{].*?)```') OR regexp_matches(t, '^[\[{]') THEN 'json' ELSE 'table' END AS kind
-  FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '[1]' WHEN 2 THEN 'see ```json {"a": 1}``` there' ELSE trim(coalesce(text, '')) END AS t FROM documents)""")
+view("all_replies", "SELECT doc_id, text FROM replies UNION ALL SELECT CAST(doc_id AS STRING), text FROM documents")
+
+
+@query("fn24_reply_kinds", r"""SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\S') THEN 'empty' WHEN regexp_matches(text, '^\s*([\[{]|```)') OR regexp_matches(text, '(?s)```(?:json|JSON)?\s*\n\s*[\[{].*?\n\s*```') THEN 'json' ELSE 'table' END AS kind FROM all_replies""")
 def fn24(spark, sf):
-    d = read(spark, sf, "SELECT doc_id, text FROM documents")
-    m = F.col("doc_id") % 4
-    return d.select("doc_id", tx.reply_kind(F.when(m == 0, " ").when(m == 1, "  [1]").when(m == 2, 'see ```json {"a": 1}``` there').otherwise(F.col("text"))).alias("kind"))
+    return read(spark, sf, "SELECT doc_id, text FROM all_replies").select("doc_id", tx.reply_kind(F.col("text")).alias("kind"))
 
 
 @query("src8_reply_items", "SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR) - 1)::INT AS seq, 'line ' || l_linenumber AS field, l_partkey::VARCHAR AS raw_value, l_linenumber::INT AS page FROM lineitem")
@@ -100,9 +100,9 @@ def eva19(spark, sf):
     return rep.trigger_counts(_judged(spark, sf).select(rep.triggers().alias("triggers")))
 
 
-@query("eva22_tier_matrix", "SELECT doc_id AS report, field, 'R' AS simple, CASE WHEN v % 5 = 0 THEN 'W' ELSE 'R' END AS expert, CASE WHEN v % 3 <> 0 THEN 'R' END AS pipeline FROM figures WHERE fno <= 4")
+@query("eva22_tier_matrix", "SELECT doc_id AS report, field, 'R' AS simple, CASE WHEN v % 5 = 0 THEN 'W' ELSE 'R' END AS expert, CASE WHEN v % 3 <> 0 THEN 'R' END AS pipeline FROM figures WHERE NOT (fno = 5)")
 def eva22(spark, sf):
-    f = load(spark, sf, "figures").where("fno <= 4").select(F.col("doc_id").alias("report"), "field", "v", F.explode(F.array(*map(F.lit, ["simple", "expert", "pipeline"]))).alias("cell"))
+    f = load(spark, sf, "figures").where("fno <> 5").select(F.col("doc_id").alias("report"), "field", "v", F.explode(F.array(*map(F.lit, ["simple", "expert", "pipeline"]))).alias("cell"))
     rows = f.where("cell <> 'pipeline' OR v % 3 <> 0").withColumn("strict", (F.col("cell") != "expert") | (F.col("v") % 5 != 0))
     return rep.tier_matrix(rows, ["simple", "expert", "pipeline"])
 
@@ -165,8 +165,8 @@ def src12(spark, sf):
 
 
 @query("eva25_snippets", """SELECT doc_id, seq, page, hit, (SELECT string_agg(l.line, chr(10) ORDER BY l.line_no) FROM lines l WHERE l.doc_id = c.doc_id AND l.page = c.page AND abs(l.line_no - c.hit) <= 1) AS lines
-  FROM (SELECT k.doc_id, k.seq, min_by(l.page, l.page * 100 + l.line_no)::INT AS page, min_by(l.line_no, l.page * 100 + l.line_no)::INT AS hit FROM claims k JOIN lines l ON l.doc_id = k.doc_id AND contains(l.line, k.v::VARCHAR) WHERE k.v > 99 GROUP BY k.doc_id, k.seq) c""")
+  FROM (SELECT k.doc_id, k.seq, min_by(l.page, l.page * 100 + l.line_no)::INT AS page, min_by(l.line_no, l.page * 100 + l.line_no)::INT AS hit FROM claims k JOIN lines l ON l.doc_id = k.doc_id AND list_contains(regexp_extract_all(l.line, '[0-9]+'), k.v::VARCHAR) GROUP BY k.doc_id, k.seq) c""")
 def eva25(spark, sf):
     rows = load(spark, sf, "lines").withColumn("line_no", F.col("line_no").cast("int"))
-    asked = load(spark, sf, "claims").where("v > 99").select("doc_id", "seq", F.col("v").cast("string").alias("raw"), F.lit(None).cast("int").alias("hint"))
+    asked = load(spark, sf, "claims").select("doc_id", "seq", F.col("v").cast("string").alias("raw"), F.lit(None).cast("int").alias("hint"))
     return rep.snippets(asked, rows, 1).withColumn("lines", F.array_join("lines", "\n"))
