@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder
 from .shared import materialise, partitions
+from .textkit import release
 
 #: Counts of lengths by hashed part that are broadcast (24 bytes each).
 BROADCAST_COUNTS = 1_000_000
@@ -58,6 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
                     held = 0
             if rows:
                 yield flush()
+            release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids binary")

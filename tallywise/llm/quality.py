@@ -56,7 +56,7 @@ class Counts:
 
 def terms(column: pa.Array):
     """(first row, end row, counts of terms) of the column's rows."""
-    for lo, hi, data, offsets in pieces(column, 1 << 20):
+    for lo, hi, data, offsets in pieces(column, 1 << 18):
         forms = _forms(data, offsets, hi - lo)
         hashes, first = words(data, offsets)
         row = np.repeat(np.arange(hi - lo), np.diff(first))

@@ -6,6 +6,7 @@ bytes modulo 2**64, finalised by an avalanche mix with its length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,10 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,6 +44,13 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system: Python workers stay, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the row offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -59,6 +71,7 @@ def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    release()
 
 
 def run_hashes(data: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
