@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SPACE, ngrams, pieces, words
+from .textkit import SPACE, ngrams, pieces, release, words
 
 #: Documented bounds: labelled documents that are fitted and broadcast, dimensions kept, neighbours that vote.
 SAMPLE, DIMENSIONS, NEIGHBOURS = 4096, 48, 25
@@ -43,8 +43,8 @@ class Counts:
     def times(self, matrix: np.ndarray) -> np.ndarray:
         """The product with a dense matrix (terms x columns), some rows at a time."""
         out = np.zeros((self.rows, matrix.shape[1]), np.float32)
-        for a in range(0, len(self.row), 100_000):
-            row, term, value = (x[a : a + 100_000] for x in (self.row, self.term, self.value))
+        for a in range(0, len(self.row), 50_000):
+            row, term, value = (x[a : a + 50_000] for x in (self.row, self.term, self.value))
             head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             out[row[head]] += np.add.reduceat(matrix[term] * value[:, None], head, 0)
         return out
@@ -166,13 +166,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows:
         return Voters(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     rows.sort(key=lambda r: (bytes(r.terms), bytes(r.shares), r.label))
-    term = [np.frombuffer(r.terms, np.int32).astype(np.int64) for r in rows]
-    counts = Counts(len(rows), np.repeat(np.arange(len(rows)), [len(t) for t in term]), np.concatenate(term), np.concatenate([np.frombuffer(r.shares, np.float32) for r in rows]))
+    term = [np.frombuffer(r.terms, np.int32) for r in rows]
+    counts = Counts(len(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t in term]), np.concatenate(term), np.concatenate([np.frombuffer(r.shares, np.float32) for r in rows]))
     label = np.array([float(r.label) for r in rows])
-    idf = (1 + np.log(len(rows) / (1 + np.bincount(counts.term, minlength=TERMS)))).astype(np.float32)
+    del rows, term
+    idf = (1 + np.log(counts.rows / (1 + np.bincount(counts.term, minlength=TERMS)))).astype(np.float32)
     weighted = Counts(counts.rows, counts.row, counts.term, counts.value * idf[counts.term])
     found = Voters(idf, _axes(weighted), np.zeros((0, 1), np.float32), label, float(label.mean()))
     found.vectors = found.place(counts)
+    release()
     return found
 
 
