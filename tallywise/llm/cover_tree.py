@@ -1,11 +1,13 @@
 """All pairs of vectors over a cosine threshold, by dual traversal of cover trees.
 
-Vectors are dealt to blocks near the same pivot. Each block becomes a tree of nested levels: the radius halves from
-level to level, a node keeps its centre as its first child, and every node knows a distance that none of its
-vectors exceeds. Pairs of blocks whose covering balls are too far apart are never formed. In the others, pairs of nodes are
-pruned when even their nearest vectors could not link, taken whole when all of theirs must, and otherwise opened;
-vectors are compared in double precision. A task gives one row per vector it linked (links, and one vector it is
-connected to), so a group of copies never becomes a list of pairs.
+Copies count as one vector with a weight. The top of the tree is a broadcast set of pivots (its size bounded in bytes);
+a vector belongs to the cell of its nearest pivot, and a cell to blocks of about ``BLOCK`` vectors. Each block becomes a
+tree of nested levels: the radius halves from level to level, a node keeps its centre as its first child, and every
+node knows a distance that none of its vectors exceeds. A block's tree travels to the later blocks, without those
+vectors that the cell's covering radius or the plane between the two pivots keeps too far away to link with any vector
+there. In a pair of trees, pairs of nodes are pruned when even their nearest vectors could not link, taken whole when
+all of theirs must, and otherwise opened; vectors are compared in double precision. Each traversal gives one row per
+vector it linked (links, and one vector it is connected to), so a group of copies never becomes a list of pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .shared import materialise
 
 BLOCK = 2048
 RADII = (1.0, 0.5, 0.25, 0.125)
-#: Pivots broadcast at most, and blocks whose balls are broadcast to leave out pairs of blocks (about 300 bytes each).
-PIVOTS, BALLS = 1024, 20_000
+#: Pivots that are broadcast, in bytes at most (for each length of vectors).
+PIVOT_BYTES = 32 << 20
+#: Copies of one vector that are over this part of all rows are joined by broadcast: at most so many groups are.
+HOT = 1000
 SLACK = 1e-4
 
 
@@ -49,7 +53,7 @@ def _apart(cos: np.ndarray, error: float) -> np.ndarray:
 class Tree:
     """Vectors in tree order and, for each level, where nodes start, and their radii; the last level is the vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray | None = None):
         unit = _unit(vectors)
         cos = unit @ unit.T
         order, starts = np.arange(len(ids)), [np.array([0])]
@@ -66,18 +70,33 @@ class Tree:
                     at += len(parts[-1])
                     left = left[~near]
             order, starts = np.concatenate(parts), [*starts, np.array(cuts)]
-        self.ids, self.vectors, self.unit = ids[order], vectors[order], unit[order]
-        cos = cos[np.ix_(order, order)]
-        starts.append(np.arange(len(ids)))
-        self.starts, self.radii, error = starts, [], _error(vectors.shape[1])
-        for s in starts:
+        weights = np.ones(len(ids), np.int64) if weights is None else weights
+        self._set(ids[order], vectors[order], unit[order], weights[order], [*starts, np.arange(len(ids))])
+
+    def _set(self, ids, vectors, unit, weights, starts):
+        self.ids, self.vectors, self.unit, self.weights, self.starts = ids, vectors, unit, weights, starts
+        self.radii, error = [], _error(vectors.shape[1])
+        for s in starts[:-1]:
             owner = np.repeat(s, np.diff(np.append(s, len(ids))))
-            self.radii.append(np.maximum.reduceat(_apart(cos[owner, np.arange(len(ids))], error), s))
-        self.radii[-1][:] = 0
+            self.radii.append(np.maximum.reduceat(_apart(np.einsum("ij,ij->i", unit[owner], unit), error), s))
+        self.radii.append(np.zeros(len(ids)))
 
     def ends(self, level: int) -> np.ndarray:
         return np.append(self.starts[level][1:], len(self.ids))
 
+    def packed(self, keep: np.ndarray) -> bytes:
+        """The tree of the vectors in ``keep``: nodes that lose all of theirs go, others get their first one as centre."""
+        place = np.cumsum(keep) - keep
+        starts = [np.unique(place[s[np.logical_or.reduceat(keep, s)]]).astype(np.int32) for s in self.starts[:-1]]
+        return pickle.dumps((self.ids[keep], self.vectors[keep], self.weights[keep], starts))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Tree:
+        ids, vectors, weights, starts = pickle.loads(data)
+        tree = cls.__new__(cls)
+        tree._set(ids, vectors, _unit(vectors), weights, [*[s.astype(np.int64) for s in starts], np.arange(len(ids))])
+        return tree
+
 
 def _opened(tree: Tree, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children (in the next level) of nodes, and how many each has."""
@@ -88,7 +107,7 @@ def _opened(tree: Tree, level: int, node: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def dual(one: Tree, two: Tree, cosine: float, same: bool):
-    """Links of each vector of both trees and connections (pairs of places: one's, then two's after one's)."""
+    """Links of each vector of both trees (sums of weights) and connections (pairs of places: one's, then two's after one's)."""
     reach, error = math.sqrt(2 - 2 * cosine), _error(one.vectors.shape[1])
     links = [np.zeros(len(one.ids), np.int64), np.zeros(len(two.ids), np.int64)]
     ties: list[np.ndarray] = []
@@ -96,6 +115,7 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
     def connect(a, b):
         ties.append(np.column_stack((a, b + len(one.ids))))
 
+    before = [np.concatenate(([0], np.cumsum(t.weights))) for t in (one, two)]
     norms = [np.linalg.norm(t.vectors.astype(np.float64), axis=1) for t in (one, two)]
     deepest = len(RADII) + 1
 
@@ -113,19 +133,19 @@ def dual(one: Tree, two: Tree, cosine: float, same: bool):
                 exact = np.einsum("ij,ij->i", one.vectors[a].astype(np.float64), two.vectors[b].astype(np.float64)) / (norms[0][a] * norms[1][b])
                 hit = (exact >= cosine) & ((a != b) if same else True)
                 a, b = a[hit], b[hit]
-                np.add.at(links[0], a, 1)
-                np.add.at(links[1], b, 1)
+                np.add.at(links[0], a, two.weights[b])
+                np.add.at(links[1], b, one.weights[a])
                 connect(a, b)
                 return
             r = one.radii[level][a] + two.radii[level][b]
             whole = _apart(cos, error) + r <= reach - SLACK
             for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
                 xs, ys = np.arange(one.starts[level][x], one.ends(level)[x]), np.arange(two.starts[level][y], two.ends(level)[y])
-                links[0][xs] += len(ys)
-                links[1][ys] += len(xs)
+                links[0][xs] += before[1][ys[-1] + 1] - before[1][ys[0]]
+                links[1][ys] += before[0][xs[-1] + 1] - before[0][xs[0]]
                 if same and x == y:
-                    links[0][xs] -= 1
-                    links[1][ys] -= 1
+                    links[0][xs] -= one.weights[xs]
+                    links[1][ys] -= one.weights[ys]
                 connect(xs, np.full(len(xs), ys[0]))
                 connect(np.full(len(ys), xs[0]), ys)
             open_ = ~whole & (_apart(cos, -error) - r <= reach + SLACK)
@@ -165,96 +185,135 @@ def _roots(pairs: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _found(one: Tree, two: Tree, cosine: float) -> pa.RecordBatch:
+    """A row for each vector that the traversal of two trees (or of one with itself) links: its links, and its group."""
+    same = one is two
+    links, pairs = dual(one, two, cosine, same)
+    if same:
+        ids, n, pairs = one.ids, links[0], pairs % len(one.ids)
+    else:
+        ids, n = np.concatenate((one.ids, two.ids)), np.concatenate(links)
+    root, some = _roots(pairs, len(ids)), n > 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(ids[root][some])], ["id", "links", "to"])
+
+
+def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector, k1, k2) of the vectors that can link; of rows that repeat an id, the smallest vector counts."""
+    v = F.col(vector_col)
+    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
+    kept = v if single else F.transform(v, lambda x: x.cast("double"))
+    own = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), kept.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    return own.select("id", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64("vector", F.lit(1)).alias("k2"))
+
+
 def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id (long), kept (whether the id is its component's smallest).
 
     Vectors that are null or empty, zero, or hold null or non-finite components link with nothing; so do vectors of
-    different lengths with each other. Ids are unique (long): a repeated id is one vector. Other columns are ignored.
+    different lengths with each other. Ids are unique (long): a repeated id is one vector, the smallest of its rows, and
+    each of its rows gets the same result. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col)
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    own = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("vector"), F.size(v).alias("width")).dropDuplicates(["id"])
-    own = materialise(own, "vectors")
-    counts = {r.width: r.n for r in own.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    n_pivots = {w: min(PIVOTS, -(-n // BLOCK)) for w, n in counts.items()}
+    own = materialise(distinct_vectors(vectors, id_col, vector_col), "vectors")
+    single = own.schema["vector"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64
+    # partial counts come before the shuffle, so any number of copies is few rows
+    groups = materialise(own.groupBy("k1", "k2", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "groups")
     pivots: dict[int, np.ndarray] = {}
-    for w, k in n_pivots.items():
-        rows = own.where(F.col("width") == w).orderBy(F.xxhash64("id")).limit(k).collect()
-        pivots[w] = _unit(np.array([r.vector for r in rows]))
+    for r in groups.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).collect():
+        k = min(max(1, PIVOT_BYTES // (4 * r.width)), -(-r.n // BLOCK))
+        rows = groups.where(F.size("vector") == r.width).orderBy(F.xxhash64("id"), "id").limit(k).select("vector").collect()
+        pivots[r.width] = _unit(np.array([x.vector for x in rows]))
 
     def cells(batches):
         for batch in batches:
-            width = batch.column(2).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            at = np.concatenate(([0], np.cumsum(width)))
-            cell = np.zeros(len(width), np.int64)
-            blobs = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            blobs, cell, far = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            flat, at = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(batch.column(3).to_numpy())))
+            width = np.diff(at)
             for w in np.unique(width).tolist():
-                rows = np.flatnonzero(width == w)
-                x = np.stack([flat[at[r] : at[r] + w] for r in rows])
-                cell[rows] = np.argmax(_unit(x) @ pivots[w].T, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cell), pa.array(blobs, pa.binary())], ["id", "width", "cell", "vector"])
-
-    dealt = materialise(own.mapInArrow(cells, "id long, width int, cell long, vector binary"), "cells")
-    sizes, blocks = dealt.groupBy("width", "cell").agg(F.count("*").alias("n")).orderBy("width", "cell").collect(), []
-    for r in sizes:
-        blocks += [(r.width, r.cell, s) for s in range(-(-r.n // BLOCK))]
-    per_cell = F.broadcast(spark.createDataFrame([(r.width, r.cell, -(-r.n // BLOCK)) for r in sizes], "width int, cell long, subs long"))
-    number = {b: k for k, b in enumerate(blocks)}
-    width_of = [w for w, _, _ in blocks]
+                of_width = np.flatnonzero(width == w)
+                for rows in np.array_split(of_width, -(-len(of_width) // 1024)):
+                    x = np.stack([flat[at[r] : at[r] + w] for r in rows]).astype(kind)
+                    cos = _unit(x) @ pivots[w].T
+                    cell[rows] = np.argmax(cos, 1)
+                    far[rows] = _apart(cos.max(1), _error(w))
+                    for r, blob in zip(rows.tolist(), x, strict=True):
+                        blobs[r] = blob.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(cell), pa.array(far), pa.array(blobs, pa.binary())], ["id", "copies", "width", "cell", "far", "vector"])
+
+    dealt = materialise(groups.select("id", "copies", "vector", F.size("vector").alias("width")).mapInArrow(cells, "id long, copies long, width int, cell long, far double, vector binary"), "cells")
+    n_of, radius = {w: np.zeros(len(p), np.int64) for w, p in pivots.items()}, {w: np.zeros(len(p)) for w, p in pivots.items()}
+    # as many rows as pivots
+    for r in dealt.groupBy("width", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():
+        n_of[r.width][r.cell], radius[r.width][r.cell] = r.n, r.radius
+    subs = {w: -(-n // BLOCK) for w, n in n_of.items()}
+    first, at = {}, 0
+    for w in sorted(subs):
+        first[w] = at + np.cumsum(subs[w]) - subs[w]
+        at += int(subs[w].sum())
+    places = [(w, c, int(subs[w][c]), int(first[w][c])) for w in subs for c in range(len(subs[w])) if subs[w][c]]
+    per_cell = F.broadcast(spark.createDataFrame(places, "width int, cell long, subs long, first long"))
+    reach = math.sqrt(2 - 2 * cosine)
 
     def build(table: pa.Table) -> pa.Table:
         ids, w = table["id"].to_numpy(), table["width"][0].as_py()
-        x = np.frombuffer(b"".join(b.as_py() for b in table["vector"]), np.float64).reshape(-1, w)
+        x = np.frombuffer(b"".join(b.as_py() for b in table["vector"]), kind).reshape(-1, w)
         order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        middle = _unit(x).mean(0, keepdims=True)
-        middle = _unit(middle) if np.linalg.norm(middle) > 1e-6 else _unit(x[:1])
-        radius = float(_apart(_unit(x) @ middle[0], _error(w)).max())
-        k = number[w, table["cell"][0].as_py(), table["sub"][0].as_py()]
-        return pa.table({"block": [k], "tree": [pickle.dumps(Tree(ids, x))], "middle": [middle[0].tobytes()], "radius": [radius]})
-
-    sub = F.pmod(F.xxhash64("id"), F.col("subs"))
-    trees = dealt.join(per_cell, ["width", "cell"]).withColumn("sub", sub).groupBy("width", "cell", "sub").applyInArrow(build, "block long, tree binary, middle binary, radius double")
+        tree = Tree(ids[order], x[order], table["copies"].to_numpy()[order])
+        return pa.table({"block": table["block"].slice(0, 1), "width": table["width"].slice(0, 1), "cell": table["cell"].slice(0, 1), "tree": [tree.packed(np.ones(len(ids), bool))]})
+
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("subs"))
+    trees = dealt.join(per_cell, ["width", "cell"]).withColumn("block", block).groupBy("block").applyInArrow(build, "block long, width int, cell long, tree binary")
     trees = materialise(trees, "blocks")
-    balls = {r.block: (np.frombuffer(r.middle, np.float32), r.radius) for r in trees.select("block", "middle", "radius").collect()} if len(blocks) <= BALLS else {}
-    reach = math.sqrt(2 - 2 * cosine)
 
-    def partners(batches):
+    def travel(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, w, cell, tree = row["block"], row["width"], row["cell"], Tree.unpacked(row["tree"])
+                yield _sent(k, False, row["tree"])
+                error, whole = _error(w), np.ones(len(tree.ids), bool)
+                for other in range(k + 1, int(first[w][cell] + subs[w][cell])):
+                    yield _sent(other, True, tree.packed(whole))
+                to_own = tree.unit @ pivots[w][cell]
+                for low in range(0, len(pivots[w]), 1024):
+                    some = pivots[w][low : low + 1024]
+                    cos = tree.unit @ some.T
+                    between = _apart(some @ pivots[w][cell], error)
+                    near = (to_own[:, None] - cos - 4 * error <= (reach + SLACK) * between) & (_apart(cos, -error) - radius[w][low : low + 1024] <= reach + SLACK)
+                    near[:, subs[w][low : low + 1024] == 0] = False
+                    near[:, first[w][low : low + 1024] <= k] = False
+                    for q in np.flatnonzero(near.any(0)).tolist():
+                        part = tree.packed(near[:, q])
+                        for other in range(int(first[w][low + q]), int(first[w][low + q] + subs[w][low + q])):
+                            yield _sent(other, True, part)
+
+    def traverse(batches):
+        block, home = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                k = row["block"]
-                for other in range(len(width_of)):
-                    if width_of[other] != width_of[k]:
-                        continue
-                    if balls and (k not in balls or other not in balls):
-                        continue
-                    if balls and float(_apart(balls[k][0] @ balls[other][0], -_error(width_of[k]))) - balls[k][1] - balls[other][1] > reach + SLACK:
-                        continue
-                    yield pa.RecordBatch.from_pylist([{"lo": min(k, other), "hi": max(k, other), "block": k, "tree": row["tree"]}], schema=_pair_schema)
-
-    def traverse(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        grown = [pickle.loads(r["tree"]) for r in rows]
-        same = len(grown) == 1
-        one, two = grown[0], grown[-1]
-        links, pairs = dual(one, two, cosine, same)
-        if same:
-            ids, n, pairs = one.ids, links[0], pairs % max(len(one.ids), 1)
-        else:
-            ids, n = np.concatenate((one.ids, two.ids)), np.concatenate(links)
-        root = _roots(pairs, len(ids))
-        found = n > 0
-        return pa.table({"id": ids[found], "links": n[found], "to": ids[root][found]})
-
-    pairs = trees.select("block", "tree").mapInArrow(partners, "lo long, hi long, block long, tree binary")
-    found = materialise(pairs.groupBy("lo", "hi").applyInArrow(traverse, "id long, links long, to long"), "links")
+                tree = Tree.unpacked(row["tree"])
+                if not row["guest"]:
+                    block, home = row["block"], tree
+                    yield _found(home, home, cosine)
+                elif block == row["block"]:
+                    yield _found(home, tree, cosine)
+
+    # a block's own tree comes first, the others stream past it; a block that got no vectors gets no own tree
+    sent = trees.mapInArrow(travel, "block long, guest boolean, tree binary").repartition("block").sortWithinPartitions("block", "guest")
+    found = materialise(sent.mapInArrow(traverse, "id long, links long, to long"), "links")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(total, "id", "left").join(comp, "id", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    known = groups.select("k1", "k2", "id", "copies").join(total, "id", "left").join(comp, "id", "left")
+    known = materialise(known.select("k1", "k2", "copies", links.alias("links"), F.coalesce("component", "id").alias("component")), "known")
+    keyed, hot = own.select("id", "k1", "k2"), F.col("copies") * HOT > own.count()
+    many, few = known.where(hot).drop("copies"), known.where(~hot).drop("copies")
+    members = keyed.join(F.broadcast(many), ["k1", "k2"]).unionByName(keyed.join(F.broadcast(many.select("k1", "k2")), ["k1", "k2"], "left_anti").join(few, ["k1", "k2"]))
+    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(members.drop("k1", "k2"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-_pair_schema = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("block", pa.int64()), ("tree", pa.binary())])
+def _sent(block: int, guest: bool, tree: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([guest]), pa.array([tree], pa.binary())], ["block", "guest", "tree"])

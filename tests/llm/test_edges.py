@@ -103,3 +103,41 @@ def test_quality_and_language_on_odd_rows(spark):
     empty = language_id.fit_text(docs.limit(0))
     assert {r.lang for r in language_id.identify(pages, empty).collect()} == {None}
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_vectors_over_many_blocks_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "HOT", 20)
+    r, rows = np.random.default_rng(5), []
+    for _ in range(60):
+        base = r.normal(size=12)
+        for _ in range(r.integers(1, 9)):
+            x = [float(v) for v in np.float32(base + r.normal(size=12) * r.choice([0.0, 0.03, 0.1, 0.2]))]
+            rows += [x] * int(r.choice([1, 1, 1, 2, 40]))
+    rows = list(enumerate(rows)) + [(9000, [1.0] * 5), (9001, [3.0] * 5), (9002, [1.0] * 5)]
+    # a repeated id counts once, with the smallest of its vectors
+    twice = [*rows, (0, [99.0] * 12), rows[7]]
+    for kind in ("float", "double"):
+        got = cover_tree.linked(spark.createDataFrame(twice, f"vec_id long, embedding array<{kind}>")).collect()
+        assert len(got) == len(twice)
+        x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+        linked = lambda a, b: len(x[a]) == len(x[b]) and x[a] @ x[b] >= 0.95  # noqa: E731, B023
+        comp = components_of(list(x), linked)
+        for y in got:
+            assert (y.n_links, y.component_id) == (sum(linked(y.vec_id, i) for i in x if i != y.vec_id), comp[y.vec_id])
+
+
+def test_part_of_a_tree_keeps_links():
+    r = np.random.default_rng(8)
+    base = r.normal(size=(30, 16))
+    x = base[r.integers(0, 30, 400)] + r.normal(size=(400, 16)) * r.choice([0.01, 0.1, 0.25], (400, 1))
+    one, two = cover_tree.Tree(np.arange(200), x[:200]), cover_tree.Tree(np.arange(200, 400), x[200:], np.full(200, 3))
+    for share in (0.0, 0.05, 0.5, 1.0):
+        keep = r.random(200) < share
+        if not keep.any():
+            keep[17] = True
+        part = cover_tree.Tree.unpacked(two.packed(keep))
+        links, _ = cover_tree.dual(one, part, 0.95, False)
+        u = lambda t: t.vectors / np.linalg.norm(t.vectors, axis=1, keepdims=True)
+        want = u(one) @ u(part).T >= 0.95
+        assert (part.ids == two.ids[keep]).all() and (links[0] == 3 * want.sum(1)).all() and (links[1] == want.sum(0)).all()
