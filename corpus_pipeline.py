@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each a training-data operator.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``documents``; the last returns a row per packed piece.
+columns of ``documents``; the last returns a row per packed piece. A row without an id can't be named, so the stages
+that leave documents out by id keep it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over a tenth of their source's documents go, from text and n_chars; rows stay, null texts too."""
+    """Lines on over three tenths of their source's documents (and on two at least) go, from text and n_chars; rows stay, null texts too."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("host"), F.split("text", "\n").alias("lines"))
     out = line_dedup.drop_boilerplate(rows, "host", "lines")
     text = F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row.text"))
@@ -33,9 +34,16 @@ def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a Jaccard similarity of 0.75 of five-word shingles, the one with the smallest id."""
+    """Of each group of documents linked at a Jaccard similarity of 0.75 of five-word shingles, the one with the smallest id.
+
+    Of rows that repeat an id and its text, one stays.
+    """
     classes = jaccard_classes(docs)
-    return without(docs, classes.where("doc_id <> component_id").select("doc_id"))
+    kept = without(docs, classes.where("doc_id <> component_id").select("doc_id"))
+    twice = materialise(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    return without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
