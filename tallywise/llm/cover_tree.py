@@ -200,7 +200,7 @@ def _found(one: Tree, two: Tree, cosine: float) -> pa.RecordBatch:
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector, k1, k2) of the vectors that can link; of rows that repeat an id, the smallest vector counts."""
     v = F.col(vector_col)
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    good = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
     kept = v if single else F.transform(v, lambda x: x.cast("double"))
     own = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), kept.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
@@ -212,7 +212,8 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Vectors that are null or empty, zero, or hold null or non-finite components link with nothing; so do vectors of
     different lengths with each other. Ids are unique (long): a repeated id is one vector, the smallest of its rows, and
-    each of its rows gets the same result. Other columns are ignored.
+    each of its rows gets the same result; a row without an id links with nothing and has neither component nor
+    ``kept``. Other columns are ignored.
     """
     spark = vectors.sparkSession
     own = materialise(distinct_vectors(vectors, id_col, vector_col), "vectors")

@@ -38,8 +38,8 @@ def _bins(s: np.ndarray, size: int) -> np.ndarray:
 class Signatures:
     """Items' shingles, and the values of their signatures: sorted, each with its item."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
+        self.ids = [i for i, _ in items]
         self.items = [u for _, u in items]
         self.partition = np.array([1 << int(len(u) - 1).bit_length() for u in self.items], np.int64)
         values, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -77,7 +77,7 @@ class Signatures:
                 return True
         return False
 
-    def contained(self, s: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+    def contained(self, s: np.ndarray, percent: int) -> Iterator[tuple[int | None, int, int]]:
         """(item id, its shingles, those in the document) of the candidates that are contained."""
         found = self.candidates(s)
         if len(found):
@@ -86,7 +86,7 @@ class Signatures:
                 u = self.items[k]
                 shared = int((whole[np.minimum(np.searchsorted(whole, u), len(whole) - 1)] == u).sum())
                 if 100 * shared >= percent * len(u):
-                    yield int(self.ids[k]), len(u), shared
+                    yield self.ids[k], len(u), shared
 
 
 def item_sets(items: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -107,8 +107,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
     Sets are distinct ``words``-word shingles of lower-cased words; with fewer words, the whole sequence is one
     shingle (so such an item is only found in a document that is that sequence); null and empty texts have none and
-    match nothing. Repeated documents each give their rows; a repeated item id with the same text counts once. Other
-    columns are ignored. Items go out in parts of a bounded number of shingles, with a pass over the documents each.
+    match nothing. Repeated documents each give their rows; a repeated item id with the same text counts once; an id may
+    be null. Other columns are ignored. Items go out in parts of a bounded number of shingles, with a pass over the documents each.
     """
     spark = docs.sparkSession
     sets = materialise(item_sets(items, item_id, item_text, words).dropDuplicates(), "items")
@@ -129,8 +129,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     for item in signatures.contained(s, percent):
                         rows.append(row)
                         got.append(item)
-                ids, sizes, shared = (np.array(x, np.int64) for x in (zip(*got, strict=True) if got else ((), (), ())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, (ids, sizes, shared, shared / np.maximum(sizes, 1)))], [id_col, "item_id", "n_shingles", "n_shared", "containment"])
+                ids = pa.array([k for k, _, _ in got], pa.int64())
+                sizes, shared = (np.array([g[k] for g in got], np.int64) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), ids, *map(pa.array, (sizes, shared, shared / np.maximum(sizes, 1)))], [id_col, "item_id", "n_shingles", "n_shared", "containment"])
 
         some = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, n_shingles long, n_shared long, containment double")
         out = some if out is None else out.unionByName(some)

@@ -455,8 +455,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document's set is its distinct ``words``-word shingles; with fewer words, the whole sequence as one; null and
     empty texts have none, link with nothing and are their own component. Equal sets are one class, whatever the
-    texts. Ids are unique (long); a repeated row is returned as often as it comes. Other columns are ignored. No text
-    is cut, no group is capped. Shingles stand as 64-bit hashes of their words' hashes.
+    texts. Ids are unique (long); a repeated row is returned as often as it comes, and one without an id links with
+    nothing and has no component. Other columns are ignored. No text is cut, no group is capped. Shingles stand as 64-bit hashes of their words' hashes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -472,6 +472,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two)], ["id", "n", "one", "two"])
 
     sets = materialise(texts.mapInArrow(fingerprint, "id long, n long, one long, two long"), "sets")
+    texts, nameless = texts.where("id IS NOT NULL"), sets.where("id IS NULL").select("id", "n", F.col("id").alias("rep"))
+    sets = sets.where("id IS NOT NULL")
     classes = materialise(sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "classes")
     whole = sets.join(classes, ["n", "one", "two"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     whole = materialise(whole, "representatives")
@@ -527,7 +529,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             clusters = extended(clusters, materialise(pairs.distinct(), "forest"))
 
     comp = _components_within(clusters, rep, texts, words, percent)
-    out = whole.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = whole.unionByName(nameless).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 

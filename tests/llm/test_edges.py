@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from tallywise.llm import cover_tree, decontaminate, language_id, line_dedup, quality, reply_trees
+from tallywise.llm.jaccard_join import jaccard_classes
 from tests.llm.brute import components_of, shingle_set
 
 
@@ -141,3 +142,13 @@ def test_part_of_a_tree_keeps_links():
         u = lambda t: t.vectors / np.linalg.norm(t.vectors, axis=1, keepdims=True)
         want = u(one) @ u(part).T >= 0.95
         assert (part.ids == two.ids[keep]).all() and (links[0] == 3 * want.sum(1)).all() and (links[1] == want.sum(0)).all()
+
+
+def test_rows_without_an_id(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, cover_tree.linked(vectors).collect()), key=str) == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, None), (None, 0, None, None)]
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "A b c d e f"), (None, "x y z 1 2 3 4")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_classes(docs).collect()), key=str) == [(1, 2, 1), (2, 2, 1), (None, 0, None), (None, 2, None), (None, 3, None)]
+    items = spark.createDataFrame([(1, "a b c d e f"), (None, "x y z 1 2 3 4"), (None, None)], "item_id long, text string")
+    found = decontaminate.contained_items(docs, items).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found), key=str) == [(1, 1), (2, 1), (None, 1), (None, None)]

@@ -57,3 +57,12 @@ def test_odd_rows_go_through(spark):
         assert corpus_pipeline.benchmark_decontamination(spark, single, SF).count() == df.count()
         assert corpus_pipeline.best_fit_packing(spark, single, SF).count() == (6 if df is docs else 0) or df is docs
         assert corpus_pipeline.quality_classifier(spark, df, SF).columns == docs.columns
+
+
+def test_repeated_rows_of_one_id(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, long), (1, long), (2, long + " x"), (3, "other text of five words"), (3, "other text of five words"), (None, "a"), (None, "a"), (4, None), (4, None), (5, "single")]
+    docs = spark.createDataFrame([(*x, "en", "s", 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, 4, 5, None, None]
