@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .textkit import pieces, run_hashes
 
-CACHED_STRETCHES = 600_000
+CACHED_STRETCHES = 300_000
 SPACE, BREAK, LETTER, DIGIT, MARK, LEAD, OTHER = 0, 1, 2, 3, 4, 5, 6
 KIND = np.full(256, OTHER, np.uint8)
 KIND[0x21:0x7F] = MARK

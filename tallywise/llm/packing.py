@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
                     blobs.append(ids[a:b].astype("<u4").tobytes())
                     held += 4 * (b - a)
                     a, b, piece = b, b + capacity, piece + 1
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield flush()
                     held = 0
             if rows:

@@ -74,8 +74,23 @@ def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
     release()
 
 
+#: Bytes that are hashed at once: hashing takes some 50 bytes for each.
+HASHED = 1 << 18
+
+
 def run_hashes(data: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and byte positions of runs of bytes; ``start`` marks the first byte of each, all ``inside``."""
+    if len(data) <= HASHED:
+        return _run_hashes(data, inside, start)
+    marks = np.flatnonzero(start & inside)
+    place = np.searchsorted(marks, np.arange(HASHED, len(data), HASHED))
+    cuts = np.unique(np.concatenate(([0], marks[place[place < len(marks)]], [len(data)])))
+    parts = [_run_hashes(data[a:b], inside[a:b], start[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    at = [p + a for (_, p), a in zip(parts, cuts[:-1], strict=True)]
+    return np.concatenate([h for h, _ in parts]), np.concatenate(at)
+
+
+def _run_hashes(data: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(inside)
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from tallywise.llm import cover_tree, decontaminate, language_id, line_dedup, quality, reply_trees
+from tallywise.llm import cover_tree, decontaminate, language_id, line_dedup, quality, reply_trees, textkit
 from tallywise.llm.jaccard_join import jaccard_classes
 from tests.llm.brute import components_of, shingle_set
 
@@ -152,3 +152,14 @@ def test_rows_without_an_id(spark):
     items = spark.createDataFrame([(1, "a b c d e f"), (None, "x y z 1 2 3 4"), (None, None)], "item_id long, text string")
     found = decontaminate.contained_items(docs, items).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, found), key=str) == [(1, 1), (2, 1), (None, 1), (None, None)]
+
+
+def test_hashes_of_long_texts_are_those_of_the_whole():
+    r = np.random.default_rng(1)
+    for n in (0, 1, textkit.HASHED, textkit.HASHED + 1, 3 * textkit.HASHED + 17):
+        for share in (0.2, 0.00001):
+            inside, data = r.random(n) < 0.8, r.integers(0, 256, n).astype(np.uint8)
+            start = inside & (r.random(n) < share)
+            start[np.flatnonzero(inside)[:1]] = True
+            for x, y in zip(textkit.run_hashes(data, inside, start), textkit._run_hashes(data, inside, start), strict=True):
+                assert x.dtype == y.dtype and (x == y).all()
