@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, kneser_ney, language_id, line_dedup, packing, quality, reply_trees
+from . import cover_tree, decontaminate, filter_audit, kneser_ney, language_id, line_dedup, packing, quality, reply_trees
 from .jaccard_join import jaccard_classes
 from .shared import materialise
 from .token_counts import token_counts
@@ -193,5 +193,42 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, ["doc_id", "piece"])
 
 
-QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup}
-ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL}
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"), filter_audit.text_filters(F.col("text")), "E")
+
+
+OP11_SQL = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, [CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN own.doc_id > min(own.doc_id) OVER (PARTITION BY t) THEN 'E' END] AS fs, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM own LEFT JOIN said ON said.doc_id = own.doc_id
+), kinds AS (
+  SELECT part, fs, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM fails GROUP BY part, fs
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), met AS (
+  SELECT *, list_min(list_transform(list_filter(fs, lambda f: f IS NOT NULL), lambda f: instr(filter_order, f))) AS hit FROM kinds, orders
+), placed AS (
+  SELECT *, substr(filter_order, step, 1) AS f FROM met, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), out AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN hit IS NULL OR hit > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN hit < step AND list_contains(fs, f) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN list_contains(fs, f) AND len(list_filter(fs, lambda y: y IS NOT NULL)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN hit = step THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN hit = step THEN x ELSE 0 END) AS toxic_lost
+  FROM placed GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM out
+"""
+
+
+QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup, "op11_filter_interaction_audit": op11_filter_interaction_audit}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL}
