@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, filter_audit, kneser_ney, language_id, line_dedup, packing, quality, reply_trees
+from . import cover_tree, decontaminate, filter_audit, kneser_ney, language_id, line_dedup, merkle, packing, quality, reply_trees
 from .jaccard_join import jaccard_classes
 from .shared import materialise
 from .token_counts import token_counts
@@ -230,5 +230,56 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 """
 
 
-QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup, "op11_filter_interaction_audit": op11_filter_interaction_audit}
-ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    changed = {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], changed=changed)
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("tampered"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = """
+WITH RECURSIVE told AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS part, n_chars,
+    concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+      CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+    CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+    list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::UBIGINT)) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, part, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || tail) AS leaf,
+    sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + (xor(crc, 4294967295::UBIGINT) % 7 = 0)::INT)::VARCHAR) || ':' || (n_chars + (xor(crc, 4294967295::UBIGINT) % 7 = 0)::INT) END || tail) AS tampered
+  FROM told
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n FROM leaves
+), tree AS (
+  SELECT part, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT part, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY part, level, pos // 2
+), subroots AS (
+  SELECT part, digest AS subroot, level AS height, row_number() OVER (ORDER BY encode(part)) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2
+), walk AS (
+  SELECT l.doc_id, l.leaf, l.part, l.pos, l.pos AS at, 0 AS level, l.n, l.tampered AS folded, '' AS siblings FROM placed l
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.part, w.pos, w.at // 2, w.level + 1, (w.n + 1) // 2,
+    sha256(CASE WHEN s.digest IS NULL THEN w.folded WHEN w.at % 2 = 1 THEN s.digest || w.folded ELSE w.folded || s.digest END), w.siblings || coalesce(s.digest, '')
+  FROM walk w LEFT JOIN tree s ON s.part = w.part AND s.level = w.level AND s.pos = CASE WHEN w.at % 2 = 1 THEN w.at - 1 ELSE w.at + 1 END WHERE w.n > 1
+), onward AS (
+  SELECT w.doc_id, w.leaf, r.subroot, r.pos AS at, 0 AS level, r.n, w.folded, w.siblings FROM walk w JOIN subroots r ON r.part = w.part WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.subroot, w.at // 2, w.level + 1, (w.n + 1) // 2,
+    sha256(CASE WHEN s.digest IS NULL THEN w.folded WHEN w.at % 2 = 1 THEN s.digest || w.folded ELSE w.folded || s.digest END), w.siblings || coalesce(s.digest, '')
+  FROM onward w LEFT JOIN upper s ON s.level = w.level AND s.pos = CASE WHEN w.at % 2 = 1 THEN w.at - 1 ELSE w.at + 1 END WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM onward, (SELECT digest AS root FROM upper WHERE n = 1) WHERE n = 1
+"""
+
+
+QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup, "op11_filter_interaction_audit": op11_filter_interaction_audit, "op12_merkle_manifest": op12_merkle_manifest}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
