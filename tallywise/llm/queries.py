@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, filter_audit, kneser_ney, language_id, line_dedup, merkle, packing, quality, reply_trees
+from . import cover_tree, decontaminate, filter_audit, kneser_ney, language_id, line_dedup, merkle, packing, quality, reply_trees, warc
 from .jaccard_join import jaccard_classes
-from .shared import materialise
+from .shared import materialise, new_folder
 from .token_counts import token_counts
 
 
@@ -281,5 +281,22 @@ FROM onward, (SELECT digest AS root FROM upper WHERE n = 1) WHERE n = 1
 """
 
 
-QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup, "op11_filter_interaction_audit": op11_filter_interaction_audit, "op12_merkle_manifest": op12_merkle_manifest}
-ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP13_SQL = """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN strlen(html) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(html) >= 1000 AND page_id < last THEN last END AS refers_to
+FROM own
+"""
+
+
+QUERIES = {"op1_embedding_near_dedup": op1_embedding_near_dedup, "op5_quality_classifier": op5_quality_classifier, "op8_language_id": op8_language_id, "op9_benchmark_decontamination": op9_benchmark_decontamination, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_best_fit_packing": op10_best_fit_packing, "op3_lm_scoring": op3_lm_scoring, "op4_token_counts": op4_token_counts, "op6_reply_trees": op6_reply_trees, "op7_line_dedup": op7_line_dedup, "op11_filter_interaction_audit": op11_filter_interaction_audit, "op12_merkle_manifest": op12_merkle_manifest, "op13_warc": op13_warc}
+ORACLES = {"op1_embedding_near_dedup": OP1_SQL, "op9_benchmark_decontamination": OP9_SQL, "op2_ngram_jaccard_join": OP2_SQL, "op6_reply_trees": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc": OP13_SQL}
