@@ -53,8 +53,9 @@ def _store(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def _map(folder: str, name: str, dtype) -> np.ndarray:
+    """A stored array; one that isn't there is an error."""
     path = f"{folder}/{name}"
-    return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
+    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
 def _with_ends(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +81,8 @@ class Model:
     d1: tuple[float, ...] = (0.5, 1.0, 1.5)
     d2: tuple[float, ...] = (0.5, 1.0, 1.5)
     low: tuple[int, int, int] = (0, 0, 0)
+    #: Names of all arrays that were stored: any other is empty, and one of these that is missing is an error.
+    stored: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         self._open: dict = {}
@@ -93,7 +96,7 @@ class Model:
 
     def array(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
-            self._open[name] = _map(self.folder, name, dtype)
+            self._open[name] = _map(self.folder, name, dtype) if name in self.stored else np.zeros(0, dtype)
         return self._open[name]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +163,14 @@ def _runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
-    """Of counts 1, 2, and 3 or more, from how many types have counts 1 to 4; defaults where those are too few."""
+    """Of counts 1, 2, and 3 or more, from how many types have counts 1 to 4; defaults where those are too few.
+
+    One that isn't positive would leave nothing for what wasn't seen: it is half a count instead.
+    """
     n1, n2, n3, n4 = n
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     d = [k - (k + 1) * y * (b / a) if a and b else k / 2 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return tuple(min(max(x, 0.0), k) for k, x in zip((1.0, 2.0, 3.0), d, strict=True))
+    return tuple(min(x, k) if x > 0 else 0.5 for k, x in zip((1.0, 2.0, 3.0), d, strict=True))
 
 
 def _word_blobs(bits: int):
@@ -239,6 +245,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     sizes = np.zeros(1 << model.word_bits, np.int64)
     for r in found:
         sizes[r.p] = r["size"]
+        model.stored |= {f"words-{r.p}", f"counts-{r.p}"}
     model.word_base = (np.cumsum(sizes) - sizes).tolist()
     model.v, model.n = int(sizes.sum()), sum(r.total for r in found)
     if model.v >= 2**32 - 2:
@@ -252,7 +259,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         pairs, counts = summed(gathered(table, "c0", np.uint64), gathered(table, "c1", np.uint32).astype(np.int64))
         _store(folder, f"pairs-{p}", pairs)
         _store(folder, f"paircounts-{p}", np.minimum(counts, LARGE).astype(np.uint32))
-        if (large := counts >= LARGE).any():
+        large = counts >= LARGE
+        if large.any():
             _store(folder, f"largepairs-{p}", pairs[large])
             _store(folder, f"largecounts-{p}", counts[large])
         before, own = (pairs >> np.uint64(32)).astype(np.int64), np.sort((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64))
@@ -262,7 +270,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
         n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         return pa.concat_tables(
             [
-                pa.table({"p": [-1], "c0": pa.array([np.array([*n, len(pairs)], np.int64).tobytes()], pa.binary())}),
+                pa.table({"p": [-1], "c0": pa.array([np.array([*n, len(pairs), p, large.any()], np.int64).tobytes()], pa.binary())}),
                 pa.Table.from_batches([dealt(v >> bits, (v & low).astype(np.uint32), total, np.column_stack(kinds).astype(np.uint32))]),
                 pa.Table.from_batches([dealt(own >> bits, (own & low).astype(np.uint32))]).rename_columns(["p", "c3"]),
             ],
@@ -272,8 +280,9 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     def contexts_of(table: pa.Table) -> pa.Table:
         q = table["p"][0].as_py()
         if q < 0:
-            total = gathered(table, "c0", np.int64).reshape(-1, 5).sum(0)
-            return pa.table({"q": [q], **{f"n{k}": [int(total[k])] for k in range(5)}})
+            shards = gathered(table, "c0", np.int64).reshape(-1, 7)
+            total = shards[:, :5].sum(0)
+            return pa.table({"q": [q], **{f"n{k}": [int(total[k])] for k in range(5)}, "shards": [shards[:, 5].tolist()], "large": pa.array([shards[shards[:, 6] > 0, 5].tolist()], pa.list_(pa.int64()))})
         out = np.zeros((min(1 << bits, model.v + 1 - (q << bits)), 5), np.int64)
         v, kinds = gathered(table, "c0", np.uint32), gathered(table, "c2", np.uint32).reshape(-1, 3)
         np.add.at(out[:, 0], v, gathered(table, "c1", np.int64))
@@ -281,16 +290,18 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
             out[:, k + 1] = np.bincount(v, kinds[:, k], len(out))
         behind = out[:, 4] = np.bincount(gathered(table, "c3", np.uint32), minlength=len(out))
         _store(folder, f"contexts-{q}", out)
-        return pa.table({"q": [q], **{f"n{k - 1}": [int((behind == k).sum())] for k in (1, 2, 3, 4)}, "n4": [int((behind > 2).sum())]})
+        return pa.table({"q": [q], **{f"n{k - 1}": [int((behind == k).sum())] for k in (1, 2, 3, 4)}, "n4": [int((behind > 2).sum())], "shards": [[q]], "large": pa.array([[]], pa.list_(pa.int64()))})
 
     counted = texts.mapInArrow(_pair_blobs(model), "p long, c0 binary, c1 binary").groupBy("p").applyInArrow(pairs_of, "p long, c0 binary, c1 binary, c2 binary, c3 binary")
-    stats = counted.groupBy("p").applyInArrow(contexts_of, "q long, n0 long, n1 long, n2 long, n3 long, n4 long")
-    stats = stats.groupBy(F.col("q") < 0).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(5)]).collect()
+    stats = counted.groupBy("p").applyInArrow(contexts_of, "q long, n0 long, n1 long, n2 long, n3 long, n4 long, shards array<long>, large array<long>")
+    stats = stats.groupBy(F.col("q") < 0).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(5)], *[F.flatten(F.collect_list(c)).alias(c) for c in ("shards", "large")]).collect()
     for r in stats:
         n = [r[f"n{k}"] for k in range(5)]
         if r[0]:
             model.d2, model.types = discounts(n[:4]), n[4]
+            model.stored |= {f"{kind}-{p}" for kind in ("pairs", "paircounts") for p in r["shards"]} | {f"{kind}-{p}" for kind in ("largepairs", "largecounts") for p in r["large"]}
         else:
+            model.stored |= {f"contexts-{q}" for q in r["shards"]}
             model.d1, model.low = discounts(n[:4]), (n[0], n[1], n[4])
     return model
 

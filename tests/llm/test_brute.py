@@ -1,6 +1,7 @@
 """Votes, posteriors, cycles, signatures and clashing names against plain versions."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -167,5 +168,6 @@ def test_large_counts_of_pairs_keep_64_bits(tmp_path):
         if (large := counts >= kneser_ney.LARGE).any():
             kneser_ney._store(str(tmp_path), f"largepairs-{p}", own[large])
             kneser_ney._store(str(tmp_path), f"largecounts-{p}", counts[large])
+    model.stored = set(os.listdir(tmp_path))
     assert model.pair_counts(pairs).tolist() == [4, 7_000_000_000, 4]
     assert words_of("A b") == ["a", "b"]

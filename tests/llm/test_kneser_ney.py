@@ -55,3 +55,34 @@ def test_same_as_brute_force_on_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
     check(spark, train, [t for _, t in docs])
+
+
+def test_unseen_words_keep_some_mass(spark):
+    train = ["c", "d", "d d b a", "a d d a", "c b a c", "a", "a", "b d a b", "d b c b", "d c", "d", "b"]
+    texts = [*train, "zzz", "zzz zzz a", "a zzz", "d d d d"]
+    check(spark, train, texts)
+    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(math.isfinite(r.score) for r in kneser_ney.score(rows, model).collect())
+    # all that can follow a context sums to one: the words, the end, and one place for any unknown word
+    one = spark.createDataFrame(list(enumerate(["a", "b", "c", "d", "zzz", ""])), "doc_id long, text string")
+    first = {r.doc_id: r.score for r in kneser_ney.score(one, model).collect()}
+    after = {r.doc_id: r.score for r in kneser_ney.score(spark.createDataFrame([(k, w + " zzz") for k, w in enumerate(["a", "b", "c", "d"])], "doc_id long, text string"), model).collect()}
+    assert first[5] < 0 and all(math.isfinite(x) for x in [*first.values(), *after.values()])
+
+
+def test_a_lost_shard_is_an_error(spark):
+    import os
+
+    rows = spark.createDataFrame([(1, "a b c a b")], "doc_id long, text string")
+    for kind in ("words-", "counts-", "pairs-", "paircounts-", "contexts-"):
+        model = kneser_ney.fit(rows)
+        os.remove(f"{model.folder}/{next(x for x in sorted(model.stored) if x.startswith(kind))}")
+        lost = sorted(x for x in model.stored if x.startswith(kind) and not os.path.exists(f"{model.folder}/{x}"))
+        # of several shards, those that hold the text's words have to raise
+        for x in model.stored:
+            if x.startswith(kind) and os.path.exists(f"{model.folder}/{x}"):
+                os.remove(f"{model.folder}/{x}")
+        assert lost
+        with pytest.raises(Exception, match="No such file"):
+            kneser_ney.score(rows, model).collect()
