@@ -64,18 +64,27 @@ class Signatures:
         at = np.repeat(near, hi - lo)
         size = self.partition[item]
         head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (size[1:] != size[:-1])))) if len(at) else at
-        agrees = np.array([self._agrees(s, a, b) for a, b in zip(at[head].tolist(), size[head].tolist(), strict=True)], bool)
+        agrees = self._agreeing(s, at[head], size[head])
         return np.unique(item[np.repeat(agrees, np.diff(np.append(head, len(at))))])
 
     @staticmethod
-    def _agrees(s: np.ndarray, at: int, size: int) -> bool:
-        """Whether the shingle at this place is its bin's value in a window of the partition that holds it."""
-        own = _bins(s[at : at + 1], size)
-        for first in (at // size - 1, at // size):
-            window = s[max(0, first * size) : (first + 2) * size]
-            if window[_bins(window, size) == own].min() == s[at]:
-                return True
-        return False
+    def _agreeing(s: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the shingle at each place (ascending) is its bin's value in a window of the partition that holds it.
+
+        A window's values are computed once, however many places it holds.
+        """
+        out = np.zeros(len(at), bool)
+        for z in np.unique(size).tolist():
+            own = np.flatnonzero(size == z)
+            for back in (1, 0):
+                nth = at[own] // z - back
+                cuts = np.flatnonzero(np.concatenate(([True], nth[1:] != nth[:-1])))
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(own)).tolist(), strict=True):
+                    first = int(nth[a])
+                    window = np.unique(s[max(0, first * z) : (first + 2) * z])
+                    _, least = np.unique(_bins(window, z), return_index=True)
+                    out[own[a:b]] |= np.isin(s[at[own[a:b]]], window[least])
+        return out
 
     def contained(self, s: np.ndarray, percent: int) -> Iterator[tuple[int | None, int, int]]:
         """(item id, its shingles, those in the document) of the candidates that are contained."""
