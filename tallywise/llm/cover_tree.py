@@ -204,6 +204,10 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFr
     single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
     kept = v if single else F.transform(v, lambda x: x.cast("double"))
     own = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), kept.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
+    if not single:
+        # squares of such components would overflow or vanish; cosines don't depend on the scale
+        most = F.array_max(F.transform("vector", F.abs))
+        own = own.withColumn("vector", F.when((most > 1e100) | (most < 1e-100), F.transform("vector", lambda x: x / most)).otherwise(F.col("vector")))
     return own.select("id", "vector", F.xxhash64("vector").alias("k1"), F.xxhash64("vector", F.lit(1)).alias("k2"))
 
 

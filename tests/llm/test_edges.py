@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -163,3 +164,19 @@ def test_hashes_of_long_texts_are_those_of_the_whole():
             start[np.flatnonzero(inside)[:1]] = True
             for x, y in zip(textkit.run_hashes(data, inside, start), textkit._run_hashes(data, inside, start), strict=True):
                 assert x.dtype == y.dtype and (x == y).all()
+
+
+def test_vectors_of_extreme_scale(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e198]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [1e-310, 1e-310]), (8, [0.0, 0.0])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in cover_tree.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {k: (4, 1) for k in range(1, 6)} | {6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_an_item_that_a_document_repeats_for_long():
+    r = np.random.default_rng(3)
+    item = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+    signatures = decontaminate.Signatures([(1, item), (2, item[:7]), (3, r.integers(0, 1 << 63, 50).astype(np.uint64))])
+    doc = np.concatenate((r.integers(0, 1 << 63, 1000).astype(np.uint64), np.full(500_000, item[5]), r.permutation(item), np.tile(item[:9], 5_000)))
+    began = time.time()
+    assert {(a, n, k) for a, n, k in signatures.contained(doc, 75)} == {(1, len(item), len(item)), (2, 7, 7)}
+    assert time.time() - began < 60
