@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import nfkc
+from ..sources.store import materialise
 
 # Phrases of page groups (match form), picks per group in priority order.
 GROUPS = {
@@ -29,29 +36,75 @@ def parts_to_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("rank", rank).join(before, ["doc_id", "part"]).withColumn("page", F.col("before") + F.col("rank")).drop("before", "rank")
 
 
-def html_text(html: Column) -> Column:
-    """SRC2: visible text: no scripts, styles or headers; block tags end lines, cells end with a space; brackets are
-    glued to digits and blanks collapsed."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|head[^>]*>.*?</head>|!--.*?-->)", " ")
-    t = F.regexp_replace(t, r"(?i)</t[dh]>", " ")
-    t = F.regexp_replace(t, r"(?i)<br[^>]*>|</?(?:p|div|tr|table|li|ul|ol|h[1-6]|article|section|nav)(?:\s[^>]*)?>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r"\(\s+", "("), r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+# Tags whose style breaks the page, what is no text, and tags that end a line or a cell.
+PAGE_BREAK = r'(?i)<[^>]+style="[^"]*(?:page-break-(?:before|after)\s*:\s*always|break-(?:before|after)\s*:\s*page)[^"]*"[^>]*>'
+TAGGED_HEADER = r"(?is)<ix:header\b.*?</ix:header>"
+NO_TEXT = r"(?is)<(?:script\b.*?</script|style\b.*?</style|ix:header\b.*?</ix:header)>"
+LINE_END, CELL_END = r"(?i)</(?:tr|p|div|h[1-6]|li|table)>|<br\s*/?>", r"(?i)</t[dh]>"
+#: Characters of a chunk, and pages under which a document is cut into chunks instead.
+CHUNK, FEWEST_PAGES = 6000, 3
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
 
 
-def chunks(text: Column, limit: int = 6000) -> Column:
-    """SRC3: lines packed in order into chunks of at most ``limit`` characters; a longer line stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def html_text(part: Column) -> Column:
+    """SRC2: the text of a piece of HTML: no scripts or styles, a line for each block, a space after each cell, all named
+    and numeric entities resolved, brackets glued to their numbers, blanks and empty lines collapsed, folded (FN1)."""
+    t = F.regexp_replace(F.coalesce(part, F.lit("")), NO_TEXT, " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, LINE_END, "\n"), CELL_END, " "), r"<[^>]+>", "")
+    t = F.regexp_replace(_unescaped(t), r"[ \t\u00a0]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\(\s+(?=\d)", "("), r"(?U)(?<=\d)\s+\)", ")")
+    t = nfkc(F.regexp_replace(t, r"(?U)\n\s*\n", "\n"))
+    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
-    def add(a, line):
-        fits = (F.length(a["open"]) + F.length(line) + 1 <= limit) | (a["open"] == "")
-        joined = F.when(a["open"] == "", line).otherwise(F.concat_ws("\n", a["open"], line))
-        return F.struct(F.when(fits, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(fits, joined).otherwise(line).alias("open"))
 
-    return F.aggregate(F.split(text, "\n"), start, add, lambda a: F.filter(F.concat(a["done"], F.array(a["open"])), lambda x: x != ""))
+def html_pages(docs: DataFrame, html_col: str = "html", limit: int = CHUNK) -> DataFrame:
+    """SRC2 and SRC3: (doc_id, page, text), pages from 1. Documents (doc_id, unique, and their HTML) are cut at the tags
+    that break pages; parts without text are no pages; a document with under three pages is chunked by lines instead.
+
+    A document without any text (null too) is one page of an empty line.
+    """
+    whole = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), TAGGED_HEADER, " ")
+    parts = docs.select("doc_id", F.posexplode(F.split(whole, PAGE_BREAK)).alias("nth", "part"))
+    parts = materialise(parts.select("doc_id", "nth", html_text(F.col("part")).alias("text")).where("text <> ''"), "html-parts")
+    counted = parts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    enough = counted.where(F.col("n") >= FEWEST_PAGES).select("doc_id")
+    page = F.row_number().over(Window.partitionBy("doc_id").orderBy("nth"))
+    paged = parts.join(enough, "doc_id", "left_semi").select("doc_id", page.alias("page"), "text")
+    few = parts.join(enough, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("nth", "text")))["text"], "\n").alias("text"))
+    bare = docs.select("doc_id").join(counted, "doc_id", "left_anti").select("doc_id", F.lit("").alias("text"))
+    return paged.unionByName(chunks(few.unionByName(bare), limit))
+
+
+def chunks(texts: DataFrame, limit: int = CHUNK) -> DataFrame:
+    """SRC3: (doc_id, page, text) of texts (doc_id, text) as whole lines, in order, in chunks of at most ``limit``
+    characters but for the last line break; a longer line stands alone. Each line of a chunk ends in a line break.
+
+    Where the chunk that begins at a line would end is known for all lines at once, from running sums of their lengths;
+    the lines at which chunks do begin are found from the first by pointers that double their reach in each round.
+    """
+    lines = texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "line"))
+    in_order = Window.partitionBy("doc_id").orderBy("nth")
+    size = F.length("line").cast("long") + 1
+    lines = materialise(lines.withColumn("begin", F.sum(size).over(in_order) - size), "lines")
+    ends = lines.groupBy("doc_id").agg((F.max("nth") + 1).alias("nth"), F.max(F.col("begin") + size).alias("begin"))
+    # the last place that begins within a chunk's room after this line: there the next chunk begins
+    room = Window.partitionBy("doc_id").orderBy("begin").rangeBetween(0, limit + 1)
+    places = lines.select("doc_id", "nth", "begin").withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True)))
+    jump = places.withColumn("to", F.greatest(F.max("nth").over(room), F.col("nth") + 1)).where("NOT last").select("doc_id", "nth", "to")
+    jump = materialise(jump.join(ends.select("doc_id", F.col("nth").alias("end")), "doc_id").where(F.col("to") < F.col("end")).drop("end"), "chunk-ends")
+    starts = lines.where("nth = 0").select("doc_id", "nth")
+    while not jump.isEmpty():
+        starts = materialise(starts.unionByName(starts.join(jump, ["doc_id", "nth"]).select("doc_id", F.col("to").alias("nth"))), "chunk-starts")
+        onward = jump.select("doc_id", F.col("nth").alias("to"), F.col("to").alias("beyond"))
+        jump = materialise(jump.join(onward, ["doc_id", "to"]).select("doc_id", "nth", F.col("beyond").alias("to")), "chunk-ends")
+    told = lines.join(starts.withColumn("opens", F.lit(1)), ["doc_id", "nth"], "left")
+    told = told.withColumn("page", F.count("opens").over(in_order).cast("int"))
+    own = F.array_join(F.array_sort(F.collect_list(F.struct("nth", "line")))["line"], "\n")
+    return told.groupBy("doc_id", "page").agg(F.concat(own, F.lit("\n")).alias("text"))
 
 
 def readability(pages: DataFrame) -> DataFrame:

@@ -25,17 +25,55 @@ def src1(spark, sf):
     return pg.parts_to_pages(_lines(spark, sf)).select("doc_id", "part", "part_page", "page", F.length("text").alias("n"))
 
 
-@query("src2_html_text", r"""WITH t1 AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|head[^>]*>.*?</head>|!--.*?-->)', ' ', 'g') AS t FROM pages),
-t2 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)</t[dh]>', ' ', 'g'), '(?i)<br[^>]*>|</?(?:p|div|tr|table|li|ul|ol|h[1-6]|article|section|nav)(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM t1),
-t3 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM t2)
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\(\s+', '(', 'g'), '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')) AS text FROM t3""")
+#: Entities that the data holds, in SQL.
+ENTITIES = {"&nbsp;": "chr(160)", "&middot;": "'·'", "&copy;": "'©'", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#39;": "chr(39)", "&#233;": "'é'", "&#xE9;": "'é'", "&eacute;": "'é'", "&amp;": "'&'"}
+PAGE_BREAK = r'(?i)<[^>]+style="[^"]*(?:page-break-(?:before|after)\s*:\s*always|break-(?:before|after)\s*:\s*page)[^"]*"[^>]*>'
+
+
+def _text_sql(part: str) -> str:
+    """SRC2's text of a piece of HTML, in SQL."""
+    t = rf"regexp_replace({part}, '(?is)<(?:script\b.*?</script|style\b.*?</style|ix:header\b.*?</ix:header)>', ' ', 'g')"
+    t = rf"regexp_replace(regexp_replace(regexp_replace({t}, '(?i)</(?:tr|p|div|h[1-6]|li|table)>|<br\s*/?>', chr(10), 'g'), '(?i)</t[dh]>', ' ', 'g'), '<[^>]+>', '', 'g')"
+    for name, char in ENTITIES.items():
+        t = f"replace({t}, '{name}', {char})"
+    t = rf"regexp_replace(regexp_replace(regexp_replace({t}, '[ \t\x{{00a0}}]+', ' ', 'g'), '\(\s+([0-9])', '(\1', 'g'), '([0-9])\s+\)', '\1)', 'g')"
+    return rf"regexp_replace(regexp_replace({t}, '\n\s*\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("src2_html_text", f"""SELECT page_id, {_text_sql("coalesce(html, '')")} AS text FROM pages""")
 def src2(spark, sf):
     return read(spark, sf, "SELECT page_id, html FROM pages").select("page_id", pg.html_text(F.col("html")).alias("text"))
 
 
-@query("src3_chunks")
+# a filing's HTML: lines as rows of a table or as paragraphs, some of which break the page, one letter written in four ways
+view(
+    "html_filings",
+    r"""SELECT doc_id, '<html><ix:header>hidden ' || source || '</ix:header><style>p { color: red }</style><body><div>' || CASE WHEN doc_id % 3 = 0
+    THEN replace(t, chr(10), '</td><td>( 12 )</td></tr><tr style="color:red; PAGE-BREAK-before : always"><td>') WHEN doc_id % 3 = 1 THEN replace(t, chr(10), '</p><p style="margin:0">')
+    ELSE replace(t, '. ', '.</p><hr class="x" style="break-after:page"/><script>var a = 1 < 2;</script><p>') END || '</div></body></html>' AS html
+  FROM (SELECT doc_id, source, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), 'é', CASE doc_id % 4 WHEN 0 THEN '&#233;' WHEN 1 THEN '&#xE9;' WHEN 2 THEN '&eacute;' ELSE 'é' END) AS t FROM documents)""",
+)
+view("o_html_parts", rf"""SELECT doc_id, nth, text FROM (SELECT doc_id, nth, {_text_sql("part")} AS text FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS nth
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(html, '(?is)<ix:header\b.*?</ix:header>', ' ', 'g'), '{PAGE_BREAK}') AS parts FROM html_filings))) WHERE text <> ''""")
+
+
+def _chunks_sql(texts: str) -> str:
+    """Lines into chunks one after the other, in SQL."""
+    return f"""cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {texts}), walk AS (
+    SELECT doc_id, 1 AS i, 1 AS page, length(ls[1]) + 1 AS used FROM cut
+    UNION ALL SELECT w.doc_id, i + 1, CASE WHEN used + length(ls[i + 1]) > 6000 THEN page + 1 ELSE page END, CASE WHEN used + length(ls[i + 1]) > 6000 THEN 0 ELSE used END + length(ls[i + 1]) + 1 FROM walk w JOIN cut ON cut.doc_id = w.doc_id WHERE i < len(ls)
+  ), chunked AS (SELECT w.doc_id, page, string_agg(ls[i] || chr(10), '' ORDER BY i) AS text FROM walk w JOIN cut ON cut.doc_id = w.doc_id GROUP BY w.doc_id, page)"""
+
+
+@query("src2_src3_html_pages", f"""WITH RECURSIVE few AS (SELECT d.doc_id, coalesce(string_agg(text, chr(10) ORDER BY nth), '') AS text FROM (SELECT doc_id FROM documents) d LEFT JOIN o_html_parts p ON p.doc_id = d.doc_id GROUP BY d.doc_id HAVING count(nth) < 3), {_chunks_sql("few")}
+SELECT doc_id, page::INT AS page, text FROM chunked UNION ALL SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth))::INT, text FROM o_html_parts WHERE doc_id NOT IN (SELECT doc_id FROM few)""")
+def src2_pages(spark, sf):
+    return pg.html_pages(load(spark, sf, "html_filings"))
+
+
+@query("src3_chunks", f"WITH RECURSIVE {_chunks_sql('documents')} SELECT doc_id, page::INT AS page, text FROM chunked")
 def src3(spark, sf):
-    return read(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", F.posexplode(pg.chunks(F.col("text"))).alias("page", "text"))
+    return pg.chunks(read(spark, sf, "SELECT doc_id, text FROM documents"))
 
 
 @query("src4_readability", f"SELECT doc_id, NOT bool_or(trim(text) <> '') AS empty, coalesce(avg(CASE WHEN part_page <= 20 THEN CASE WHEN length(text) > 200 THEN 1 ELSE 0 END END) <= 0.5, NULL) AS scanned FROM {O_PAGES} GROUP BY doc_id")

@@ -97,8 +97,9 @@ def with_views(sql: str) -> str:
     """The text with the views it needs in front, as one statement."""
     parts = [f"{v} AS ({VIEWS[v]})" for v in deps(sql)]
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return "WITH " + ", ".join([*parts, body[5:]])
+    head = re.match(r"(?i)WITH (RECURSIVE )?", body)
+    if head:
+        return head[0] + ", ".join([*parts, body[head.end() :]])
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 

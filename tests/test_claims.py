@@ -83,12 +83,6 @@ def test_merged_candidates(spark):
     assert sorted((r.value, r.votes, r.label) for r in answer_key.merged(df).collect()) == [(1000.0, 2, "x"), (5000.0, 2, "y"), (5100.0, 1, "w")]
 
 
-def test_chunks_keep_lines_whole_and_in_order(spark):
-    lines = ["a" * 40, "b" * 59, "c", "d" * 150, "e", "", "f" * 99]
-    got = one(spark, pages.chunks(F.col("t"), 100), t="\n".join(lines))
-    assert got == ["a" * 40 + "\n" + "b" * 59, "c", "d" * 150, "e\n", "f" * 99]
-    assert one(spark, pages.chunks(F.col("t"), 100), t="") == []
-
 
 def test_context_has_pages_in_order(spark):
     p = spark.createDataFrame([("d", k, f"text {k}") for k in (1, 2, 10)] + [("e", 1, "other")], "doc_id string, page int, text string")
