@@ -60,6 +60,11 @@ def same_end(a: Column, b: Column, days: int = 7) -> Column:
     return F.coalesce(F.abs(F.datediff(a, b)) <= days, F.lit(False))
 
 
+def inside_period(claims: DataFrame) -> DataFrame:
+    """VER2: the claims that end when their document does."""
+    return claims.where(same_end(F.col("period_end").try_cast("date"), F.col("doc_end")))
+
+
 def dedup(claims: DataFrame) -> DataFrame:
     """VER2 and VER3: adds ``dropped``: null for the first claim of a (doc, field, period type) at the document's end,
     else 'period' or 'duplicate'. Input order is ``seq``."""
@@ -145,11 +150,51 @@ def quote_ratio(q: pd.Series, t: pd.Series) -> pd.Series:
     return pd.Series([1.0 if a and a in b else 0.99 if a and in_pieces(a, b) else likeness(a, b) for a, b in zip(q.fillna(""), t.fillna(""), strict=True)])
 
 
+#: Length of the grams by which lost quotes and pages meet.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """All stretches of GRAM characters, one from each place."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def needed_grams(n: Column) -> Column:
+    """Of how many places of a stretch of n characters of a page, at least, the grams are a quote's of n characters where
+    the quote can be found there (VER4-VER6).
+
+    A ratio of 0.9 with a window of n characters leaves n / 10 characters unmatched on either side, so the rest is in at
+    most n / 5 + 1 stretches, each of which loses two grams: 0.9 n - 2 (0.2 n + 1). A whole page shorter than the quote
+    matches in 0.81 n characters at least and as many stretches. Of three pieces one has n / 3 characters at least.
+    """
+    return F.greatest(F.lit(1), F.ceil(n / 3) - 2)
+
+
+def may_be_alike(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """VER6: ``quotes`` (doc_id, seq, q and more) with those pages (doc_id, try_page, match_text) of their document of
+    which some stretch shares enough grams with them; no page on which a quote is found is lost.
+
+    Quotes and pages meet by an equi-join of their grams. Places are counted by stretches of the quote's length, since
+    any window lies in two neighbouring ones. A quote shorter than a gram only comes with pages that hold it.
+    """
+    asked = materialise(quotes.where(F.length("q") >= GRAM), "lost-quotes")
+    on = pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = on.select("doc_id", "try_page", F.posexplode(grams(F.col("match_text"))).alias("at", "gram"))
+    places = asked.select("doc_id", "seq", F.length("q").alias("n"), F.explode(F.array_distinct(grams(F.col("q")))).alias("gram"))
+    pair = ["doc_id", "seq", "try_page", "n"]
+    met = held.join(places, ["doc_id", "gram"]).groupBy(*pair, F.floor(F.col("at") / F.col("n")).alias("stretch")).agg(F.count("*").alias("places"))
+    met = met.select(*pair, "places", F.explode(F.array(F.col("stretch"), F.col("stretch") - 1)).alias("stretch")).groupBy(*pair, "stretch").agg(F.sum("places").alias("places"))
+    near = met.where(F.col("places") >= needed_grams(F.col("n"))).select("doc_id", "seq", "try_page").distinct()
+    kept = asked.join(near, ["doc_id", "seq"]).join(pages, ["doc_id", "try_page"])
+    short = quotes.where(F.length("q") < GRAM).join(pages, "doc_id").where(F.contains("match_text", "q"))
+    return kept.unionByName(short)
+
+
 def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """C1 (VER4-VER8): adds c1, page_used, quote_ratio, page_off and other_pages.
 
     Exact matches are found by a join alone; only quotes without one go on to pieces and likeness on the tried pages,
-    and only those that still fail are compared with the document's other pages.
+    and only those that still fail are compared with those of the document's other pages that share enough grams.
     """
     exact = exact_quotes(claims, pages)
     rest = claims.join(exact.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''")
@@ -158,7 +203,7 @@ def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     near = near.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"), F.min_by("ratio", "pos").alias("ratio"))
     near = materialise(near, "near-quotes")
     lost = rest.join(near.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
-    far = lost.join(on, "doc_id").where(F.abs(F.col("try_page") - F.col("page")) > 1).where(quote_ratio("q", "match_text") >= FUZZY)
+    far = may_be_alike(lost, on).where(F.abs(F.col("try_page") - F.col("page")) > 1).where(quote_ratio("q", "match_text") >= FUZZY)
     far = far.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_set("try_page")).alias("other_pages"))
     found = exact.withColumn("ratio", F.lit(1.0)).unionByName(near)
     out = claims.join(found, ["doc_id", "seq"], "left").join(far, ["doc_id", "seq"], "left")
@@ -300,10 +345,18 @@ def status(checked: DataFrame) -> DataFrame:
 
 def verify(claims: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
     """The whole chain on claims that weren't dropped (VER1-VER21)."""
-    kept = dedup(normalise_periods(claims)).where("dropped IS NULL").drop("dropped")
+    return verify_kept(dedup(normalise_periods(claims)).where("dropped IS NULL").drop("dropped"), pages, facts)
+
+
+def verify_kept(kept: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """VER4-VER21 on the first claim of each document, field and period type."""
+    return status(check_references(on_pages(kept, pages), facts))
+
+
+def on_pages(kept: DataFrame, pages: DataFrame) -> DataFrame:
+    """VER4-VER13: what a claim and its document's pages decide; references also depend on the document's other claims."""
     quoted = materialise(check_quotes(kept, pages), "quoted")
-    checked = categorise(check_units(check_numbers(quoted, pages)))
-    return status(check_references(checked, facts))
+    return categorise(check_units(check_numbers(quoted, pages)))
 
 
 def reclassify_parent(verified: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger as led
+from ..sources.store import materialise, new_path
 from ..streaming import ledger as stream
 from .registry import query
 from .views import load, read, view
@@ -54,6 +55,50 @@ def req3(spark, sf):
     return led.same_requests(c, read(spark, sf, "SELECT DISTINCT doc_id AS key FROM documents"))
 
 
-@query("str1_str3_ledger_stream", "SELECT ledger, round(sum(CASE WHEN kind = 'settle' THEN usd ELSE 0 END), 6) AS spent, round(sum(CASE WHEN kind = 'settle' THEN -usd ELSE usd END), 6) AS reserved FROM ledger_events GROUP BY ledger")
+view(
+    "arrivals",
+    """SELECT ledger, id, seq, kind, usd, CASE WHEN seq % 11 = 5 THEN t - INTERVAL 3 DAYS ELSE t END AS t, CAST(floor(seq * 3 / (m + 1)) AS INT) AS arrival FROM (
+    SELECT CAST(user_id % 50 AS BIGINT) AS ledger, CAST(event_id - CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT) AS id, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 3 = 1 THEN 'settle' ELSE 'reserve' END AS kind, value AS usd, ts AS t FROM events
+    UNION ALL SELECT CAST(user_id % 50 AS BIGINT), CAST(event_id - CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END AS BIGINT), CAST(event_id + 40 AS BIGINT), CASE WHEN event_id % 3 = 1 THEN 'settle' ELSE 'reserve' END, value, ts FROM events WHERE event_id % 5 = 2
+  ) CROSS JOIN (SELECT max(event_id) + 40 AS m FROM events)""",
+)
+
+
+def _streamed(spark, events, run):
+    """Lays down each arrival and lets the stream take it; between arrivals the stream stops and goes on from its checkpoint."""
+    came, state = new_path(spark, "came"), new_path(spark, "progress")
+    kept = events.drop("arrival")
+    for arrival in range(3):
+        events.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(came)
+        run(spark.readStream.schema(kept.schema).parquet(came), state).awaitTermination()
+
+
+@query("str1_ledger_stream", """SELECT ledger, round(sum(spent), 6) AS spent, round(sum(reserved), 6) AS reserved FROM (SELECT ledger, id, sum(CASE WHEN kind = 'settle' THEN usd ELSE 0 END) AS spent, CASE WHEN arg_max(kind, seq) = 'reserve' THEN arg_max(usd, seq) ELSE 0 END AS reserved FROM ledger_events GROUP BY ledger, id) GROUP BY ledger""")
 def str1(spark, sf):
-    return stream.balances(load(spark, sf, "ledger_events")).select("ledger", F.round("spent", 6).alias("spent"), F.round("reserved", 6).alias("reserved"))
+    """The ledgers of bud3, whose settlements differ from what they reserved, in three arrivals."""
+    events = read(spark, sf, "SELECT l.*, CAST(e.ts AS TIMESTAMP) AS t FROM ledger_events l JOIN events e ON l.seq = e.event_id")
+    n = events.agg(F.max("seq")).first()[0] or 0
+    events = materialise(events.withColumn("t", F.col("t").cast("timestamp")).withColumn("arrival", F.least(F.lit(2), (F.col("seq") * 3 / (n + 1)).cast("int"))), "ledger-events")
+    out = new_path(spark, "balances")
+    provider, spark_conf = "spark.sql.streaming.stateStore.providerClass", spark.conf
+    before = spark_conf.get(provider)
+    spark_conf.set(provider, stream.PROVIDER)
+    try:
+        _streamed(spark, events, lambda came, state: stream.balances(came, out, state, buckets=4))
+    finally:
+        spark_conf.set(provider, before)
+    return stream.latest(spark, out).select("ledger", F.round("spent", 6).alias("spent"), F.round("reserved", 6).alias("reserved"))
+
+
+@query("str3_late_and_repeated", """WITH marks AS (SELECT a.n AS arrival, (SELECT max(t) FROM arrivals WHERE arrival < a.n) - INTERVAL 2 HOURS AS mark FROM (SELECT unnest([0, 1, 2]) AS n) a),
+  told AS (SELECT x.*, mark, coalesce(t < mark, false) AS late FROM arrivals x JOIN marks ON marks.arrival = x.arrival),
+  one AS (SELECT *, row_number() OVER (PARTITION BY ledger, id, kind, arrival, late ORDER BY t, seq) AS nth FROM told),
+  zero AS (SELECT ledger, id, kind, t FROM one WHERE arrival = 0 AND NOT late AND nth = 1),
+  first AS (SELECT o.* FROM one o WHERE arrival = 1 AND NOT late AND nth = 1 AND NOT EXISTS (SELECT 1 FROM zero z WHERE z.ledger = o.ledger AND z.id = o.id AND z.kind = o.kind AND z.t >= o.mark - INTERVAL 2 HOURS)),
+  seen AS (SELECT 0 AS arrival, * FROM zero UNION ALL SELECT 1, ledger, id, kind, t FROM first)
+  SELECT ledger, id, seq, kind, CASE WHEN late THEN 'late' WHEN nth > 1 OR EXISTS (SELECT 1 FROM seen s WHERE s.arrival < o.arrival AND s.ledger = o.ledger AND s.id = o.id AND s.kind = o.kind AND s.t >= o.mark - INTERVAL 2 HOURS) THEN 'repeated' ELSE 'clean' END AS verdict FROM one o""")
+def str3(spark, sf):
+    """Events of which some come days late and some again, in three arrivals."""
+    out = new_path(spark, "verdicts")
+    _streamed(spark, load(spark, sf, "arrivals").withColumn("t", F.col("t").cast("timestamp")), lambda came, state: stream.clean_and_late(came, out, state, "2 HOURS"))
+    return stream.verdicts(spark, out).select("ledger", "id", "seq", "kind", "verdict")

@@ -1,5 +1,7 @@
 """Folding, currency signs, pieces, precedence of categories, pages of numbers, pasted answers and answer keys on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tallywise.functions import text, units
@@ -88,3 +90,35 @@ def test_context_has_pages_in_order(spark):
     p = spark.createDataFrame([("d", k, f"text {k}") for k in (1, 2, 10)] + [("e", 1, "other")], "doc_id string, page int, text string")
     kept = spark.createDataFrame([("d", 10), ("d", 2)], "doc_id string, page int")
     assert [tuple(r) for r in pages.context(kept, p).collect()] == [("d", "[PAGE 2]\ntext 2\n[PAGE 10]\ntext 10")]
+
+
+def test_far_pages_are_found_without_comparing_all(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123"
+    body = {k: "".join(r.choice(letters) for _ in range(r.choice([5, 40, 300, 900]))) for k in range(1, 25)}
+    quotes = []
+    for k in range(120):
+        page = body[r.randint(1, 24)]
+        n = r.choice([1, 2, 3, 5, 6, 9, 11, 20, 40, 80])
+        a = r.randint(0, max(0, len(page) - n))
+        q = list(page[a : a + n])
+        for _ in range(r.choice([0, 0, 1, 1, 2, n // 10, n // 7])):
+            at = r.randrange(len(q)) if q else 0
+            r.choice([lambda at=at: q.__setitem__(slice(at, at + 1), [r.choice(letters)]), lambda at=at: q.__delitem__(slice(at, at + 1)), lambda at=at: q.insert(at, r.choice(letters))])()
+        if n >= 20 and k % 5 == 0:
+            other = body[r.randint(1, 24)]
+            q = q[: n // 2] + list(other[: n // 2])
+        quotes.append((k, "".join(q)))
+    quotes = [x for x in quotes if x[1]] + [(900, body[3] + "abc"), (901, "zzzz" * 9), (902, "a" * 30)]
+    pages_ = spark.createDataFrame([("d", k, t) for k, t in body.items()] + [("e", 1, "other")], "doc_id string, try_page int, match_text string")
+    lost = spark.createDataFrame([("d", k, 99, q) for k, q in quotes] + [("f", 1, 1, "no pages")], "doc_id string, seq int, page int, q string")
+    ratio = lambda q, t: 1.0 if q in t else 0.99 if verify.in_pieces(q, t) else verify.likeness(q, t)
+    want = {(k, p) for k, q in quotes for p, t in body.items() if ratio(q, t) >= verify.FUZZY}
+    near = verify.may_be_alike(lost, pages_)
+    got = {(x.seq, x.try_page) for x in near.where(verify.quote_ratio("q", "match_text") >= verify.FUZZY).collect()}
+    assert got == want and len(want) > 60
+    # what reaches the comparison grows with the hits, not with all pairs
+    long = {k for k, q in quotes if len(q) >= 20}
+    far = [x for x in near.select("seq").collect() if x.seq in long]
+    assert len(far) < 2 * len([k for k, _ in want if k in long]) + 20 < len(long) * len(body) / 4
+    assert verify.may_be_alike(lost.limit(0), pages_).count() == 0
