@@ -135,19 +135,43 @@ def candidates(verified: DataFrame, answers: DataFrame, key: DataFrame, facts: D
     return ours.unionByName(text).unionByName(keyed).unionByName(other).where(F.col("value").isNotNull() & F.col("field").isin(fields))
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """EVA24: candidates of an item that are equal within 1e-9 of them (1e-6 at least), or that print the same digits and
-    are within 1 %, are one: key columns, value (the least), votes, label and raw (of the first source by name that has one)."""
-    own = rows.withColumn("digits", digits_of(F.col("raw")))
-    near = Window.partitionBy(*KEY).orderBy("value", "digits")
-    apart = F.col("value") - F.lag("value").over(near) > F.greatest(F.lit(1e-6), 1e-9 * F.abs(F.lag("value").over(near)))
-    own = own.withColumn("cluster", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(near))
-    same = Window.partitionBy(*KEY, "digits").orderBy("value")
-    far = F.col("digits").isNull() | (F.col("value") - F.lag("value").over(same) > 0.01 * F.abs(F.lag("value").over(same)))
-    own = own.withColumn("run", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(same)).withColumn("lead", F.when(F.col("digits").isNotNull(), F.min("cluster").over(Window.partitionBy(*KEY, "digits", "run"))).otherwise(F.col("cluster")))
-    own = own.withColumn("cluster", F.min("lead").over(Window.partitionBy(*KEY, "cluster")))
-    said = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("source", c))).alias(c)
-    return own.groupBy(*KEY, "cluster").agg(F.min("value").alias("value"), F.count("*").alias("votes"), said("label"), said("raw")).drop("cluster")
+#: Sources in the order in which their candidates are taken; others follow by name.
+ORDER = ["verified", "answer", "key", "reference"]
+
+
+def merged(rows: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """EVA24: key columns, value, votes, label and raw of an item's candidates once those that are the same are one.
+
+    Candidates are taken by source, value and raw. One is the same as the first of those already taken that is equal to
+    it within 1e-9 (1e-6 at least), or that prints the same digits and is within 1 %; it then adds a vote, and its label
+    and raw where that has none yet (so a later candidate may be the same by them). Value stays the first one's.
+    Candidates that agree in all of this are counted before they meet, so an item holds as many rows as it has readings.
+    """
+    own = rows.groupBy(*KEY, "source", "value", "label", "raw").agg(F.count("*").alias("votes"))
+    place = F.coalesce(F.nullif(F.array_position(F.lit(order), F.col("source")), F.lit(0)), F.lit(len(order) + 1))
+    one = F.struct(place.alias("place"), "source", F.col("value").cast("double").alias("value"), "raw", "label", digits_of(F.col("raw")).alias("digits"), "votes")
+    items = own.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("taken"))
+    none = F.array().cast("array<struct<value:double,raw:string,label:string,digits:string,votes:bigint>>")
+
+    def same(m: Column, c: Column) -> Column:
+        gap = F.abs(m["value"] - c["value"])
+        digits = F.coalesce((m["raw"] != "") & (c["raw"] != "") & (m["digits"] == c["digits"]), F.lit(False))
+        return (gap <= F.greatest(F.lit(1e-6), 1e-9 * F.abs(m["value"]))) | (digits & (gap <= 0.01 * F.abs(m["value"])))
+
+    def either(m: Column, c: Column, name: str) -> Column:
+        return F.coalesce(F.nullif(m[name], F.lit("")), c[name])
+
+    def take(done: Column, c: Column) -> Column:
+        at = F.array_position(F.transform(done, lambda m: same(m, c)), True)
+        new = F.struct(c["value"].alias("value"), c["raw"].alias("raw"), c["label"].alias("label"), c["digits"].alias("digits"), c["votes"].alias("votes"))
+
+        def voted(m: Column, k: Column) -> Column:
+            more = F.struct(m["value"].alias("value"), either(m, c, "raw").alias("raw"), either(m, c, "label").alias("label"), either(m, c, "digits").alias("digits"), (m["votes"] + c["votes"]).alias("votes"))
+            return F.when(k == at - 1, more).otherwise(m)
+
+        return F.when(at > 0, F.transform(done, voted)).otherwise(F.concat(done, F.array(new)))
+
+    return items.select(*KEY, F.inline(F.aggregate("taken", none, take))).drop("digits")
 
 
 def review_order(candidates_: DataFrame, fields: list[str]) -> DataFrame:

@@ -25,13 +25,15 @@ def as_of(asked: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def cross_rate(asked: DataFrame, rates: DataFrame, home: str = "CNY") -> DataFrame:
-    """CMP2: asked (id, src, dst, date): rate src -> dst by way of home, with the earlier of the two dates; null if either is missing."""
+    """CMP2: asked (id, src, dst, date): rate src -> dst by way of home, with the earlier of the two dates; both null if
+    either rate is missing. A currency in itself is 1 at the date asked for."""
     a = as_of(asked.select("id", F.col("src").alias("ccy"), "date"), rates).select("id", F.col("rate").alias("ra"), F.col("rate_date").alias("da"))
     b = as_of(asked.select("id", F.col("dst").alias("ccy"), "date"), rates).select("id", F.col("rate").alias("rb"), F.col("rate_date").alias("db"))
     both = asked.join(a, "id").join(b, "id")
     one = lambda c, r: F.when(F.col(c) == home, F.lit(1.0)).otherwise(F.col(r))
     rate = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(one("src", "ra") / one("dst", "rb"))
-    return both.select("id", rate.alias("rate"), F.when(F.col("src") != F.col("dst"), F.least("da", "db")).alias("rate_date"))
+    when = F.when(F.col("src") == F.col("dst"), F.col("date")).when(rate.isNotNull(), F.least("da", "db"))
+    return both.select("id", rate.alias("rate"), when.alias("rate_date"))
 
 
 def matrix(cells: DataFrame, fields: list[str]) -> DataFrame:

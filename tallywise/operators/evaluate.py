@@ -58,20 +58,33 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
 def bootstrap(rows: DataFrame, cluster: str, times: int = 1000) -> DataFrame:
     """EVA11: (lo, hi) of the strict share over ``times`` resamples of whole clusters, as many as there are.
 
-    Clusters are numbered by name; draw k of resample r is a linear congruential function of (r, k), so the result is
-    reproducible. Only sums per cluster take part.
+    Clusters are numbered by name. Draw k of resample r is a digest of both, so draws are independent of each other,
+    the same on any machine, and made where they are used; only sums per cluster and resample are shuffled. Empty rows
+    give nulls.
     """
-    spark = rows.sparkSession
     own = rows.groupBy(cluster).agg(F.count_if("strict").alias("good"), F.count("*").alias("all"))
+    own = materialise(numbered(own, cluster), "clusters")
     n = own.count()
-    own = own.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("at"), "good", "all")
-    draws = spark.range(times).crossJoin(spark.range(n).withColumnRenamed("id", "k")).withColumnRenamed("id", "r")
-    at = F.pmod((F.col("r") * 7919 + F.col("k") * 104729 + 12345) % 1000003 * 48271 % 2147483647, F.lit(max(n, 1)))
-    shares = draws.select("r", at.alias("at")).join(own, "at").groupBy("r").agg((F.sum("good") / F.sum("all")).alias("share"))
+    draws = own.select(F.col("at").alias("k")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", "r", "k").cast("binary")), 1, 12), 16, 10).cast("long")
+    drawn = draws.groupBy("r", F.pmod(digest, F.lit(max(n, 1))).alias("at")).agg(F.count("*").alias("times"))
+    shares = drawn.join(own, "at").groupBy("r").agg((F.sum(F.col("good") * F.col("times")) / F.sum(F.col("all") * F.col("times"))).alias("share"))
     sorted_ = F.array_sort(F.collect_list("share"))
     return shares.agg(F.try_element_at(sorted_, F.lit(int(0.025 * times) + 1)).alias("lo"), F.try_element_at(sorted_, F.lit(int(0.975 * times))).alias("hi"))
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in this order (nulls first): ranges are sorted apart and follow each other."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(ranges, order).sortWithinPartitions(order)
+    placed = materialise(sorted_.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "ranges")
+    # as many rows as ranges
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = sizes.select(F.col("part").alias("b"), F.col("n").alias("m"))
+    skips = sizes.join(F.broadcast(before), F.col("b") < F.col("part"), "left").groupBy("part", "first").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("skip"))
+    return placed.join(F.broadcast(skips), "part").withColumn("at", F.col("place") - F.col("first") + F.col("skip")).drop("part", "place", "first", "skip")
+
+
 def upper_medians(rows: DataFrame, by: str, value: str) -> DataFrame:
     """EVA12: (by, median): element n // 2 of each group's sorted values that aren't null.
 
@@ -129,10 +142,43 @@ def manifest_diff(frozen: DataFrame, current: DataFrame) -> DataFrame:
     return frozen.join(now, "path", "left").where("now IS NULL OR now <> sha256").select("path", F.when(F.col("now").isNull(), "vanished").otherwise("changed").alias("what"))
 
 
-def foreign_lines(docs: DataFrame, pattern: str) -> DataFrame:
-    """AUD1: (doc_id, n): lines of each document in the other script."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(pattern))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+# The other script, what kind of file a path is, and how its comments begin.
+CJK = r"[\u3000-\u303f\u3400-\u9fff\uf900-\ufaff\uff00-\uffef]"
+CJK_TEXT = r"[\u3000-\u303f\u3400-\u9fff\uff00-\uffef]"
+READER = r"(?:\.md|\.txt|LICENSE|\.example)$"
+COMMENTS = {"py": "#", "yml": "#", "yaml": "#", "toml": "#", "sh": "#", "js": "//", "css": "/*", "html": "<!--"}
+
+
+def script_lines(files: DataFrame) -> DataFrame:
+    """AUD1: (path, kind, n_lines, n_foreign, n_comments) of files (path, text) that have lines in the other script.
+
+    kind: reader (for people), code or data; of code, comment lines are counted apart (null otherwise). Paths under
+    data/ and null texts are left out.
+    """
+    lines = files.where("text IS NOT NULL AND NOT startswith(path, 'data/')").select("path", F.explode(F.split("text", "\n")).alias("line"))
+    ending = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    kind = F.when(F.col("path").rlike(READER), "reader").when(ending.isin(*COMMENTS), "code").otherwise("data")
+    mark = F.coalesce(*[F.when(ending == e, m) for e, m in COMMENTS.items()])
+    bare = F.regexp_replace("line", r"(?U)^\s+", "")
+    comment = F.coalesce(F.startswith(bare, mark), F.lit(False)) | bare.rlike("^(?:\"{3}|'{3}|[*])")
+    foreign = F.col("line").rlike(CJK)
+    told = lines.groupBy("path", kind.alias("kind")).agg(F.count("*").alias("n_lines"), F.count_if(foreign).alias("n_foreign"), F.count_if(foreign & comment).alias("n_comments"))
+    return told.where("n_foreign > 0").withColumn("n_comments", F.when(F.col("kind") == "code", F.col("n_comments")))
+
+
+def foreign_texts(texts: DataFrame, allowed: DataFrame) -> DataFrame:
+    """AUD1: distinct (lang, text, words) of texts (lang, text) in the other script than their language's.
+
+    English texts (lang en) with a character of the other script (words null); of other texts those with Latin words,
+    sorted, but for allowed ones (a table of ``word``, in any case), single letters, all capitals and names with digits,
+    hyphens or underscores.
+    """
+    own = texts.where("text IS NOT NULL").select("lang", "text").distinct()
+    english = own.where((F.col("lang") == "en") & F.col("text").rlike(CJK_TEXT)).withColumn("words", F.lit(None).cast("string"))
+    words = own.where("lang <> 'en'").select("lang", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z_'\-]*"), F.lit(0)))).alias("word"))
+    odd = words.where((F.length("word") > 1) & (F.col("word") != F.upper("word")) & ~F.col("word").rlike(r"[\d\-_]")).withColumn("low", F.lower("word"))
+    odd = odd.join(allowed.select(F.lower("word").alias("low")).distinct(), "low", "left_anti")
+    return english.unionByName(odd.groupBy("lang", "text").agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("words")))
 
 
 def revised(log: DataFrame, changes: DataFrame, reason: str, at: str) -> DataFrame:

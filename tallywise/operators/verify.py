@@ -451,7 +451,25 @@ def mark_no_source(verified: DataFrame) -> DataFrame:
 
 
 def follow_up(first: DataFrame, second: DataFrame, asked: DataFrame) -> DataFrame:
-    """VER30: second-round claims of pairs that were asked for, after the first round's; ``follow_up`` tells them apart."""
-    step = 1_000_000
+    """VER30: claims of both rounds with ``round`` and ``seq`` in one order: second-round claims of pairs that were asked
+    for, after all of the document's first round."""
     again = second.join(asked.select("doc_id", "field", "period_type").distinct(), ["doc_id", "field", "period_type"], "left_semi")
-    return first.withColumn("follow_up", F.lit(False)).unionByName(again.withColumn("seq", F.col("seq") + step).withColumn("follow_up", F.lit(True)))
+    last = first.groupBy("doc_id").agg(F.max("seq").alias("last"), F.min("seq").alias("least"))
+    after = again.join(last, "doc_id", "left").join(again.groupBy("doc_id").agg(F.min("seq").alias("begin")), "doc_id")
+    seq = F.when(F.col("last").isNull(), F.col("seq")).otherwise(F.col("seq") - F.col("begin") + F.col("last") + 1)
+    after = after.withColumn("seq", seq.cast(first.schema["seq"].dataType)).drop("last", "least", "begin")
+    return first.withColumn("round", F.lit(1)).unionByName(after.withColumn("round", F.lit(2)))
+
+
+def verify_follow_up(stored: DataFrame, claims: DataFrame, asked: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """VER30: ``stored`` (the first round verified) after the second: only documents with second answers are verified
+    again, all of their claims (of both rounds, from ``follow_up``) together; the others keep what they have.
+
+    Adds ``note``: 'follow-up' where the pair was asked for and is there.
+    """
+    changed = materialise(claims.where("round = 2").select("doc_id").distinct(), "followed-up")
+    again = verify(claims.join(changed, "doc_id", "left_semi"), pages.join(changed, "doc_id", "left_semi"), facts.join(changed, "doc_id", "left_semi"))
+    kept = stored.join(changed, "doc_id", "left_anti").withColumn("round", F.lit(1))
+    both = again.unionByName(kept, allowMissingColumns=True)
+    pairs = asked.select("doc_id", "field", "period_type", F.lit("follow-up").alias("note")).distinct()
+    return both.join(pairs, ["doc_id", "field", "period_type"], "left").withColumn("note", F.when(F.coalesce("category", F.lit("")) != "MISSING", F.col("note")))

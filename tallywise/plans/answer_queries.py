@@ -176,7 +176,7 @@ def eva23(spark, sf):
 
 
 #: Within one percent with the same digits: the answer's v * 1001 joins v * 1000; other values join when they are equal.
-view("o_merged", """SELECT doc_id, field, period_type, min(value) AS value, count(*) AS votes FROM (SELECT *, CASE WHEN source = 'answer' AND (SELECT count(*) FROM o_candidates b WHERE b.doc_id = a.doc_id AND b.field = a.field AND b.period_type = a.period_type AND b.raw = a.raw AND b.source = 'verified' AND abs(a.value - b.value) <= 0.01 * abs(b.value)) > 0
+view("o_merged", """SELECT doc_id, field, period_type, lead AS value, count(*) AS votes FROM (SELECT *, CASE WHEN source = 'answer' AND (SELECT count(*) FROM o_candidates b WHERE b.doc_id = a.doc_id AND b.field = a.field AND b.period_type = a.period_type AND b.raw = a.raw AND b.source = 'verified' AND abs(a.value - b.value) <= 0.01 * abs(b.value)) > 0
   THEN (SELECT min(b.value) FROM o_candidates b WHERE b.doc_id = a.doc_id AND b.field = a.field AND b.period_type = a.period_type AND b.raw = a.raw AND b.source = 'verified') ELSE value END AS lead FROM o_candidates a) GROUP BY doc_id, field, period_type, lead""")
 
 

@@ -243,11 +243,15 @@ def ver29(spark, sf):
     return ver.mark_no_source(c).select("doc_id", "seq", "status", "category")
 
 
-@query("ver30_follow_up", """SELECT doc_id, seq, field, false AS follow_up FROM claims WHERE seq < 4
-  UNION ALL SELECT c.doc_id, c.seq + 1000000, c.field, true FROM claims c WHERE seq >= 4 AND EXISTS (SELECT 1 FROM facts f WHERE f.doc_id = c.doc_id AND f.field = c.field AND f.period_type = c.period_type)""")
+@query("ver30_follow_up", """SELECT doc_id, field, period_type, CASE WHEN seq >= 4 THEN 2 ELSE 1 END AS round, c1, c2, c3, state, CASE WHEN NOT (c1 AND c2 AND c3) OR state = 'mismatch' THEN 'BAD' WHEN state = 'match' THEN 'OK' ELSE 'FOUND' END AS status, coalesce(own, ref_category) AS category,
+  CASE WHEN EXISTS (SELECT 1 FROM claims s WHERE s.seq >= 4 AND s.doc_id = v.doc_id AND s.field = v.field AND s.period_type = v.period_type) THEN 'follow-up' END AS note FROM o_verified v""")
 def ver30(spark, sf):
-    c = load(spark, sf, "claims")
-    return ver.follow_up(c.where("seq < 4"), c.where("seq >= 4"), load(spark, sf, "facts")).select("doc_id", "seq", "field", "follow_up")
+    """Claims 4 and up come in the second round, to questions about their pairs; the first round is verified and stored before."""
+    c, p, facts = load(spark, sf, "claims"), pages(spark, sf), load(spark, sf, "facts")
+    first, second = c.where("seq < 4"), c.where("seq >= 4")
+    stored = materialise(ver.verify(first, p, facts), "first-round")
+    out = ver.verify_follow_up(stored, ver.follow_up(first, second, second), second, p, facts)
+    return out.select("doc_id", "field", "period_type", "round", "c1", "c2", "c3", "state", "status", "category", "note")
 
 
 def _items(spark, sf):

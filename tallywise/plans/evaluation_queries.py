@@ -19,7 +19,7 @@ def cmp1(spark, sf):
     return cmp.as_of(load(spark, sf, "asks").withColumnRenamed("src", "ccy"), load(spark, sf, "rates"))
 
 
-@query("cmp2_cross_rates", """SELECT a.id, round(CASE WHEN src = dst THEN 1 ELSE r.rate / CASE WHEN dst = 'CNY' THEN 1 ELSE s.rate END END, 9) AS rate, CASE WHEN src <> dst THEN coalesce(least(r.date, s.date), r.date, s.date) END AS rate_date
+@query("cmp2_cross_rates", """SELECT a.id, round(CASE WHEN src = dst THEN 1 ELSE r.rate / CASE WHEN dst = 'CNY' THEN 1 ELSE s.rate END END, 9) AS rate, CASE WHEN src = dst THEN a.date WHEN r.rate IS NOT NULL AND (dst = 'CNY' OR s.rate IS NOT NULL) THEN coalesce(least(r.date, s.date), r.date, s.date) END AS rate_date
   FROM asks a ASOF LEFT JOIN rates r ON a.src = r.ccy AND a.date >= r.date ASOF LEFT JOIN rates s ON a.dst = s.ccy AND a.date >= s.date""")
 def cmp2(spark, sf):
     return cmp.cross_rate(load(spark, sf, "asks"), load(spark, sf, "rates")).withColumn("rate", F.round("rate", 9))
@@ -68,8 +68,8 @@ def eva8(spark, sf):
     return ev.summary(load(spark, sf, "scored"), ["cell"])
 
 
-@query("eva11_bootstrap", """WITH own AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS pos, count_if(strict) AS good, count(*) AS n FROM scored GROUP BY cell), draws AS (
-  SELECT r, (((r * 7919 + k * 104729 + 12345) % 1000003) * 48271 % 2147483647) % 20 AS pos FROM range(1000) a(r), range(20) b(k)), shares AS (SELECT r, sum(good) / sum(n) AS share FROM draws JOIN own USING (pos) GROUP BY r)
+@query("eva11_bootstrap", """WITH own AS (SELECT row_number() OVER (ORDER BY cell NULLS FIRST) - 1 AS pos, count_if(strict) AS good, count(*) AS n FROM scored GROUP BY cell), draws AS (
+  SELECT r, ('0x' || substr(md5(r || ':' || k), 1, 12))::BIGINT % (SELECT count(*) FROM own) AS pos FROM range(1000) a(r), (SELECT pos AS k FROM own) b), shares AS (SELECT r, sum(good) / sum(n) AS share FROM draws JOIN own USING (pos) GROUP BY r)
 SELECT round(list_sort(list(share))[26], 9) AS lo, round(list_sort(list(share))[975], 9) AS hi FROM shares""")
 def eva11(spark, sf):
     return ev.bootstrap(load(spark, sf, "scored"), "cell").select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
@@ -131,6 +131,22 @@ def gov1(spark, sf):
     return ev.manifest_diff(d.select("path", F.sha2("text", 256).alias("sha256")), now)
 
 
-@query("aud1_foreign_lines", "SELECT doc_id, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[äöüßñéè]') GROUP BY doc_id")
+# documents as files of several kinds, with lines in the other script, some of them comments
+view("files", """SELECT CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'src/' || CAST(doc_id AS STRING) || '.py' WHEN 1 THEN 'web/' || CAST(doc_id AS STRING) || '.js' WHEN 2 THEN 'docs/' || CAST(doc_id AS STRING) || '.md' WHEN 3 THEN 'web/' || CAST(doc_id AS STRING) || '.css' WHEN 4 THEN 'LICENSE' || CAST(doc_id AS STRING) || '/LICENSE'
+  WHEN 5 THEN 'a/' || CAST(doc_id AS STRING) || '.json' ELSE 'data/' || CAST(doc_id AS STRING) || '.py' END AS path,
+  replace(replace(replace(text, 'the ', '的'), chr(10), chr(10) || CASE doc_id % 3 WHEN 0 THEN '  # ' WHEN 1 THEN '// ' ELSE '' END), 'er ', '、') AS text, source, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang FROM documents""")
+
+
+@query("aud1_script_lines", r"""SELECT path, kind, count(*)::BIGINT AS n_lines, count_if(foreign_)::BIGINT AS n_foreign, CASE WHEN kind = 'code' THEN count_if(foreign_ AND own)::BIGINT END AS n_comments FROM (
+  SELECT path, kind, regexp_matches(line, '[\x{3000}-\x{303F}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]') AS foreign_, starts_with(bare, '*') OR starts_with(bare, repeat(chr(34), 3)) OR starts_with(bare, repeat(chr(39), 3)) OR starts_with(bare, CASE WHEN path LIKE '%.py' THEN '#' WHEN path LIKE '%.js' THEN '//' ELSE '/*' END) AS own
+  FROM (SELECT *, regexp_replace(line, '^\s+', '') AS bare FROM (SELECT path, CASE WHEN path LIKE '%.md' OR path LIKE '%LICENSE' THEN 'reader' WHEN path LIKE '%.json' THEN 'data' ELSE 'code' END AS kind, unnest(string_split(text, chr(10))) AS line FROM files WHERE NOT starts_with(path, 'data/')))) GROUP BY path, kind HAVING count_if(foreign_) > 0""")
 def aud1(spark, sf):
-    return ev.foreign_lines(read(spark, sf, "SELECT doc_id, text FROM documents"), "[äöüßñéè]")
+    return ev.script_lines(load(spark, sf, "files"))
+
+
+@query("aud1_foreign_texts", r"""WITH ls AS (SELECT DISTINCT lang, unnest(string_split(text, chr(10))) AS text FROM files), found AS (SELECT lang, text, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z_''-]*'), lambda w: lower(w) NOT IN ('the', 'and', 'and-so') AND w <> upper(w) AND NOT regexp_matches(w, '[0-9_-]') AND length(w) > 1) AS ws FROM ls)
+  SELECT lang, text, CASE WHEN lang = 'zh' THEN array_to_string(list_sort(list_distinct(ws)), ', ') END AS words FROM found WHERE CASE WHEN lang = 'en' THEN regexp_matches(text, '[\x{3000}-\x{303F}\x{3400}-\x{9FFF}\x{FF00}-\x{FFEF}]') ELSE len(ws) > 0 END""")
+def aud1_texts(spark, sf):
+    f = load(spark, sf, "files")
+    allowed = spark.createDataFrame([("The",), ("and",), ("and-so",)], "word string")
+    return ev.foreign_texts(f.select("lang", F.explode(F.split("text", "\n")).alias("text")), allowed)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -13,7 +14,7 @@ def test_bootstrap_draws_all_clusters(spark, n):
     own = [[s for c, s in rows if c == f"c{k:02}"] for k in range(n)]
     shares = []
     for i in range(200):
-        drawn = [own[(i * 7919 + k * 104729 + 12345) % 1000003 * 48271 % 2147483647 % n] for k in range(n)]
+        drawn = [own[int(hashlib.md5(f"{i}:{k}".encode()).hexdigest()[:12], 16) % n] for k in range(n)]
         shares.append(sum(map(sum, drawn)) / sum(map(len, drawn)))
     shares.sort()
     got = ev.bootstrap(spark.createDataFrame(rows, "cell string, strict boolean"), "cell", times=200).collect()
