@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ _own: dict[str, str] = {}
 
 
 def new_path(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or where that is unset, under a temporary one."""
+    """A new folder under spark.checkpoint.dir, or where that is unset and Spark is one process, under a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallywise-"))
     return f"{root.rstrip('/')}/tallywise/{name}-{uuid.uuid4().hex}"
