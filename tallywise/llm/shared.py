@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallywise/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch of rows that goes to a Python worker: long texts make 10,000 rows many times that, twice (there and in the JVM).
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches to Python workers of at most about ``BATCH_BYTES`` for what is run meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, never computed twice."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with bounded_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
