@@ -10,6 +10,8 @@ from .text import nfkc
 # Months from the year's end, and the type of what is summed up to it.
 BACK = {"FY": 0, "Q3": -3, "H1": -6, "Q2": -6, "Q1": -9}
 CUMULATIVE = {"Q1": "Q", "H1": "H", "Q2": "H", "Q3": "YTD", "FY": "FY"}
+# Parts of a calendar year in Chinese.
+PARTS_ZH = {"Q1": "第一季度", "Q2": "第二季度", "H1": "上半年", "Q3": "第三季度", "FY": "全年"}
 # Aliases of periods.
 PERIOD_ALIASES = {
     "Q": ["q", "单季", "单季度", "三个月", "本季度", "quarter", "three months", "3m", "3 months"],
@@ -93,13 +95,18 @@ def role_of(word: Column) -> Column:
     return F.element_at(_map([(w, r) for r, words in HEADER_WORDS.items() for w in words]), F.lower(F.trim(word)))
 
 
-def period_label(period: Column, end: Column) -> Column:
-    """FN22 (English): struct(label, fiscal); fiscal if the end is over 15 days off the calendar's."""
+def period_label(period: Column, end: Column, lang: str = "en") -> Column:
+    """FN22: struct(label, fiscal); fiscal if the end is over 15 days off the calendar's. A label that isn't a period,
+    or has no end, stays as it is."""
     part, year = period_part(period), period_year(period).cast("string")
     fiscal = F.coalesce(F.abs(F.datediff(end, period_end(period, F.lit("12-31")))) > 15, F.lit(False))
     tail = F.when(part == "FY", "").otherwise(F.concat(F.lit(" "), part))
-    plain = F.when(part == "FY", F.concat(F.lit("FY"), year)).otherwise(F.concat(part, F.lit(" "), year))
-    label = F.when(part.isNull() | end.isNull(), F.coalesce(period, F.lit(""))).when(fiscal, F.concat(F.lit("FY"), year, tail, F.lit(" (fiscal)"))).otherwise(plain)
+    shifted = F.concat(F.lit("FY"), year, tail, F.lit("（财年）" if lang == "zh" else " (fiscal)"))
+    if lang == "zh":
+        plain = F.concat(year, F.lit(" 年"), F.element_at(_map(PARTS_ZH.items()), part))
+    else:
+        plain = F.when(part == "FY", F.concat(F.lit("FY"), year)).otherwise(F.concat(part, F.lit(" "), year))
+    label = F.when(part.isNull() | end.isNull(), F.coalesce(period, F.lit(""))).when(fiscal, shifted).otherwise(plain)
     return F.struct(label.alias("label"), (fiscal & part.isNotNull()).alias("fiscal"))
 
 

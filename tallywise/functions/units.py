@@ -109,13 +109,22 @@ def to_value(df: DataFrame, raw: str = "raw_value", per_share: Column | None = N
     return out.withColumn("tolerance", F.when(digits_of(F.col(raw)).isNotNull(), half)).drop("__mult")
 
 
-# Display names of currencies and scales.
-CURRENCY_NAMES = {"USD": "USD", "CNY": "RMB", "HKD": "HKD", "EUR": "EUR", "JPY": "JPY", "GBP": "GBP", "TWD": "TWD", "SGD": "SGD"}
-SCALE_NAMES = {1: "", 10**3: " thousands", 10**4: " ten-thousands", 10**6: " millions", 10**8: " hundred-millions", 10**9: " billions"}
-
-
-def unit_label(currency: Column, mult: Column, per_share: Column) -> Column:
-    """FN21 (English): 'USD millions', 'USD per share'; null if the currency or the scale is unknown."""
-    name = F.element_at(F.create_map(*[F.lit(x) for kv in CURRENCY_NAMES.items() for x in kv]), currency)
-    scale = F.element_at(F.create_map(*[F.lit(x) for k, v in SCALE_NAMES.items() for x in (float(k), v)]), F.coalesce(mult.cast("double"), F.lit(1.0)))
+# Display names of currencies and scales in Chinese and English.
+CURRENCY_NAMES = {
+    "zh": {"USD": "美元", "CNY": "人民币", "HKD": "港元", "EUR": "欧元", "JPY": "日元", "GBP": "英镑", "TWD": "新台币", "SGD": "新加坡元"},
+    "en": {"USD": "USD", "CNY": "RMB", "HKD": "HKD", "EUR": "EUR", "JPY": "JPY", "GBP": "GBP", "TWD": "TWD", "SGD": "SGD"},
+}
+SCALE_NAMES = {
+    "zh": {1: "", 10**3: "千", 10**4: "万", 10**6: "百万", 10**8: "亿", 10**9: "十亿"},
+    "en": {1: "", 10**3: " thousands", 10**4: " ten-thousands", 10**6: " millions", 10**8: " hundred-millions", 10**9: " billions"},
+}
+
+
+def unit_label(currency: Column, mult: Column, per_share: Column, lang: str = "en") -> Column:
+    """FN21: 'USD millions' and 'USD per share', in Chinese '百万美元' and '美元/股'; no multiplier is 1. Null if the
+    currency or the scale is unknown."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in CURRENCY_NAMES[lang].items() for x in kv]), currency)
+    scale = F.element_at(F.create_map(*[F.lit(x) for k, v in SCALE_NAMES[lang].items() for x in (float(k), v)]), F.coalesce(F.nullif(mult.cast("double"), F.lit(0.0)), F.lit(1.0)))
+    if lang == "zh":
+        return F.when(per_share, F.concat(name, F.lit("/股"))).otherwise(F.concat(scale, name))
     return F.when(per_share, F.concat(name, F.lit(" per share"))).otherwise(F.concat(name, scale))

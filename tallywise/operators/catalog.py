@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..sources.store import materialise, new_path
+
+#: Folders of older listing pages; a bound of what ``older_matches`` broadcasts.
+SHARDS = 256
 
 # Candidate tags of structured facts in order.
 TAGS = {
@@ -52,6 +58,47 @@ def first_source(requests: DataFrame, *found: DataFrame) -> DataFrame:
     return requests.select("request").join(best, "request", "left")
 
 
+def _shard(entity: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(entity.cast("string"), F.lit(""))), F.lit(SHARDS)).cast("int")
+
+
+def older_store(listing: DataFrame, path: str | None = None) -> DataFrame:
+    """RES5: older listing pages (entity, page, fy, fp, filed, accn, …; page counts from 0, the newest) in one folder for
+    each shard of entities, read back. A frequent entity's filings go to several files."""
+    spark = listing.sparkSession
+    path = path or new_path(spark, "older-listings")
+    listing.withColumn("shard", _shard(F.col("entity"))).repartitionByRange("shard", "entity", "filed").write.partitionBy("shard").parquet(path)
+    return spark.read.schema(StructType([*listing.schema.fields, StructField("shard", IntegerType())])).parquet(path)
+
+
+def older_matches(requests: DataFrame, older: DataFrame) -> DataFrame:
+    """RES5: (request, accn) of requests (request, entity, fy, fp) in stored older pages: the newest page with a match,
+    and in it the earliest filing.
+
+    Only the folders of the requests' shards are read: the shards asked for, at most SHARDS numbers, are broadcast and
+    prune the scan at run time. Each period of an entity is one row before it is joined, however many filings it has.
+    """
+    own = requests.select("request", "entity", "fy", "fp", _shard(F.col("entity")).alias("shard"))
+    asked = own.where((F.col("shard") >= 0) & F.col("entity").isNotNull()).select("shard").distinct()
+    there = older.join(F.broadcast(asked), "shard", "left_semi")
+    best = there.groupBy("entity", "fy", "fp").agg(F.min_by("accn", F.struct("page", "filed", "accn")).alias("accn"))
+    return own.join(best, ["entity", "fy", "fp"]).select("request", "accn")
+
+
+def resolved(requests: DataFrame, recent: DataFrame, older: DataFrame, days: int = 10) -> DataFrame:
+    """RES3-RES5: every request with (accn, source): 0 by period in the recent listing, 1 by period in the older pages,
+    2 by report date in the recent listing; null if none. Each way is only asked for what those before it left open.
+
+    requests: request (unique), entity, fy, fp, period_end, annual; recent: entity, fy, fp, filed, accn, report_date,
+    annual_form; older: from ``older_store``.
+    """
+    first = materialise(by_period(requests, recent), "recent-matches")
+    open_ = materialise(requests.join(first, "request", "left_anti"), "open-requests")
+    second = materialise(older_matches(open_, older), "older-matches")
+    third = by_date(open_.join(second, "request", "left_anti"), recent.drop("fy", "fp"), days)
+    return first_source(requests, first, second, third)
+
+
 def by_title(requests: DataFrame, announcements: DataFrame, skip: str = r"(?i)摘要|英文|取消|abstract|english|cancelled") -> DataFrame:
     """RES6: the newest announcement whose title has the year as a whole number and isn't an abstract or the like."""
     both = requests.join(announcements, "entity").where(~F.col("title").rlike(skip))
@@ -107,6 +154,33 @@ def last_items(*sheets: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "item").agg(F.max_by("amount", "at").alias("amount"))
 
 
+# Names of a long feed's items by template ("": every template), and the sheets that are read in turn.
+LONG_ITEMS = {
+    "general": {"revenue": "营运收入", "gross_profit": "毛利"},
+    "bank": {"net_interest_income": "净利息收入"},
+    "": {"net_income_parent": "股东应占溢利", "eps_basic": "每股基本盈利", "operating_cash_flow": "经营业务现金净额"},
+}
+SHEETS = ["利润表", "现金流量表"]
+
+
+def long_facts(feed: DataFrame, docs: DataFrame) -> DataFrame:
+    """REF6: facts (doc_id, field, period_type, period_end, value, currency, source_field) of a long feed, which doesn't
+    say its currency: it is null.
+
+    feed: entity, sheet, report_date, ord (place in its sheet), item, amount; docs: doc_id, entity, template, period_end,
+    cumulative_type. Rows count whose date is the document's own; of an item's amounts the last of the last sheet. Items
+    that no field of the document's template asks for, rows without an amount and other sheets are left out.
+    """
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(t, f, i) for t, fields in LONG_ITEMS.items() for f, i in fields.items()], "t string, field string, item string"))
+    place = F.array_position(F.array(*map(F.lit, SHEETS)), F.col("sheet"))
+    named = feed.where(F.col("sheet").isin(SHEETS) & F.col("amount").isNotNull()).join(wanted, "item").select("entity", F.col("report_date").alias("period_end"), "t", "field", "item", "amount", F.struct(place.alias("place"), "ord").alias("at"))
+    # one row per entity, date and field before documents are joined
+    last = named.groupBy("entity", "period_end", "t", "field").agg(F.max_by("amount", "at").alias("value"), F.first("item").alias("source_field"))
+    own = last.join(docs.select("doc_id", "entity", "template", "period_end", "cumulative_type"), ["entity", "period_end"]).where("t = '' OR t = template")
+    return own.select("doc_id", "field", F.col("cumulative_type").alias("period_type"), "period_end", F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("currency"), "source_field")
+
+
 def tagged(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """REF1 and REF2: per document and field, all rows of the first candidate tag that has any; twelve-month rows of
     non-annual documents are left out. facts: doc_id, tag, ord, period_type, value; docs: doc_id, template, annual."""

@@ -159,6 +159,12 @@ def context(kept: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(said, "\n").alias("context"))
 
 
+def shortest(pages: DataFrame, n: int = 1) -> DataFrame:
+    """SMP4: (doc_id, size) of the n documents with the fewest characters, ties by id; pages without text count as 0."""
+    own = pages.groupBy("doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("size"))
+    return own.orderBy("size", "doc_id").limit(n)
+
+
 def template_by_code(source: Column, code: Column, name: Column) -> Column:
     """TPL1."""
     n = code.try_cast("int")

@@ -64,6 +64,7 @@ FOUND_REASONS = {
     "hk": ("港股没有可靠的结构化数据：出处和单位已核验，没有外部数字可比。", "HK has no reliable structured data: source and unit checked, no external figure to compare."),
     "": ("出处和单位已核验，没有取到可比的结构化数据。", "Source and unit checked; no structured figure available to compare."),
 }
+TAILS = {"SIGN": ("（符号相反）", " (opposite sign)"), "POWER": ("（差 10 的整数次幂倍）", " (off by a power of ten)"), "PERIOD": ("（等于另一期间的值）", " (matches another period)")}
 BAD_REASONS = {
     "FABRICATED": ("数字 %s 在全文任何一页都找不到。", "The number %s does not appear anywhere in the filing."),
     "WRONG_PAGE": ("数字在原文里，但不在给出的那一页。", "The number is in the filing, but not on the page given."),
@@ -76,6 +77,26 @@ BAD_REASONS = {
 }
 
 
+# What a failed rule's Chinese words hold, in the order in which they are tried, and its English sentence.
+RULE_WORDS = {
+    "毛利": "Gross profit is larger than revenue, or the cost used is negative.",
+    "拨备前利润": "Pre-provision profit is larger than revenue.",
+    "归母合计": "Parent net income vs ordinary shareholders check failed.",
+    "疑似只取了普通股口径": "Looks like only the ordinary-shareholder line was taken.",
+    "推导值": "Derived value differs from the total disclosed in the filing.",
+    "EPS": "EPS × weighted shares is far from net income (order of magnitude).",
+    "单季": "Quarter + previous cumulative does not add up to the cumulative figure.",
+}
+
+
+def rule_in_english(rule: Column) -> Column:
+    """INS12: the English sentence of a failed rule's words; words that no sentence is known for are told as they are."""
+    out = F.concat(F.lit("Fails a consistency check: "), rule)
+    for words, said in reversed(RULE_WORDS.items()):
+        out = F.when(rule.contains(words), F.lit(said)).otherwise(out)
+    return out
+
+
 def cards(items: DataFrame, ratios: DataFrame, docs: DataFrame) -> DataFrame:
     """INS6: (doc_id, place, key, period_type, raw, value) of the key figures of each document, in order.
 
@@ -116,7 +137,8 @@ def narration_facts(items: DataFrame, ratios: DataFrame, lang: str) -> DataFrame
 
 def with_reasons(items: DataFrame) -> DataFrame:
     """INS12: items (market, status, category, raw_value, and, where a reference differs, state, value, ref_value,
-    ref_source) with reason_zh and reason_en; empty for OK. A failed rule (column rule) goes first."""
+    ref_source) with reason_zh and reason_en; empty for OK. A failed rule (column rule, in Chinese words) goes first. How
+    value and reference differ (column how: SIGN, POWER) is told in brackets, else whether another period's agrees."""
     have = lambda c, kind: F.col(c) if c in items.columns else F.lit(None).cast(kind)
     rule, state, source = have("rule", "string"), have("state", "string"), F.coalesce(have("ref_source", "string"), F.lit("reference"))
     number = lambda c: F.format_number(have(c, "double"), 2)
@@ -128,8 +150,9 @@ def with_reasons(items: DataFrame) -> DataFrame:
             if name:
                 fixed = F.when(F.col("category") == name, F.format_string(said[k].replace("%s", "%1$s"), F.coalesce("raw_value", F.lit("")))).otherwise(fixed)
         differs = (state == "mismatch") & (F.coalesce("category", F.lit("")).isin("", "DEFINITION", "PERIOD", "UNIT"))
-        apart = F.concat(F.lit("与 "), source, F.lit(" 不一致：原文 "), number("value"), F.lit("，"), source, F.lit(" "), number("ref_value"), F.when(F.col("category") == "PERIOD", "（等于另一期间的值）").otherwise(""), F.lit("。")) if lang == "zh" else F.concat(F.lit("Differs from "), source, F.lit(": filing "), number("value"), F.lit(" vs "), source, F.lit(" "), number("ref_value"), F.when(F.col("category") == "PERIOD", " (matches another period)").otherwise(""), F.lit("."))
-        broken = F.concat(F.lit("合理性检查：" if lang == "zh" else "Fails a consistency check: "), rule)
+        tail = F.when(have("how", "string") == "SIGN", TAILS["SIGN"][k]).when(have("how", "string") == "POWER", TAILS["POWER"][k]).when(F.col("category") == "PERIOD", TAILS["PERIOD"][k]).otherwise("")
+        apart = F.concat(F.lit("与 "), source, F.lit(" 不一致：原文 "), number("value"), F.lit("，"), source, F.lit(" "), number("ref_value"), tail, F.lit("。")) if lang == "zh" else F.concat(F.lit("Differs from "), source, F.lit(": filing "), number("value"), F.lit(" vs "), source, F.lit(" "), number("ref_value"), tail, F.lit("."))
+        broken = F.concat(F.lit("合理性检查："), rule) if lang == "zh" else rule_in_english(rule)
         bad = F.when(rule.isNotNull(), broken).when(F.coalesce(differs, F.lit(False)), apart).otherwise(fixed)
         out = out.withColumn(f"reason_{lang}", F.when(F.col("status") == "FOUND", found).when(F.col("status") == "BAD", bad).otherwise(""))
     return out

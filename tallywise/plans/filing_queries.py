@@ -115,7 +115,13 @@ def loc3(spark, sf):
     return pg.with_neighbours(pg.picks(pg.page_scores(p)), p).select("doc_id", "page")
 
 
-@query("loc4_loc5_context")
+@query("loc4_loc5_context", """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, "group" ORDER BY score DESC, page) AS rank FROM o_page_scores WHERE score > 0),
+  k AS (SELECT doc_id, "group", page, 1000 * (list_position(['income', 'highlights', 'cashflow', 'eps', 'bank', 'mdna'], "group") - 1) + 10 * rank AS priority FROM p WHERE rank <= CASE "group" WHEN 'income' THEN 3 WHEN 'highlights' THEN 3 WHEN 'mdna' THEN 4 ELSE 2 END),
+  c AS (SELECT doc_id, page, min(priority) AS priority FROM (SELECT doc_id, page, priority FROM k UNION ALL SELECT doc_id, page + 1, priority + 1 FROM k WHERE "group" IN ('income', 'cashflow')) GROUP BY doc_id, page),
+  s AS (SELECT doc_id, page, length(text)::BIGINT AS size, row_number() OVER (PARTITION BY doc_id ORDER BY priority, page) AS nth FROM c JOIN o_pages USING (doc_id, page)),
+  w AS (SELECT DISTINCT doc_id, 0::BIGINT AS nth, 0::BIGINT AS used, NULL::BIGINT AS page, false AS kept FROM s
+    UNION ALL SELECT s.doc_id, s.nth, CASE WHEN w.used + s.size > 300 THEN w.used ELSE w.used + s.size END, s.page::BIGINT, w.used + s.size <= 300 FROM w JOIN s ON s.doc_id = w.doc_id AND s.nth = w.nth + 1)
+  SELECT doc_id, string_agg('[PAGE ' || w.page || ']' || chr(10) || text, chr(10) ORDER BY w.page) AS context FROM w JOIN o_pages USING (doc_id, page) WHERE kept GROUP BY doc_id""")
 def loc5(spark, sf):
     p = _match_pages(spark, sf)
     chosen = pg.with_neighbours(pg.picks(pg.page_scores(p)), p)
@@ -133,9 +139,24 @@ def tpl(spark, sf):
     return c.select("c_custkey", t["template"].alias("template"), t["conflict"].alias("conflict"))
 
 
+view("industries", """SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'CSRC' ELSE 'SEC SIC' END AS source, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(6000 + c_custkey % 500 AS STRING) END AS code,
+  CASE c_nationkey WHEN 0 THEN '货币金融服务' WHEN 3 THEN '保险业' WHEN 6 THEN '软件' WHEN 9 THEN '银行业' WHEN 12 THEN '非银行' ELSE '' END AS name,
+  c_name || CASE WHEN c_custkey % 2 = 0 THEN 'netinterestincome' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN '已赚保费' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN 'totalcostofsales' ELSE '' END AS text FROM customer""")
+
+
+@query("tpl1_tpl2_tpl3_codes_and_phrases", """SELECT c_custkey, CASE WHEN code IN ('bank', 'insurance') THEN code ELSE coalesce(shape, code, 'general') END AS template, coalesce(code <> shape, false) AS conflict FROM (SELECT c_custkey,
+  CASE WHEN source LIKE '%SIC%' AND n IS NOT NULL THEN CASE WHEN n IN (6021, 6022, 6029, 6035, 6036) THEN 'bank' WHEN n BETWEEN 6311 AND 6399 OR n = 6411 THEN 'insurance' ELSE 'general' END
+    WHEN regexp_matches(name, '货币金融服务|^银行') THEN 'bank' WHEN name LIKE '%保险%' THEN 'insurance' WHEN name <> '' THEN 'general' END AS code,
+  CASE WHEN text LIKE '%costofsales%' THEN 'general' WHEN text LIKE '%netinterestincome%' THEN 'bank' WHEN text LIKE '%已赚保费%' THEN 'insurance' END AS shape FROM (SELECT *, try_cast(code AS INT) AS n FROM industries))""")
+def tpl_phrases(spark, sf):
+    c = load(spark, sf, "industries")
+    t = pg.choose_template(pg.template_by_code(F.col("source"), F.col("code"), F.col("name")), pg.template_by_structure(F.col("text")))
+    return c.select("c_custkey", t["template"].alias("template"), t["conflict"].alias("conflict"))
+
+
 @query("smp4_shortest_document", "SELECT doc_id FROM (SELECT doc_id, sum(length(text)) AS n FROM o_pages GROUP BY doc_id) ORDER BY n, doc_id LIMIT 1")
 def smp4(spark, sf):
-    return _match_pages(spark, sf).groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).orderBy("n", "doc_id").limit(1).select("doc_id")
+    return pg.shortest(_match_pages(spark, sf)).select("doc_id")
 
 
 view("listing", "SELECT o_orderkey AS accn, o_custkey AS entity, year(o_orderdate) AS fy, quarter(o_orderdate) AS fp, CAST(o_orderdate AS DATE) AS filed, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS report_date, o_orderkey % 4 = 0 AS annual_form FROM orders")
@@ -162,6 +183,19 @@ def res3(spark, sf):
     return cat.first_source(w, cat.by_period(w, l), cat.by_date(w, l.drop("fy", "fp")))
 
 
+# the filings of 1997 on are the recent listing, those before it three older pages that are cut within a quarter
+view("older", "SELECT entity, CASE WHEN filed >= DATE '1996-11-15' THEN 0 WHEN filed >= DATE '1996-05-15' THEN 1 ELSE 2 END AS page, fy, fp, filed, accn FROM listing WHERE filed < DATE '1997-01-01'")
+view("recent", "SELECT * FROM listing WHERE filed >= DATE '1997-01-01'")
+
+
+@query("res5_older_listings", """SELECT w.request, coalesce(a.accn, b.accn, c.accn) AS accn, CASE WHEN a.accn IS NOT NULL THEN 0 WHEN b.accn IS NOT NULL THEN 1 WHEN c.accn IS NOT NULL THEN 2 END AS source FROM wanted w
+  LEFT JOIN (SELECT request, arg_min(accn, (filed, accn)) AS accn FROM wanted JOIN recent USING (entity, fy, fp) GROUP BY request) a ON a.request = w.request
+  LEFT JOIN (SELECT request, arg_min(accn, (page, filed, accn)) AS accn FROM wanted JOIN older USING (entity, fy, fp) GROUP BY request) b ON b.request = w.request
+  LEFT JOIN (SELECT request, arg_min(accn, (filed, accn)) AS accn FROM wanted w JOIN recent l ON w.entity = l.entity AND abs(report_date - period_end) <= 10 AND annual = annual_form GROUP BY request) c ON c.request = w.request""")
+def res5(spark, sf):
+    return cat.resolved(load(spark, sf, "wanted"), load(spark, sf, "recent"), cat.older_store(read(spark, sf, "SELECT * FROM older")))
+
+
 @query("res6_titles", "SELECT request, arg_max(accn, (filed, accn)) AS accn FROM wanted w JOIN listing l ON l.entity = w.entity AND l.fy = w.fy AND accn % 5 <> 0 GROUP BY request")
 def res6(spark, sf):
     a = load(spark, sf, "listing").withColumn("title", F.concat(F.lit("Report "), F.col("fy").cast("string"), F.when(F.col("accn") % 5 == 0, " (English)").otherwise(" 20191")))
@@ -216,6 +250,19 @@ def src7(spark, sf):
     return cat.last_items(l.where("k % 2 = 0"), l.where("k % 2 = 1"))
 
 
+view("long_feed", """SELECT c_nationkey AS entity, CASE o_custkey % 4 WHEN 0 THEN '现金流量表' WHEN 1 THEN '资产负债表' ELSE '利润表' END AS sheet, last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS report_date, o_orderkey AS ord,
+  CASE o_orderkey % 8 WHEN 0 THEN '营运收入' WHEN 1 THEN '毛利' WHEN 2 THEN '净利息收入' WHEN 3 THEN '股东应占溢利' WHEN 4 THEN '每股基本盈利' WHEN 5 THEN '经营业务现金净额' WHEN 6 THEN '经营收入总额' ELSE '存货' END AS item, CASE WHEN o_totalprice > 90000 THEN o_totalprice END AS amount FROM orders JOIN customer ON o_custkey = c_custkey""")
+
+
+@query("ref6_long_facts", """SELECT d.doc_id, w.field, CASE d.q WHEN 1 THEN 'Q' WHEN 2 THEN 'H' WHEN 3 THEN 'YTD' ELSE 'FY' END AS period_type, d.period_end, arg_max(f.amount, (f.sheet = '现金流量表', f.ord)) AS value, NULL::VARCHAR AS currency, w.item AS source_field FROM filings d JOIN long_feed f ON f.entity = d.nk AND f.report_date = d.period_end
+  JOIN (VALUES ('general', 'revenue', '营运收入'), ('general', 'gross_profit', '毛利'), ('bank', 'net_interest_income', '净利息收入'), ('', 'net_income_parent', '股东应占溢利'), ('', 'eps_basic', '每股基本盈利'), ('', 'operating_cash_flow', '经营业务现金净额')) w(t, field, item) ON w.item = f.item AND (w.t = '' OR w.t = d.template)
+  WHERE f.sheet <> '资产负债表' AND f.amount IS NOT NULL GROUP BY d.doc_id, d.q, d.period_end, w.field, w.item""")
+def ref6(spark, sf):
+    d = load(spark, sf, "filings")
+    kind = F.element_at(F.array(*map(F.lit, ["Q", "H", "YTD", "FY"])), F.col("q").cast("int"))
+    return cat.long_facts(read(spark, sf, "SELECT * FROM long_feed"), d.select("doc_id", F.col("nk").alias("entity"), "template", "period_end", kind.alias("cumulative_type")))
+
+
 @query("ref1_ref2_tagged_facts", """SELECT doc_id, field, tag, ord, period_type, value FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id, field) AS best FROM (SELECT f.doc_id, t.field, t.priority, f.tag, f.ord, f.period_type, f.value FROM
   (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_extendedprice AS value, CASE l_partkey % 5 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'SalesRevenueNet' WHEN 2 THEN 'NetIncomeLoss' WHEN 3 THEN 'RevenuesNetOfInterestExpense' ELSE 'Other' END AS tag, CASE WHEN l_suppkey % 3 = 0 THEN 'FY' ELSE 'Q' END AS period_type, l_orderkey % 4 = 0 AS annual,
     CASE l_orderkey % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'bank' ELSE 'insurance' END AS template FROM lineitem) f

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import periods as per
@@ -73,3 +74,49 @@ def fn22(spark, sf):
     lab = per.period_label(F.col("period"), F.col("period_end"))
     delta = F.when(F.col("nk") % 3 == 0, 0.01).when(F.col("nk") % 3 == 1, F.col("q") + 0.5).otherwise(-F.col("q") - 0.5)
     return d.select("doc_id", lab["label"].alias("label"), lab["fiscal"].alias("fiscal"), per.change_words(delta).alias("words"))
+
+
+# units as tables print them: currency words, a scale, and what is said behind it
+view("printed_units", """SELECT p_partkey, trim(CASE p_partkey % 8 WHEN 0 THEN 'US$' WHEN 1 THEN 'RMB' WHEN 2 THEN 'HK$' WHEN 3 THEN '' WHEN 4 THEN '人民币' WHEN 5 THEN 'Dollars' WHEN 6 THEN 'Eur' ELSE 'widgets' END || ' ' ||
+  CASE CAST(floor(p_partkey / 8) AS INT) % 12 WHEN 0 THEN 'in millions' WHEN 1 THEN 'Thousands' WHEN 2 THEN 'billion' WHEN 3 THEN '亿元' WHEN 4 THEN '' WHEN 5 THEN 'per share' WHEN 6 THEN '%' WHEN 7 THEN 'million shares' WHEN 8 THEN 'cents per share' WHEN 9 THEN '千元' WHEN 10 THEN 'percentage points' ELSE '万股' END ||
+  CASE p_size % 5 WHEN 0 THEN ', except per share data' WHEN 1 THEN ' (unaudited)' WHEN 2 THEN ',每股数据除外' WHEN 3 THEN '; except as noted' ELSE '' END) AS raw_unit, CASE p_size % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'a' ELSE 'hk' END AS market FROM part""")
+view("o_unit_words", r"""SELECT *, lower(raw_unit) AS u, regexp_replace(lower(raw_unit), 'except\b.*$', '') AS e FROM printed_units""")
+view("o_units", r"""SELECT *, CASE WHEN regexp_matches(u, 'hk\$') THEN 'HKD' WHEN regexp_matches(u, '\$') THEN 'USD' WHEN regexp_matches(u, '人民币|rmb') THEN 'CNY' WHEN regexp_matches(u, 'eur') THEN 'EUR' WHEN u LIKE '%元%' AND market = 'a' THEN 'CNY' WHEN regexp_matches(u, '\bdollars?\b') AND market = 'us' THEN 'USD' END AS currency,
+  CASE WHEN trim(regexp_replace(e, '[^,;(]*除外.*$', ''), ' ,;()') = '' THEN e ELSE trim(regexp_replace(e, '[^,;(]*除外.*$', ''), ' ,;()') END AS w,
+  trim(regexp_replace(u, '亿|千|万|billions?|millions?|thousands?|\bin\b|\bshares?\b|\bdata\b|except\b|除外|[,;()]', ' ', 'g')) AS rest FROM o_unit_words""")
+
+
+@query("fn7_fn8_fn9_printed_units", r"""SELECT p_partkey, currency, CASE WHEN u = '' THEN NULL WHEN regexp_matches(w, '%|percentage point') OR regexp_matches(w, '每股|per share') THEN 1 WHEN w LIKE '%billion%' THEN 1e9 WHEN w LIKE '%亿%' THEN 1e8 WHEN w LIKE '%million%' THEN 1e6 WHEN w LIKE '%万%' THEN 1e4 WHEN regexp_matches(w, '千|thousand') THEN 1e3 WHEN regexp_matches(w, '元|人|\$|rmb|dollar|股') THEN 1 END::DOUBLE AS mult,
+  CASE WHEN u = '' THEN NULL WHEN regexp_matches(w, '%|percentage point') THEN 'ratio' WHEN regexp_matches(w, '每股|per share') THEN 'per_share' WHEN regexp_matches(w, 'billion|亿|million|万|千|thousand|元|人|\$|rmb|dollar|股') THEN 'amount' END AS kind,
+  CASE WHEN u = '' THEN NULL WHEN u LIKE '%cents%' THEN 0.01 WHEN regexp_matches(u, '每股|per share') OR rest = '' OR regexp_matches(rest, '元|\$|rmb|dollars?|股|人民币|eur') THEN 1 END::DOUBLE AS per_share FROM o_units""")
+def fn7_printed(spark, sf):
+    p = load(spark, sf, "printed_units").withColumn("raw_currency", F.lit(""))
+    both = None
+    for per_share in (False, True):
+        rows = un.to_value(p.withColumn("raw_value", F.lit("1")), per_share=F.lit(per_share)).select("p_partkey", *([F.col("mult").alias("per_share")] if per_share else ["currency", "mult", "kind"]))
+        both = rows if both is None else both.join(rows, "p_partkey")
+    return both
+
+
+@query("fn21_fn22_both_languages", """WITH l AS (SELECT *, last_day(make_date(y, 3 * q, 1)) AS nominal, CASE q WHEN 1 THEN 'Q1' WHEN 2 THEN 'H1' WHEN 3 THEN 'Q3' ELSE 'FY' END AS part FROM (SELECT doc_id, y, q, n, rev, (period_end + CAST(rev % 60 AS INT))::DATE AS ends FROM filings)),
+  m AS (SELECT *, abs(ends - nominal) > 15 AS fiscal FROM l)
+  SELECT doc_id, fiscal, CASE WHEN fiscal THEN 'FY' || y || CASE WHEN part = 'FY' THEN '' ELSE ' ' || part END || '（财年）' ELSE y || ' 年' || CASE part WHEN 'Q1' THEN '第一季度' WHEN 'H1' THEN '上半年' WHEN 'Q3' THEN '第三季度' ELSE '全年' END END AS period_zh,
+  CASE WHEN fiscal THEN 'FY' || y || CASE WHEN part = 'FY' THEN '' ELSE ' ' || part END || ' (fiscal)' WHEN part = 'FY' THEN 'FY' || y ELSE part || ' ' || y END AS period_en,
+  CASE WHEN rev % 4 = 0 THEN c.zh || '/股' ELSE s.zh || c.zh END AS unit_zh, CASE WHEN rev % 4 = 0 THEN c.en || ' per share' ELSE c.en || CASE WHEN s.en = '' THEN '' ELSE ' ' || s.en END END AS unit_en
+  FROM m LEFT JOIN (VALUES (0, '美元', 'USD'), (1, '人民币', 'RMB'), (2, '港元', 'HKD'), (3, '欧元', 'EUR'), (4, '日元', 'JPY'), (5, '英镑', 'GBP'), (6, '新台币', 'TWD'), (7, '新加坡元', 'SGD')) c(k, zh, en) ON c.k = n % 9 LEFT JOIN (VALUES (0, '', ''), (1, '千', 'thousands'), (2, '万', 'ten-thousands'), (3, '百万', 'millions'), (4, '亿', 'hundred-millions'), (5, '十亿', 'billions'), (7, '', '')) s(k, zh, en) ON s.k = rev % 8""")
+def fn21_both(spark, sf):
+    """Years that end up to two months late; every currency and scale, an unknown one of each among them."""
+    d = load(spark, sf, "filings")
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+    currency, mult = pick(["USD", "CNY", "HKD", "EUR", "JPY", "GBP", "TWD", "SGD", "XYZ"], F.col("n") % 9), pick([1.0, 1e3, 1e4, 1e6, 1e8, 1e9, 7.0, None], F.col("rev") % 8)
+    ends, per_share = F.date_add("period_end", (F.col("rev") % 60).cast("int")), F.col("rev") % 4 == 0
+    labels = {lang: per.period_label(F.col("period"), ends, lang) for lang in ("zh", "en")}
+    return d.select("doc_id", labels["en"]["fiscal"].alias("fiscal"), *[labels[x]["label"].alias(f"period_{x}") for x in labels], *[un.unit_label(currency, mult, per_share, x).alias(f"unit_{x}") for x in labels])
+
+
+@query("fn23_quarterly_changes", """WITH d AS (SELECT doc_id, (rev - p) * 100.0 / p AS pct FROM (SELECT doc_id, rev::DOUBLE AS rev, lag(rev::DOUBLE) OVER (PARTITION BY nk ORDER BY y, q) AS p FROM filings)), s AS (SELECT *, format('{:.1f}', abs(pct)) AS size FROM d WHERE pct IS NOT NULL)
+  SELECT doc_id, CASE WHEN size = '0.0' THEN 'flat' WHEN pct > 0 THEN 'up ' || size || '%' ELSE 'down ' || size || '%' END AS words_en, CASE WHEN size = '0.0' THEN '持平' WHEN pct > 0 THEN '增加 ' || size || ' 个百分点' ELSE '减少 ' || size || ' 个百分点' END AS points_zh FROM s""")
+def fn23_quarterly(spark, sf):
+    d = load(spark, sf, "filings").select("doc_id", F.col("rev").cast("double").alias("rev"), F.lag(F.col("rev").cast("double")).over(Window.partitionBy("nk").orderBy("y", "q")).alias("p"))
+    pct = (F.col("rev") - F.col("p")) * 100.0 / F.col("p")
+    return d.where("p IS NOT NULL").select("doc_id", per.change_words(pct).alias("words_en"), per.change_words(pct, "pp", "zh").alias("points_zh"))

@@ -31,7 +31,10 @@ def bud3(spark, sf):
     return led.balance(load(spark, sf, "ledger_events"), 1000.0).select("ledger", *[F.round(c, 6).alias(c) for c in ("spent", "reserved", "left")])
 
 
-@query("bud4_admission")
+@query("bud4_admission", """WITH RECURSIVE s AS (SELECT ledger, seq, usd, row_number() OVER (PARTITION BY ledger ORDER BY seq, usd) AS nth FROM ledger_events WHERE kind = 'reserve'),
+  w AS (SELECT DISTINCT ledger, 0::BIGINT AS nth, 0::DOUBLE AS used, NULL::BIGINT AS seq, NULL::BOOLEAN AS ok FROM s
+    UNION ALL SELECT s.ledger, s.nth, CASE WHEN w.used + s.usd <= 500 THEN w.used + s.usd ELSE w.used END, s.seq, w.used + s.usd <= 500 FROM w JOIN s ON s.ledger = w.ledger AND s.nth = w.nth + 1)
+  SELECT ledger, seq, ok FROM w WHERE nth > 0""")
 def bud4(spark, sf):
     return led.admitted(load(spark, sf, "ledger_events").where("kind = 'reserve'").select("ledger", "seq", "usd"), 500.0)
 

@@ -146,6 +146,18 @@ def ins12(spark, sf):
     return rep.with_reasons(load(spark, sf, "excused")).select("doc_id", "fno", "reason_en", (F.length("reason_zh") > 0).alias("told"))
 
 
+view("ruled", """SELECT doc_id, fno, market, 'BAD' AS status, CAST(v AS STRING) AS raw_value, CASE WHEN v % 4 = 0 THEN 'PERIOD' WHEN v % 4 = 1 THEN 'UNIT' END AS category, CAST(v AS DOUBLE) AS value, CAST(v AS DOUBLE) * CASE WHEN v % 5 = 0 THEN -1 ELSE 100 END AS ref_value, 'mismatch' AS state, CASE v % 5 WHEN 0 THEN 'SIGN' WHEN 1 THEN 'POWER' END AS how,
+  CASE WHEN v % 3 = 0 THEN CASE fno WHEN 1 THEN '毛利 ' WHEN 2 THEN '拨备前利润 ' WHEN 3 THEN '推导值 ' WHEN 4 THEN 'EPS × 加权股数 ' WHEN 5 THEN '单季 ' ELSE 'S' END || CAST(v AS STRING) END AS rule FROM figures""")
+
+
+@query("ins12_rule_reasons", """SELECT doc_id, fno, CASE WHEN rule IS NOT NULL THEN '合理性检查：' || rule ELSE '与 reference 不一致：原文 ' || format('{:,.2f}', value) || '，reference ' || format('{:,.2f}', ref_value) || CASE WHEN how = 'SIGN' THEN '（符号相反）' WHEN how = 'POWER' THEN '（差 10 的整数次幂倍）' WHEN category = 'PERIOD' THEN '（等于另一期间的值）' ELSE '' END || '。' END AS reason_zh,
+  CASE WHEN rule LIKE '%毛利%' THEN 'Gross profit is larger than revenue, or the cost used is negative.' WHEN rule LIKE '%拨备前利润%' THEN 'Pre-provision profit is larger than revenue.' WHEN rule LIKE '%推导值%' THEN 'Derived value differs from the total disclosed in the filing.' WHEN rule LIKE '%EPS%' THEN 'EPS × weighted shares is far from net income (order of magnitude).'
+    WHEN rule LIKE '%单季%' THEN 'Quarter + previous cumulative does not add up to the cumulative figure.' WHEN rule IS NOT NULL THEN 'Fails a consistency check: ' || rule
+    ELSE 'Differs from reference: filing ' || format('{:,.2f}', value) || ' vs reference ' || format('{:,.2f}', ref_value) || CASE WHEN how = 'SIGN' THEN ' (opposite sign)' WHEN how = 'POWER' THEN ' (off by a power of ten)' WHEN category = 'PERIOD' THEN ' (matches another period)' ELSE '' END || '.' END AS reason_en FROM ruled""")
+def ins12_rules(spark, sf):
+    return rep.with_reasons(load(spark, sf, "ruled")).select("doc_id", "fno", "reason_zh", "reason_en")
+
+
 @query("snk2_item_columns", """SELECT doc_id AS quote, status, field, raw AS raw_value, name_en AS metric_en, CASE WHEN pct IS NOT NULL THEN format('{:.2f}', pct * 100) END AS yoy_pct_code FROM told""")
 def snk2_columns(spark, sf):
     path = new_path(spark, "items")
