@@ -105,7 +105,9 @@ def eva24(spark, sf):
 
 @query("eva28_run_summary", "SELECT doc_id, count(*)::BIGINT AS n, sum(v)::BIGINT AS total FROM figures GROUP BY ROLLUP (doc_id)")
 def eva28(spark, sf):
-    return load(spark, sf, "figures").rollup("doc_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    f = load(spark, sf, "figures")
+    calls = f.select("doc_id", F.col("v").alias("input"), *[F.lit(None).cast("long").alias(c) for c in ("cached", "output", "usd")])
+    return ev.run_summary(f.select("doc_id", F.lit("OK").alias("status")), calls).select("doc_id", F.col("ok").alias("n"), F.col("input").alias("total"))
 
 
 @query("eva29_coverage", "SELECT market, template, count(*)::BIGINT AS n FROM filings GROUP BY CUBE (market, template)")
@@ -115,7 +117,7 @@ def eva29(spark, sf):
 
 @query("eva14_eva21_pending", "SELECT doc_id, field FROM figures f WHERE NOT EXISTS (SELECT 1 FROM facts g WHERE g.doc_id = f.doc_id AND g.field = f.field AND g.period_type = f.period_type)")
 def eva14(spark, sf):
-    return load(spark, sf, "figures").join(load(spark, sf, "facts").select("doc_id", "field", "period_type"), ["doc_id", "field", "period_type"], "left_anti").select("doc_id", "field")
+    return ev.unanswered(load(spark, sf, "figures"), load(spark, sf, "facts")).select("doc_id", "field")
 
 
 @query("smp1_smp2_stratified_sample", """SELECT market, stratum, entity, nth FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY turn, (stratum * 48271 + 7 * 7919) % 2147483647, stratum)::INT AS nth FROM (SELECT c_mktsegment AS market, c_nationkey AS stratum, c_custkey AS entity,
@@ -124,7 +126,8 @@ def smp1(spark, sf):
     return ev.stratified(read(spark, sf, "SELECT c_mktsegment AS market, c_nationkey AS stratum, c_custkey AS entity FROM customer").withColumn("stratum", F.col("stratum").cast("long")), 12, 7).withColumn("stratum", F.col("stratum").cast("int"))
 
 
-@query("gov1_gov2_manifest", "SELECT doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'vanished' ELSE 'changed' END AS what FROM documents WHERE doc_id % 5 = 0")
+@query("gov1_gov2_manifest", """SELECT f.path, CASE WHEN n.sha256 IS NULL THEN 'vanished' ELSE 'changed' END AS what FROM (SELECT doc_id AS path, sha256(text) AS sha256 FROM documents) f
+  LEFT JOIN (SELECT doc_id AS path, sha256(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS sha256 FROM documents WHERE doc_id % 10 <> 0) n ON n.path = f.path WHERE n.sha256 IS NULL OR n.sha256 <> f.sha256""")
 def gov1(spark, sf):
     d = read(spark, sf, "SELECT doc_id AS path, text FROM documents")
     now = d.where("path % 10 <> 0").select("path", F.sha2(F.concat("text", F.when(F.col("path") % 5 == 0, "!").otherwise("")), 256).alias("sha256"))

@@ -304,8 +304,10 @@ def ref9(spark, sf):
 @query("ref5_ref10_market_facts", "SELECT doc_id, CASE WHEN market = 'a' AND q IN (3, 4) THEN 2 WHEN market = 'us' AND nk % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN market = 'us' AND nk % 5 = 0 THEN 'no facts' END AS error FROM filings")
 def ref10(spark, sf):
     d = load(spark, sf, "filings")
-    us = d.where("market = 'us' AND nk % 5 <> 0").select("doc_id", F.lit("FY").alias("period_type"))
-    a = d.where("market = 'a'").select("doc_id", F.lit("FY").alias("period_type")).unionByName(d.where("market = 'a' AND q IN (3, 4)").select("doc_id", F.lit("Q").alias("period_type")))
-    facts = us.unionByName(a).unionByName(d.where("market = 'hk'").select("doc_id", F.lit("FY").alias("period_type")))
+    docs = d.select("doc_id", "market", "period", F.element_at(F.array(*map(F.lit, ["Q", "H", "YTD", "FY"])), F.col("q").cast("int")).alias("cumulative_type"))
+    year = d.select("doc_id", "market", "nk", F.lit("revenue").alias("field"), F.lit("FY").alias("period_type"), F.col("rev_cum").cast("double").alias("value"))
+    quarter = cat.quarter_facts(d.where("market = 'a'").select("doc_id", F.col("rev").cast("double").alias("OPERATE_INCOME"), F.lit(None).cast("double").alias("PARENT_NETPROFIT")), docs)
+    branches = {"us": year.where("nk % 5 <> 0"), "a": year.drop("market", "nk").unionByName(quarter.drop("source_field")), "hk": year}
+    facts, without = cat.market_facts(docs, branches)
     n = facts.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return d.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), "no facts").alias("error"))
+    return d.select("doc_id").join(n, "doc_id", "left").join(without, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "error")
