@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import html_lines, markup
-from .shared import materialise
+from .shared import join_uneven, materialise
 from .textkit import LOWER, pieces
 
 BUCKETS, SLICE = 1 << 14, 256
@@ -92,7 +92,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url: s
     """(id, host, declared, lang, probability, text_lang): the likeliest language and its posterior probability.
 
     Null or empty pages are told by declared language, suffix and host alone; null addresses are the host ''. Ties go
-    to the alphabetically first language. Repeated rows each give a row. Without a fitted language, lang is null.
+    to the alphabetically first language. Repeated rows each give a row. Without a fitted language, lang is null. An
+    empty table gives no row. Other columns are left out, whatever their names; the pages' own may not begin with __.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
@@ -132,8 +133,9 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url: s
     zeros = F.array(*[F.lit(0.0)] * len(names))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     share = lambda n, wider: F.zip_with(n, wider, lambda x, p: (x + STRENGTH * p) / (total(n) + STRENGTH))
-    joined = seen.join(F.broadcast(everywhere)).join(sent_out(by_suffix, "suffix"), "suffix", "left")
-    joined = joined.join(sent_out(by_host, "host"), "host", "left").join(sent_out(by_declared, "declared"), "declared", "left")
+    # one host may have a third of all pages: it isn't left to one task where there are too many hosts to send out
+    joined = seen.join(F.broadcast(by_host), "host", "left") if sizes["host"] <= BROADCAST_HOSTS else join_uneven(seen, by_host, "host")
+    joined = joined.join(F.broadcast(everywhere)).join(sent_out(by_suffix, "suffix"), "suffix", "left").join(sent_out(by_declared, "declared"), "declared", "left")
     # a page's own guess isn't evidence for it a second time
     own = F.when(F.array_max("text_ll") < 0, best(F.col("text_ll"))).otherwise(0)
     others = lambda c: F.transform(F.coalesce(c, zeros), lambda x, j: F.coalesce(x, F.lit(0.0)) - F.when(j + 1 == own, 1.0).otherwise(0.0))

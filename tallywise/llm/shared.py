@@ -71,3 +71,20 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """Rows of ``docs`` whose id isn't in ``ids`` (one column of that name; nulls leave nothing out)."""
     ids = materialise(ids.distinct(), "left-out")
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
+
+
+#: Keys with over one in so many of all rows count as hot; there can't be as many of them.
+HOT = 1000
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (one row per key at most), whatever share of the rows one key holds.
+
+    Rows are read three times, so they should be stored. Those of hot keys meet their part of the table, under HOT rows,
+    where they lie; only the others are shuffled. Null keys keep their rows and match nothing.
+    """
+    counts = materialise(rows.groupBy(key).agg(F.count("*").alias("__n")), "rows-per-key")
+    n = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(counts.where((F.col("__n") * HOT > n) & F.col(key).isNotNull()).select(key))
+    few = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left")
+    return few.unionByName(rows.join(hot, key, "left_anti").join(table, key, "left"))

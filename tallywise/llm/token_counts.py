@@ -6,6 +6,7 @@ there, so that a word's token count falls out of one walk over its characters wi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,6 +91,21 @@ class _Counts(dict):
         return n
 
 
+#: Bytes of a text whose words are held at once, but for a word that is longer.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
+    """The words of a text in lists, each of about ``size`` bytes of it."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_tokens (both long).
 
@@ -102,9 +118,12 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column(1).cast(pa.binary()):
-                found = (text.as_py() or b"").split()
-                n_words.append(len(found))
-                n_tokens.append(sum(map(counts.__getitem__, found)))
+                words = tokens = 0
+                for found in _words(text.as_py() or b""):
+                    words += len(found)
+                    tokens += sum(map(counts.__getitem__, found))
+                n_words.append(words)
+                n_tokens.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [id_col, "n_words", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 
-from tallywise.llm import cover_tree, decontaminate, language_id, line_dedup, quality, reply_trees, textkit
+from tallywise.llm import cover_tree, decontaminate, language_id, line_dedup, quality, reply_trees, shared, textkit
 from tallywise.llm.jaccard_join import jaccard_classes
 from tests.llm.brute import components_of, shingle_set
 
@@ -107,6 +107,23 @@ def test_quality_and_language_on_odd_rows(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_hosts_that_hold_most_pages(spark, monkeypatch):
+    """The join of uneven keys, and languages by it, are those of the plain join."""
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"h{k}" if k % 2 else None) for k in range(300)], "id long, host string")
+    table = spark.createDataFrame([("hot", 1), ("h3", 2), ("h9", 3), ("none", 4)], "host string, v int")
+    for most in (1, 2, 1000):
+        monkeypatch.setattr(shared, "HOT", most)
+        got = shared.join_uneven(rows, table, "host")
+        assert sorted(map(tuple, got.select("id", "host", "v").collect())) == sorted(map(tuple, rows.join(table, "host", "left").select("id", "host", "v").collect()))
+    assert shared.join_uneven(rows.limit(0), table, "host").count() == 0
+    model = language_id.fit_text(spark.createDataFrame([("the house and not", "en"), ("der und nicht haus", "de")], "text string, lang string"))
+    pages = spark.createDataFrame([(k, f"http://{'hot' if k % 3 else k}.com/", f"<p>{'the house' if k % 2 else 'der haus'}" if k % 5 else None, "x") for k in range(60)], "page_id long, url string, html string, host string")
+    want = sorted(map(str, language_id.identify(pages, model).collect()))
+    monkeypatch.setattr(language_id, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(shared, "HOT", 3)
+    assert sorted(map(str, language_id.identify(pages, model).collect())) == want and len(want) == 60
+
+
 def test_vectors_over_many_blocks_with_copies(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "BLOCK", 16)
     monkeypatch.setattr(cover_tree, "HOT", 20)

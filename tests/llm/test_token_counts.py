@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 
-from tallywise.llm.token_counts import START, Automaton, token_counts, vocabulary
+from tallywise.llm.token_counts import START, Automaton, _words, token_counts, vocabulary
 
 
 def greedy(pieces: set[str], longest: int, word: str) -> int:
@@ -27,6 +27,16 @@ def test_same_as_greedy_search_on_random_vocabularies():
             assert automaton.count(word) == greedy(pieces, 5, word), (pieces, word)
 
 
+def test_words_of_a_text_in_slices():
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice("ab é\t\n\x0b\x0c\r\x1c\x85\xa0") for _ in range(r.choice([0, 1, 5, 60]))).encode()
+        for size in (1, 2, 7, 100):
+            lists = list(_words(text, size))
+            assert [w for own in lists for w in own] == text.split()
+            assert all(sum(map(len, own)) <= size + max(map(len, own), default=0) for own in lists)
+
+
 def test_public_vocabulary_and_edge_rows(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     pieces = set(vocabulary(path))
