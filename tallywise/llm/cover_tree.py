@@ -3,9 +3,9 @@
 Copies count as one vector with a weight. The top of the tree is a broadcast set of pivots (its size bounded in bytes);
 a vector belongs to the cell of its nearest pivot, and a cell to blocks of about ``BLOCK`` vectors. Each block becomes a
 tree of nested levels: the radius halves from level to level, a node keeps its centre as its first child, and every
-node knows a distance that none of its vectors exceeds. A block's tree travels to the later blocks, without those
-vectors that the cell's covering radius or the plane between the two pivots keeps too far away to link with any vector
-there. In a pair of trees, pairs of nodes are pruned when even their nearest vectors could not link, taken whole when
+node knows a distance that none of its vectors exceeds. Of two blocks one's tree travels to the other (which one, their
+numbers' parity tells, so all blocks receive alike), without those vectors that the cell's covering radius or the plane
+between the two pivots keeps too far away to link with any vector there. In a pair of trees, pairs of nodes are pruned when even their nearest vectors could not link, taken whole when
 all of theirs must, and otherwise opened; vectors are compared in double precision. Each traversal gives one row per
 vector it linked (links, and one vector it is connected to), so a group of copies never becomes a list of pairs.
 """
@@ -30,6 +30,8 @@ PIVOT_BYTES = 32 << 20
 #: Copies of one vector that are over this part of all rows are joined by broadcast: at most so many groups are.
 HOT = 1000
 SLACK = 1e-4
+#: A block's visitors are dealt to as many tasks as there are this many blocks; its own tree goes to each of them.
+VISITORS = 128
 
 
 def _error(width: int) -> float:
@@ -272,14 +274,22 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     trees = dealt.join(per_cell, ["width", "cell"]).withColumn("block", block).groupBy("block").applyInArrow(build, "block long, width int, cell long, tree binary")
     trees = materialise(trees, "blocks")
 
+    slices = -(-at // VISITORS)
+
+    def hosts(k, w, cell):
+        own = np.arange(first[w][cell], first[w][cell] + subs[w][cell])
+        return own[[visits(k, int(other)) for other in own]].tolist()
+
     def travel(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 k, w, cell, tree = row["block"], row["width"], row["cell"], Tree.unpacked(row["tree"])
-                yield _sent(k, False, row["tree"])
-                error, whole = _error(w), np.ones(len(tree.ids), bool)
-                for other in range(k + 1, int(first[w][cell] + subs[w][cell])):
-                    yield _sent(other, True, tree.packed(whole))
+                for s in range(slices):
+                    yield _sent(k, s, False, row["tree"])
+                error = _error(w)
+                whole = tree.packed(np.ones(len(tree.ids), bool))
+                for other in hosts(k, w, cell):
+                    yield _sent(other, k // 2 % slices, True, whole)
                 to_own = tree.unit @ pivots[w][cell]
                 for low in range(0, len(pivots[w]), 1024):
                     some = pivots[w][low : low + 1024]
@@ -287,25 +297,26 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                     between = _apart(some @ pivots[w][cell], error)
                     near = (to_own[:, None] - cos - 4 * error <= (reach + SLACK) * between) & (_apart(cos, -error) - radius[w][low : low + 1024] <= reach + SLACK)
                     near[:, subs[w][low : low + 1024] == 0] = False
-                    near[:, first[w][low : low + 1024] <= k] = False
                     for q in np.flatnonzero(near.any(0)).tolist():
-                        part = tree.packed(near[:, q])
-                        for other in range(int(first[w][low + q]), int(first[w][low + q] + subs[w][low + q])):
-                            yield _sent(other, True, part)
+                        others = hosts(k, w, low + q) if low + q != cell else []
+                        part = tree.packed(near[:, q]) if others else b""
+                        for other in others:
+                            yield _sent(other, k // 2 % slices, True, part)
 
     def traverse(batches):
-        block, home = None, None
+        place, home = None, None
         for batch in batches:
             for row in batch.to_pylist():
                 tree = Tree.unpacked(row["tree"])
                 if not row["guest"]:
-                    block, home = row["block"], tree
-                    yield _found(home, home, cosine)
-                elif block == row["block"]:
+                    place, home = (row["block"], row["slice"]), tree
+                    if row["slice"] == 0:
+                        yield _found(home, home, cosine)
+                elif place == (row["block"], row["slice"]):
                     yield _found(home, tree, cosine)
 
     # a block's own tree comes first, the others stream past it; a block that got no vectors gets no own tree
-    sent = trees.mapInArrow(travel, "block long, guest boolean, tree binary").repartition("block").sortWithinPartitions("block", "guest")
+    sent = trees.mapInArrow(travel, "block long, slice long, guest boolean, tree binary").repartition("block", "slice").sortWithinPartitions("block", "slice", "guest")
     found = materialise(sent.mapInArrow(traverse, "id long, links long, to long"), "links")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
@@ -320,5 +331,10 @@ def linked(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _sent(block: int, guest: bool, tree: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([guest]), pa.array([tree], pa.binary())], ["block", "guest", "tree"])
+def visits(k: int, other: int) -> bool:
+    """Whether block ``k`` goes to block ``other``: of two blocks exactly one does, and each receives half of the others."""
+    return k != other and ((k + other) % 2 == 0) == (k < other)
+
+
+def _sent(block: int, slice_: int, guest: bool, tree: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([slice_], pa.int64()), pa.array([guest]), pa.array([tree], pa.binary())], ["block", "slice", "guest", "tree"])

@@ -126,6 +126,7 @@ def test_hosts_that_hold_most_pages(spark, monkeypatch):
 
 def test_vectors_over_many_blocks_with_copies(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "BLOCK", 16)
+    monkeypatch.setattr(cover_tree, "VISITORS", 4)
     monkeypatch.setattr(cover_tree, "HOT", 20)
     r, rows = np.random.default_rng(5), []
     for _ in range(60):
@@ -146,6 +147,14 @@ def test_vectors_over_many_blocks_with_copies(spark, monkeypatch):
             assert (y.n_links, y.component_id) == (sum(linked(y.vec_id, i) for i in x if i != y.vec_id), comp[y.vec_id])
 
 
+def test_blocks_visit_alike():
+    for n in (1, 2, 7, 64):
+        met = [(k, other) for k in range(n) for other in range(n) if cover_tree.visits(k, other)]
+        assert sorted(tuple(sorted(x)) for x in met) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+        received = np.bincount([other for _, other in met], minlength=n)
+        assert received.max() - received.min() <= 1
+
+
 def test_part_of_a_tree_keeps_links():
     r = np.random.default_rng(8)
     base = r.normal(size=(30, 16))
