@@ -155,19 +155,19 @@ def eva21(spark, sf):
     return key.not_applicable_totals(key.not_applicable(load(spark, sf, "key_manual"), preds, ["simple", "expert"]), ["simple", "expert"])
 
 
-view("o_candidates", """SELECT doc_id, field, period_type, 'verified' AS source, v * 1000.0 AS value, 'USD' AS currency, CASE WHEN fno % 2 = 1 THEN 'derived: ' || v || ' - 7 thousands' ELSE v || ' thousands' END AS label, CAST(v AS STRING) AS raw FROM figures WHERE fno < 5
-  UNION ALL SELECT doc_id, field, period_type, 'answer', CASE WHEN v % 3 = 0 THEN v * 1001.0 ELSE v * 1000.0 END, 'USD', v || ' USD', CAST(v AS STRING) FROM figures WHERE fno < 5 UNION ALL SELECT doc_id, field, period_type, 'key', v * 1000.0 + 5000, 'USD', NULL, NULL FROM figures WHERE fno < 3
-  UNION ALL SELECT doc_id, field, period_type, 'reference', value, currency, NULL, NULL FROM facts WHERE field <> 'eps_basic' AND ord < 5 AND doc_id NOT IN (SELECT doc_id FROM filings WHERE nk % 3 = 0)""")
+view("o_candidates", """SELECT doc_id, field, period_type, 'verified' AS source, v * 1000.0 AS value, 'USD' AS currency, CASE WHEN fno % 2 = 1 THEN 'derived: ' || v || ' - 7 thousands' ELSE v || ' thousands' END AS label, CAST(v AS STRING) AS raw FROM figures WHERE field <> 'eps_basic'
+  UNION ALL SELECT doc_id, field, period_type, 'answer', CASE WHEN v % 3 = 0 THEN v * 1001.0 ELSE v * 1000.0 END, 'USD', v || ' USD', CAST(v AS STRING) FROM figures WHERE field <> 'eps_basic' UNION ALL SELECT doc_id, field, period_type, 'key', v * 1000.0 + 5000, 'USD', NULL, NULL FROM figures WHERE fno < 3
+  UNION ALL SELECT doc_id, field, period_type, 'reference', value, currency, NULL, NULL FROM facts WHERE field <> 'eps_basic' AND doc_id NOT IN (SELECT doc_id FROM filings WHERE nk % 3 = 0)""")
 
 
 def candidate_rows(spark, sf):
-    f = load(spark, sf, "figures").where("fno < 5").withColumn("text", F.col("v").cast("string"))
+    f = load(spark, sf, "figures").withColumn("text", F.col("v").cast("string"))
     part = lambda sign, raw: F.struct(F.lit(sign).alias("sign"), raw.alias("raw_value"), F.lit("thousands").alias("raw_unit"))
     odd = F.col("fno") % 2 == 1
     verified = f.select(*key.KEY, (F.col("v") * 1000.0).alias("value"), F.lit("USD").alias("currency"), F.when(~odd, F.col("text")).alias("raw_value"), F.lit("thousands").alias("raw_unit"), F.when(odd, "derived").otherwise("reported").alias("derivation"), F.when(odd, F.array(part(1, F.col("text")), part(-1, F.lit("(7)")))).alias("components"))
     answers = f.select(*key.KEY, (F.col("v") * F.when(F.col("v") % 3 == 0, 1001.0).otherwise(1000.0)).alias("value"), F.lit("USD").alias("currency"), F.col("text").alias("raw_value"), F.lit("").alias("raw_unit"), F.lit("USD").alias("raw_currency"))
     keyed_ = f.where("fno < 3").select(*key.KEY, (F.col("v") * 1000.0 + 5000).alias("truth"), F.lit("USD").alias("currency"))
-    return key.candidates(verified, answers, keyed_, load(spark, sf, "facts").where("ord < 5"), load(spark, sf, "filings").where("nk % 3 = 0"), ["revenue", "net_income_parent", "cost_of_revenue", "operating_cash_flow"])
+    return key.candidates(verified, answers, keyed_, load(spark, sf, "facts"), load(spark, sf, "filings").where("nk % 3 = 0"), ["revenue", "net_income_parent", "cost_of_revenue", "operating_cash_flow"])
 
 
 @query("eva23_candidates", "SELECT doc_id, field, period_type, source, round(value, 2) AS value, currency, label, raw FROM o_candidates")

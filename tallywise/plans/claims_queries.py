@@ -159,11 +159,11 @@ def ver4_printed(spark, sf):
     return ver.check_quotes(claims, prepared).select("doc_id", "c1", F.round("quote_ratio", 6).alias("quote_ratio"), F.array_join(F.col("other_pages").cast("array<string>"), ",").alias("other_pages"))
 
 
-@query("ver14_derived_components", """SELECT doc_id, 1 AS seq, sum(CASE WHEN fno = 3 THEN -1 ELSE 1 END * v)::DOUBLE AS value, (count(*) * 0.5)::DOUBLE AS tolerance, CASE WHEN count(DISTINCT fno % 2) = 1 THEN min(fno % 2)::VARCHAR END AS currency,
-  bool_and(v > 10) AS c1, bool_and(v > 20) AS c2, bool_and(v > 30) AS c3 FROM figures WHERE fno <= 4 GROUP BY doc_id""")
+@query("ver14_derived_components", """SELECT doc_id, 1 AS seq, sum(CASE WHEN fno = 3 THEN -1 ELSE 1 END * v)::DOUBLE AS value, (count(*) * 0.5)::DOUBLE AS tolerance, CASE WHEN count(DISTINCT cur) = 1 THEN min(cur) END AS currency,
+  bool_and(v > 10) AS c1, bool_and(v > 20) AS c2, bool_and(v > 30) AS c3 FROM (SELECT *, CASE WHEN v % 3 = 0 OR market = 'us' THEN 'USD' ELSE 'CNY' END AS cur FROM figures) GROUP BY doc_id""")
 def ver14(spark, sf):
-    f = load(spark, sf, "figures").where("fno <= 4")
-    parts = f.select("doc_id", F.lit(1).alias("seq"), F.when(F.col("fno") == 3, -1).otherwise(1).alias("sign"), F.col("v").cast("double").alias("value"), F.lit(0.5).alias("tolerance"), (F.col("fno") % 2).cast("string").alias("currency"), (F.col("v") > 10).alias("c1"), (F.col("v") > 20).alias("c2"), (F.col("v") > 30).alias("c3"))
+    f = load(spark, sf, "figures")
+    parts = f.select("doc_id", F.lit(1).alias("seq"), F.when(F.col("fno") == 3, -1).otherwise(1).alias("sign"), F.col("v").cast("double").alias("value"), F.lit(0.5).alias("tolerance"), F.when((F.col("v") % 3 == 0) | (F.col("market") == "us"), "USD").otherwise("CNY").alias("currency"), (F.col("v") > 10).alias("c1"), (F.col("v") > 20).alias("c2"), (F.col("v") > 30).alias("c3"))
     return ver.derived_items(parts)
 
 

@@ -100,9 +100,9 @@ def eva19(spark, sf):
     return rep.trigger_counts(_judged(spark, sf).select(rep.triggers().alias("triggers")))
 
 
-@query("eva22_tier_matrix", "SELECT doc_id AS report, field, 'R' AS simple, CASE WHEN v % 5 = 0 THEN 'W' ELSE 'R' END AS expert, CASE WHEN v % 3 <> 0 THEN 'R' END AS pipeline FROM figures WHERE NOT (fno = 5)")
+@query("eva22_tier_matrix", "SELECT doc_id AS report, field || ' ' || period_type || ' ' || fno AS field, 'R' AS simple, CASE WHEN v % 5 = 0 THEN 'W' ELSE 'R' END AS expert, CASE WHEN v % 3 <> 0 THEN 'R' END AS pipeline FROM figures")
 def eva22(spark, sf):
-    f = load(spark, sf, "figures").where("fno <> 5").select(F.col("doc_id").alias("report"), "field", "v", F.explode(F.array(*map(F.lit, ["simple", "expert", "pipeline"]))).alias("cell"))
+    f = load(spark, sf, "figures").select(F.col("doc_id").alias("report"), F.concat_ws(" ", "field", "period_type", "fno").alias("field"), "v", F.explode(F.array(*map(F.lit, ["simple", "expert", "pipeline"]))).alias("cell"))
     rows = f.where("cell <> 'pipeline' OR v % 3 <> 0").withColumn("strict", (F.col("cell") != "expert") | (F.col("v") % 5 != 0))
     return rep.tier_matrix(rows, ["simple", "expert", "pipeline"])
 

@@ -65,11 +65,11 @@ def smp3(spark, sf):
     return both.join(previous, "request", "left").select("request", "previous", "error")
 
 
-view("cells", "SELECT doc_id, market, CAST(fno AS INT) AS seq, field, period_end, CAST(v AS DOUBLE) AS value, CAST(v AS STRING) AS raw_value, 'thousands' AS unit, CASE v % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'HKD' WHEN 2 THEN 'CNY' ELSE 'GBP' END AS currency, CASE market WHEN 'us' THEN 'USD' WHEN 'a' THEN 'CNY' ELSE 'HKD' END AS listing_currency, 'OK' AS status FROM figures WHERE fno < 5")
+view("cells", "SELECT doc_id, market, CAST(fno AS INT) AS seq, field, period_end, CAST(v AS DOUBLE) AS value, CAST(v AS STRING) AS raw_value, 'thousands' AS unit, CASE v % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'HKD' WHEN 2 THEN 'CNY' ELSE 'GBP' END AS currency, CASE market WHEN 'us' THEN 'USD' WHEN 'a' THEN 'CNY' ELSE 'HKD' END AS listing_currency, 'OK' AS status FROM figures")
 #: The events' month moved to the filings' years, so that some days have a rate and others don't.
 view("old_rates", "SELECT ccy, add_months(date, -12 * 27) AS date, rate FROM rates")
 view("o_old_rates", "SELECT ccy, (date - INTERVAL 324 MONTH)::DATE AS date, rate FROM rates")
-view("o_converted", """SELECT c.*, CASE WHEN currency = listing_currency THEN 1.0 ELSE (CASE WHEN currency = 'CNY' THEN 1.0 ELSE r.rate END) / (CASE WHEN listing_currency = 'CNY' THEN 1.0 ELSE s.rate END) END AS rate, CASE WHEN currency <> listing_currency THEN coalesce(least(r.date, s.date), r.date, s.date) END AS rate_date
+view("o_converted", """SELECT c.*, CASE WHEN currency = listing_currency THEN 1.0 ELSE (CASE WHEN currency = 'CNY' THEN 1.0 ELSE r.rate END) / (CASE WHEN listing_currency = 'CNY' THEN 1.0 ELSE s.rate END) END AS rate, CASE WHEN currency = listing_currency THEN period_end WHEN (currency = 'CNY' OR r.rate IS NOT NULL) AND (listing_currency = 'CNY' OR s.rate IS NOT NULL) THEN coalesce(least(r.date, s.date), r.date, s.date) END AS rate_date
   FROM cells c ASOF LEFT JOIN o_old_rates r ON c.currency = r.ccy AND c.period_end >= r.date ASOF LEFT JOIN o_old_rates s ON c.listing_currency = s.ccy AND c.period_end >= s.date""")
 
 
@@ -79,7 +79,7 @@ def _converted(spark, sf):
     return cmp.converted(c.drop("listing_currency", "period_end"), listing, load(spark, sf, "old_rates"))
 
 
-@query("cmp4_converted_matrix", """SELECT doc_id, round(max(value * rate) FILTER (field = 'revenue'), 6) AS revenue, round(max(value * rate) FILTER (field = 'net_income_parent'), 6) AS net_income_parent, count_if(rate IS NULL)::BIGINT AS missing FROM o_converted GROUP BY doc_id""")
+@query("cmp4_converted_matrix", """SELECT doc_id, round(arg_min_null(value * rate, seq) FILTER (field = 'revenue'), 6) AS revenue, round(arg_min_null(value * rate, seq) FILTER (field = 'net_income_parent'), 6) AS net_income_parent, count_if(rate IS NULL)::BIGINT AS missing FROM o_converted GROUP BY doc_id""")
 def cmp4_converted(spark, sf):
     own = _converted(spark, sf)
     m = cmp.matrix(own.select("doc_id", "seq", "field", F.col("value_listing").alias("value")), ["revenue", "net_income_parent"])
@@ -87,7 +87,7 @@ def cmp4_converted(spark, sf):
     return m.join(missing, "doc_id").select("doc_id", F.round("revenue", 6).alias("revenue"), F.round("net_income_parent", 6).alias("net_income_parent"), "missing")
 
 
-@query("snk3_compare_csv", """SELECT doc_id AS code, field, raw_value, currency, listing_currency, round(rate, 9) AS fx_rate, strftime(rate_date, '%Y-%m-%d') AS fx_date, CASE WHEN rate IS NOT NULL THEN 'central "parity", daily' END AS fx_type, round(value * rate, 6) AS value_listing FROM o_converted""")
+@query("snk3_compare_csv", """SELECT doc_id AS code, field, raw_value, currency, listing_currency, round(rate, 9) AS fx_rate, strftime(rate_date, '%Y-%m-%d') AS fx_date, CASE WHEN currency = listing_currency THEN 'none' WHEN rate IS NOT NULL THEN 'central "parity", daily' END AS fx_type, round(value * rate, 6) AS value_listing FROM o_converted""")
 def snk3(spark, sf):
     path = new_path(spark, "compare")
     own = _converted(spark, sf).withColumn("company", F.lit("a, b")).withColumn("code", F.col("doc_id"))

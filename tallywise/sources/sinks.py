@@ -39,7 +39,9 @@ def item_rows(items: DataFrame) -> DataFrame:
 
 
 def compare_rows(cells: DataFrame, fx_type: str, fx_source: str) -> DataFrame:
-    """SNK3: the columns of the cross-company export, from ``converted`` cells; rate columns are empty without a rate."""
-    own = cells.withColumn("fx_rate", F.col("rate")).withColumn("fx_date", F.col("rate_date"))
-    own = own.withColumn("fx_type", F.when(F.col("rate").isNotNull(), fx_type)).withColumn("fx_source", F.when(F.col("rate").isNotNull(), fx_source))
+    """SNK3: the columns of the cross-company export, from ``converted`` cells; rate columns are empty without a rate, and
+    an amount in the listing currency has a rate of type none without a source."""
+    own, same = cells.withColumn("fx_rate", F.col("rate")).withColumn("fx_date", F.col("rate_date")), F.col("currency") == F.col("listing_currency")
+    kind = lambda c, alone: F.when(same, alone).when(F.col("rate").isNotNull(), c)
+    own = own.withColumn("fx_type", kind(fx_type, "none")).withColumn("fx_source", kind(fx_source, ""))
     return own.select(*[F.col(c).cast("string").alias(c) for c in COMPARE_COLUMNS])
