@@ -212,6 +212,16 @@ def ver20(spark, sf):
     return ver.reclassify_parent(parent.unionByName(common)).where("field = 'net_income_parent'").select("doc_id", "category")
 
 
+view("owner_claims", """SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS seq, CASE WHEN max(l_partkey) % 2 = 0 THEN 'net_income_parent' ELSE 'net_income_common' END AS field, CASE WHEN l_linenumber < 5 THEN 'Q' ELSE 'FY' END AS period_type, CASE WHEN max(l_suppkey) % 4 = 0 THEN 'none' ELSE 'mismatch' END AS state,
+  CASE WHEN max(l_suppkey) % 5 > 0 THEN CAST(round(max(l_discount) * 50) AS DOUBLE) END AS value, CASE WHEN max(l_suppkey) % 7 > 0 THEN CAST(round(max(l_tax) * 50) AS DOUBLE) + 0.25 END AS ref_value, CASE WHEN max(l_partkey) % 3 = 0 THEN 0.25 ELSE 0.125 END AS tolerance, CASE max(l_partkey) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'SIGN' ELSE 'UNIT' END AS category FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+
+
+@query("ver20_owner_definitions", """SELECT r.doc_id, r.seq, CASE WHEN field = 'net_income_parent' AND state = 'mismatch' AND abs(common - ref_value) <= tolerance + 1e-9 * abs(ref_value) THEN 'DEFINITION' ELSE category END AS category FROM owner_claims r
+  LEFT JOIN (SELECT doc_id, period_type, arg_min(value, seq) AS common FROM owner_claims WHERE field = 'net_income_common' AND value IS NOT NULL GROUP BY ALL) c ON c.doc_id = r.doc_id AND c.period_type = r.period_type""")
+def ver20_owners(spark, sf):
+    return ver.reclassify_parent(load(spark, sf, "owner_claims")).select("doc_id", "seq", "category")
+
+
 @query("ver24_industry_metrics", """SELECT doc_id, 'industry:orders' AS field, CASE WHEN list_contains(regexp_extract_all(text, '[0-9]+'), raw) THEN 'FOUND' ELSE 'BAD' END AS status FROM (SELECT doc_id, 'Orders handled: ' || n || ' accounts' AS text, (CASE WHEN nk % 3 = 0 THEN n + 1 ELSE n END)::VARCHAR AS raw FROM filings)""")
 def ver24(spark, sf):
     d = load(spark, sf, "filings")
@@ -229,6 +239,21 @@ def ver26(spark, sf):
     return ver.predictions(rows).select("conv_id", "turn", "outcome", "value")
 
 
+#: Answers print a number among others; what was read from them is the whole number, a part of it, another one or none.
+view("read_answers", """SELECT o_orderkey, 'In ' || CAST(year(o_orderdate) AS STRING) || ' it was ' || CASE o_custkey % 3 WHEN 0 THEN CAST(n AS STRING) WHEN 1 THEN CAST(n AS STRING) || '.' || CAST(o_custkey % 90 + 10 AS STRING) ELSE CAST(CAST(floor(n / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST(n % 1000 AS STRING), 3, '0') END || CASE o_custkey % 2 WHEN 0 THEN ' million dollars.' ELSE '% up, 7 more.' END AS answer,
+  CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST(CAST(floor(n / 10) AS BIGINT) AS STRING) WHEN 2 THEN CAST(n AS STRING) || '.' || CAST(o_custkey % 90 + 10 AS STRING) WHEN 3 THEN '(' || CAST(n AS STRING) || ')' WHEN 4 THEN CAST(CAST(floor(n / 1000) AS BIGINT) AS STRING) || ',' || lpad(CAST(n % 1000 AS STRING), 3, '0') WHEN 5 THEN CAST(year(o_orderdate) AS STRING) ELSE 'about ' || CAST(n AS STRING) END AS raw_value,
+  CASE o_orderstatus WHEN 'P' THEN 'ambiguous' ELSE 'answered' END AS status FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)""")
+
+
+@query("ver25_ver26_read_answers", r"""WITH t AS (SELECT *, nullif(regexp_extract(regexp_replace(raw_value, '[, ]', '', 'g'), '\d+(\.\d+)?'), '') AS digits,
+  list_transform(regexp_extract_all(regexp_replace(answer, '(\d),(\d{3})(\D|$)', '\1\2\3', 'g'), '[0-9.]+'), lambda x: rtrim(x, '.')) AS numbers FROM read_answers), o AS (SELECT *, CASE WHEN status <> 'answered' THEN status WHEN coalesce(list_contains(numbers, digits), false) THEN 'answered' ELSE 'parser_error' END AS outcome FROM t)
+  SELECT o_orderkey, outcome, round(CASE WHEN outcome = 'answered' THEN digits::DOUBLE * CASE WHEN starts_with(raw_value, '(') THEN -1 ELSE 1 END * 1000000 END, 2) AS value FROM o""")
+def ver26_read(spark, sf):
+    a = load(spark, sf, "read_answers")
+    rows = a.select("o_orderkey", F.lit("revenue").alias("field"), "status", "raw_value", F.lit("million").alias("raw_unit"), F.lit("USD").alias("raw_currency"), F.lit("us").alias("market"), "answer")
+    return ver.predictions(rows).select("o_orderkey", "outcome", F.round("value", 2).alias("value"))
+
+
 @query("ver28_recomputed", """SELECT *, CASE WHEN abs(value - recomputed) > 0.5 + 0.5 + 1e-9 * abs(value) THEN 'BAD' ELSE 'OK' END AS status FROM (SELECT doc_id, 1 AS seq, rev::DOUBLE AS value, (rev + nk % 4 * 0.5)::DOUBLE AS recomputed FROM filings)""")
 def ver28(spark, sf):
     d = load(spark, sf, "filings")

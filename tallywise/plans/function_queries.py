@@ -68,6 +68,25 @@ def fn15(spark, sf):
     return p.select("p_partkey", per.field_of(name).alias("field"), per.period_of(span, F.lit("FY")).alias("period"))
 
 
+#: Names and spans in many wordings; which ones mean something is told by the alias tables only.
+view("alias_texts", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN 'Total ' WHEN 2 THEN ' NET ' WHEN 3 THEN 'Basic ' ELSE '' END || CASE o_custkey % 8 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'sales' WHEN 2 THEN 'EPS' WHEN 3 THEN 'earnings per share' WHEN 4 THEN 'cost of revenues' WHEN 5 THEN '毛利' WHEN 6 THEN 'Interest Income' ELSE 'goodwill' END
+  || CASE CAST(floor(o_totalprice) AS BIGINT) % 4 WHEN 1 THEN ' (restated)' WHEN 2 THEN '（未经审计） ' WHEN 3 THEN ' basic' ELSE '' END AS name, CASE o_custkey % 4 WHEN 1 THEN 'for the ' WHEN 2 THEN 'As of ' WHEN 3 THEN '截至' ELSE '' END
+  || CASE CAST(floor(o_totalprice) AS BIGINT) % 11 WHEN 0 THEN 'three months' WHEN 1 THEN 'Quarter' WHEN 2 THEN 'NINE MONTHS' WHEN 3 THEN 'year' WHEN 4 THEN 'full year' WHEN 5 THEN 'H1' WHEN 6 THEN 'ytd' WHEN 7 THEN '中期' WHEN 8 THEN '前三季度' WHEN 9 THEN '' ELSE 'date' END || CASE o_orderkey % 3 WHEN 1 THEN ' ended June' WHEN 2 THEN 'ly' ELSE '' END AS span FROM orders""")
+
+
+def _pairs(table: dict[str, list[str]], own: bool) -> str:
+    return ", ".join(f"('{alias}', '{to}')" for to, names in table.items() for alias in dict.fromkeys([*names, to] if own else names))
+
+
+@query("fn15_alias_lookup", f"""WITH fields(alias, field) AS (VALUES {_pairs(per.FIELD_ALIASES, True)}), periods(alias, period) AS (VALUES {_pairs(per.PERIOD_ALIASES, False)}),
+  t AS (SELECT o_orderkey, trim(regexp_replace(lower(trim(name)), '[（(].*?[)）]', '', 'g')) AS n, lower(trim(span)) AS s FROM alias_texts),
+  longest AS (SELECT s, arg_max(period, length(alias)) AS period FROM (SELECT DISTINCT s FROM t) JOIN periods ON length(alias) > 2 AND contains(s, alias) GROUP BY s)
+  SELECT o_orderkey, field, CASE WHEN t.s = '' THEN 'FY' ELSE coalesce(p.period, l.period) END AS period FROM t LEFT JOIN fields f ON f.alias = t.n LEFT JOIN periods p ON p.alias = t.s LEFT JOIN longest l ON l.s = t.s""")
+def fn15_lookup(spark, sf):
+    t = load(spark, sf, "alias_texts")
+    return t.select("o_orderkey", per.field_of(F.col("name")).alias("field"), per.period_of(F.col("span"), F.lit("FY")).alias("period"))
+
+
 @query("fn22_fn23_labels", """SELECT doc_id, CASE WHEN q = 4 THEN 'FY' || y ELSE CASE q WHEN 1 THEN 'Q1' WHEN 2 THEN 'H1' ELSE 'Q3' END || ' ' || y END AS label, false AS fiscal, CASE WHEN nk % 3 = 0 THEN 'flat' WHEN nk % 3 = 1 THEN 'up ' || q || '.5%' ELSE 'down ' || q || '.5%' END AS words FROM filings""")
 def fn22(spark, sf):
     d = load(spark, sf, "filings")
