@@ -117,7 +117,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     Sets are distinct ``words``-word shingles of lower-cased words; with fewer words, the whole sequence is one
     shingle (so such an item is only found in a document that is that sequence); null and empty texts have none and
     match nothing. Repeated documents each give their rows; a repeated item id with the same text counts once; an id may
-    be null. Other columns are ignored. Items go out in parts of a bounded number of shingles, with a pass over the documents each.
+    be null. Other columns are ignored. Items go out in parts of a bounded number of shingles (dealt by id and
+    shingles, so rows without an id or with the same one aren't one part), with a pass over the documents each.
     """
     spark = docs.sparkSession
     sets = materialise(item_sets(items, item_id, item_text, words).dropDuplicates(), "items")
@@ -126,7 +127,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
     for part in range(parts):
-        own = sets if parts == 1 else sets.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        own = sets if parts == 1 else sets.where(F.pmod(F.xxhash64("item_id", "items"), F.lit(parts)) == part)
         found = Signatures([(r.item_id, np.frombuffer(r["items"], np.uint64)) for r in own.collect()])
         sent = spark.sparkContext.broadcast(found)
 

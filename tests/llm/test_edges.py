@@ -206,3 +206,15 @@ def test_an_item_that_a_document_repeats_for_long():
     began = time.time()
     assert {(a, n, k) for a, n, k in signatures.contained(doc, 75)} == {(1, len(item), len(item)), (2, 7, 7)}
     assert time.time() - began < 60
+
+
+def test_items_of_one_id_go_out_in_many_parts(spark, monkeypatch):
+    texts = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(30)]
+    items = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "before " + t + " after") for k, t in enumerate(texts[:20])], "doc_id long, text string")
+    want = sorted(map(str, decontaminate.contained_items(docs, items).collect()))
+    made, own = [], decontaminate.Signatures.__init__
+    monkeypatch.setattr(decontaminate.Signatures, "__init__", lambda self, found: (made.append(len(found)), own(self, found))[1])
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 24)
+    assert sorted(map(str, decontaminate.contained_items(docs, items).collect())) == want and len(want) == 20
+    assert sum(made) == 30 and len(made) == 10 and max(made) <= 10
