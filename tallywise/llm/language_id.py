@@ -81,9 +81,9 @@ def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 def evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """host, suffix, declared (lower case, '' if absent) and visible text, added to the pages' own columns as __ columns.
 
-    declared is that of the page's first <html> tag with a language, wherever it stands outside comments and scripts.
+    The host is an address's without user and port. declared is that of the page's first <html> tag with a language, wherever it stands outside comments and scripts.
     """
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[a-zA-Z]+://([^/?#:]*)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[a-zA-Z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     declared = F.lower(F.regexp_extract(markup(F.col(html)), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     return pages.select("*", host.alias("__host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("__suffix"), declared.alias("__declared"), F.array_join(html_lines(F.col(html)), " ").alias("__text"))
 

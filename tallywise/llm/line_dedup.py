@@ -58,6 +58,8 @@ def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float =
 
     Null hosts form one group; null lines are none; blank lines stay. A line goes if it stands on at least
     ``min_pages`` pages of its host and on more than ``max_ratio`` of them; repeated rows count as pages of their own.
+    An empty table gives none. Columns n_lines and n_dropped that are there already are overwritten; none may be named
+    __host, __boiler or __kept.
     Per host there are at most mean-lines-a-page / max_ratio such lines, so they are gathered per host; their table is
     broadcast only up to a checked size and otherwise joined by host.
     """

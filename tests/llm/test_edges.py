@@ -218,3 +218,18 @@ def test_items_of_one_id_go_out_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 24)
     assert sorted(map(str, decontaminate.contained_items(docs, items).collect())) == want and len(want) == 20
     assert sum(made) == 30 and len(made) == 10 and max(made) <= 10
+
+
+def test_host_without_user_and_port(spark):
+    urls = ["http://a:b@News.example.de:80/x@y", "https://news.example.de?q=a@b", "http://u@host.fr#f", "HTTP://h.uk:1/", None, "no address"]
+    pages = spark.createDataFrame([(k, u, "<p>x</p>") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = language_id.evidence(pages).orderBy("page_id").select("__host", "__suffix").collect()
+    assert [tuple(r) for r in got] == [("news.example.de", "de"), ("news.example.de", "de"), ("host.fr", "fr"), ("h.uk", "uk"), ("", ""), ("", "")]
+
+
+def test_dropped_lines_with_clashing_names_and_empty_tables(spark):
+    rows = [(k, "h", ["menu", f"own {k}"] if k else ["menu"] * 50_000, -1) for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, host string, lines array<string>, n_dropped int")
+    got = {r.page_id: (r.n_lines, r.n_dropped, r.lines) for r in line_dedup.drop_boilerplate(pages, "host", "lines").collect()}
+    assert got == {0: (50_000, 50_000, []), **{k: (2, 1, [f"own {k}"]) for k in (1, 2, 3)}}
+    assert line_dedup.drop_boilerplate(pages.limit(0), "host", "lines").count() == 0
