@@ -32,8 +32,10 @@ def entity_id(tickers: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def first_meta(facts: DataFrame, forms: list[str]) -> DataFrame:
-    """RES2: (accn, fy, fp, form) first seen per accession among the forms."""
-    return facts.where(F.col("form").isin(forms)).groupBy("accn").agg(*[F.min_by(c, "ord").alias(c) for c in ("fy", "fp", "form")])
+    """RES2: (accn, fy, fp, form) first seen per accession among the forms, all from one fact: ``ord`` differs within an
+    accession, or it's left open which of equals is taken."""
+    first = F.min_by(F.struct("fy", "fp", "form"), "ord").alias("first")
+    return facts.where(F.col("form").isin(forms)).groupBy("accn").agg(first).select("accn", "first.*")
 
 
 def by_period(requests: DataFrame, listing: DataFrame) -> DataFrame:
