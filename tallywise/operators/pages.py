@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,12 +52,25 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def html_text(part: Column) -> Column:
+#: A numeric or named entity that ends in a semicolon.
+CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def _closed_unescaped(s: pd.Series) -> pd.Series:
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return s.map(lambda t: CLOSED.sub(one, t), na_action="ignore")
+
+
+def html_text(part: Column, open_entities: bool = True) -> Column:
     """SRC2: the text of a piece of HTML: no scripts or styles, a line for each block, a space after each cell, all named
-    and numeric entities resolved, brackets glued to their numbers, blanks and empty lines collapsed, folded (FN1)."""
+    and numeric entities resolved, brackets glued to their numbers, blanks and empty lines collapsed, folded (FN1).
+
+    Entities without a semicolon (a cut ``&amp``) are resolved like HTML does, or stay where ``open_entities`` is off.
+    """
     t = F.regexp_replace(F.coalesce(part, F.lit("")), NO_TEXT, " ")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, LINE_END, "\n"), CELL_END, " "), r"<[^>]+>", "")
-    t = F.regexp_replace(_unescaped(t), r"[ \t\u00a0]+", " ")
+    t = F.regexp_replace((_unescaped if open_entities else _closed_unescaped)(t), r"[ \t\u00a0]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\(\s+(?=\d)", "("), r"(?U)(?<=\d)\s+\)", ")")
     t = nfkc(F.regexp_replace(t, r"(?U)\n\s*\n", "\n"))
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
