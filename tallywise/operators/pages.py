@@ -94,32 +94,28 @@ def html_pages(docs: DataFrame, html_col: str = "html", limit: int = CHUNK) -> D
     return paged.unionByName(chunks(few.unionByName(bare), limit))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _line_chunks(text: pd.Series, limit: pd.Series) -> pd.Series:
+    def cut(t: str, most: int) -> list[str]:
+        out, used = [], most
+        for line in t.split("\n"):
+            if not out or used + len(line) > most:
+                out.append([])
+                used = 0
+            out[-1].append(line)
+            used += len(line) + 1
+        return ["\n".join(c) + "\n" for c in out]
+
+    return pd.Series([cut(t, n) for t, n in zip(text, limit, strict=True)], dtype=object)
+
+
 def chunks(texts: DataFrame, limit: int = CHUNK) -> DataFrame:
     """SRC3: (doc_id, page, text) of texts (doc_id, text) as whole lines, in order, in chunks of at most ``limit``
     characters but for the last line break; a longer line stands alone. Each line of a chunk ends in a line break.
 
-    Where the chunk that begins at a line would end is known for all lines at once, from running sums of their lengths;
-    the lines at which chunks do begin are found from the first by pointers that double their reach in each round.
+    A text is cut where its row lies, in one pass over its lines; no lines are shuffled.
     """
-    lines = texts.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("nth", "line"))
-    in_order = Window.partitionBy("doc_id").orderBy("nth")
-    size = F.length("line").cast("long") + 1
-    lines = materialise(lines.withColumn("begin", F.sum(size).over(in_order) - size), "lines")
-    ends = lines.groupBy("doc_id").agg((F.max("nth") + 1).alias("nth"), F.max(F.col("begin") + size).alias("begin"))
-    # the last place that begins within a chunk's room after this line: there the next chunk begins
-    room = Window.partitionBy("doc_id").orderBy("begin").rangeBetween(0, limit + 1)
-    places = lines.select("doc_id", "nth", "begin").withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True)))
-    jump = places.withColumn("to", F.greatest(F.max("nth").over(room), F.col("nth") + 1)).where("NOT last").select("doc_id", "nth", "to")
-    jump = materialise(jump.join(ends.select("doc_id", F.col("nth").alias("end")), "doc_id").where(F.col("to") < F.col("end")).drop("end"), "chunk-ends")
-    starts = lines.where("nth = 0").select("doc_id", "nth")
-    while not jump.isEmpty():
-        starts = materialise(starts.unionByName(starts.join(jump, ["doc_id", "nth"]).select("doc_id", F.col("to").alias("nth"))), "chunk-starts")
-        onward = jump.select("doc_id", F.col("nth").alias("to"), F.col("to").alias("beyond"))
-        jump = materialise(jump.join(onward, ["doc_id", "to"]).select("doc_id", "nth", F.col("beyond").alias("to")), "chunk-ends")
-    told = lines.join(starts.withColumn("opens", F.lit(1)), ["doc_id", "nth"], "left")
-    told = told.withColumn("page", F.count("opens").over(in_order).cast("int"))
-    own = F.array_join(F.array_sort(F.collect_list(F.struct("nth", "line")))["line"], "\n")
-    return told.groupBy("doc_id", "page").agg(F.concat(own, F.lit("\n")).alias("text"))
+    return texts.select("doc_id", F.posexplode(_line_chunks(F.coalesce("text", F.lit("")), F.lit(limit))).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("page"), "text")
 
 
 def readability(pages: DataFrame) -> DataFrame:
