@@ -7,6 +7,7 @@ them with errors chosen by key modulus.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,9 +94,9 @@ def deps(sql: str) -> list[str]:
     return out
 
 
-def with_views(sql: str) -> str:
-    """The text with the views it needs in front, as one statement."""
-    parts = [f"{v} AS ({VIEWS[v]})" for v in deps(sql)]
+def with_views(sql: str, given: Iterable[str] = ()) -> str:
+    """The text with the views it needs in front, but for given ones, as one statement."""
+    parts = [f"{v} AS ({VIEWS[v]})" for v in deps(sql) if v not in given]
     body = sql.strip()
     head = re.match(r"(?i)WITH (RECURSIVE )?", body)
     if head:
@@ -104,13 +105,19 @@ def with_views(sql: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Runs portable SQL over the tables of a folder."""
-    text = with_views(sql).replace("{", "{{").replace("}", "}}")
-    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)}
+    """Runs portable SQL over the tables of a folder; quarters, which filings and figures read many times, are summed up
+    from the orders once and written."""
+    once = {"quarters": load(spark, sf_dir, "quarters")} if "quarters" in deps(sql) and sql != QUARTERS else {}
+    text = with_views(sql, once).replace("{", "{{").replace("}", "}}")
+    given = once | {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE if re.search(rf"(?:FROM|JOIN)\s+{t}\b", text)}
     text = re.sub(rf"((?:FROM|JOIN)\s+)({'|'.join(given) or '-'})\b", lambda m: f"{m[1]}{{{m[2]}}}", text)
     return spark.sql(text, **given)
 
 
+#: What ``load`` reads of them.
+QUARTERS = "SELECT * FROM quarters"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, written once: queries use it several times."""
     return materialise(read(spark, sf_dir, f"SELECT * FROM {name}"), name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import verify as ver
+from ..sources.store import materialise
 
 PAIR = ["doc_id", "field", "period_type"]
 
@@ -30,6 +31,8 @@ def verify_arriving(claims: DataFrame, pages: DataFrame, facts: DataFrame, path:
             # a pair comes again with each of its claims; what was checked as its first already stays
             done = spark.read.parquet(f"{path}/checked").where(F.col("batch") < number)
             new = new.join(done.select(*PAIR, "seq").distinct(), [*PAIR, "seq"], "left_anti")
+        # written once: each further use of a micro-batch reads and keeps the stream's whole state again
+        new = materialise(new, "new-firsts")
         ver.on_pages(new, pages).write.mode("overwrite").parquet(f"{path}/checked/batch={number}")
         checked = spark.read.parquet(f"{path}/checked").where(F.col("batch") <= number)
         touched = checked.join(checked.where(F.col("batch") == number).select("doc_id").distinct(), "doc_id", "left_semi")
