@@ -37,7 +37,7 @@ def dashes(c: Column) -> Column:
 def for_match(c: Column) -> Column:
     """FN2: folded, simplified characters, unified punctuation, no white space, lower case."""
     c = nfkc(c)
-    c = F.translate(F.translate(dashes(c), *PUNCTUATION), *TRADITIONAL)
+    c = F.translate(c, DASHES + PUNCTUATION[0] + TRADITIONAL[0], "-" * len(DASHES) + PUNCTUATION[1] + TRADITIONAL[1])
     return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
 
 

@@ -95,7 +95,12 @@ def tried_pages(claims: DataFrame) -> DataFrame:
 
 def exact_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """VER4 and VER7: (doc_id, seq, page_used) of the first tried page that holds the quote verbatim."""
-    tried = tried_pages(claims.select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''"))
+    return _verbatim(claims.select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")), pages)
+
+
+def _verbatim(asked: DataFrame, pages: DataFrame) -> DataFrame:
+    """exact_quotes of quotes in match form (doc_id, seq, page, q)."""
+    tried = tried_pages(asked.where("q <> ''"))
     on = pages.select("doc_id", F.col("page").alias("try_page"), "match_text")
     hit = tried.join(on, ["doc_id", "try_page"]).where(F.contains("match_text", "q"))
     return hit.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"))
@@ -124,7 +129,7 @@ def likeness(q: str, t: str) -> float:
     matcher, n = SequenceMatcher(None, autojunk=False), len(q)
     if n >= len(t):
         matcher.set_seqs(q, t)
-        return matcher.ratio()
+        return matcher.ratio() if matcher.real_quick_ratio() >= FUZZY and matcher.quick_ratio() >= FUZZY else 0.0
     matcher.set_seq1(q)
     step, last = max(1, n // 8), len(t) - n
     # the multiset bound of every coarse window at once; a window between two shares all but a step with one of them
@@ -196,8 +201,9 @@ def check_quotes(claims: DataFrame, pages: DataFrame) -> DataFrame:
     Exact matches are found by a join alone; only quotes without one go on to pieces and likeness on the tried pages,
     and only those that still fail are compared with those of the document's other pages that share enough grams.
     """
-    exact = exact_quotes(claims, pages)
-    rest = claims.join(exact.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''")
+    asked = materialise(claims.select("doc_id", "seq", "page", match_form(F.col("quote")).alias("q")).where("q <> ''"), "quotes")
+    exact = materialise(_verbatim(asked, pages), "exact-quotes")
+    rest = materialise(asked.join(exact.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti"), "other-quotes")
     on = pages.select("doc_id", F.col("page").alias("try_page"), "match_text")
     near = tried_pages(rest).join(on, ["doc_id", "try_page"]).withColumn("ratio", quote_ratio("q", "match_text")).where(F.col("ratio") >= FUZZY)
     near = near.groupBy("doc_id", "seq").agg(F.min_by("try_page", "pos").alias("page_used"), F.min_by("ratio", "pos").alias("ratio"))
