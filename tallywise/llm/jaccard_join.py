@@ -8,7 +8,9 @@ shingles can't be looked up, and common shingles are left out of segments; a set
 its segments of all shingles indexed, and where even those are too few, segments of one shingle each. A pair is missed
 by a level only where both of its sets are short there, and then both are on the next one.
 
-Sets that agree somewhere are candidates. Parity bitmaps, whose differences can't exceed the sets' own, leave those that
+Sets that agree somewhere are candidates. Large runs of sets that share a key are united where they have their smallest
+id in common and that makes neither more rows nor more comparisons than the runs had, since near copies share most of
+their keys and would stand in a run for each of them. Parity bitmaps, whose differences can't exceed the sets' own, leave those that
 could be linked, and only a spanning forest of these is ever written: its components are clusters within which all
 links lie. A cluster's shingles meet once (in blocks and pairs of blocks, if it is large), where intersections are
 counted exactly and each set gives at most one row.
@@ -34,6 +36,8 @@ FLUSH = 1_000_000
 BLOCK, SETS, VOLUME = 1024, 512, 1_000_000
 #: Runs up to this size give their pairs with a count of shared keys; larger ones are compared in blocks.
 SMALL = 24
+#: Ids of the larger runs that are united at once, and unions that a run is held against, with the cells of their table.
+UNITED, UNIONS, CELLS = 200_000, 64, 1 << 25
 #: Ids of candidate documents up to which they are broadcast (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 300_000
 #: Documents whose copies a task remembers, so that copies are indexed once.
@@ -244,15 +248,16 @@ def _mark(u: np.ndarray) -> tuple[int, int]:
 
 
 def _agreeing(bits: int):
-    """Ids that share keys: of runs of up to SMALL ids, pairs (x, y) with how many keys they share (z); of larger runs,
-    members (run x, id y), once for runs of the same ids. Parts from 2 ** bits on hold some ids of hot keys, by id."""
+    """Ids that share keys: of runs of up to SMALL ids (kind 0), pairs (x, y) with how many keys they share (z); larger
+    runs (kind 1) as run x, smallest id y, size z and sorted ids, once for runs of the same ids. Parts from 2 ** bits on
+    hold some ids of hot keys, by id: members (kind 2), run x, id y."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["p"][0].as_py()
         keys, ids = gathered(table, "c0", np.uint32), _ids(table)
         if part < 1 << bits:
             return _runs(part, keys, ids)
-        return pa.table({"kind": np.ones(len(keys), np.int64), "x": -1 - keys.astype(np.int64), "y": ids, "z": np.ones(len(keys), np.int64)})
+        return pa.table({"kind": np.full(len(keys), 2), "x": -1 - keys.astype(np.int64), "y": ids, "z": np.ones(len(keys), np.int64), "ids": pa.nulls(len(keys), pa.binary())})
 
     return run
 
@@ -270,7 +275,7 @@ def _runs(part: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     keys, ids = keys[fresh], ids[fresh]
-    out = []
+    out, cells = [], []
     if len(keys):
         head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(head, len(keys)))
@@ -278,8 +283,9 @@ def _runs(part: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
         order = np.lexsort((two, one, size))
         new = np.ones(len(head), bool)
         new[order[1:]] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (size[order][1:] != size[order][:-1])
-        keep = np.repeat(new & (size > SMALL), size)
-        out.append((np.ones(keep.sum(), np.int64), (np.int64(part) << np.int64(32)) + keys.astype(np.int64)[keep], ids[keep], np.ones(keep.sum(), np.int64)))
+        large = np.flatnonzero(new & (size > SMALL))
+        out.append((np.ones(len(large), np.int64), (np.int64(part) << np.int64(32)) + keys.astype(np.int64)[head[large]], ids[head[large]], size[large]))
+        cells = [ids[a : a + n].tobytes() for a, n in zip(head[large].tolist(), size[large].tolist(), strict=True)]
         few = np.repeat((size > 1) & (size <= SMALL), size)
         keys, ids = keys[few], ids[few]
         pairs = []
@@ -294,7 +300,63 @@ def _runs(part: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
             first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1))))
             out.append((np.zeros(len(first), np.int64), pairs[first, 0], pairs[first, 1], np.diff(np.append(first, len(pairs)))))
     kind, x, y, z = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), (), ())))
-    return pa.table({"kind": kind, "x": x, "y": y, "z": z})
+    return pa.table({"kind": kind, "x": x, "y": y, "z": z, "ids": pa.array(cells + [None] * (len(x) - len(cells)), pa.binary())})
+
+
+def _cost(size: np.ndarray) -> np.ndarray:
+    """Rows that a run of so many ids takes where its blocks meet."""
+    return size * -(-size // BLOCK)
+
+
+def _unions(runs: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """Unions (first run, sorted ids) of runs, the largest first, such that each run lies in one of them. None has more
+    pairs of ids than its runs together, nor takes more rows than they."""
+    universe, flat = np.unique(np.concatenate(runs), return_inverse=True)
+    ends = np.cumsum([len(x) for x in runs])
+    many = int(max(1, min(UNIONS, len(runs), CELLS // len(universe))))
+    held = np.zeros((many, len(universe)), bool)
+    first, size, pairs, rows = np.full(many, -1), *np.zeros((3, many), np.int64)
+    out, oldest = [], 0
+    for k, end in enumerate(ends.tolist()):
+        own = flat[end - len(runs[k]) : end]
+        n = len(own)
+        both = size + n - held[:, own].sum(1)
+        fits = (first >= 0) & (both**2 <= pairs + n * n) & (_cost(both) <= rows + _cost(n))
+        if fits.any():
+            at = int(np.where(fits, both - size, n + 1).argmin())
+        else:
+            at, oldest = oldest, (oldest + 1) % many
+            if first[at] >= 0:
+                out.append((int(first[at]), universe[held[at]]))
+            held[at], first[at], size[at], pairs[at], rows[at], both[at] = False, k, 0, 0, 0, n
+        held[at, own] = True
+        size[at], pairs[at], rows[at] = both[at], pairs[at] + n * n, rows[at] + _cost(n)
+    return out + [(int(first[at]), universe[held[at]]) for at in np.flatnonzero(first >= 0)]
+
+
+def _united(table: pa.Table) -> pa.Table:
+    """Members (run, id) of the unions of large runs (run, low, salt, ids) of the same smallest id."""
+    cols = {c: table[c].to_numpy() for c in ("low", "salt", "size", "run")}
+    order = np.lexsort((cols["run"], -cols["size"], cols["salt"], cols["low"]))
+    cols = {c: x[order] for c, x in cols.items()}
+    run, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in _slices(cols["low"], cols["salt"]):
+        for first, own in _unions([np.frombuffer(table["ids"][k].as_buffer(), np.int64) for k in order[lo:hi].tolist()]):
+            run.append(np.full(len(own), cols["run"][lo + first]))
+            ids.append(own)
+    return pa.table({"run": np.concatenate(run), "id": np.concatenate(ids)})
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """Members (run, id) of hot keys' runs and of unions of the other large runs. A smallest id of many large runs is
+    dealt to several tasks, each of which unites its share of them."""
+    large = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("low"), F.col("z").alias("size"), "ids")
+    volume = large.agg(F.sum("size")).first()[0] or 0
+    much = large.groupBy("low").agg(F.sum("size").alias("total")).where(F.col("total") > UNITED)  # fewer than the volume / UNITED
+    salted = large.join(F.broadcast(much), "low", "left").withColumn("salt", F.pmod(F.xxhash64("run"), F.ceil(F.coalesce("total", F.lit(1)) / UNITED)))
+    groups = max(partitions(found.sparkSession), volume // UNITED)
+    united = salted.select("run", "low", "salt", "size", "ids").groupBy(F.pmod(F.xxhash64("low", "salt"), F.lit(groups)).alias("group")).applyInArrow(_united, "run long, id long")
+    return materialise(united.unionByName(found.where("kind = 2").select(F.col("x").alias("run"), F.col("y").alias("id"))), "united")
 
 
 def _bitmap(u: np.ndarray, finer: int = 0) -> bytes:
@@ -485,12 +547,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = Keys(schemes, percent, common)
     made.hot = _common(texts, words, sum(n for n, _ in counts.values()), lambda s: made.of(np.unique(s))[0])
     entries = texts.mapInArrow(_index(made, bits, words), "p long, c0 binary, first long, steps binary, wide binary")
-    found = materialise(entries.groupBy("p").applyInArrow(_agreeing(bits), "kind long, x long, y long, z long"), "runs")
-    runs = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("id"))
+    found = materialise(entries.groupBy("p").applyInArrow(_agreeing(bits), "kind long, x long, y long, z long, ids binary"), "runs")
+    runs = _members(found)
     few = found.where("kind = 0").groupBy("x", "y").agg(F.sum("z").alias("z"))
 
     rep = whole.groupBy("id").agg(F.min("rep").alias("rep"), F.min("n").alias("n"))
-    seen = found.where("kind = 0").select(F.col("x").alias("id")).unionByName(found.select(F.col("y").alias("id"))).distinct()
+    seen = found.where("kind = 0").select(F.explode(F.array("x", "y")).alias("id")).unionByName(runs.select("id")).distinct()
     rep = materialise(rep.join(seen, "id", "left_semi"), "run-representatives")
     own = materialise(runs.join(rep, "id").select("run", "rep", "n").distinct(), "members")
     # copies indexed in several tasks share their keys; one of them is enough, so the largest count stands for a pair

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tallywise.llm import jaccard_join
 from tallywise.llm.jaccard_join import allocate, bands, jaccard_classes
 from tests.llm.brute import jaccard_components, shingle_set
 
@@ -46,6 +49,44 @@ def test_large_groups_chains_and_shared_passages(spark):
     check(spark, texts)
 
 
+def test_members_of_runs_grow_with_the_sets_of_near_copies(spark, monkeypatch):
+    r, kept, real = random.Random(7), {}, jaccard_join.materialise
+
+    def noted(df, name):
+        kept[name] = out = real(df, name)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)  # no key is hot
+    base = [f"b{k}" for k in range(300)]
+    for copies in (40, 160):
+        texts = {}
+        for k in range(copies):
+            own = list(base)
+            own[r.randrange(len(own))] = f"x{k}"
+            texts[k] = " ".join(own)
+        check(spark, texts)
+        assert 0 < kept["members"].count() <= 4 * copies
+
+
+def test_unions_hold_all_runs_and_cost_no_more():
+    r = np.random.default_rng(8)
+    for own in (0, 8, 30):
+        runs = [np.unique(np.concatenate(([1], r.choice(own or 2000, own or 40), r.choice(np.arange(100, 160), r.integers(20, 60))))) for _ in range(150)]
+        runs += [np.arange(1, 3000), np.arange(1, 3001), np.arange(1, 3000)]
+        runs = sorted(runs, key=len, reverse=True)
+        out = jaccard_join._unions(runs)
+        assert all(any(np.isin(x, u).all() for _, u in out) for x in runs)
+        assert len({first for first, _ in out}) == len(out) and all((np.diff(u) > 0).all() for _, u in out)
+        assert sum(len(u) ** 2 for _, u in out) <= sum(len(x) ** 2 for x in runs)
+        assert sum(jaccard_join._cost(len(u)) for _, u in out) <= sum(jaccard_join._cost(len(x)) for x in runs)
+
+
+def test_heavy_smallest_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "UNITED", 100)
+    test_large_groups_chains_and_shared_passages(spark)
+
+
 def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard_classes(df).collect()) == [(1, 1), (1, 1), (2, 1)]
