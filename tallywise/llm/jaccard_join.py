@@ -127,6 +127,7 @@ class Keys:
     def __init__(self, schemes: list[Scheme], percent: int, common: np.ndarray):
         self.schemes, self.percent, self.common = schemes, percent, common
         self.hot: np.ndarray | None = None
+        self.alike: np.ndarray | None = None
         self.lows = np.array([s.low for s in schemes])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(common & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -157,6 +158,14 @@ class Keys:
         they share, each stands for a difference of theirs, so as many as the differences and one more are enough."""
         return keys if self.hot is None else keys[np.lexsort((keys, self.hot_of(keys)))][:need]
 
+    def united(self, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hot keys and ids, keys that nearly the same sets hold as one of them, each pair once."""
+        keys = self.alike[np.searchsorted(self.hot, keys)]
+        order = np.lexsort((keys, ids))
+        keys, ids = keys[order], ids[order]
+        first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))[: len(keys)]
+        return keys[first], ids[first]
+
     def hot_of(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hot, keys)
         return self.hot[np.minimum(at, len(self.hot) - 1)] == keys if len(self.hot) else np.zeros(len(keys), bool)
@@ -169,8 +178,10 @@ def _index(made: Keys, bits: int, words: int):
 
         def flush():
             k, i = np.concatenate(keys), np.repeat(np.array(ids, np.int64), [len(x) for x in keys])
-            part = top_bits(k, bits)
             hot = made.hot_of(k)
+            few, own = made.united(k[hot], i[hot])
+            k, i, hot = np.concatenate((k[~hot], few)), np.concatenate((i[~hot], own)), np.arange(len(k) - hot.sum() + len(few)) >= len(k) - hot.sum()
+            part = top_bits(k, bits)
             part[hot] = (1 << bits) + (mix(i[hot].astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
             order = np.argsort(part.astype(np.int16) if bits < 15 else part, kind="stable")
             keys.clear()
@@ -202,19 +213,28 @@ def _index(made: Keys, bits: int, words: int):
     return run
 
 
-def _common(texts: DataFrame, words: int, n: int, keys_of=np.unique) -> np.ndarray:
+def _common(texts: DataFrame, words: int, n: int, keys_of=np.unique) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles (or other keys) in over COMMON of a hashed sample of documents (at most the sample's
-    keys x its share)."""
+    keys x its share), and for each one that stands for all that have the same smallest documents in two orders, which
+    keys of nearly the same documents have."""
 
     def run(batches):
         for batch in batches:
-            held = [np.unique(keys_of(s)) for _, s in shingles(batch.column(1), words) if len(s)]
-            keys, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], ["s", "n"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            held = [(ids[row], np.unique(keys_of(s))) for row, s in shingles(batch.column(1), words) if len(s)]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in held]])
+            orders = [mix(np.repeat(np.array([i for i, _ in held], np.int64), np.array([len(x) for _, x in held], np.int64)).astype(np.uint64) ^ c).astype(np.int64) for c in (_C1, _C2)]
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)])
+            least = [np.minimum.reduceat(x[order], head) if len(head) else x for x in orders]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (keys[head], np.diff(np.append(head, len(keys))), *least)], ["s", "n", "one", "two"])
 
     own = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLED))) == 0)
-    often = own.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, COMMON * min(n, SAMPLED)))
-    return np.sort(np.array([r.s for r in often.select("s").collect()], np.int64).astype(np.uint64))
+    often = own.mapInArrow(run, "s long, n long, one long, two long").groupBy("s").agg(F.sum("n").alias("n"), F.min("one").alias("one"), F.min("two").alias("two"))
+    rows = sorted((r.s % (1 << 64), r.one, r.two) for r in often.where(F.col("n") >= max(8, COMMON * min(n, SAMPLED))).collect())
+    stands: dict = {}
+    return np.array([s for s, *_ in rows], np.uint64), np.array([stands.setdefault((one, two), s) for s, one, two in rows], np.uint64)
 
 
 def _compact(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -348,7 +368,7 @@ def _united(table: pa.Table) -> pa.Table:
 
 
 def _members(found: DataFrame) -> DataFrame:
-    """Members (run, id) of hot keys' runs and of unions of the other large runs. A smallest id of many large runs is
+    """Members (run, id) of hot keys' runs (united where they were indexed) and of unions of the other large runs. A smallest id of many large runs is
     dealt to several tasks, each of which unites its share of them."""
     large = found.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("low"), F.col("z").alias("size"), "ids")
     volume = large.agg(F.sum("size")).first()[0] or 0
@@ -543,9 +563,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = sum(t for _, t in counts.values())
     schemes = [allocate(low, high, counts.get(math.floor(math.log2(low) * 2), (1, 0))[0], percent) for low, high in bands(percent) if low <= 4 * max(1, most)]
     bits = bits_for(max(2 * partitions(spark), most / 500_000))
-    common = _common(texts, words, sum(n for n, _ in counts.values()))
+    common, _ = _common(texts, words, sum(n for n, _ in counts.values()))
     made = Keys(schemes, percent, common)
-    made.hot = _common(texts, words, sum(n for n, _ in counts.values()), lambda s: made.of(np.unique(s))[0])
+    made.hot, made.alike = _common(texts, words, sum(n for n, _ in counts.values()), lambda s: made.of(np.unique(s))[0])
     entries = texts.mapInArrow(_index(made, bits, words), "p long, c0 binary, first long, steps binary, wide binary")
     found = materialise(entries.groupBy("p").applyInArrow(_agreeing(bits), "kind long, x long, y long, z long, ids binary"), "runs")
     runs = _members(found)

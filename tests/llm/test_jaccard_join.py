@@ -57,16 +57,16 @@ def test_members_of_runs_grow_with_the_sets_of_near_copies(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard_join, "materialise", noted)
-    monkeypatch.setattr(jaccard_join, "COMMON", 2)  # no key is hot
     base = [f"b{k}" for k in range(300)]
-    for copies in (40, 160):
+    for common, copies in ((2, 40), (2, 160), (0.004, 160)):  # no key is hot, or all are
+        monkeypatch.setattr(jaccard_join, "COMMON", common)
         texts = {}
         for k in range(copies):
             own = list(base)
             own[r.randrange(len(own))] = f"x{k}"
             texts[k] = " ".join(own)
         check(spark, texts)
-        assert 0 < kept["members"].count() <= 4 * copies
+        assert 0 < kept["members"].count() <= (4 if common > 1 else 40) * copies
 
 
 def test_unions_hold_all_runs_and_cost_no_more():
