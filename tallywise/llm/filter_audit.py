@@ -67,7 +67,8 @@ def histogram(marks: DataFrame, labels: DataFrame, copy_bit: int) -> DataFrame:
     said = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # a null id finds no label under any salt: many salts keep such rows from meeting in one task
     salt = F.pmod(F.xxhash64("digest"), F.when(F.col("doc_id").isNull(), F.lit(SALTS << 10)).otherwise(F.lit(SALTS))).cast("int")
-    rows = marks.withColumn("salt", salt).join(said, ["doc_id", "salt"], "left")
+    # never broadcast: Spark judges labels by their files' size, which are a few bytes a row before there are SALTS of each
+    rows = marks.withColumn("salt", salt).join(said.hint("merge"), ["doc_id", "salt"], "left")
     rows = rows.withColumns({"good": F.coalesce("good", F.lit(False)).cast("long"), "toxic": F.coalesce("toxic", F.lit(False)).cast("long")})
 
     kinds = ["part", "mask", "good", "toxic"]

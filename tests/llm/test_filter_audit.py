@@ -75,6 +75,15 @@ def test_a_text_of_most_rows_and_empty_tables(spark):
     check(spark, [(1, "a", "en"), (2, "a", None)], [])
 
 
+def test_labels_are_not_broadcast(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "'en' AS part", "0 AS mask", "unhex(sha2(string(id), 256)) AS digest").write.parquet(f"{tmp_path}/marks")
+    spark.range(0, 400, 2).selectExpr("id AS doc_id", "1 AS quality", "int(id % 4 = 0) AS toxic").write.parquet(f"{tmp_path}/labels")
+    hist = filter_audit.histogram(spark.read.parquet(f"{tmp_path}/marks"), spark.read.parquet(f"{tmp_path}/labels"), 1)
+    assert [tuple(r) for r in hist.collect()] == [("en", 0, 400, 200, 100)]
+    plan = hist._jdf.queryExecution().executedPlan().toString()  # the one that ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("filters", [1, 2, 3, 6])
 def test_fit_is_the_mean_over_orders(filters):
     r = random.Random(filters)
